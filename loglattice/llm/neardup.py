@@ -267,7 +267,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, of_node = _classify(docs, id_col, text_col, threshold)
     heads = of_node.filter("node = head_node").select("node", "head_id")
     text = F.lower(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
-    schema = docs.schema.add("__ll_node", "binary")
+    schema = tk.schema_with(docs, "__ll_node", "binary")
     noded = docs.withColumn("__ll_text", text).mapInArrow(_add_node, schema)
     kept = noded.join(heads, (noded["__ll_node"] == heads["node"]) & noded[f"`{id_col}`"].eqNullSafe(heads["head_id"]), "left_semi")
     repeated = rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm import textkit as tk
-from loglattice.llm import neardup, token_counts, token_records
+from loglattice.llm import decontam, neardup, token_counts, token_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,12 +33,16 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_token_records, op10_near_duplicates)}
+    return {f.__name__: f for f in (op2_token_counts, op3_token_records, op9_benchmark_leaks, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

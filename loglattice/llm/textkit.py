@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
 SHINGLE_WORDS = 5
@@ -59,6 +60,11 @@ def with_outputs(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in names], *[v.alias(k) for k, v in cols.items()])
 
 
+def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of ``df`` with one more column at its end."""
+    return T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U64(30))
