@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm import textkit as tk
-from loglattice.llm import decontam, neardup, token_counts, token_records
+from loglattice.llm import decontam, neardup, token_counts, token_records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model).select("doc_id", toxicity.held_out(docs["doc_id"]).alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path(), tk.work_dir(spark, "token-cache")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -42,7 +48,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_token_records, op9_benchmark_leaks, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op9_benchmark_leaks, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
