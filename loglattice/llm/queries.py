@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm import textkit as tk
-from loglattice.llm import decontam, neardup, token_counts, token_records, toxicity
+from loglattice.llm import decontam, mixing, neardup, token_counts, token_records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.inclusion(docs).select("doc_id", "source", "lang", "topic", "probability", "kept")
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +53,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op9_benchmark_leaks, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
