@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm import textkit as tk
-from loglattice.llm import decontam, mixing, neardup, token_counts, token_records, toxicity
+from loglattice.llm import decontam, line_dedup, mixing, neardup, rules, token_counts, token_records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,15 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return rules.apply_rules(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return mixing.inclusion(docs).select("doc_id", "source", "lang", "topic", "probability", "kept")
@@ -53,8 +62,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op5_line_dedup, op7_quality_rules, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.SQL, "op7_quality_rules": rules.SQL}
