@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm import textkit as tk
-from loglattice.llm import decontam, line_dedup, mixing, neardup, rules, token_counts, token_records, toxicity
+from loglattice.llm import decontam, line_dedup, mixing, neardup, pii, rules, token_counts, token_records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,14 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+#: The key is a parameter of the operator; a deployment passes its own secret.
+PSEUDONYM_KEY = "example key, not a secret"
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,7 +70,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op5_line_dedup, op7_quality_rules, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op4_pseudonyms, op5_line_dedup, op7_quality_rules, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
