@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm import textkit as tk
-from loglattice.llm import decontam, line_dedup, mixing, neardup, pii, rules, token_counts, token_records, toxicity
+from loglattice.llm import decontam, line_dedup, mixing, neardup, pii, quality, rules, token_counts, token_records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.rate(docs, model).select("doc_id", toxicity.held_out(docs["doc_id"]).alias("held_out"), "expected_grade", "tail_probability", "selected")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return rules.apply_rules(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -70,7 +76,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op4_pseudonyms, op5_line_dedup, op7_quality_rules, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op4_pseudonyms, op5_line_dedup, op6_quality, op7_quality_rules, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
