@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import attack
 from loglattice.functions import normalize as n
-from loglattice.operators.recipes import COUNT, _order
+from loglattice.operators.recipes import _order, count_rows
 
 # Event types that matter without a rule.
 NOTABLE_ACTIONS = ("audit-log-cleared", "event-log-cleared", "audit-policy-changed", "event-log-service-stopped", "sysmon-config-changed", "process-tampering", "raw-access-read", "service-installed", "scheduled-task-created", "scheduled-task-registered", "wmi-event-consumer", "wmi-event-filter", "wmi-consumer-filter-binding", "wmi-permanent-consumer-registered", "wmi-permanent-consumer-binding", "user-account-created", "member-added-to-local-group", "member-added-to-global-group", "member-added-to-universal-group", "password-reset", "create-remote-thread", "logon-failed", "kerberos-preauth-failed")
@@ -15,7 +15,8 @@ NOTABLE_ACTIONS = ("audit-log-cleared", "event-log-cleared", "audit-policy-chang
 KIND_WEIGHT = {"file_hash": "0.85", "user": "0.70", "host": "0.55", "domain": "0.40", "file": "0.25", "ip": "0.10"}
 UNMAPPED_PHASE = "(technique not in ATT&CK map)"
 UNMAPPED_NAME = "(not in ATT&CK map)"
-FAMILY = F.coalesce(F.col("family"), F.col("source"))
+def family_key() -> Column:
+    return F.coalesce(F.col("family"), F.col("source"))
 
 
 def joined(c: str | Column, sep: str = ", ") -> Column:
@@ -55,7 +56,7 @@ def timeline(events: DataFrame, host: str | None = None, user: str | None = None
 
 def host_overview(events: DataFrame) -> DataFrame:
     by = events.filter("host_canon is not null").groupBy(F.col("host_canon").alias("host"))
-    agg = by.agg(COUNT.alias("events"), F.count_distinct("user_canon").alias("users"), F.count_distinct("process_name").alias("processes"), F.count_distinct("dst_ip").alias("dst_ips"), F.count_if("attack_evidence").alias("attack_events"))
+    agg = by.agg(count_rows().alias("events"), F.count_distinct("user_canon").alias("users"), F.count_distinct("process_name").alias("processes"), F.count_distinct("dst_ip").alias("dst_ips"), F.count_if("attack_evidence").alias("attack_events"))
     return agg.orderBy(*_order("-attack_events", "-events", "host"))
 
 
@@ -79,7 +80,7 @@ def indicators(events: DataFrame) -> DataFrame:
         one("file_hash_md5", "file_hash_md5", "file_hash", none, never) if "file_hash_md5" in events.columns else None,
         one("file_canon", "file_name", "file", none, c("file_generic")),
     ]
-    rows = events.select(FAMILY.alias("family"), F.col("source").alias("origin"), F.inline(F.array(*[p for p in parts if p is not None])))
+    rows = events.select(family_key().alias("family"), F.col("source").alias("origin"), F.inline(F.array(*[p for p in parts if p is not None])))
     return rows.filter("indicator is not null")
 
 
@@ -104,7 +105,7 @@ def bridge_confidence(kind: Column, families: Column, match_type: Column, infras
 def shared_indicators(events: DataFrame, infra_ips: tuple[str, ...] = ()) -> DataFrame:
     """Indicators that more than one tool family saw, most telling first."""
     agg = indicators(events).groupBy("indicator", "kind").agg(
-        F.count_distinct("family").alias("families"), COUNT.alias("occurrences"), joined("family").alias("family_list"),
+        F.count_distinct("family").alias("families"), count_rows().alias("occurrences"), joined("family").alias("family_list"),
         joined("origin").alias("origins"), F.array_sort(F.collect_set("raw")).alias("raws"), F.array_sort(F.collect_set("realm")).alias("realms"),
     ).filter("families > 1")
     infra = F.coalesce((F.col("kind") == "ip") & F.lower("indicator").isin(*[i.strip().lower() for i in infra_ips]), F.lit(False)) if infra_ips else F.lit(False)
@@ -139,7 +140,7 @@ def episode_ids(events: DataFrame, gap_seconds: int = 120, bucket_seconds: int =
 
 def episodes(events: DataFrame, gap_seconds: int = 120, min_sources: int = 2, limit: int = 100) -> DataFrame:
     agg = episode_ids(events, gap_seconds).groupBy("episode").agg(
-        F.min("ts_parsed").alias("start"), F.max("ts_parsed").alias("end"), COUNT.alias("events"), F.count_distinct(FAMILY).alias("families"), joined(FAMILY).alias("family_list"),
+        F.min("ts_parsed").alias("start"), F.max("ts_parsed").alias("end"), count_rows().alias("events"), F.count_distinct(family_key()).alias("families"), joined(family_key()).alias("family_list"),
         F.count_distinct("host").alias("hosts"), F.count_distinct(F.coalesce("src_ip", "dst_ip")).alias("ips"), F.collect_set("kc_phase").alias("seen"),
     ).filter(F.col("families") >= min_sources)
     phases = F.filter(F.array(*map(F.lit, attack.PHASES)), lambda p: F.array_contains("seen", p))
@@ -149,7 +150,7 @@ def episodes(events: DataFrame, gap_seconds: int = 120, min_sources: int = 2, li
 
 def killchain(events: DataFrame) -> DataFrame:
     agg = events.filter("kc_phase is not null").groupBy(F.col("kc_phase").alias("phase"), F.col("kc_order").alias("phase_order")).agg(
-        COUNT.alias("events"), F.count_distinct("host_canon").alias("hosts"), F.count_distinct(FAMILY).alias("sources"), F.min("ts_parsed").alias("first"), F.max("ts_parsed").alias("last"),
+        count_rows().alias("events"), F.count_distinct("host_canon").alias("hosts"), F.count_distinct(family_key()).alias("sources"), F.min("ts_parsed").alias("first"), F.max("ts_parsed").alias("last"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tactic_list")))), ", ").alias("tactics"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("technique_ids")))), ", ").alias("technique_list"),
     )
@@ -174,7 +175,7 @@ def phase_corroboration(events: DataFrame, beacons: DataFrame | None = None, inf
     near = silent.join(F.broadcast(span), (at >= (F.col("lo") - pad_seconds) * 1_000_000) & (at <= (F.col("hi") + pad_seconds) * 1_000_000))
     near = near.join(speaking, ["phase", "family"], "left_anti")
     seen = lambda c, generic: F.array_sort(F.collect_set(F.when(~F.coalesce(F.col(generic), F.lit(False)), F.col(c))))
-    agg = near.groupBy("phase", "family").agg(COUNT.alias("events"), F.count_if(F.lower("outcome") == "failure").alias("failures"), seen("dst_ip", "dst_ip_generic").alias("dsts"), seen("dns_query", "dns_generic").alias("domains"), seen("user_canon", "user_generic").alias("users"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    agg = near.groupBy("phase", "family").agg(count_rows().alias("events"), F.count_if(F.lower("outcome") == "failure").alias("failures"), seen("dst_ip", "dst_ip_generic").alias("dsts"), seen("dns_query", "dns_generic").alias("domains"), seen("user_canon", "user_generic").alias("users"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     rank = F.row_number().over(Window.partitionBy("phase").orderBy(F.col("events").desc(), "family"))
     top = agg.withColumn("rank", rank).filter(F.col("rank") <= limit_families)
     known = [i.strip().lower() for i in infra_ips]
@@ -206,10 +207,10 @@ def technique_catalog(events: DataFrame, limit: int = 100, exact: bool = False)
     """
     rows = events.filter("size(technique_ids) > 0")
     if exact:
-        per = rows.select("host_canon", FAMILY.alias("f"), "ts_parsed", "kc_order", F.explode("technique_ids").alias("technique")).groupBy("technique")
-        agg = per.agg(COUNT.alias("hits"), F.count_distinct("host_canon").alias("hosts"), F.count_distinct("f").alias("sources"), F.min("ts_parsed").alias("first"), F.max("ts_parsed").alias("last"))
+        per = rows.select("host_canon", family_key().alias("f"), "ts_parsed", "kc_order", F.explode("technique_ids").alias("technique")).groupBy("technique")
+        agg = per.agg(count_rows().alias("hits"), F.count_distinct("host_canon").alias("hosts"), F.count_distinct("f").alias("sources"), F.min("ts_parsed").alias("first"), F.max("ts_parsed").alias("last"))
     else:
-        lists = rows.groupBy("techniques", "technique_ids").agg(COUNT.alias("n"), F.count_distinct("host_canon").alias("h"), F.count_distinct(FAMILY).alias("s"), F.min("ts_parsed").alias("lo"), F.max("ts_parsed").alias("hi"))
+        lists = rows.groupBy("techniques", "technique_ids").agg(count_rows().alias("n"), F.count_distinct("host_canon").alias("h"), F.count_distinct(family_key()).alias("s"), F.min("ts_parsed").alias("lo"), F.max("ts_parsed").alias("hi"))
         agg = lists.withColumn("technique", F.explode("technique_ids")).groupBy("technique").agg(F.sum("n").alias("hits"), F.max("h").alias("hosts"), F.max("s").alias("sources"), F.min("lo").alias("first"), F.max("hi").alias("last"))
     tactics = attack.tactics_of(F.array("technique"))
     name = F.coalesce(attack.technique_name(F.col("technique")), F.lit(UNMAPPED_NAME))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.operators.recipes import COMMON_PORTS, COUNT, _order
+from loglattice.operators.recipes import COMMON_PORTS, _order, count_rows
 
 # Logon types that come over the network.
 REMOTE_LOGONS = ("3", "8", "9", "10")
@@ -13,35 +13,35 @@ EXFIL_BYTES = 1_000_000
 
 
 def conversations(events: DataFrame) -> DataFrame:
-    agg = events.filter("src_ip is not null and dst_ip is not null").groupBy("src_ip", "dst_ip", "dst_port", "transport").agg(COUNT.alias("packets"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"))
+    agg = events.filter("src_ip is not null and dst_ip is not null").groupBy("src_ip", "dst_ip", "dst_port", "transport").agg(count_rows().alias("packets"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"))
     odd = F.coalesce(~F.col("dst_port").isin(*COMMON_PORTS), F.lit(False))
     return agg.withColumn("nonstandard", odd).withColumn("exfil_hint", F.col("total_bytes") > EXFIL_BYTES).orderBy(*_order("-total_bytes", "src_ip", "dst_ip", "dst_port", "transport"))
 
 
 def dns_counts(events: DataFrame) -> DataFrame:
-    return events.filter("dns_query is not null").groupBy("dns_query").agg(COUNT.alias("lookups")).orderBy(*_order("-lookups", "dns_query"))
+    return events.filter("dns_query is not null").groupBy("dns_query").agg(count_rows().alias("lookups")).orderBy(*_order("-lookups", "dns_query"))
 
 
 def logons(events: DataFrame) -> DataFrame:
     """Remote and failed logons of Windows events 4624 and 4625: (kind, user, host, src_ip, logon_type, n)."""
     keys = [F.col("user_name").alias("user"), "host", "src_ip", "logon_type"]
-    ok = events.filter((F.col("event_code") == 4624) & F.col("logon_type").isin(*REMOTE_LOGONS)).groupBy(*keys).agg(COUNT.alias("n")).withColumn("kind", F.lit("remote"))
-    bad = events.filter("event_code = 4625").groupBy(*keys).agg(COUNT.alias("n")).withColumn("kind", F.lit("failed"))
+    ok = events.filter((F.col("event_code") == 4624) & F.col("logon_type").isin(*REMOTE_LOGONS)).groupBy(*keys).agg(count_rows().alias("n")).withColumn("kind", F.lit("remote"))
+    bad = events.filter("event_code = 4625").groupBy(*keys).agg(count_rows().alias("n")).withColumn("kind", F.lit("failed"))
     both = ok.unionByName(bad).select("kind", "user", "host", "src_ip", "logon_type", "n")
     rank = F.when(F.col("kind") == "failed", -F.col("n")).otherwise(F.col("n"))
     return both.orderBy("kind", rank, *_order("user", "host", "src_ip", "logon_type"))
 
 
 def event_id_metrics(events: DataFrame) -> DataFrame:
-    return events.filter("event_code is not null").groupBy("event_code").agg(COUNT.alias("n")).orderBy(*_order("-n", "event_code"))
+    return events.filter("event_code is not null").groupBy("event_code").agg(count_rows().alias("n")).orderBy(*_order("-n", "event_code"))
 
 
 def log_metrics(events: DataFrame) -> DataFrame:
-    return events.groupBy("source").agg(COUNT.alias("n"), F.min("ts_parsed").alias("first"), F.max("ts_parsed").alias("last")).orderBy(*_order("-n", "source"))
+    return events.groupBy("source").agg(count_rows().alias("n"), F.min("ts_parsed").alias("first"), F.max("ts_parsed").alias("last")).orderBy(*_order("-n", "source"))
 
 
 def computer_metrics(events: DataFrame) -> DataFrame:
-    return events.filter("host is not null").groupBy("host").agg(COUNT.alias("n")).orderBy(*_order("-n", "host"))
+    return events.filter("host is not null").groupBy("host").agg(count_rows().alias("n")).orderBy(*_order("-n", "host"))
 
 
 def search(events: DataFrame, keywords: list[str] | None = None, regex: str | None = None, all_of: bool = False) -> DataFrame:
@@ -75,7 +75,7 @@ def ioc_search(records: DataFrame, iocs: DataFrame, ioc_col: str = "ioc", fields
     out = None
     for k in range(blocks):
         part = wanted.filter(F.pmod(F.xxhash64("ioc"), F.lit(blocks)) == k) if blocks > 1 else wanted
-        hits = records.select(text.alias("text")).join(F.broadcast(part), F.expr("contains(text, lower(ioc))")).groupBy("ioc").agg(COUNT.alias("hits"))
+        hits = records.select(text.alias("text")).join(F.broadcast(part), F.expr("contains(text, lower(ioc))")).groupBy("ioc").agg(count_rows().alias("hits"))
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -93,7 +93,7 @@ def merge_flows(packets: DataFrame, flows: DataFrame) -> DataFrame:
     key = ["src_ip", "dst_ip", "dst_port", "transport"]
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("id").desc()))
     last = flows.withColumn("rank", rank).filter("rank = 1")
-    grouped = packets.groupBy(*key).agg(COUNT.alias("packets"), F.sum("bytes").alias("packet_bytes"))
+    grouped = packets.groupBy(*key).agg(count_rows().alias("packets"), F.sum("bytes").alias("packet_bytes"))
     a, b = grouped.alias("a"), last.select(*key, F.col("bytes").alias("flow_bytes"), F.col("source").alias("flow_source")).alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
     both = a.join(b, on, "full")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import attack
-from loglattice.operators.correlate import FAMILY
-from loglattice.operators.recipes import COUNT, _order
+from loglattice.operators.correlate import family_key
+from loglattice.operators.recipes import _order, count_rows
 
 ROUNDS = 60
 SHOWN = 8
@@ -56,8 +56,8 @@ def entity_nodes(events: DataFrame, infra_ips: tuple[str, ...] = (), dedupe: boo
     """(kind, value, events, families, kc_order): an address that is source and destination of an
     event counts twice unless ``dedupe``."""
     ents = F.array_distinct("ents") if dedupe else F.col("ents")
-    rows = _keyed(events, infra_ips).select(F.inline(ents), FAMILY.alias("family"), "kc_order")
-    return rows.groupBy("kind", "value").agg(COUNT.alias("events"), F.count_distinct("family").alias("families"), F.max("kc_order").alias("kc_order")).orderBy(*_order("-events", "kind", "value"))
+    rows = _keyed(events, infra_ips).select(F.inline(ents), family_key().alias("family"), "kc_order")
+    return rows.groupBy("kind", "value").agg(count_rows().alias("events"), F.count_distinct("family").alias("families"), F.max("kc_order").alias("kc_order")).orderBy(*_order("-events", "kind", "value"))
 
 
 def entity_edges(events: DataFrame, infra_ips: tuple[str, ...] = (), min_weight: int = 1) -> DataFrame:
@@ -65,7 +65,7 @@ def entity_edges(events: DataFrame, infra_ips: tuple[str, ...] = (), min_weight:
     ents = F.transform("ents", lambda e: F.concat(e["kind"], F.lit(":"), e["value"]))
     one = _keyed(events, infra_ips).withColumn("e", ents).select("e", F.posexplode("e").alias("i", "x"))
     two = one.select("i", "x", F.posexplode("e").alias("j", "y")).filter("i < j and x != y")
-    pairs = two.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(COUNT.alias("weight"))
+    pairs = two.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(count_rows().alias("weight"))
     return pairs.filter(F.col("weight") >= min_weight).orderBy(*_order("-weight", "a", "b"))
 
 
@@ -73,7 +73,7 @@ def entity_graph(events: DataFrame, infra_ips: tuple[str, ...] = (), limit_nodes
     """The nodes of highest degree, and the edges among them."""
     nodes = entity_nodes(events, infra_ips).withColumn("id", F.concat("kind", F.lit(":"), "value"))
     edges = entity_edges(events, infra_ips, min_weight)
-    degree = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).groupBy("id").agg(COUNT.alias("degree"))
+    degree = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).groupBy("id").agg(count_rows().alias("degree"))
     top = nodes.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(*_order("-degree", "-families", "-events", "id")).limit(limit_nodes)
     kept = top.select("id")
     inside = edges.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").join(kept.withColumnRenamed("id", "b"), "b", "left_semi")
@@ -100,14 +100,14 @@ def incident_clusters(events: DataFrame, infra_ips: tuple[str, ...] = (), min_fa
 
     Each event links its first entity to its others; distinct links are joined to components.
     """
-    rows = _keyed(events, infra_ips).filter("size(keys) > 0").select("keys", FAMILY.alias("family"), "kc_order", "kc_phase", "attack_evidence", "tactic_list")
+    rows = _keyed(events, infra_ips).filter("size(keys) > 0").select("keys", family_key().alias("family"), "kc_order", "kc_phase", "attack_evidence", "tactic_list")
     star = rows.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct()
     roots = components(star)
     member = rows.join(roots, rows["keys"][0] == roots["node"])
-    facts = member.groupBy("root").agg(COUNT.alias("events"), F.count_distinct("family").alias("sources"), F.array_join(F.array_sort(F.collect_set("family")), ", ").alias("source_list"), F.max("kc_order").alias("depth"), F.count_if("attack_evidence").alias("attack_events"), F.collect_set("kc_phase").alias("seen")).filter(F.col("sources") >= min_families)
+    facts = member.groupBy("root").agg(count_rows().alias("events"), F.count_distinct("family").alias("sources"), F.array_join(F.array_sort(F.collect_set("family")), ", ").alias("source_list"), F.max("kc_order").alias("depth"), F.count_if("attack_evidence").alias("attack_events"), F.collect_set("kc_phase").alias("seen")).filter(F.col("sources") >= min_families)
     kinds = roots.select("root", "node", F.substring_index("node", ":", 1).alias("kind"), F.expr("substr(node, instr(node, ':') + 1)").alias("value"))
     rank = F.row_number().over(Window.partitionBy("root", "kind").orderBy("value"))
-    per_kind = kinds.groupBy("root", "kind").agg(COUNT.alias("n"))
+    per_kind = kinds.groupBy("root", "kind").agg(count_rows().alias("n"))
     # The first few of each kind are listed; ranking has map-side limits, so a large cluster isn't gathered.
     first = kinds.withColumn("k", rank).filter(F.col("k") <= SHOWN).groupBy("root", "kind").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("list"))
     wide = per_kind.join(first, ["root", "kind"]).groupBy("root").agg(
