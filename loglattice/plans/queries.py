@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice.functions import decode, scoring
 from loglattice.operators import correlate, delta, extras, graph, recipes
 from loglattice.plans.telemetry import duck_events, telemetry
+from loglattice.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
@@ -264,3 +266,91 @@ def canon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     raw = F.concat(F.lit("C:\\Temp\\"), F.translate("p_name", " ", "_"), F.lit(".EXE"))
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("raw"), n.canon_file(raw).alias("canon"))
+
+
+# -- functions over the driver's tables --------------------------------------------------------
+
+
+def _vector() -> F.Column:
+    def pick(letters: str, k: str) -> F.Column:
+        return F.element_at(F.array(*map(F.lit, letters)), (F.expr(f"cast({k} as int)") + 1))
+
+    parts = (("CVSS:3.1/AV:", "NALP", "p_partkey % 4"), ("/AC:", "LH", "p_partkey % 2"), ("/PR:", "NLH", "p_partkey % 3"), ("/UI:", "NR", "p_size % 2"), ("/S:", "UC", "p_size % 2"), ("/C:", "HLN", "p_size % 3"), ("/I:", "HLN", "p_partkey % 3"), ("/A:", "HLN", "(p_size + p_partkey) % 3"))
+    return F.concat(*[x for t, letters, k in parts for x in (F.lit(t), pick(letters, k))])
+
+
+@register(
+    "cvss_scores",
+    """WITH v AS (SELECT p_partkey, [0.85, 0.62, 0.55, 0.2][p_partkey % 4 + 1] AS av, [0.77, 0.44][p_partkey % 2 + 1] AS ac, p_size % 2 = 1 AS ch, [0.85, 0.62, 0.27][p_partkey % 3 + 1] AS pu, [0.85, 0.68, 0.5][p_partkey % 3 + 1] AS pc,
+  [0.85, 0.62][p_size % 2 + 1] AS ui, [0.56, 0.22, 0.0][p_size % 3 + 1] AS c, [0.56, 0.22, 0.0][p_partkey % 3 + 1] AS i, [0.56, 0.22, 0.0][(p_size + p_partkey) % 3 + 1] AS a FROM part),
+w AS (SELECT *, 1 - (1 - c::DOUBLE) * (1 - i::DOUBLE) * (1 - a::DOUBLE) AS isc FROM v),
+x AS (SELECT p_partkey, ch, CASE WHEN ch THEN 7.52::DOUBLE * (isc - 0.029::DOUBLE) - 3.25::DOUBLE * pow(isc - 0.02::DOUBLE, 15.0) ELSE 6.42::DOUBLE * isc END AS impact, 8.22::DOUBLE * av::DOUBLE * ac::DOUBLE * (CASE WHEN ch THEN pc ELSE pu END)::DOUBLE * ui::DOUBLE AS exploit FROM w),
+y AS (SELECT p_partkey, impact, CAST(round(least(CASE WHEN ch THEN 1.08::DOUBLE * (impact + exploit) ELSE impact + exploit END, 10.0::DOUBLE) * 100000) AS BIGINT) AS whole FROM x),
+z AS (SELECT p_partkey, CASE WHEN impact <= 0 THEN 0.0::DOUBLE WHEN whole % 10000 = 0 THEN whole / 100000.0::DOUBLE ELSE (whole // 10000 + 1) / 10.0::DOUBLE END AS score FROM y)
+SELECT p_partkey, score, CASE WHEN score = 0 THEN 'None' WHEN score < 4 THEN 'Low' WHEN score < 7 THEN 'Medium' WHEN score < 9 THEN 'High' ELSE 'Critical' END AS severity FROM z""",
+)
+def cvss_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", scoring.cvss31(_vector()).alias("s")).select("p_partkey", "s.score", "s.severity")
+
+
+@register("risk_matrix", "SELECT p_partkey, (p_size % 5 + 1) * (p_partkey % 5 + 1) AS product, CASE WHEN (p_size % 5 + 1) * (p_partkey % 5 + 1) <= 4 THEN 'low' WHEN (p_size % 5 + 1) * (p_partkey % 5 + 1) <= 9 THEN 'medium' WHEN (p_size % 5 + 1) * (p_partkey % 5 + 1) <= 16 THEN 'high' ELSE 'critical' END AS level FROM part")
+def risk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", scoring.risk(F.col("p_size") % 5 + 1, F.col("p_partkey") % 5 + 1).alias("r")).select("p_partkey", "r.product", "r.level")
+
+
+@register(
+    "indicator_kind",
+    """WITH i AS (SELECT DISTINCT dns_query AS indicator FROM ev WHERE dns_query IS NOT NULL UNION SELECT file_hash FROM ev WHERE file_hash IS NOT NULL UNION SELECT src_ip FROM ev WHERE src_ip IS NOT NULL UNION SELECT dst_ip FROM ev WHERE dst_ip IS NOT NULL),
+k AS (SELECT indicator, CASE WHEN regexp_full_match(indicator, '[0-9.]+') THEN 'ip' WHEN regexp_full_match(indicator, '[0-9a-f]{32}') THEN 'hash' ELSE 'domain' END AS kind FROM i)
+SELECT indicator, kind, kind = 'hash' OR (kind = 'domain' AND NOT regexp_matches(indicator, '\\.(local|localdomain|lan|internal|intranet|corp|home|test|example|invalid|localhost)$')) OR (kind = 'ip' AND NOT regexp_matches(indicator, '^(10\\.|203\\.0\\.113\\.)')) AS public FROM k""",
+    ("pcap", "scan", "web"),
+)
+def indicator_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = telemetry(spark, sf_dir, ("pcap", "scan", "web"))
+    values = ev.select(F.explode(F.array("dns_query", "file_hash", "src_ip", "dst_ip")).alias("indicator")).filter("indicator is not null").distinct()
+    return values.select("indicator", scoring.indicator_kind(F.col("indicator")).alias("kind"), scoring.is_public(F.col("indicator")).alias("public"))
+
+
+@register("access_log_parse", "SELECT o_orderkey AS id, '10.0.0.' || (o_custkey % 250) AS src_ip, strftime(make_timestamp((1704067200 + o_orderkey) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts, '/p/' || o_orderstatus AS url, CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN 302 ELSE 404 END AS http_status, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'success' ELSE 'failure' END AS outcome FROM orders")
+def access_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = "case o_orderstatus when 'F' then 200 when 'O' then 302 else 404 end"
+    line = F.expr(f"""concat('10.0.0.', o_custkey % 250, ' - - [', date_format(timestamp_seconds(1704067200 + o_orderkey + 7200), 'dd/MMM/yyyy:HH:mm:ss'), ' +0200] "GET /p/', o_orderstatus, ' HTTP/1.1" ', {status}, ' 12')""")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), line.alias("line"))
+    f = readers.parse_access(F.col("line"))
+    return rows.select("id", *[f[c].alias(c) for c in ("src_ip", "ts", "url", "http_status", "outcome")])
+
+
+@register("syslog_parse", "SELECT event_id AS id, 'gw' || (user_id % 5) AS host, CASE WHEN event_type = 'error' THEN 'user' || user_id END AS user_name, '10.1.0.' || (user_id % 250) AS src_ip, CASE WHEN event_type = 'error' THEN 'failure' END AS outcome FROM events")
+def syslog_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.expr("""concat('2024-01-01T00:00:00Z x@gw', user_id % 5, ' auth.info ', if(event_type = 'error', concat('sshd[7]: Failed password for user', user_id, ' from 10.1.0.', user_id % 250, ' port 5 ssh2'), concat('kernel: IN=e SRC=10.1.0.', user_id % 250, ' DST=9.9.9.9 PROTO=TCP DPT=22')))""")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), line.alias("line"))
+    f = readers.parse_syslog(F.col("line"))
+    return rows.select("id", *[f[c].alias(c) for c in ("host", "user_name", "src_ip", "outcome")])
+
+
+@register(
+    "compliance_obligations",
+    """SELECT o_orderkey, norm, duty, deadline_hours FROM (SELECT o_orderkey, o_orderstatus = 'F' AS pd, o_orderpriority LIKE '1%' AS hi, o_orderstatus <> 'P' AS sig, o_orderkey % 3 = 0 AS sec FROM orders)
+JOIN (VALUES ('GDPR', 'notify the supervisory authority', 72, 1), ('GDPR', 'tell the persons concerned', NULL, 2), ('NIS2', 'early warning', 24, 3), ('NIS2', 'incident notification', 72, 3)) r(norm, duty, deadline_hours, k) ON (k = 1 AND pd) OR (k = 2 AND pd AND hi) OR (k = 3 AND sig AND sec)""",
+)
+def compliance_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incidents = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderstatus = 'F' as personal_data", "if(o_orderpriority like '1%', 'high', 'low') as risk", "o_orderstatus <> 'P' as significant", "if(o_orderkey % 3 = 0, 'energy', 'other') as sector")
+    return scoring.obligations(incidents, scoring.RULES).select("o_orderkey", "norm", "duty", "deadline_hours")
+
+
+@register("detection_rules", "SELECT id FROM ev WHERE (parent_name LIKE 'err%' OR parent_name LIKE '%up.exe') AND process_name LIKE '%1%' AND user_canon = 'user7'", EVTX)
+def detection_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = scoring.detection([{"parent_name|re": ["^err", "up\\.exe$"], "process_name|contains": "1"}, {"user_canon": "USER7"}])
+    return telemetry(spark, sf_dir, EVTX).filter(rule).select("id")
+
+
+@register("decode_scan")
+def decode_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decode.scan_fields(docs, ["text"]).select("doc_id", "encoder", "original", "decoded", "confidence", "notes")
+
+
+@register("mft_suspicious", "SELECT p_partkey AS id FROM part WHERE p_size % 4 = 0")
+def mft_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("if(p_size % 4 = 0, 'C:\\\\Users\\\\Public\\\\x.exe', 'C:\\\\Windows\\\\x.exe')").alias("file_path"), F.lit("x.exe").alias("file_name"))
+    return readers.suspicious_files(rows).select("id")
