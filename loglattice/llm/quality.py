@@ -112,7 +112,6 @@ def fit(texts: list[str], grades: list[float], steps: int = STEPS) -> OrdinalMod
     # Thresholds are the first one and positive steps: they stay ordered.
     theta = np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-3)), np.zeros(_SLOTS)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    at = np.arange(n)
     for step in range(1, steps + 1):
         gaps = np.exp(theta[1:k])
         cut = np.concatenate([[-np.inf], theta[0] + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
@@ -129,7 +128,6 @@ def fit(texts: list[str], grades: list[float], steps: int = STEPS) -> OrdinalMod
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    del at
     cut = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:k]))])
     return OrdinalModel(levels, cut, theta[k:])
 
