@@ -11,10 +11,12 @@
 5. Linked nodes are joined to classes; a class is named by the least id of its rows.
 
 A band bucket may hold any number of nodes, so pairs are not listed within it.  First every
-node of a bucket is verified against one node of it.  Then only nodes that are not in the
-bucket's largest class so far are verified against the nodes of other classes in it.  After
-that each two nodes of a bucket are in one class or have been compared, or are both members of
-the same class by other links, so no link that banding offers is lost.
+node of a bucket is verified against one node of it.  Where that leaves several classes, every
+node is verified against the one with the least share of shingles that no other node has, and
+then the nodes outside the bucket's largest class against those of other classes.  In these
+two rounds pairs are left out if the shingles each has alone rule the similarity out.  At the
+end each two nodes of a bucket are in one class, or have been compared, or cannot be similar: no
+link that banding offers is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm import textkit as tk
@@ -155,7 +157,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _slices(batch.column("text")):
             elem, count, bounds, digest = weighted_shingles(*tk.text_bytes(batch.column("text").slice(a, b - a)))
             packed = [elem[s:t].tobytes() + count[s:t].astype("<u4").tobytes() for s, t in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([_digests(digest), pa.array(packed, pa.binary())], ["node", "bag"])
+            total = np.concatenate([[0], np.cumsum(count)])
+            yield pa.RecordBatch.from_arrays([_digests(digest), pa.array(packed, pa.binary()), pa.array(total[bounds[1:]] - total[bounds[:-1]])], ["node", "bag", "total"])
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +166,41 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, dtype=U64, count=n), np.frombuffer(raw, dtype="<u4", offset=8 * n)
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (shingle, node, weight) of some bags."""
+    for batch in batches:
+        for node, raw in zip(batch.column("node"), batch.column("bag"), strict=True):
+            elem, weight = _unpack(raw.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(elem.astype(np.int64)), pa.array([node.as_py()] * len(elem), pa.binary()), pa.array(weight.astype(np.int64))], ["shingle", "node", "weight"])
+
+
+def node_statistics(bags: DataFrame) -> DataFrame:
+    """(node, total, own, unit): the weight of all its shingles, of those no other of these nodes
+    has, and whether all weights are 1."""
+    rows = bags.select("node", "bag").mapInArrow(_elements, "shingle bigint, node binary, weight bigint")
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.sum("weight").alias("weight")).filter("n = 1")
+    own = single.groupBy("node").agg(F.sum("weight").alias("own"))
+    size = (F.octet_length("bag") / 12).cast("bigint")
+    total = bags.select("node", size.alias("size"), F.col("total"))
+    return total.join(own, "node", "left").select("node", "total", F.coalesce("own", F.lit(0)).alias("own"), (F.col("size") == F.col("total")).alias("unit"))
+
+
+def may_link(x: str, y: str, threshold: float) -> Column:
+    """Whether the statistics of two nodes allow a similarity of ``threshold``.
+
+    What one alone has cannot be shared.  With weights of 1 the shared part is at most the
+    smaller rest, and the union at least all else.  With other weights, the probability Jaccard
+    similarity is at most 1 / (1 + g(x) + g(y)), g being own / (total - own): with a the share
+    of x's weight and b of y's that is common, it is a sum of 1 / (X / x_d + own_y / y_d) at most,
+    which is concave and homogeneous, so at most that of the sums.
+    """
+    rest = {k: F.col(f"{k}_total") - F.col(f"{k}_own") for k in (x, y)}
+    least = F.least(rest[x], rest[y])
+    plain = least * (1 + threshold) + 1e-9 >= threshold * (F.col(f"{x}_total") + F.col(f"{y}_total"))
+    cost = sum(F.col(f"{k}_own") / F.greatest(rest[k], F.lit(1e-9)) for k in (x, y))
+    return F.when(F.col(f"{x}_unit") & F.col(f"{y}_unit"), plain).otherwise((1 + cost) * threshold <= 1 + 1e-9)
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,34 +255,53 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
     buckets = tk.stored(banded.join(shared.select("band", "hub"), "band"), "buckets")
 
+    # Texts are read again, and only those of nodes in a shared bucket go on.
+    wanted = buckets.select("node").distinct()
+    ids = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+    some = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    bags = some.mapInArrow(_sets, "node binary, bag binary, total bigint").join(wanted, "node", "left_semi")
+    bags = tk.stored(bags.groupBy("node").agg(F.first("bag").alias("bag"), F.first("total").alias("total")), "shingles")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among the pairs; texts are read again, only those of the pairs' nodes go on."""
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        ids = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
-        some = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-        bags = some.mapInArrow(_sets, "node binary, bag binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag"))
-        bags = tk.stored(bags, "shingles")
         u = bags.select(F.col("node").alias("u"), F.col("bag").alias("bag_u"))
         v = bags.select(F.col("node").alias("v"), F.col("bag").alias("bag_v"))
         return tk.stored(pairs.join(u, "u").join(v, "v").mapInArrow(_verify(threshold), "u binary, v binary, similarity double"), "links")
 
-    tested = tk.stored(buckets.filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
+    def ordered(a: str, b: str) -> list[Column]:
+        return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+    # First round: everyone in a bucket against one of its nodes.
+    tested = tk.stored(buckets.filter("node != hub").select(*ordered("node", "hub")).distinct(), "pairs")
     links = verified(tested)
     roots = components(links)
     of_node = F.coalesce(F.col("root"), F.col("node"))
-    placed = tk.stored(buckets.join(roots, "node", "left").select("band", "node", of_node.alias("class")), "placed")
-    per_class = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-    largest = per_class.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("band", F.col("top.class").alias("main"))
-    mixed = placed.join(largest, "band")
-    left = mixed.filter("class != main").select("band", F.col("node").alias("a"), F.col("class").alias("class_a"))
-    right = mixed.select("band", F.col("node").alias("b"), F.col("class").alias("class_b"))
-    more = left.join(right, "band").filter("class_a != class_b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
-    seen = tested.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u"))
-    more = tk.stored(more.join(seen, ["u", "v"], "left_anti").select("u", "v"), "pairs")
-    if more.limit(1).count():
-        found = verified(more)
-        if found.limit(1).count():
-            roots = components(links.unionByName(found))
+
+    # Next rounds: only where a bucket of three or more nodes still holds several classes.
+    def mixed_buckets() -> DataFrame:
+        placed = buckets.join(roots, "node", "left").select("band", "node", of_node.alias("class"))
+        per_class = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
+        several = per_class.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n")).filter("classes > 1 and n > 2")
+        return placed.join(several.select("band", F.col("top.class").alias("main")), "band")
+
+    mixed = tk.stored(mixed_buckets(), "mixed")
+    if mixed.limit(1).count():
+        stats = tk.stored(node_statistics(bags.join(mixed.select("node").distinct(), "node", "left_semi")), "statistics")
+        for last in (False, True):
+            full = mixed.join(stats, "node")
+            if last:  # everyone outside the bucket's main class against all of other classes
+                left = full.filter("class != main")
+            else:  # everyone against the node that has least of its own
+                heads = full.groupBy("band").agg(F.min(F.struct(F.col("own") / F.greatest("total", F.lit(1)), F.col("node"))).alias("head"))
+                left = full.join(heads.select("band", F.col("head.node").alias("node")), ["band", "node"])
+            a, b = (d.select("band", F.col("node").alias(k), F.col("class").alias(f"{k}_class"), *[F.col(c).alias(f"{k}_{c}") for c in ("total", "own", "unit")]) for d, k in ((left, "a"), (full, "b")))
+            on = (a["band"] == b["band"]) & (F.col("a_class") != F.col("b_class")) & may_link("a", "b", threshold)
+            pairs = tk.stored(a.join(b, on).select(*ordered("a", "b")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+            if pairs.limit(1).count():
+                links = links.unionByName(verified(pairs))
+                roots = components(links)
+                tested = tested.unionByName(pairs)
+            if not last:
+                mixed = tk.stored(mixed_buckets(), "mixed")
     per_node = signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     node_class = tk.stored(per_node.join(roots, "node", "left").select("node", "id", "n", of_node.alias("class")), "node-class")
     head = F.min(F.struct(F.col("id").isNull(), "id", "node"))
