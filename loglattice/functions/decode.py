@@ -36,6 +36,10 @@ def readable(text: str) -> float:
     return min(1.0, 0.5 * share * share + 0.35 * letters + (0.15 if any(w in low for w in _COMMON) else 0.0)) if share > 0.85 else 0.0
 
 
+def _telling(text: str) -> bool:
+    return any(w in text.lower() for w in _COMMON)
+
+
 def _text(raw: bytes) -> str:
     if len(raw) > 3 and raw[1::2].count(0) > len(raw) * 0.4:
         return raw.decode("utf-16-le", "replace")
@@ -90,12 +94,12 @@ def scan(text: str | None) -> list[dict]:
         if raw and not re.fullmatch(r"[0-9a-fA-F]+", s):
             url = "-" in s or "_" in s
             add("base64url" if url else "base64", s, _text(raw), readable(_text(raw)))
-            if readable(_text(raw)) < MIN_CONFIDENCE and len(raw) >= 8 and (x := _xor(raw[:512])):
+            if not _telling(_text(raw)) and len(raw) >= 8 and (x := _xor(raw[:512])):
                 add("xor", raw.hex(), x[1], x[2] * 0.9, f"key 0x{x[0]:02x} over base64")
     for m in re.finditer(r"(?<![0-9a-fA-F])(?:0x)?((?:[0-9a-fA-F]{2}){6,})(?![0-9a-fA-F])", text):
         raw = bytes.fromhex(m[1][:MAX_TOKEN])
         add("hex", m[0][:MAX_TOKEN], _text(raw), readable(_text(raw)))
-        if readable(_text(raw)) < MIN_CONFIDENCE and len(raw) >= 8 and (x := _xor(raw[:512])):
+        if not _telling(_text(raw)) and len(raw) >= 8 and (x := _xor(raw[:512])):
             add("xor", raw.hex(), x[1], x[2] * 0.9, f"key 0x{x[0]:02x} over hex")
     for m in re.finditer(r"\S*(?:%[0-9a-fA-F]{2}\S*){2,}", text):
         add("url", m[0][:MAX_TOKEN], unquote(m[0][:MAX_TOKEN]), 0.5 + readable(unquote(m[0])) / 2)

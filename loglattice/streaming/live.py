@@ -15,14 +15,15 @@ def read_json(spark: SparkSession, folder: str, files_per_batch: int = 100) -> D
     return derive(spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(folder))
 
 
-def episodes(stream: DataFrame, gap: str = "120 seconds", late: str = "10 minutes", min_sources: int = 2) -> DataFrame:
-    """Sessions of activity seen by several families; a session ends after ``gap`` without events.
+def episodes(stream: DataFrame, key: str = "host_canon", gap: str = "120 seconds", late: str = "10 minutes", min_sources: int = 2) -> DataFrame:
+    """Sessions of activity around one ``key`` (a host by default) that several families saw.
 
-    The number of families is approximate only beyond some thousand of them.
+    A session ends after ``gap`` without events.  Streams sessionise by a key, so state is spread
+    over tasks; the number of families is a sketch's estimate, exact for the few there are.
     """
-    timed = stream.filter("ts_parsed is not null").withWatermark("ts_parsed", late)
-    agg = timed.groupBy(F.session_window("ts_parsed", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct(family_key(), 0.01).alias("families"), F.max("kc_order").alias("depth"))
-    return agg.filter(F.col("families") >= min_sources).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "families", "depth")
+    timed = stream.filter(F.col("ts_parsed").isNotNull() & F.col(key).isNotNull()).withWatermark("ts_parsed", late)
+    agg = timed.groupBy(F.session_window("ts_parsed", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct(family_key(), 0.01).alias("families"), F.max("kc_order").alias("depth"))
+    return agg.filter(F.col("families") >= min_sources).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "events", "families", "depth")
 
 
 def host_activity(stream: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
