@@ -25,7 +25,7 @@ WINDOW_WORDS = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_DOCS = 50
 #: Ratio: whether it is bounded below too, and the least distance of a fence from its quartile.
-RATIOS = {"word_length": (True, 100), "symbols": (False, 20), "dup_lines": (False, 100), "repeat_words": (False, 100)}
+RATIOS = {"word_length": (True, 100), "symbols": (False, 20), "dup_lines": (False, 300), "repeat_words": (False, 250)}
 NONE = "(none)"
 
 
@@ -188,8 +188,8 @@ p AS (
            JOIN q a ON a.ratio = o.ratio AND a.no_lang = 1
   WHERE o.no_source = 0),
 fence AS (
-  SELECT lang, source, ratio, q1 - greatest(3 * (q3 - q1), CASE WHEN ratio = 'symbols' THEN 20 ELSE 100 END) AS low,
-         q3 + greatest(3 * (q3 - q1), CASE WHEN ratio = 'symbols' THEN 20 ELSE 100 END) AS high FROM p)
+  SELECT lang, source, ratio, q1 - greatest(3 * (q3 - q1), CASE ratio WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 300 WHEN 'repeat_words' THEN 250 ELSE 100 END) AS low,
+         q3 + greatest(3 * (q3 - q1), CASE ratio WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 300 WHEN 'repeat_words' THEN 250 ELSE 100 END) AS high FROM p)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(word_length BETWEEN wl.low AND wl.high, false) AND coalesce(symbols <= sy.high, false)
        AND coalesce(dup_lines <= dl.high, false) AND coalesce(repeat_words <= rw.high, false) AS kept
