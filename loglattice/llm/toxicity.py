@@ -14,12 +14,14 @@ Details that make short windows tell:
   it costs, even for a short word.
 * A window is followed by a frame that is in both dictionaries: the compressor finds no match
   in its last bytes, and would store a tiny input as it is.
-* Toxic training text is those windows of toxic texts that hold an n-gram found in a far
-  larger share of toxic than of ordinary texts.
+* The ordinary dictionary is made by the library's trainer.  The toxic one is made of those
+  windows of toxic texts that hold n-grams found in a far larger share of toxic than of
+  ordinary texts, chosen so that they cover these n-grams best for their length.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from loglattice.llm import textkit as tk
 
 #: Bounds of the training sample: labelled rows, and characters of one text.
-TRAIN_ROWS, TRAIN_CHARS = 10_000, 200_000
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
 WINDOW = 40
-TOXIC_BYTES, ORDINARY_BYTES = 1_500, 8_192
+TOXIC_BYTES, ORDINARY_BYTES = 1_200, 8_192
 GRAMS = (4, 6, 8)
-MEMO_WINDOWS = 400_000
+MEMO_WINDOWS = 300_000
 _EDGE = b".,;:!?*%$#&|<>()[]\"'"
 _FRAME = bytes(range(128, 160))
 _STEPS = 14
@@ -68,6 +70,32 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+def _cover(found: Counter, telling: dict[bytes, float], size: int) -> bytes:
+    """Windows that cover the telling n-grams best for their bytes, the best last.
+
+    The trainer above picks what is frequent; here a stem that few texts hold counts too, once.
+    """
+    grams = {w: {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)} & telling.keys() for w in found}
+    gain = {w: sum(telling[g] for g in gs) / (len(w) + 4) for w, gs in grams.items()}
+    heap = [(-v, w) for w, v in gain.items()]
+    heapq.heapify(heap)
+    covered: set[bytes] = set()
+    out: list[bytes] = []
+    used = 0
+    while heap and used < size:
+        v, w = heapq.heappop(heap)
+        now = sum(telling[g] for g in grams[w] - covered) / (len(w) + 4)
+        if now <= 0:
+            continue
+        if heap and -now > heap[0][0]:  # worth less than it seemed: back in line
+            heapq.heappush(heap, (-now, w))
+            continue
+        covered |= grams[w]
+        out.append(w)
+        used += len(w)
+    return b"".join(reversed(out))[-size:]
+
+
 @dataclass
 class ToxicityModel:
     """Dictionaries and calibration; picklable, a few kilobytes."""
@@ -147,15 +175,23 @@ def _grams(pieces: list[bytes]) -> set[bytes]:
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     """Train on labelled texts.  Without both labels the score is the share of label 1 (0 without rows)."""
     y = np.array(labels, dtype=np.float64)
-    cut = [windows(t) for t in texts]
+    shared: dict[bytes, bytes] = {}  # a word is one object in all texts that hold it
+    cut = [[shared.setdefault(w, w) for w in windows(t)] for t in texts]
     n_toxic, n_plain = int(y.sum()), int((1 - y).sum())
     if not n_toxic or not n_plain:
         return ToxicityModel(b"", b"", np.zeros(0), np.zeros(0), np.array([float(n_toxic > 0)]))
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for c, label in zip(cut, labels, strict=True):
-        seen[label].update(_grams(c))
+    # Grams of toxic texts are counted first, and of the ordinary ones only those that are frequent there.
     support = max(min(5, 1 + n_toxic // 10), n_toxic // 100)
-    telling = {g for g, n in seen[1].items() if n >= support and (n / n_toxic) > 9 * (seen[0][g] + 1) / n_plain}
+    in_toxic: Counter = Counter()
+    for c, label in zip(cut, labels, strict=True):
+        if label:
+            in_toxic.update(_grams(c))
+    in_toxic = Counter({g: n for g, n in in_toxic.items() if n >= support})
+    in_plain: Counter = Counter()
+    for c, label in zip(cut, labels, strict=True):
+        if not label:
+            in_plain.update(g for g in _grams(c) if g in in_toxic)
+    telling = {g: n * math.log((n / n_toxic) / ((in_plain[g] + 1) / n_plain)) for g, n in in_toxic.items() if (n / n_toxic) > 9 * (in_plain[g] + 1) / n_plain}
     toxic: Counter = Counter()
     plain: Counter = Counter()
     for c, label in zip(cut, labels, strict=True):
@@ -166,10 +202,12 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     common = sorted(plain.items(), key=lambda x: (-x[1], x[0]))[:20_000]
     model = ToxicityModel(
         _train([w for w, n in common for _ in range(min(n, 50))], ORDINARY_BYTES),
-        _train([w for w, n in sorted(toxic.items()) for _ in range(n)], TOXIC_BYTES),
+        _cover(toxic, telling, TOXIC_BYTES),
         np.zeros(0), np.zeros(0), np.zeros(0),
     )
-    x = model.counts(cut)
+    x = np.concatenate([model.counts(cut[k : k + 500]) for k in range(0, len(cut), 500)])
+    model._memo = {}
+    del cut, shared, plain
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     weight = np.zeros(z.shape[1])
@@ -202,7 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).filter(f"text is not null and length(text) <= {TRAIN_CHARS}")
     got = texts.join(F.broadcast(sample), "id").select("id", "text", "label").toArrow().to_pandas()  # at most `rows` small rows are broadcast
     got = got.sort_values(["id", "text"]).drop_duplicates("id")
-    return fit(got["text"].tolist(), got["label"].astype(int).tolist())
+    texts, marks = got["text"].tolist(), got["label"].astype(int).tolist()
+    del got
+    return fit(texts, marks)
 
 
 def score_column(model: ToxicityModel, text: Column) -> Column:
