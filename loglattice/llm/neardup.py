@@ -220,21 +220,34 @@ def _verify(threshold: float):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of the links (u, v): root is the least node of the component.
+    """(node, root) for all nodes of the links (u, v): root is one node of the component, the same for all.
 
-    Each round takes the least label among neighbours and then the label's own label; tables
-    are written between rounds.
+    Every round points each node at its least neighbour, follows that pointer once, and merges
+    nodes into what they point at; links within a merged node vanish, so the links shrink from
+    round to round.  Tables are written between rounds.
     """
-    both = tk.stored(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = tk.stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root")), "labels")
+
+    def between(a: str, b: str) -> list[Column]:
+        return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+    edges = tk.stored(links.filter("u != v").select(*between("u", "v")).distinct(), "edges")
+    labels = None
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        better = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = tk.stored(better.join(up, "root").select("node", "old", F.least("root", "up").alias("root")), "labels")
-        moved = jumped.filter("root != old").limit(1).count()
-        labels = jumped.select("node", "root")
-        if not moved:
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parent = tk.stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("up")), "parents")
+        over = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        moved = tk.stored(parent.join(over, "up").select("node", F.col("top").alias("to")), "moved")
+        if labels is None:
+            labels = moved.select("node", F.col("to").alias("root"))
+        else:
+            step = moved.select(F.col("node").alias("root"), "to")
+            labels = tk.stored(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        at = {k: moved.select(F.col("node").alias(k), F.col("to").alias(f"{k}_to")) for k in ("u", "v")}
+        merged = edges.join(at["u"], "u").join(at["v"], "v").filter("u_to != v_to").select(*between("u_to", "v_to"))
+        # A node pointed at may itself point on: that link stays.
+        onward = moved.join(moved.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").filter("next != to").select(*between("to", "next"))
+        edges = tk.stored(merged.unionByName(onward).distinct(), "edges")
+        if not edges.limit(1).count():
             return labels
     raise RuntimeError("components did not settle")
 
@@ -272,8 +285,7 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
 
     # First round: everyone in a bucket against one of its nodes.
     tested = tk.stored(buckets.filter("node != hub").select(*ordered("node", "hub")).distinct(), "pairs")
-    links = verified(tested)
-    roots = components(links)
+    roots = components(verified(tested).select("u", "v"))
     of_node = F.coalesce(F.col("root"), F.col("node"))
 
     # Next rounds: only where a bucket of three or more nodes still holds several classes.
@@ -297,8 +309,8 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
             on = (a["band"] == b["band"]) & (F.col("a_class") != F.col("b_class")) & may_link("a", "b", threshold)
             pairs = tk.stored(a.join(b, on).select(*ordered("a", "b")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
             if pairs.limit(1).count():
-                links = links.unionByName(verified(pairs))
-                roots = components(links)
+                known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+                roots = components(known.unionByName(verified(pairs).select("u", "v")))
                 tested = tested.unionByName(pairs)
             if not last:
                 mixed = tk.stored(mixed_buckets(), "mixed")
