@@ -11,9 +11,9 @@
 5. Linked nodes are joined to classes; a class is named by the least id of its rows.
 
 A band bucket may hold any number of nodes, so pairs are not listed within it.  First every
-node of a bucket is verified against one node of it.  Where that leaves several classes, every
-node is verified against the one with the least share of shingles that no other node has, and
-then the nodes outside the bucket's largest class against those of other classes.  In these
+node of a bucket is verified against one node of it.  Where that leaves several classes, the
+nodes outside the bucket's largest class are verified against that class's node with the least
+share of shingles that no other node has, and then against the bucket's nodes of other classes.  In these
 two rounds pairs are left out if the shingles each has alone rule the similarity out.  At the
 end each two nodes of a bucket are in one class, or have been compared, or cannot be similar: no
 link that banding offers is lost.
@@ -300,13 +300,16 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
         stats = tk.stored(node_statistics(bags.join(mixed.select("node").distinct(), "node", "left_semi")), "statistics")
         for last in (False, True):
             full = mixed.join(stats, "node")
+            facts = lambda d, k, *more: d.select(*more, F.col("node").alias(k), F.col("class").alias(f"{k}_class"), *[F.col(c).alias(f"{k}_{c}") for c in ("total", "own", "unit")])
+            minor = full.filter("class != main")
             if last:  # everyone outside the bucket's main class against all of other classes
-                left = full.filter("class != main")
-            else:  # everyone against the node that has least of its own
-                heads = full.groupBy("band").agg(F.min(F.struct(F.col("own") / F.greatest("total", F.lit(1)), F.col("node"))).alias("head"))
-                left = full.join(heads.select("band", F.col("head.node").alias("node")), ["band", "node"])
-            a, b = (d.select("band", F.col("node").alias(k), F.col("class").alias(f"{k}_class"), *[F.col(c).alias(f"{k}_{c}") for c in ("total", "own", "unit")]) for d, k in ((left, "a"), (full, "b")))
-            on = (a["band"] == b["band"]) & (F.col("a_class") != F.col("b_class")) & may_link("a", "b", threshold)
+                a, b = facts(minor, "a", "band"), facts(full, "b", F.col("band").alias("b_band"))
+                on = (a["band"] == F.col("b_band")) & (F.col("a_class") != F.col("b_class")) & may_link("a", "b", threshold)
+            else:  # everyone outside it against the main class's node that has least of its own
+                share = F.struct(F.col("own") / F.greatest("total", F.lit(1)), "node", "total", "own", "unit")
+                heads = full.groupBy("class").agg(F.min(share).alias("head")).select("class", "head.*")
+                a, b = facts(minor.dropDuplicates(["node", "main"]), "a", "main"), facts(heads, "b")
+                on = (a["main"] == F.col("b_class")) & may_link("a", "b", threshold)
             pairs = tk.stored(a.join(b, on).select(*ordered("a", "b")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
             if pairs.limit(1).count():
                 known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))

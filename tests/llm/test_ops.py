@@ -342,3 +342,32 @@ def test_components(spark):
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(links, "u string, v string")).collect()}
     assert set(got) == set(root)
     assert all((got[a] == got[b]) == (find(a) == find(b)) for a in root for b in root)
+
+
+def test_a_large_group_about_the_threshold(spark):
+    """Near copies of one text whose similarities lie on both sides of 0.8: no link is lost."""
+    rng = np.random.default_rng(1)
+    vocab = [f"w{k}" for k in range(3000)]
+    base = rng.choice(vocab, 150).tolist()
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for i in rng.integers(0, 150, rng.integers(0, 6)):
+            w[i] = "e" + str(rng.integers(0, 10**7))
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bags = [set(shingles(t)) for _, t in rows]
+    root = list(range(150))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(150):
+        for j in range(i):
+            both = len(bags[i] & bags[j])
+            if both / (len(bags[i]) + len(bags[j]) - both) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(150)}
