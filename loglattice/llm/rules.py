@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 Base statistics of a text are exact and computed row by row.  Four ratios of them are judged
-against thresholds that each language and source sets for itself: Tukey's outer fences, the
-quartiles plus or minus three times their distance, read off a sketch of that group.
+against Tukey's outer fences of their language and source, the quartiles plus or minus three
+times their distance, read off a sketch of that group, but no nearer than a least reach
+(``RATIOS``).  Where the quartiles are close, as in the test tables, that fixed reach decides.
 
 The sketch of a ratio (a whole number) is a histogram on a log-linear grid: values below 128
 are kept, larger ones lose all but their leading seven bits, so a quantile is off by less than
