@@ -26,6 +26,37 @@ def test_decoders():
     assert decode.scan("plain words only") == [] and decode.scan(None) == []
 
 
+def test_decoders_take_whole_tokens_and_short_ones():
+    def found(text):
+        return {(r["encoder"], r["original"]): r for r in decode.scan(text)}
+
+    long = "GET /index.html user=x " * 1000
+    b64 = base64.b64encode(long.encode()).decode()
+    assert found(b64)["base64", b64]["decoded"] == long
+    assert found(long.encode().hex())["hex", long.encode().hex()]["decoded"] == long
+    url = "a=" + "%3Cb%3E" * 2000
+    assert found(url)["url", url]["decoded"] == "a=" + "<b>" * 2000
+    for text in (long, "powershell -nop\n" * 100):  # the second is found by readability
+        raw = bytes(b ^ 0x5A for b in text.encode())
+        assert found(raw.hex())["xor", raw.hex()]["decoded"] == text
+    n, b58 = int.from_bytes(long[:600].encode(), "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        b58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"[d] + b58
+    assert len(b58) > 512 and found(b58)["base58", b58]["decoded"] == long[:600]
+    assert found("d2hvYW1p")["base64", "d2hvYW1p"]["decoded"] == "whoami"
+    assert found("x=Y21kIC9jIGE=")["base64", "Y21kIC9jIGE="]["decoded"] == "cmd /c a"
+    raw = bytes(range(128, 200))
+    binary = found(base64.b64encode(raw).decode())["base64", base64.b64encode(raw).decode()]
+    assert (binary["decoded"], binary["confidence"], binary["notes"]) == (raw.hex(), 0.5, "binary data")
+    text = r"a \u0041 and \x42"
+    assert found(text)["unicode", text]["decoded"] == "a A and B"
+    assert found(r"\ud83d\ude00\ud83d")["unicode", r"\ud83d\ude00\ud83d"]["decoded"] == "\U0001f600\ufffd"
+    assert found("Fubhyqre")["rot", "Fubhyqre"]["decoded"] == "Shoulder"  # no telling word
+    run = "filler text " * 30 + "gur cnffjbeq"
+    assert any(r["decoded"].endswith("the password") for r in decode.scan(run))
+
+
 @pytest.mark.parametrize("vector, score", [("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.1/AV:N/AC:L/PR:L/UI:R/S:C/C:L/I:L/A:N", 5.4), ("CVSS:3.1/AV:L/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N", 0.0), ("CVSS:3.1/AV:N", None), ("junk", None)])
 def test_cvss(spark, vector, score):
     row = spark.createDataFrame([(vector,)], "v string").select(scoring.cvss31(F.col("v")).alias("s")).first()["s"]
