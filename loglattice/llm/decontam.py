@@ -1,7 +1,7 @@
 """Benchmark decontamination with SimHash windows.
 
-Every benchmark item is compared with all windows of its own number of words in all texts.  A
-window's fingerprint is the 64-bit SimHash of its five-word shingles weighted by how often
+Every benchmark item is compared with all windows of its own number of words in all texts; a
+shorter text is compared as a whole, where its size allows the similarity.  A window's fingerprint is the 64-bit SimHash of its five-word shingles weighted by how often
 they occur.  Fingerprints are found by multi-index hashing: the 64 bits are cut into four
 blocks, and a pair within ``RADIUS`` bits differs by at most ``RADIUS // 4`` in some block, so
 looking each block up among the item's block values and all values that near finds every pair
@@ -121,23 +121,25 @@ class ItemIndex:
         best: dict[int, tuple[float, int, int, int]] = {}
         for size, items in self.sizes.items():
             width = size - _K + 1
-            if len(sh) < width:
+            # A text shorter than the item is one window, where the item could still be that similar.
+            span = min(width, len(sh))
+            if span < width * threshold:
                 continue
-            starts = np.flatnonzero(held[width:] > held[:-width])
+            starts = np.flatnonzero(held[span:] > held[:-span])
             # Fingerprints are taken stretch by stretch, so that a very long text needs no more memory.
             for part in np.array_split(starts, max(1, (len(starts) + 65_535) // 65_536)):
                 if not len(part):
                     continue
                 base = int(part[0])
-                prints = simhash(sh[base : int(part[-1]) + width], part - base, width)
+                prints = simhash(sh[base : int(part[-1]) + span], part - base, span)
                 for w, i, d in zip(*self.candidates(size, prints), strict=True):
                     start, k = int(part[w]), items[int(i)]
-                    here, bag = Counter(sh[start : start + width].tolist()), self.bags[k]
+                    here, bag = Counter(sh[start : start + span].tolist()), self.bags[k]
                     both = sum((here & bag).values())
-                    s = both / (2 * width - both)
+                    s = both / (width + span - both)
                     if s >= threshold and (k not in best or (-s, start) < (-best[k][0], best[k][1])):
-                        best[k] = (s, start, size, int(d))
-        return [(self.names[k], start, size, d, s) for k, (s, start, size, d) in sorted(best.items())]
+                        best[k] = (s, start, span + _K - 1, int(d))
+        return [(self.names[k], start, n_words, d, s) for k, (s, start, n_words, d) in sorted(best.items())]
 
 
 HITS = "array<struct<item:string,first_word:int,n_words:int,distance:int,similarity:double>>"

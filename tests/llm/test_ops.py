@@ -261,6 +261,16 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_a_text_that_is_an_item_with_words_missing_is_a_leak(spark):
+    w = [f"w{k}" for k in range(60)]
+    bench = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    texts = [(1, " ".join(w[:-1])), (2, " ".join(w[3:])), (3, " ".join(w[:50])), (4, " ".join(w[:48])), (5, " ".join(w[:40])), (6, " ".join(w))]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.first_word, r.n_words, r.similarity) for r in decontam.leaks(d, bench).collect()}
+    assert got == {1: (0, 59, pytest.approx(55 / 56)), 2: (0, 57, pytest.approx(53 / 56)), 3: (0, 50, pytest.approx(46 / 56)), 6: (0, 60, 1.0)}
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, bench).collect()) == [4, 5]
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
     index = decontam.ItemIndex([str(k) for k in range(8)], [" ".join(f"x{k}y{j}" for j in range(9)) for k in range(8)])
