@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version on small rows, and on odd input."""
 
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -221,6 +222,21 @@ def test_raking_meets_its_marginals(spark):
     assert by["en"] / by["de"] == pytest.approx(3, rel=0.02)
 
 
+def test_raking_ends_at_its_targets_or_warns(spark):
+    ddl = "source string, lang string, topic string, tokens long, n_docs long"
+    # Forty small categories run out one after the other.
+    cells = spark.createDataFrame([(f"s{k:02}", "en", "x", 2**k, 1) for k in range(40)], ddl)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = mixing.rake(cells, mixing.DIMS, keep=0.9, temper=0.0).toPandas()
+    assert (got.tokens * got.probability).sum() == pytest.approx(0.9 * (2**40 - 1), rel=1e-3)
+    # Targets that the cells cannot meet together.
+    cells = spark.createDataFrame([("a", "en", "x", 1000, 1), ("b", "de", "x", 1000, 1)], ddl)
+    share = lambda a, b: spark.createDataFrame([(a, 3.0), (b, 1.0)], "value string, share double")
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.rake(cells, mixing.DIMS, keep=0.2, targets={"source": share("a", "b"), "lang": share("de", "en")}).collect()
+
+
 def test_sampling_on_odd_rows(spark):
     d = docs(spark, ODD)
     got = mixing.inclusion(d).toPandas()
