@@ -273,14 +273,15 @@ def registry_export(spark: SparkSession, path: str, source: str = "registry") ->
 def registry_tree(spark: SparkSession, path: str, hive: str, source: str = "registry", depth: int = 12) -> DataFrame:
     """Parsed hives as JSON trees of keys; autostart keys with a time are kept.
 
-    Levels are taken off one by one, up to ``depth``.
+    Levels are taken off one by one; after every ``depth`` of them it is looked whether keys remain.
     """
     level = json_objects(spark, path).select("m")
     out = None
-    for _ in range(depth):
-        now = level.select(F.col("m")["KeyPath"].alias("key"), F.col("m")["LastWriteTimestamp"].alias("t"), F.col("m")["Values"].alias("values"))
-        out = now if out is None else out.unionByName(now)
-        level = level.select(F.explode(F.from_json(F.col("m")["SubKeys"], f"array<{MAP}>")).alias("m"))
+    while out is None or not level.isEmpty():
+        for _ in range(depth):
+            now = level.select(F.col("m")["KeyPath"].alias("key"), F.col("m")["LastWriteTimestamp"].alias("t"), F.col("m")["Values"].alias("values"))
+            out = now if out is None else out.unionByName(now)
+            level = level.select(F.explode(F.from_json(F.col("m")["SubKeys"], f"array<{MAP}>")).alias("m"))
     rows = out.withColumn("cat", vocab.classify_key(F.col("key"))).filter("cat is not null and t is not null")
     rows = rows.withColumn("v", F.explode_outer(F.from_json("values", f"array<{MAP}>")))
     return conform(rows.select(iso_time(F.col("t")).alias("ts"), F.lit(source).alias("source"), F.lit("registry").alias("category"), F.lit("registry-key").alias("action"), F.lit(hive).alias("registry_hive"), F.col("key").alias("registry_key"), F.col("v")["ValueName"].alias("registry_value"), F.col("v")["ValueData"].alias("registry_data"), F.col("cat").alias("rule_description"), vocab.program_from_value(F.col("v")["ValueData"]).alias("file_name")))

@@ -83,6 +83,14 @@ def test_registry_tree_and_mft(spark, tmp_path):
     assert r.suspicious_files(got).count() == 1
 
 
+def test_registry_tree_of_many_levels(spark, tmp_path):
+    tree = {"KeyPath": "ROOT\\Microsoft\\Windows\\CurrentVersion\\Run", "LastWriteTimestamp": "2026-01-01 00:00:00", "Values": [{"ValueName": "deep", "ValueData": "C:\\x.exe"}]}
+    for k in range(14):
+        tree = {"KeyPath": f"ROOT\\k{k}", "SubKeys": [tree]}
+    got = rows(r.registry_tree(spark, write(tmp_path, "t.json", json.dumps(tree)), "SOFTWARE"))
+    assert [x["registry_value"] for x in got] == ["deep"]
+
+
 def test_thor(spark, tmp_path):
     line = "Jan  5 10:00:00 ws1/10.0.0.1 THOR: Alert: MODULE: Filescan FILE: C:\\Temp\\e v.exe SCORE: 90 MD5: " + "a" * 32 + " REASON_1: bad TARGET: C:\\y.dll\nJan  5 10:00:01 ws1 THOR: Info: MESSAGE: none\n"
     got = rows(r.thor(spark, write(tmp_path, "ws1_2026-01-05.txt", line)))
