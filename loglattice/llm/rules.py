@@ -1,14 +1,18 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 Base statistics of a text are exact and computed row by row.  Four ratios of them are judged
-against Tukey's outer fences of their language and source, the quartiles plus or minus three
-times their distance, read off a sketch of that group, but no nearer than a least reach
-(``RATIOS``).  Where the quartiles are close, as in the test tables, that fixed reach decides.
+against limits read off a sketch of the text's language and source:
+
+* ``word_length``: Tukey's outer fences, the quartiles minus and plus three times their distance;
+* ``symbols``, ``dup_lines`` and ``repeat_words``: the quantile at ``TAIL``, so that each of these
+  takes at most that tail of a group.  What a text has once is never held against it
+  (``ONCE``: a symbol, a repeated line, a phrase of up to twelve words that comes twice).
 
 The sketch of a ratio (a whole number) is a histogram on a log-linear grid: values below 128
 are kept, larger ones lose all but their leading seven bits, so a quantile is off by less than
-1/64 of its value.  Sketches merge by adding counts.  A group of fewer than ``MIN_DOCS``
-documents uses the merged sketch of its language, and that of a small language the one of all.
+1/64 of its value.  Sketches merge by adding counts.  Every group's sketch is merged with its
+language's, scaled to the weight of ``PRIOR`` documents: a large group follows its own
+documents, a small one leans on its language, without a switch between the two.
 
 Everything is DataFrame expressions; documents that fail the base rules are not sketched.
 """
@@ -24,50 +28,53 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-MIN_DOCS = 50
-#: Ratio: whether it is bounded below too, and the least distance of a fence from its quartile.
-RATIOS = {"word_length": (True, 100), "symbols": (False, 20), "dup_lines": (False, 300), "repeat_words": (False, 250)}
+#: Weight of the language's sketch in a group's, in documents.
+PRIOR = 50
+#: A one-sided limit is the quantile TAIL[0] / TAIL[1].
+TAIL = (95, 100)
+RATIOS = ("word_length", "symbols", "dup_lines", "repeat_words")
+#: The statistic behind a one-sided ratio, and how much of it counts as having it once.
+ONCE = {"symbols": ("n_symbols", 1), "dup_lines": ("n_dup_lines", 1), "repeat_words": ("n_repeat_words", 24)}
 NONE = "(none)"
 
 
-def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with __b, a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+def base_statistics(docs: DataFrame, text_col: str, p: str) -> DataFrame:
+    """``docs`` with {p}b, a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
     Null texts have no words.  A word is a run of characters other than space, tab, line feed,
-    vertical tab, form feed and carriage return.
+    vertical tab, form feed and carriage return.  ``p`` begins no name of a column of ``docs``.
     """
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    w = F.split(text, SPACES)
-    out = docs.withColumn("__t", text).withColumn("__w", F.filter(w, lambda x: x != ""))
-    out = out.withColumn("__h", F.transform("__w", lambda x: F.xxhash64(x)))
-    k = WINDOW_WORDS
-    seven = ", ".join(f"element_at(__h, i + {j})" for j in range(k))
-    out = out.withColumn("__win", F.expr(f"case when size(__h) >= {k} then transform(sequence(1, size(__h) - {k - 1}), i -> xxhash64({seven})) else cast(array() as array<bigint>) end"))
+    out = docs.withColumn(f"{p}t", text).withColumn(f"{p}w", F.filter(F.split(text, SPACES), lambda x: x != ""))
+    out = out.withColumn(f"{p}h", F.transform(f"{p}w", lambda x: F.xxhash64(x)))
+    k, h, win, at = WINDOW_WORDS, f"{p}h", f"{p}win", f"{p}at"
+    run = ", ".join(f"element_at({h}, i + {j})" for j in range(k))
+    out = out.withColumn(win, F.expr(f"case when size({h}) >= {k} then transform(sequence(1, size({h}) - {k - 1}), i -> xxhash64({run})) else cast(array() as array<bigint>) end"))
     # Texts in which a window repeats are few: only there are the windows sorted to find which.
-    at = """case when size(array_distinct(__win)) = size(__win) then cast(array() as array<int>) else
-        array_sort(flatten(transform(array(array_sort(transform(__win, (h, i) -> struct(h, i)))), s ->
-            transform(filter(transform(s, (x, i) -> struct(x.i as i, (i > 0 and element_at(s, i) .h = x.h) or (i + 1 < size(s) and element_at(s, least(i + 2, size(s))).h = x.h) as twice)), y -> y.twice), y -> y.i)))) end"""
-    at = at.replace("(i > 0 and element_at(s, i) .h = x.h)", "(i > 0 and element_at(s, greatest(i, 1)).h = x.h)")
-    out = out.withColumn("__at", F.expr(at))
-    covered = F.expr(f"case when size(__at) = 0 then 0L else aggregate(sequence(1, size(__at)), 0L, (acc, i) -> acc + case when i = size(__at) then {k} else least({k}, element_at(__at, least(i + 1, size(__at))) - element_at(__at, i)) end) end")
-    lines = F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("__lines", lines)
+    twice = "(i > 0 and element_at(s, greatest(i, 1)).h = x.h) or (i + 1 < size(s) and element_at(s, least(i + 2, size(s))).h = x.h)"
+    marked = f"transform(filter(transform(s, (x, i) -> struct(x.i as i, {twice} as twice)), y -> y.twice), y -> y.i)"
+    places = f"array_sort(flatten(transform(array(array_sort(transform({win}, (h, i) -> struct(h, i)))), s -> {marked})))"
+    out = out.withColumn(at, F.expr(f"case when size(array_distinct({win})) = size({win}) then cast(array() as array<int>) else {places} end"))
+    step = f"case when i = size({at}) then {k} else least({k}, element_at({at}, least(i + 1, size({at}))) - element_at({at}, i)) end"
+    covered = F.expr(f"case when size({at}) = 0 then 0L else aggregate(sequence(1, size({at})), 0L, (acc, i) -> acc + {step}) end")
+    lines = f"{p}lines"
+    out = out.withColumn(lines, F.filter(F.split(f"{p}t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     stats = F.struct(
-        F.size("__w").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("__t", SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
+        F.size(f"{p}w").cast("bigint").alias("n_words"),
+        F.length(F.regexp_replace(f"{p}t", SPACES, "")).cast("bigint").alias("word_chars"),
+        (F.length(f"{p}t") - F.length(F.translate(f"{p}t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         covered.cast("bigint").alias("n_repeat_words"),
-        F.size("__lines").cast("bigint").alias("n_lines"),
+        F.size(lines).cast("bigint").alias("n_lines"),
     )
-    return out.withColumn("__b", stats).drop("__t", "__w", "__h", "__win", "__at", "__lines")
+    return out.withColumn(f"{p}b", stats)
 
 
-def base_failed(b: str = "__b") -> Column:
+def base_failed(b: str) -> Column:
     return (F.col(f"{b}.n_words") < MIN_WORDS) | (100 * F.col(f"{b}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{b}.n_words"))
 
 
-def ratios(b: str = "__b") -> dict[str, Column]:
+def ratios(b: str) -> dict[str, Column]:
     """Whole numbers: characters of 100 words, symbols per 1000 characters, repeated lines and words per 1000."""
 
     def per(a: str, n: str, scale: int) -> Column:
@@ -85,57 +92,68 @@ def grid(v: str) -> Column:
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, ratio, value, n) from rows of lang, source and the ratios; two such tables
     merge by union and another sum."""
-    names = list(RATIOS)
-    tall = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v")) for r in names])).alias("x"))
+    tall = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v")) for r in RATIOS])).alias("x"))
     return tall.select("lang", "source", "x.ratio", grid("x.v").alias("value")).groupBy("lang", "source", "ratio", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ratio, docs, q1, q3) of the sketch merged to ``keys``."""
-    merged = sketch.groupBy(*keys, "ratio", "value").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "ratio")  # at most some hundred grid values a group
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("docs", F.sum("n").over(group))
-    return ranked.groupBy(*keys, "ratio").agg(
-        F.max("docs").alias("docs"),
-        F.min(F.when(4 * F.col("upto") >= F.col("docs"), F.col("value"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("docs"), F.col("value"))).alias("q3"),
-    )
+def blended(sketch: DataFrame) -> DataFrame:
+    """(lang, source, ratio, value, weight): each group's sketch merged with its language's.
+
+    Weights are whole numbers, the language's documents times those of the group or the share
+    of ``PRIOR``, so that sums are exact in any order.
+    """
+    weight = "decimal(38,0)"
+    of_lang = sketch.groupBy("lang", "ratio", "value").agg(F.sum("n").alias("n"))
+    docs = sketch.groupBy("lang", "ratio").agg(F.sum("n").alias("docs"))
+    own = sketch.join(docs, ["lang", "ratio"]).select("lang", "source", "ratio", "value", (F.col("n").cast("decimal(19,0)") * F.col("docs").cast("decimal(18,0)")).cast(weight).alias("weight"))
+    prior = sketch.select("lang", "source", "ratio").distinct().join(of_lang, ["lang", "ratio"]).select("lang", "source", "ratio", "value", (PRIOR * F.col("n")).cast(weight).alias("weight"))
+    return own.unionByName(prior).groupBy("lang", "source", "ratio", "value").agg(F.sum("weight").cast(weight).alias("weight"))
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """(lang, source, limits): limits maps a ratio to its low and high bound."""
+    group = Window.partitionBy("lang", "source", "ratio")  # at most some hundred grid values a group
+    ranked = blended(sketch).withColumn("upto", F.sum("weight").over(group.orderBy("value"))).withColumn("all", F.sum("weight").over(group))
 
+    def quantile(num: int, den: int) -> Column:
+        return F.min(F.when(den * F.col("upto") >= num * F.col("all"), F.col("value")))
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, fences): fences maps a ratio to its low and high bound."""
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(sketch, ["lang"]).select("lang", "ratio", F.struct("docs", "q1", "q3").alias("of_lang"))
-    every = quartiles(sketch.withColumn("every", F.lit(1)), ["every"]).select("ratio", F.struct("docs", "q1", "q3").alias("of_all"))
-    all_levels = own.join(lang, ["lang", "ratio"]).join(every, "ratio")
-    pick = F.when(F.col("docs") >= MIN_DOCS, F.struct("docs", "q1", "q3")).when(F.col("of_lang.docs") >= MIN_DOCS, F.col("of_lang")).otherwise(F.col("of_all"))
-    picked = all_levels.withColumn("q", pick)
-    least = F.element_at(F.create_map(*[F.lit(x) for r, (_, d) in RATIOS.items() for x in (r, d)]), F.col("ratio"))
-    reach = F.greatest(3 * (F.col("q.q3") - F.col("q.q1")), least)
-    return picked.select("lang", "source", "ratio", (F.col("q.q1") - reach).alias("low"), (F.col("q.q3") + reach).alias("high")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("ratio", F.struct("low", "high")))).alias("fences"))  # four entries
+    q = ranked.groupBy("lang", "source", "ratio").agg(quantile(1, 4).alias("q1"), quantile(3, 4).alias("q3"), quantile(*TAIL).alias("tail"))
+    reach = 3 * (F.col("q3") - F.col("q1"))
+    two_sided = F.col("ratio") == "word_length"
+    low, high = F.when(two_sided, F.col("q1") - reach), F.when(two_sided, F.col("q3") + reach).otherwise(F.col("tail"))
+    entry = F.struct("ratio", F.struct(low.alias("low"), high.alias("high")))
+    return q.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(entry)).alias("limits"))  # four entries
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
     """``docs`` (of its columns those in ``carry``, or all) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    kept is false where base_failed, else whether all ratios lie within their group's fences.
-    Null languages and sources are the group ``(none)``.  The statistics are written once to
-    the shared folder, as both the sketches and the verdicts need them.
+    kept is false where base_failed, else whether all ratios lie within their group's limits.
+    Null languages and sources are the group ``(none)``; null and empty texts fail the base rules;
+    repeated rows count as often as they come; columns of ``docs`` with the names of the outputs
+    are replaced, and no other is touched.  The statistics are written once to the shared folder,
+    as both the sketches and the verdicts need them.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    keyed = docs.withColumns({"__lang": F.coalesce(docs[f"`{lang_col}`"].cast("string"), F.lit(NONE)), "__source": F.coalesce(docs[f"`{source_col}`"].cast("string"), F.lit(NONE))})
+    p = tk.fresh(docs)
+    b, lang, source = f"{p}b", f"{p}lang", f"{p}source"
+    keyed = docs.withColumns({lang: F.coalesce(docs[f"`{lang_col}`"].cast("string"), F.lit(NONE)), source: F.coalesce(docs[f"`{source_col}`"].cast("string"), F.lit(NONE))})
     wanted = docs.columns if carry is None else carry
-    rows = tk.stored(base_statistics(keyed, text_col).select(*[F.col(f"`{c}`") for c in wanted], "__lang", "__source", "__b"), "statistics")
-    good = rows.filter(~base_failed()).select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), *[c.alias(r) for r, c in ratios().items()])
-    limits = thresholds(tk.stored(sketches(good), "sketches")).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "fences")
-    joined = rows.join(limits, (rows["__lang"] == F.col("__l")) & (rows["__source"] == F.col("__s")), "left")
-    verdict = ~base_failed()
-    for r, c in ratios().items():
-        verdict &= F.coalesce(c <= F.col(f"fences.{r}.high"), F.lit(False))
-        if RATIOS[r][0]:
-            verdict &= F.coalesce(c >= F.col(f"fences.{r}.low"), F.lit(False))
-    out = tk.with_outputs(joined, **{n: F.col(f"__b.{n}") for n in names}, base_failed=base_failed(), kept=verdict)
-    return out.drop("__b", "__lang", "__source", "__l", "__s", "fences")
+    rows = tk.stored(base_statistics(keyed, text_col, p).select(*[F.col(f"`{c}`") for c in wanted], lang, source, b), "statistics")
+    good = rows.filter(~base_failed(b)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[c.alias(r) for r, c in ratios(b).items()])
+    found = limits(tk.stored(sketches(good), "sketches")).select(F.col("lang").alias(f"{p}l"), F.col("source").alias(f"{p}s"), F.col("limits").alias(f"{p}limits"))
+    joined = rows.join(found, (F.col(lang) == F.col(f"{p}l")) & (F.col(source) == F.col(f"{p}s")), "left")
+    verdict = ~base_failed(b)
+    for r, c in ratios(b).items():
+        within = c <= F.col(f"{p}limits.{r}.high")
+        if r in ONCE:
+            within |= F.col(f"{b}.{ONCE[r][0]}") <= ONCE[r][1]
+        else:
+            within &= c >= F.col(f"{p}limits.{r}.low")
+        verdict &= F.coalesce(within, F.lit(False))
+    out = tk.with_outputs(joined, **{n: F.col(f"{b}.{n}") for n in names}, base_failed=base_failed(b), kept=verdict)
+    return out.drop(b, lang, source, f"{p}l", f"{p}s", f"{p}limits")
 
 
 #: DuckDB's version of the query.
@@ -171,29 +189,26 @@ tall AS (
   UNION ALL SELECT lang, source, 'repeat_words', repeat_words FROM f WHERE NOT base_failed),
 g AS (
   SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 7, 0)::INT) << greatest(length(bin(v)) - 7, 0)::INT AS v FROM tall),
+own AS (
+  SELECT lang, source, ratio, v, count(*) AS n FROM g GROUP BY lang, source, ratio, v),
+of_lang AS (
+  SELECT lang, ratio, v, count(*) AS n FROM g GROUP BY lang, ratio, v),
+docs AS (
+  SELECT lang, ratio, count(*) AS docs FROM g GROUP BY lang, ratio),
+weighted AS (
+  SELECT lang, source, ratio, v, n * docs AS weight FROM own JOIN docs USING (lang, ratio)
+  UNION ALL
+  SELECT lang, source, ratio, v, 50 * n FROM (SELECT DISTINCT lang, source, ratio FROM own) JOIN of_lang USING (lang, ratio)),
 r AS (
-  SELECT lang, source, ratio, v, row_number() OVER os AS so, count(*) OVER ps AS sn, row_number() OVER ol AS lo, count(*) OVER pl AS ln,
-         row_number() OVER oa AS ao, count(*) OVER pa AS an
-  FROM g WINDOW os AS (PARTITION BY lang, source, ratio ORDER BY v), ps AS (PARTITION BY lang, source, ratio),
-    ol AS (PARTITION BY lang, ratio ORDER BY v), pl AS (PARTITION BY lang, ratio), oa AS (PARTITION BY ratio ORDER BY v), pa AS (PARTITION BY ratio)),
+  SELECT *, sum(weight) OVER (PARTITION BY lang, source, ratio ORDER BY v) AS upto, sum(weight) OVER (PARTITION BY lang, source, ratio) AS total FROM weighted),
 q AS (
-  SELECT 0 AS no_source, 0 AS no_lang, lang, source, ratio, max(sn) AS docs, min(v) FILTER (4 * so >= sn) AS q1, min(v) FILTER (4 * so >= 3 * sn) AS q3
-  FROM r GROUP BY lang, source, ratio
-  UNION ALL SELECT 1, 0, lang, NULL, ratio, max(ln), min(v) FILTER (4 * lo >= ln), min(v) FILTER (4 * lo >= 3 * ln) FROM r GROUP BY lang, ratio
-  UNION ALL SELECT 1, 1, NULL, NULL, ratio, max(an), min(v) FILTER (4 * ao >= an), min(v) FILTER (4 * ao >= 3 * an) FROM r GROUP BY ratio),
-p AS (
-  SELECT o.lang, o.source, o.ratio,
-         CASE WHEN o.docs >= 50 THEN o.q1 WHEN m.docs >= 50 THEN m.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.docs >= 50 THEN o.q3 WHEN m.docs >= 50 THEN m.q3 ELSE a.q3 END AS q3
-  FROM q o JOIN q m ON m.lang = o.lang AND m.ratio = o.ratio AND m.no_source = 1 AND m.no_lang = 0
-           JOIN q a ON a.ratio = o.ratio AND a.no_lang = 1
-  WHERE o.no_source = 0),
+  SELECT lang, source, ratio, min(v) FILTER (4 * upto >= total) AS q1, min(v) FILTER (4 * upto >= 3 * total) AS q3, min(v) FILTER (100 * upto >= 95 * total) AS tail
+  FROM r GROUP BY lang, source, ratio),
 fence AS (
-  SELECT lang, source, ratio, q1 - greatest(3 * (q3 - q1), CASE ratio WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 300 WHEN 'repeat_words' THEN 250 ELSE 100 END) AS low,
-         q3 + greatest(3 * (q3 - q1), CASE ratio WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 300 WHEN 'repeat_words' THEN 250 ELSE 100 END) AS high FROM p)
+  SELECT lang, source, ratio, q1 - 3 * (q3 - q1) AS low, CASE WHEN ratio = 'word_length' THEN q3 + 3 * (q3 - q1) ELSE tail END AS high FROM q)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(word_length BETWEEN wl.low AND wl.high, false) AND coalesce(symbols <= sy.high, false)
-       AND coalesce(dup_lines <= dl.high, false) AND coalesce(repeat_words <= rw.high, false) AS kept
+       NOT base_failed AND coalesce(word_length BETWEEN wl.low AND wl.high, false) AND coalesce(symbols <= sy.high OR n_symbols <= 1, false)
+       AND coalesce(dup_lines <= dl.high OR n_dup_lines <= 1, false) AND coalesce(repeat_words <= rw.high OR n_repeat_words <= 24, false) AS kept
 FROM f
 LEFT JOIN fence wl ON wl.lang = f.lang AND wl.source = f.source AND wl.ratio = 'word_length'
 LEFT JOIN fence sy ON sy.lang = f.lang AND sy.source = f.source AND sy.ratio = 'symbols'

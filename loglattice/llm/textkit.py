@@ -60,6 +60,15 @@ def with_outputs(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in names], *[v.alias(k) for k, v in cols.items()])
 
 
+def fresh(*tables: DataFrame) -> str:
+    """A prefix with which no column of the tables begins, whatever their case."""
+    names = [c.lower() for t in tables for c in t.columns]
+    p = "__ll_"
+    while any(c.startswith(p) for c in names):
+        p += "_"
+    return p
+
+
 def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
     """The schema of ``df`` with one more column at its end."""
     return T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
