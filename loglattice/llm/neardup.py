@@ -10,13 +10,22 @@
 4. Verification computes the probability Jaccard similarity of candidates exactly.
 5. Linked nodes are joined to classes; a class is named by the least id of its rows.
 
-A band bucket may hold any number of nodes, so pairs are not listed within it.  First every
-node of a bucket is verified against one node of it.  Where that leaves several classes, the
-nodes outside the bucket's largest class are verified against that class's node with the least
-share of shingles that no other node has, and then against the bucket's nodes of other classes.  In these
-two rounds pairs are left out if the shingles each has alone rule the similarity out.  At the
-end each two nodes of a bucket are in one class, or have been compared, or cannot be similar: no
-link that banding offers is lost.
+A band bucket may hold any number of nodes, so pairs are not listed within it.
+
+* First every node is verified against one node, the *hub*, of its largest bucket, which gives one
+  pair a node at most.
+* Then one node of each class in each bucket is verified against the bucket's hub, unless they are
+  of one class by now; this is done again while it joins classes.
+* Where a bucket still holds several classes, every node outside the largest one is verified
+  against that class's most central node: one pair a node and class again.
+* At last the nodes outside that largest class are verified against nodes of other classes in
+  their bucket, except where a bound rules the similarity out: each node carries the weight of the
+  shingles that no other node has, and a bitmap of its shingles; a bit that one has and the other
+  has not is a shingle that is not shared.  The bound is part of the join, so excluded pairs are
+  not rows of it.
+
+At the end each two nodes of a bucket are in one class, or have been compared, or cannot be
+similar: no link that banding offers is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +43,8 @@ from loglattice.llm.textkit import U64
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 8
 MAX_ROUNDS = 60
+#: Bits of a node's bitmap of shingles.
+BITS = 2048
 _A = tk.mix((np.arange(64, dtype=U64) + U64(7001)) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _ID_BITS = U64(10)
 
@@ -94,7 +105,7 @@ def prob_minhash(elem: np.ndarray, weight: np.ndarray, bounds: np.ndarray, m: in
         time[active] = arrival[:, -1]
         drawn[active] += U64(size)
         active = active[arrival[:, -1] < latest[r]]
-        size = max(1, min(size * 2, 64, (1 << 20) // max(1, len(active))))
+        size = max(1, min(size * 2, 64, (1 << 19) // max(1, len(active))))
     return who.reshape(n, m)
 
 
@@ -131,24 +142,15 @@ def _digests(d: np.ndarray) -> pa.Array:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, node, bands)."""
+    """Rows of (id, th, node, bands)."""
     for batch in batches:
         for a, b in _slices(batch.column("text")):
             elem, count, bounds, digest = weighted_shingles(*tk.text_bytes(batch.column("text").slice(a, b - a)))
             bands = band_hashes(prob_minhash(elem, count, bounds))
             has = np.diff(bounds) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]), pa.int32()), pa.array(bands[has].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), _digests(digest), lists], ["id", "node", "bands"])
-
-
-def _add_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with their node in place of the last column, the lower-case text."""
-    for batch in batches:
-        text = batch.column(batch.num_columns - 1)
-        for a, b in _slices(text):
-            *_, digest = weighted_shingles(*tk.text_bytes(text.slice(a, b - a)))
-            part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _digests(digest)], [*batch.schema.names[:-1], "__ll_node"])
+            same = [batch.column(c).slice(a, b - a) for c in ("id", "th")]
+            yield pa.RecordBatch.from_arrays([*same, _digests(digest), lists], ["id", "th", "node", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,175 +176,225 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(elem.astype(np.int64)), pa.array([node.as_py()] * len(elem), pa.binary()), pa.array(weight.astype(np.int64))], ["shingle", "node", "weight"])
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, total, unit, bits): the weight of all shingles, whether each weighs 1, and a bitmap of
+    ``BITS`` bits in words of 64, in which every shingle sets one."""
+    for batch in batches:
+        out = np.zeros((len(batch), BITS), dtype=np.uint8)
+        unit = np.zeros(len(batch), dtype=bool)
+        for k, raw in enumerate(batch.column("bag")):
+            elem, weight = _unpack(raw.as_py())
+            out[k, (elem & U64(BITS - 1)).astype(np.int64)] = 1
+            unit[k] = weight.max() == 1
+        words = np.packbits(out, axis=1).view("<i8").ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("total"), pa.array(unit), lists], ["node", "total", "unit", "bits"])
+
+
 def node_statistics(bags: DataFrame) -> DataFrame:
-    """(node, total, own, unit): the weight of all its shingles, of those no other of these nodes
-    has, and whether all weights are 1."""
-    rows = bags.select("node", "bag").mapInArrow(_elements, "shingle bigint, node binary, weight bigint")
+    """(node, total, unit, bits, own): see ``_bitmaps``; own is the weight of the shingles that no other of these nodes has."""
+    rows = tk.map_arrow(bags.select("node", "bag"), _elements, "shingle bigint, node binary, weight bigint")
     single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.sum("weight").alias("weight")).filter("n = 1")
     own = single.groupBy("node").agg(F.sum("weight").alias("own"))
-    size = (F.octet_length("bag") / 12).cast("bigint")
-    total = bags.select("node", size.alias("size"), F.col("total"))
-    return total.join(own, "node", "left").select("node", "total", F.coalesce("own", F.lit(0)).alias("own"), (F.col("size") == F.col("total")).alias("unit"))
+    facts = tk.map_arrow(bags.select("node", "bag", "total"), _bitmaps, "node binary, total bigint, unit boolean, bits array<bigint>")
+    return facts.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
 
 
 def may_link(x: str, y: str, threshold: float) -> Column:
     """Whether the statistics of two nodes allow a similarity of ``threshold``.
 
-    What one alone has cannot be shared.  With weights of 1 the shared part is at most the
-    smaller rest, and the union at least all else.  With other weights, the probability Jaccard
-    similarity is at most 1 / (1 + g(x) + g(y)), g being own / (total - own): with a the share
-    of x's weight and b of y's that is common, it is a sum of 1 / (X / x_d + own_y / y_d) at most,
-    which is concave and homogeneous, so at most that of the sums.
+    What is known not to be shared: shingles that one alone of all nodes has, and bits that one
+    alone of the two has (a weight of 1 at least stands behind each).  With weights of 1 the
+    shared part is at most the smaller rest, and the union at least all else.  With other weights,
+    the probability Jaccard similarity is at most 1 / (1 + g(x) + g(y)), g being lone / (total - lone):
+    with a the share of x's weight and b of y's that is common, it is a sum of 1 / (X / x_d + lone_y / y_d)
+    at most, which is concave and homogeneous, so at most that of the sums.
     """
-    rest = {k: F.col(f"{k}_total") - F.col(f"{k}_own") for k in (x, y)}
-    least = F.least(rest[x], rest[y])
-    plain = least * (1 + threshold) + 1e-9 >= threshold * (F.col(f"{x}_total") + F.col(f"{y}_total"))
-    cost = sum(F.col(f"{k}_own") / F.greatest(rest[k], F.lit(1e-9)) for k in (x, y))
-    return F.when(F.col(f"{x}_unit") & F.col(f"{y}_unit"), plain).otherwise((1 + cost) * threshold <= 1 + 1e-9)
-
-
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last, hub = None, None
-            keep, sim = [], []
-            for k, (one, two) in enumerate(zip(batch.column("bag_u"), batch.column("bag_v"), strict=True)):
-                raw = two.as_py()
-                if raw != last:
-                    last, hub = raw, _unpack(raw)
-                s = probability_jaccard(*_unpack(one.as_py()), *hub)
-                if s >= threshold:
-                    keep.append(k)
-                    sim.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(keep, pa.int32())), batch.column("v").take(pa.array(keep, pa.int32())), pa.array(sim, pa.float64())], ["u", "v", "similarity"])
-
-    return run
-
-
-def components(links: DataFrame) -> DataFrame:
+
+    def bits(one: str, other: str) -> Column:
+        return F.expr(" + ".join(f"bit_count({one}_bits[{i}] & ~{other}_bits[{i}])" for i in range(BITS // 64))).cast("bigint")
+
+    def allowed(lone: dict[str, Column]) -> Column:
+        rest = {k: F.col(f"{k}_total") - lone[k] for k in (x, y)}
+        plain = F.least(rest[x], rest[y]) * (1 + threshold) + 1e-9 >= threshold * (F.col(f"{x}_total") + F.col(f"{y}_total"))
+        cost = sum(lone[k] / F.greatest(rest[k], F.lit(1e-9)) for k in (x, y))
+        return F.when(F.col(f"{x}_unit") & F.col(f"{y}_unit"), plain).otherwise((1 + cost) * threshold <= 1 + 1e-9)
+
+    own = {k: F.col(f"{k}_own") for k in (x, y)}
+    return allowed(own) & allowed({x: F.greatest(own[x], bits(x, y)), y: F.greatest(own[y], bits(y, x))})
+
+
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, similarity) of pairs of bags."""
+    for batch in batches:
+        last, hub, sim = None, None, []
+        for one, two in zip(batch.column("bag_u"), batch.column("bag_v"), strict=True):
+            raw = two.as_py()
+            if raw != last:
+                last, hub = raw, _unpack(raw)
+            sim.append(probability_jaccard(*_unpack(one.as_py()), *hub))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sim, pa.float64())], ["u", "v", "similarity"])
+
+
+def components(links: DataFrame, run: tk.Scratch) -> DataFrame:
     """(node, root) for all nodes of the links (u, v): root is one node of the component, the same for all.
 
     Every round points each node at its least neighbour, follows that pointer once, and merges
     nodes into what they point at; links within a merged node vanish, so the links shrink from
     round to round.  Tables are written between rounds.
     """
-
-    def between(a: str, b: str) -> list[Column]:
-        return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
-
-    edges = tk.stored(links.filter("u != v").select(*between("u", "v")).distinct(), "edges")
+    edges = run.put(links.filter("u != v").select(*_ordered("u", "v")).distinct(), "edges")
     labels = None
     for _ in range(MAX_ROUNDS):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = tk.stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("up")), "parents")
+        parent = run.put(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("up")), "parents")
         over = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        moved = tk.stored(parent.join(over, "up").select("node", F.col("top").alias("to")), "moved")
+        moved = run.put(parent.join(over, "up").select("node", F.col("top").alias("to")), "moved")
         if labels is None:
             labels = moved.select("node", F.col("to").alias("root"))
         else:
             step = moved.select(F.col("node").alias("root"), "to")
-            labels = tk.stored(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            labels = run.put(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
         at = {k: moved.select(F.col("node").alias(k), F.col("to").alias(f"{k}_to")) for k in ("u", "v")}
-        merged = edges.join(at["u"], "u").join(at["v"], "v").filter("u_to != v_to").select(*between("u_to", "v_to"))
+        merged = edges.join(at["u"], "u").join(at["v"], "v").filter("u_to != v_to").select(*_ordered("u_to", "v_to"))
         # A node pointed at may itself point on: that link stays.
-        onward = moved.join(moved.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").filter("next != to").select(*between("to", "next"))
-        edges = tk.stored(merged.unionByName(onward).distinct(), "edges")
-        if not edges.limit(1).count():
+        onward = moved.join(moved.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").filter("next != to").select(*_ordered("to", "next"))
+        edges = run.put(merged.unionByName(onward).distinct(), "edges")
+        if edges.isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 
 
-def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of every row, and of every node its class and the class's first row.
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+
+class _Classes:
+    """Classes of nodes, joined pair by pair of buckets (band, node, n, hub)."""
+
+    def __init__(self, run: tk.Scratch, buckets: DataFrame, bags: DataFrame, threshold: float):
+        self.run, self.buckets, self.bags, self.threshold = run, buckets, bags, threshold
+        self.known: DataFrame | None = None  # similarities of all pairs so far
+        self.roots: DataFrame | None = None
+
+    def of(self, table: DataFrame, node: str, name: str) -> DataFrame:
+        """``table`` with the class of a node."""
+        if self.roots is None:
+            return table.withColumn(name, F.col(node))
+        root = self.roots.select(F.col("node").alias(node), F.col("root").alias("__root"))
+        return table.join(root, node, "left").withColumn(name, F.coalesce("__root", node)).drop("__root")
+
+    def verify(self, pairs: DataFrame) -> bool:
+        """Find the similarities of the pairs that are not known, and join classes by them; whether there were any."""
+        if self.known is not None:
+            pairs = pairs.join(self.known, ["u", "v"], "left_anti")
+        pairs = self.run.put(pairs, "pairs")
+        if pairs.isEmpty():
+            return False
+        u, v = (self.bags.select(F.col("node").alias(k), F.col("bag").alias(f"bag_{k}")) for k in ("u", "v"))
+        found = self.run.put(tk.map_arrow(pairs.join(u, "u").join(v, "v"), _similarities, "u binary, v binary, similarity double"), "similarities")
+        self.known = found if self.known is None else self.known.unionByName(found)
+        links = found.filter(F.col("similarity") >= self.threshold).select("u", "v")
+        if not links.isEmpty():
+            if self.roots is not None:
+                links = links.unionByName(self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            self.roots = components(links, self.run)
+        return True
+
+    def against_hubs(self) -> None:
+        largest = self.buckets.groupBy("node").agg(F.max(F.struct("n", "band", "hub")).alias("b"))
+        self.verify(largest.select("node", "b.hub").filter("node != hub").select(*_ordered("node", "hub")).distinct())
+        while True:
+            placed = self.of(self.of(self.buckets, "node", "class"), "hub", "hub_class").filter("class != hub_class")
+            one = placed.groupBy("band", "hub", "class").agg(F.min("node").alias("node"))
+            if not self.verify(one.select(*_ordered("node", "hub")).distinct()):
+                return
+
+    def mixed(self) -> DataFrame:
+        """(band, node, class, main) of buckets of several classes, main being the largest one."""
+        placed = self.of(self.buckets.select("band", "node"), "node", "class")
+        per_class = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
+        several = per_class.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n")).filter("classes > 1 and n > 2")
+        return self.run.put(placed.join(several.select("band", F.col("top.class").alias("main")), "band"), "mixed")
+
+    def across(self) -> None:
+        """Compare what is left: nodes of mixed buckets with the central node, then with one another."""
+        mixed = self.mixed()
+        if mixed.isEmpty():
+            return
+        stats = self.run.put(node_statistics(self.bags.join(mixed.select("node").distinct(), "node", "left_semi")), "statistics")
+        share = F.struct(F.col("own") / F.greatest("total", F.lit(1)), "node")
+        pivots = mixed.join(stats, "node").groupBy("class").agg(F.min(share).alias("p")).select(F.col("class").alias("main"), F.col("p.node").alias("pivot"))
+        pivots = self.run.put(pivots, "pivots")
+        minor = mixed.filter("class != main").join(pivots, "main").select("node", "pivot")
+        self.verify(minor.select(*_ordered("node", "pivot")).distinct())
+
+        mixed = self.mixed()
+        if mixed.isEmpty():
+            return
+        full = self.run.put(mixed.join(stats, "node"), "placed")
+        facts = lambda d, k: d.select(F.col("band").alias(f"{k}_band"), F.col("node").alias(k), F.col("class").alias(f"{k}_class"), *[F.col(c).alias(f"{k}_{c}") for c in ("total", "unit", "own", "bits")])
+        a, b = facts(full.filter("class != main"), "a"), facts(full, "b")
+        on = (F.col("a_band") == F.col("b_band")) & (F.col("a_class") != F.col("b_class")) & may_link("a", "b", self.threshold)
+        self.verify(a.join(b, on).select(*_ordered("a", "b")).distinct())
+
+
+def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, th, class, class_id, n_members, is_first) of every row, th being a hash of its text.
 
     class_id is the least id of the class, n_members its number of rows.  Its first row is the
     one with the least id (null ids last).  Null texts count as empty.  Texts without words
     are of one class only with equal texts; texts of fewer than five words have all their
     words as one shingle.
     """
-    rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.lower(F.coalesce(docs[f"`{text_col}`"], F.lit(""))).alias("text"))
+    run = tk.Scratch(docs.sparkSession, "near-duplicates")
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("th"), F.lower(text).alias("text"))
     id_type = dict(rows.dtypes)["id"]
-    signed = tk.stored(rows.mapInArrow(_sign, f"id {id_type}, node binary, bands array<bigint>"), "signatures")
+    signed = run.put(tk.map_arrow(rows, _sign, f"id {id_type}, th bigint, node binary, bands array<bigint>"), "signatures")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    buckets = tk.stored(banded.join(shared.select("band", "hub"), "band"), "buckets")
+    buckets = run.put(banded.join(shared, "band"), "buckets")
 
     # Texts are read again, and only those of nodes in a shared bucket go on.
     wanted = buckets.select("node").distinct()
     ids = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
     some = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    bags = some.mapInArrow(_sets, "node binary, bag binary, total bigint").join(wanted, "node", "left_semi")
-    bags = tk.stored(bags.groupBy("node").agg(F.first("bag").alias("bag"), F.first("total").alias("total")), "shingles")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        u = bags.select(F.col("node").alias("u"), F.col("bag").alias("bag_u"))
-        v = bags.select(F.col("node").alias("v"), F.col("bag").alias("bag_v"))
-        return tk.stored(pairs.join(u, "u").join(v, "v").mapInArrow(_verify(threshold), "u binary, v binary, similarity double"), "links")
-
-    def ordered(a: str, b: str) -> list[Column]:
-        return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+    bags = tk.map_arrow(some, _sets, "node binary, bag binary, total bigint").join(wanted, "node", "left_semi")
+    bags = run.put(bags.groupBy("node").agg(F.first("bag").alias("bag"), F.first("total").alias("total")), "shingles")
 
-    # First round: everyone in a bucket against one of its nodes.
-    tested = tk.stored(buckets.filter("node != hub").select(*ordered("node", "hub")).distinct(), "pairs")
-    roots = components(verified(tested).select("u", "v"))
-    of_node = F.coalesce(F.col("root"), F.col("node"))
+    classes = _Classes(run, buckets, bags, threshold)
+    classes.against_hubs()
+    classes.across()
 
-    # Next rounds: only where a bucket of three or more nodes still holds several classes.
-    def mixed_buckets() -> DataFrame:
-        placed = buckets.join(roots, "node", "left").select("band", "node", of_node.alias("class"))
-        per_class = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-        several = per_class.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n")).filter("classes > 1 and n > 2")
-        return placed.join(several.select("band", F.col("top.class").alias("main")), "band")
-
-    mixed = tk.stored(mixed_buckets(), "mixed")
-    if mixed.limit(1).count():
-        stats = tk.stored(node_statistics(bags.join(mixed.select("node").distinct(), "node", "left_semi")), "statistics")
-        for last in (False, True):
-            full = mixed.join(stats, "node")
-            facts = lambda d, k, *more: d.select(*more, F.col("node").alias(k), F.col("class").alias(f"{k}_class"), *[F.col(c).alias(f"{k}_{c}") for c in ("total", "own", "unit")])
-            minor = full.filter("class != main")
-            if last:  # everyone outside the bucket's main class against all of other classes
-                a, b = facts(minor, "a", "band"), facts(full, "b", F.col("band").alias("b_band"))
-                on = (a["band"] == F.col("b_band")) & (F.col("a_class") != F.col("b_class")) & may_link("a", "b", threshold)
-            else:  # everyone outside it against the main class's node that has least of its own
-                share = F.struct(F.col("own") / F.greatest("total", F.lit(1)), "node", "total", "own", "unit")
-                heads = full.groupBy("class").agg(F.min(share).alias("head")).select("class", "head.*")
-                a, b = facts(minor.dropDuplicates(["node", "main"]), "a", "main"), facts(heads, "b")
-                on = (a["main"] == F.col("b_class")) & may_link("a", "b", threshold)
-            pairs = tk.stored(a.join(b, on).select(*ordered("a", "b")).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-            if pairs.limit(1).count():
-                known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-                roots = components(known.unionByName(verified(pairs).select("u", "v")))
-                tested = tested.unionByName(pairs)
-            if not last:
-                mixed = tk.stored(mixed_buckets(), "mixed")
-    per_node = signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    node_class = tk.stored(per_node.join(roots, "node", "left").select("node", "id", "n", of_node.alias("class")), "node-class")
-    head = F.min(F.struct(F.col("id").isNull(), "id", "node"))
-    named = node_class.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_members"), head.alias("head"))
-    return signed.select("id", "node"), node_class.select("node", "class").join(named, "class").select("node", "class_id", "n_members", F.col("head.id").alias("head_id"), F.col("head.node").alias("head_node"))
+    # A row's node and class are found by node; rows of one node are folded first.
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    per_node = signed.groupBy("node").agg(F.min(order).alias("head"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    of_node = run.put(classes.of(per_node, "node", "class"), "node-class")
+    named = of_node.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_members"), F.min("head").alias("head"))
+    of_node = of_node.select("node", "class").join(named, "class")
+    is_first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.th"))
+    out = run.keep(signed.select("id", "th", "node").join(of_node, "node").select("id", "th", "class", "class_id", "n_members", is_first.alias("is_first")), "classes")
+    run.clear()
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row (id_col, class_id, n_members, is_first) for every row of ``docs``; see ``_classify``."""
-    rows, of_node = _classify(docs, id_col, text_col, threshold)
-    is_first = (F.col("node") == F.col("head_node")) & F.col("id").eqNullSafe(F.col("head_id"))
-    return rows.join(of_node, "node").select(F.col("id").alias(id_col), "class_id", "n_members", is_first.alias("is_first"))
+    return _classify(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "n_members", "is_first")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, all columns kept.
 
-    It is the row with the least id, null ids last; of rows equal in id and words, any one.
+    It is the row with the least id, null ids last; of rows equal in id and text, any one.
     """
-    rows, of_node = _classify(docs, id_col, text_col, threshold)
-    heads = of_node.filter("node = head_node").select("node", "head_id")
-    text = F.lower(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
-    schema = tk.schema_with(docs, "__ll_node", "binary")
-    noded = docs.withColumn("__ll_text", text).mapInArrow(_add_node, schema)
-    kept = noded.join(heads, (noded["__ll_node"] == heads["node"]) & noded[f"`{id_col}`"].eqNullSafe(heads["head_id"]), "left_semi")
-    repeated = rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    if repeated:
-        kept = kept.dropDuplicates(["__ll_node"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    p = tk.fresh(docs)
+    first = _classify(docs, id_col, text_col, threshold).filter("is_first").select(F.col("id").alias(f"{p}id"), F.col("th").alias(f"{p}th"), F.col("class").alias(f"{p}class"))
+    repeated = not first.groupBy(f"{p}class").count().filter("count > 1").isEmpty()
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    on = docs[f"`{id_col}`"].eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text) == F.col(f"{p}th"))
+    if not repeated:
+        return docs.join(first, on, "left_semi")
+    return docs.join(first.distinct(), on).dropDuplicates([f"{p}class"]).drop(f"{p}id", f"{p}th", f"{p}class")

@@ -54,6 +54,41 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables of one run, in a folder of its own under the shared one.
+
+    What ``put`` writes is deleted by ``clear``; what ``keep`` writes stays, for the result to read.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base, self.n = spark, work_dir(spark, label), 0
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        return self._write(df, f"{self.base}/scratch/{self.n:03d}-{label}")
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        return self._write(df, f"{self.base}/{label}")
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/scratch")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, f, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` over batches of about ``BATCH_BYTES``, so that long rows take no more memory than short ones."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def with_outputs(df: DataFrame, **cols: Column) -> DataFrame:
     """Add output columns; an input column of the same name (any case) is replaced."""
     names = {c.lower() for c in cols}

@@ -65,7 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col
     # Copies are folded before the shuffle, so a text that a third of the rows share is one row a task.
     distinct = docs.select(content_digest(docs[f"`{text_col}`"]).alias("digest"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(read_cache(spark, cache_path, version).select("digest"), "digest", "left_anti")
-    counted = misses.mapInArrow(_counter(tokenizer_path), "digest binary, n_tokens bigint")
+    counted = tk.map_arrow(misses, _counter(tokenizer_path), "digest binary, n_tokens bigint")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 
     known = read_cache(spark, cache_path, version).select(F.col("digest").alias("__ll_known"), F.col("n_tokens").alias("__ll_n"))

@@ -193,7 +193,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
     rows = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     keys = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc()]
     ordered = rows.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
-    written = ordered.mapInArrow(_writer(tokenizer_path, folder, vocabulary_width(tokenizer_path, end_id), end_id, file_bytes), MANIFEST_SCHEMA)
+    written = tk.map_arrow(ordered, _writer(tokenizer_path, folder, vocabulary_width(tokenizer_path, end_id), end_id, file_bytes), MANIFEST_SCHEMA)
     written.write.parquet(f"{folder}/manifest")
     return read_manifest(docs.sparkSession, folder)
 

@@ -365,7 +365,7 @@ def test_components(spark):
         if a != b:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(links, "u string, v string")).collect()}
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(links, "u string, v string"), tk.Scratch(spark, "components")).collect()}
     assert set(got) == set(root)
     assert all((got[a] == got[b]) == (find(a) == find(b)) for a in root for b in root)
 
