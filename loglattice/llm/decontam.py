@@ -1,22 +1,24 @@
 """Benchmark decontamination with SimHash windows.
 
 Every benchmark item is compared with all windows of its own number of words in all texts; a
-shorter text is compared as a whole, where its size allows the similarity.  A window's fingerprint is the 64-bit SimHash of its five-word shingles weighted by how often
-they occur.  Fingerprints are found by multi-index hashing: the 64 bits are cut into four
-blocks, and a pair within ``RADIUS`` bits differs by at most ``RADIUS // 4`` in some block, so
-looking each block up among the item's block values and all values that near finds every pair
-within the radius.  Candidates are verified by the exact weighted Jaccard similarity of their
-shingles.
+shorter text is compared as a whole, where its size allows the similarity.  A window's
+fingerprint is the 64-bit SimHash of its five-word shingles weighted by how often they occur.
+Fingerprints are found by multi-index hashing: the 64 bits are cut into four blocks, and a pair
+within ``RADIUS`` bits differs by at most ``RADIUS // 4`` in some block, so looking each block up
+among the item's block values and all values that near finds every pair within the radius.
+Candidates are verified by the exact weighted Jaccard similarity of their shingles.
 
 A window without any shingle of an item has similarity 0, so only windows that hold at least
 one shingle of the block of items at hand are fingerprinted; nothing that could be verified is
-lost by that.  Items are the query set: they are taken in blocks of bounded size, and each
-block is compared with all texts.
+lost by that.  An item or text of fewer than five words is one shingle of all its words: they
+match where they are equal.
+
+Items are the query set.  They are taken in blocks of bounded size, one job a block, and only
+one block is in the driver or in a task at a time; what a job finds is written before the next.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,20 +35,30 @@ RADIUS = 15
 BLOCKS, BLOCK_BITS = 4, 16
 #: A block of items has about so many items and words.
 BLOCK_ITEMS, BLOCK_WORDS = 1_000, 100_000
+#: Windows fingerprinted at once.
+PART = 32_768
 _K = tk.SHINGLE_WORDS
-_GATE = 1 << 20
+_GATE = 1 << 22
 
 
-def simhash(shingles: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of the windows of ``width`` shingles that begin at ``starts``.
+def simhash(shingles: np.ndarray, starts: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Fingerprints of the windows of ``span`` shingles that begin at ``starts``.
 
     A shingle that occurs twice in a window counts twice: that is its weight.
     """
+    return _prints(_bit_sums(shingles), starts, span)
+
+
+def _bit_sums(shingles: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
     total = np.zeros((len(shingles) + 1, 64), dtype=np.int32)
     np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
-    ones = total[starts + width] - total[starts]
-    return np.packbits(ones * 2 > width, axis=1).view("<u8").ravel()
+    return total
+
+
+def _prints(total: np.ndarray, starts: np.ndarray, span: np.ndarray) -> np.ndarray:
+    ones = total[starts + span] - total[starts]
+    return np.packbits(ones * 2 > span[:, None], axis=1).view("<u8").ravel()
 
 
 def _near_values(flips: int) -> np.ndarray:
@@ -60,37 +72,30 @@ class ItemIndex:
     def __init__(self, names: list[str], texts: list[str], radius: int = RADIUS):
         self.names, self.radius = names, radius
         words, off = tk.word_hashes(*tk.text_bytes(pa.array(texts, pa.large_string())))
-        n_words = np.diff(off)
-        self.sizes: dict[int, list[int]] = {}
-        self.bags: dict[int, Counter] = {}
-        prints: dict[int, int] = {}
-        every = []
-        for k in np.flatnonzero(n_words >= _K).tolist():
-            sh, _ = tk.shingle_hashes(words[off[k] : off[k + 1]], np.array([0, n_words[k]]))
-            self.sizes.setdefault(int(n_words[k]), []).append(k)
-            self.bags[k] = Counter(sh.tolist())
-            prints[k] = int(simhash(sh, np.zeros(1, dtype=np.int64), len(sh))[0])
-            every.append(sh)
-        self.shingles = np.unique(np.concatenate(every)) if every else np.zeros(0, dtype=U64)
+        sh, s_off = tk.shingle_hashes(words, off)
+        self.shingles, place = np.unique(sh, return_inverse=True)
         self.gate = np.zeros(_GATE, dtype=bool)
         self.gate[(self.shingles & U64(_GATE - 1)).astype(np.int64)] = True
-        masks = _near_values(radius // BLOCKS)
-        #: For each size: the items' fingerprints, and per block a sorted list of near values with their items.
+        #: Of each item the numbers of its shingles among ``shingles``, and how often it has each.
+        self.bags: list[tuple[np.ndarray, np.ndarray]] = [np.unique(place[a:b], return_counts=True) for a, b in zip(s_off[:-1], s_off[1:], strict=True)]
+        width = np.diff(s_off)
+        #: For each number of shingles: the items, their fingerprints, and per block a sorted list of near values with their items.
         self.tables = {}
-        for size, items in self.sizes.items():
-            fp = np.array([prints[k] for k in items], dtype=U64)
+        masks = _near_values(radius // BLOCKS)
+        for size in np.unique(width[width > 0]).tolist():
+            items = np.flatnonzero(width == size)
+            fp = simhash(sh, s_off[:-1][items], np.full(len(items), size))
             blocks = []
             for b in range(BLOCKS):
-                value = (fp >> U64(b * BLOCK_BITS)).astype(np.uint16)
-                near = (value[:, None] ^ masks).ravel()
+                near = ((fp >> U64(b * BLOCK_BITS)).astype(np.uint16)[:, None] ^ masks).ravel()
                 item = np.repeat(np.arange(len(items), dtype=np.int32), len(masks))
                 order = np.argsort(near, kind="stable")
                 blocks.append((near[order], item[order]))
-            self.tables[size] = (fp, blocks)
+            self.tables[size] = (items, fp, blocks)
 
     def candidates(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item of this size, distance) for all pairs within the radius."""
-        fp, blocks = self.tables[size]
+        _, fp, blocks = self.tables[size]
         found = []
         for b, (near, item) in enumerate(blocks):
             value = (prints >> U64(b * BLOCK_BITS)).astype(np.uint16)
@@ -105,45 +110,72 @@ class ItemIndex:
         near = distance <= self.radius
         return window[near], item[near], distance[near]
 
-    def hits(self, words: np.ndarray, threshold: float) -> list[tuple[str, int, int, int, float]]:
-        """The best window of every item found in one text: (item, first word, words, distance, similarity)."""
-        n = len(words)
-        if n < _K or not len(self.shingles):
-            return []
-        sh, _ = tk.shingle_hashes(words, np.array([0, n]))
+    def members(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of shingles that items have, and which they are."""
+        if not len(self.shingles):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         at = np.flatnonzero(self.gate[(sh & U64(_GATE - 1)).astype(np.int64)])
-        at = at[np.isin(sh[at], self.shingles, assume_unique=False)] if len(at) else at
+        which = np.minimum(np.searchsorted(self.shingles, sh[at]), len(self.shingles) - 1)
+        same = self.shingles[which] == sh[at]
+        return at[same], which[same]
+
+    def hits(self, sh: np.ndarray, off: np.ndarray, threshold: float) -> list[tuple[int, str, int, int, int, float]]:
+        """The best window of every item found in the rows of ``sh``: (row, item, first shingle, shingles, distance, similarity)."""
+        at, which = self.members(sh)
         if not len(at):
             return []
-        held = np.zeros(len(sh) + 1, dtype=np.int64)
-        held[at + 1] = 1
+        reach = max(self.tables)
+        row = np.searchsorted(off, at, side="right") - 1
+        # Windows that may hold one begin at most ``reach`` shingles before it in its row.
+        change = np.zeros(len(sh) + 1, dtype=np.int32)
+        np.add.at(change, np.maximum(at - reach + 1, off[row]), 1)
+        np.add.at(change, at + 1, -1)
+        starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        for k in range(0, len(starts), PART):
+            self._part(sh, off, at, which, starts[k : k + PART], reach, threshold, best)
+        return [(r, self.names[i], start, span, d, s) for (r, i), (s, start, span, d) in sorted(best.items())]
+
+    def _part(self, sh, off, at, which, starts, reach, threshold, best) -> None:
+        row = np.searchsorted(off, starts, side="right") - 1
+        begin, end = off[row], off[row + 1]
+        # Bits are summed over the shingles of these windows alone: ``where`` maps a place to its sum.
+        first, last = int(starts[0]), int(min(end[-1], starts[-1] + reach))
+        change = np.zeros(last - first + 1, dtype=np.int32)
+        np.add.at(change, starts - first, 1)
+        np.add.at(change, np.minimum(starts + reach, end) - first, -1)
+        needed = np.cumsum(change[:-1]) > 0
+        where = np.concatenate([[0], np.cumsum(needed)])
+        total = _bit_sums(sh[first:last][needed])
+        lo, hi = np.searchsorted(at, [first, last])
+        held = np.zeros(last - first + 1, dtype=np.int32)
+        held[at[lo:hi] - first + 1] = 1
         held = np.cumsum(held)
-        best: dict[int, tuple[float, int, int, int]] = {}
-        for size, items in self.sizes.items():
-            width = size - _K + 1
+        for size, (items, _, _) in self.tables.items():
+            span = np.minimum(size, end - begin)
             # A text shorter than the item is one window, where the item could still be that similar.
-            span = min(width, len(sh))
-            if span < width * threshold:
+            fits = (span >= size * threshold) & (starts + span <= end)
+            fits[fits] = held[(starts + span - first)[fits]] > held[(starts - first)[fits]]
+            use = np.flatnonzero(fits)
+            if not len(use):
                 continue
-            starts = np.flatnonzero(held[span:] > held[:-span])
-            # Fingerprints are taken stretch by stretch, so that a very long text needs no more memory.
-            for part in np.array_split(starts, max(1, (len(starts) + 65_535) // 65_536)):
-                if not len(part):
-                    continue
-                base = int(part[0])
-                prints = simhash(sh[base : int(part[-1]) + span], part - base, span)
-                for w, i, d in zip(*self.candidates(size, prints), strict=True):
-                    start, k = int(part[w]), items[int(i)]
-                    here, bag = Counter(sh[start : start + span].tolist()), self.bags[k]
-                    both = sum((here & bag).values())
-                    s = both / (width + span - both)
-                    if s >= threshold and (k not in best or (-s, start) < (-best[k][0], best[k][1])):
-                        best[k] = (s, start, span + _K - 1, int(d))
-        return [(self.names[k], start, n_words, d, s) for k, (s, start, n_words, d) in sorted(best.items())]
-
-
-HITS = "array<struct<item:string,first_word:int,n_words:int,distance:int,similarity:double>>"
-_HIT = pa.list_(pa.struct([("item", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32()), ("similarity", pa.float64())]))
+            prints = _prints(total, where[starts[use] - first], span[use])
+            for w, i, d in zip(*self.candidates(size, prints), strict=True):
+                u, item = use[w], int(items[i])
+                start, n, r = int(starts[u]), int(span[u]), int(row[u])
+                a, b = np.searchsorted(at, [start, start + n])
+                has, count = np.unique(which[a:b], return_counts=True)
+                own, times = self.bags[item]
+                _, x, y = np.intersect1d(has, own, assume_unique=True, return_indices=True)
+                both = int(np.minimum(count[x], times[y]).sum())
+                s, start = both / (size + n - both), start - int(begin[u])
+                old = best.get((r, item))
+                if s >= threshold and (old is None or (-s, start) < (-old[0], old[1])):
+                    best[r, item] = (s, start, n, int(d))
+
+
+_FOUND = pa.schema([("item", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32()), ("similarity", pa.float64())])
+FOUND = "item string, first_word int, n_words int, distance int, similarity double"
 _built: dict[int, ItemIndex] = {}
 
 
@@ -156,24 +188,23 @@ def _scan(names: list[str], texts: list[str], radius: int, threshold: float):
             _built[key] = ItemIndex(names, texts, radius)
         index = _built[key]
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column("text")
             for a, b in tk.column_slices(text):
-                part = batch.slice(a, b - a)
                 words, off = tk.word_hashes(*tk.text_bytes(text.slice(a, b - a)))
-                sh, s_off = tk.shingle_hashes(words, off)
-                maybe = np.concatenate([[0], np.cumsum(index.gate[(sh & U64(_GATE - 1)).astype(np.int64)])])
-                some = maybe[s_off[1:]] > maybe[s_off[:-1]]
-                found = [[dict(zip(("item", "first_word", "n_words", "distance", "similarity"), h, strict=True)) for h in index.hits(words[off[k] : off[k + 1]], threshold)] if some[k] else [] for k in range(len(part))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, _HIT)], [*batch.schema.names[:-1], "__ll_hits"])
+                found = index.hits(*tk.shingle_hashes(words, off), threshold)
+                if not found:
+                    continue
+                n_words = np.diff(off)
+                row = pa.array([a + f[0] for f in found])
+                cells = [(name, start, min(span + _K - 1, int(n_words[r])), d, s) for r, name, start, span, d, s in found]
+                columns = [pa.array(c, t) for c, t in zip(zip(*cells, strict=True), _FOUND.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("th").take(row), *columns], ["id", "th", *_FOUND.names])
 
     return run
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[str], list[str]]]:
-    """The items with their names as text, in blocks of bounded size.
-
-    Items of fewer than five words hold no shingle and are left out; of repeated rows one is kept.
-    """
+    """The items with their names as text, in blocks of bounded size; of repeated rows one is kept."""
     items = benchmark.select(F.coalesce(benchmark[f"`{id_col}`"].cast("string"), F.lit("")).alias("name"), F.lower(benchmark[f"`{text_col}`"]).alias("text")).filter("text is not null").distinct()
     size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()
     n = max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_WORDS))
@@ -184,30 +215,36 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tu
             yield got.column("name").to_pylist(), got.column("text").to_pylist()
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``__ll_hits``, the items found in each text with their best windows.
+def found_in(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, th, item, first_word, n_words, distance, similarity): the items found in each text with their best
+    windows, th being a hash of the text.  The table is written, block by block.
 
-    Null, empty and short texts (fewer than five words) hold no item.
+    Null and empty texts and items hold nothing.  Equal rows of ``docs`` give equal rows; windows
+    of equal similarity: the first one.
     """
-    base = docs.withColumn("__ll_all", F.expr(f"cast(array() as {HITS})"))
-    for names, texts in item_blocks(benchmark, item_id, item_text):
-        schema = tk.schema_with(base, "__ll_hits", HITS)
-        found = base.withColumn("__ll_text", F.lower(F.coalesce(base[f"`{text_col}`"], F.lit("")))).mapInArrow(_scan(names, texts, radius, threshold), schema)
-        base = found.withColumn("__ll_all", F.concat("__ll_all", "__ll_hits")).drop("__ll_hits")
-    return base.withColumnRenamed("__ll_all", "__ll_hits")
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("th"), F.lower(text).alias("text"))
+    schema = f"id {dict(rows.dtypes)['id']}, th bigint, {FOUND}"
+    run = tk.Scratch(docs.sparkSession, "benchmark-items")
+    found = None
+    for k, (names, texts) in enumerate(item_blocks(benchmark, item_id, item_text)):
+        block = run.keep(tk.map_arrow(rows, _scan(names, texts, radius, threshold), schema), f"block-{k:06d}")
+        found = block if found is None else found.unionByName(block)
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per text and item found in it: (id_col, item_id, first_word, n_words, distance, similarity).
 
-    Words are counted from 0.  Equal rows of ``docs`` give equal rows.
+    Words are counted from 0; see ``found_in``.
     """
-    kind = dict(benchmark.dtypes)[item_id]
-    rows = annotate(docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"]), benchmark, text_col, item_id, item_text)
-    hit = rows.select(F.col(f"`{id_col}`"), F.explode("__ll_hits").alias("h"))
-    return hit.select(F.col(f"`{id_col}`"), F.col("h.item").cast(kind).alias("item_id"), "h.first_word", "h.n_words", "h.distance", "h.similarity")
+    found = found_in(docs, benchmark, id_col, text_col, item_id, item_text)
+    return found.select(F.col("id").alias(id_col), F.col("item").cast(dict(benchmark.dtypes)[item_id]).alias("item_id"), "first_word", "n_words", "distance", "similarity")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item."""
-    return annotate(docs, benchmark, text_col, item_id, item_text).filter("size(__ll_hits) = 0").drop("__ll_hits")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item; all columns as they were."""
+    p = tk.fresh(docs)
+    gone = found_in(docs, benchmark, id_col, text_col, item_id, item_text).select(F.col("id").alias(f"{p}id"), F.col("th").alias(f"{p}th")).distinct()
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(text) == F.col(f"{p}th")), "left_anti")
