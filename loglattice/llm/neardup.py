@@ -373,7 +373,8 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
     per_node = signed.groupBy("node").agg(F.min(order).alias("head"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     of_node = run.put(classes.of(per_node, "node", "class"), "node-class")
     named = of_node.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_members"), F.min("head").alias("head"))
-    of_node = of_node.select("node", "class").join(named, "class")
+    # Written, so that the join below has no aggregate on either side and a hot node can be split.
+    of_node = run.put(of_node.select("node", "class").join(named, "class"), "class-of-node")
     is_first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.th"))
     out = run.keep(signed.select("id", "th", "node").join(of_node, "node").select("id", "th", "class", "class_id", "n_members", is_first.alias("is_first")), "classes")
     run.clear()
