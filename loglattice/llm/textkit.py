@@ -82,10 +82,14 @@ class Scratch:
 BATCH_BYTES = 4 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold about ``BATCH_BYTES``, so that long rows take no more memory than short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, f, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` over batches of about ``BATCH_BYTES``, so that long rows take no more memory than short ones."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf.set(name, str(BATCH_BYTES))
+    """``mapInArrow`` over batches of bounded size."""
+    bound_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

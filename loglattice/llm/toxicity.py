@@ -1,63 +1,95 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.  A text is cut
-into windows, one per distinct word (in pieces of ``WINDOW`` bytes where it is longer), and
-every window is compressed with either dictionary.  What the toxic dictionary saves, in bytes
-and as a share of the window, is compared with a ladder of thresholds; a logistic model
-calibrated on the training rows turns the numbers of windows over each threshold into a score.
-
-Details that make short windows tell:
-
-* Both dictionaries begin with the ordinary text.  The toxic one adds the toxic text and the
-  ordinary one padding of that length, so all else costs the same with either.
-* Bytes are doubled before compression: a match then saves more than the sequence that codes
-  it costs, even for a short word.
-* A window is followed by a frame that is in both dictionaries: the compressor finds no match
-  in its last bytes, and would store a tiny input as it is.
-* The ordinary dictionary is made by the library's trainer.  The toxic one is made of those
-  windows of toxic texts that hold n-grams found in a far larger share of toxic than of
-  ordinary texts, chosen so that they cover these n-grams best for their length.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text.  The running
+words of a text are cut into windows of about ``WINDOW`` bytes, and every window is compressed
+with either dictionary.  The bytes that the toxic dictionary saves are compared with a ladder of
+thresholds; a logistic model calibrated on the training rows turns the numbers of windows over
+each threshold into a score.
+
+A label says of a whole text that it is toxic, while most of its words are ordinary.  So the
+toxic dictionary is trained on those words of toxic texts that hold n-grams found in a far
+larger share of toxic than of ordinary texts.  Both dictionaries begin with the ordinary content;
+the toxic one adds the toxic content and the ordinary one padding of that length, so all else
+costs the same with either.  A window is followed by a frame that is in both dictionaries, as the
+compressor finds no match in the last bytes of an input.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm import textkit as tk
 
-#: Bounds of the training sample: labelled rows, and characters of one text.
-TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000
-WINDOW = 40
-TOXIC_BYTES, ORDINARY_BYTES = 1_200, 8_192
+#: Bounds of the training sample: labelled rows, windows of one text (those of least hash), and ordinary windows for their dictionary.
+TRAIN_ROWS, TRAIN_WINDOWS, ORDINARY_WINDOWS = 8_000, 2_048, 60_000
+WINDOW = 16
+TOXIC_BYTES, ORDINARY_BYTES = 1_024, 8_192
 GRAMS = (4, 6, 8)
-MEMO_WINDOWS = 300_000
-_EDGE = b".,;:!?*%$#&|<>()[]\"'"
-_FRAME = bytes(range(128, 160))
+#: How many times larger the share of toxic texts that hold a telling n-gram is.
+TELLING = 30
+SLICE_BYTES = 1 << 19
+_FRAME = np.arange(128, 160, dtype=np.uint8)
 _STEPS = 14
 
 
-def windows(text: str) -> list[bytes]:
-    """The distinct words of a text, lower-case, led by a space, in pieces of ``WINDOW`` bytes."""
-    out = set()
-    for w in set(text.lower().encode().split()):
-        w = b" " + w.strip(_EDGE)
-        if len(w) > 1:
-            out.update(w[k : k + WINDOW] for k in range(0, len(w), WINDOW))
-    return sorted(out)
-
-
-def _doubled(b: bytes) -> bytes:
-    return np.repeat(np.frombuffer(b, dtype=np.uint8), 2).tobytes()
+def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some rows, each led by a space, in one buffer: (bytes, starts, lengths, rows)."""
+    solid = tk._WORD[buf]
+    if not solid.any():
+        none = np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint8), none, none, none
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    inner = off[:-1][(off[:-1] > 0) & (off[:-1] < len(buf))]
+    begins[inner] = solid[inner]
+    ends[inner - 1] = solid[inner - 1]
+    start = np.flatnonzero(begins)
+    n = np.flatnonzero(ends) + 1 - start
+    to = np.cumsum(n + 1) - (n + 1)
+    out = np.full(int((n + 1).sum()), 32, dtype=np.uint8)
+    at = np.flatnonzero(solid)
+    out[at - np.repeat(start - to - 1, n)] = buf[at]
+    return out, to, n + 1, np.searchsorted(off, start, side="right") - 1
+
+
+def windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts with the end of all, rows): runs of words that begin in one cell of ``WINDOW`` bytes.
+
+    A longer word is cut into pieces of that size.
+    """
+    out, to, n, row = words_of(buf, off)
+    if not len(to):
+        return out, np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    k = -(-n // WINDOW)
+    piece = np.repeat(to, k) + WINDOW * (np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k))
+    row = np.repeat(row, k)
+    new_row = np.append(True, row[1:] != row[:-1])
+    cell = (piece - piece[np.flatnonzero(new_row)][np.cumsum(new_row) - 1]) // WINDOW
+    new = new_row | np.append(True, cell[1:] != cell[:-1])
+    return out, np.append(piece[new], len(out)), row[new]
+
+
+def _parts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of about ``SLICE_BYTES``; a longer text comes in parts cut between words."""
+    for a, b in tk.column_slices(col, SLICE_BYTES):
+        buf, off = tk.text_bytes(col.slice(a, b - a))
+        at = 0
+        while len(buf) - at > 2 * SLICE_BYTES and b == a + 1:
+            gap = np.flatnonzero(~tk._WORD[buf[at + SLICE_BYTES // 2 : at + SLICE_BYTES]])
+            to = at + (SLICE_BYTES // 2 + int(gap[-1]) if len(gap) else SLICE_BYTES)
+            yield a, b, buf[at:to], np.array([0, to - at])
+            at = to
+        yield a, b, buf[at:], off - at if at == 0 else np.array([0, len(buf) - at])
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -65,37 +97,11 @@ def _train(samples: list[bytes], size: int) -> bytes:
     order = np.random.default_rng(0).permutation(len(samples))
     joined = [b"".join(samples[i] for i in order[k : k + 8]) for k in range(0, len(samples), 8)]
     try:
-        return zs.train_dictionary(size, joined, k=32, d=8, level=3).as_bytes()
+        return zs.train_dictionary(size, joined, k=24, d=8, level=3).as_bytes()
     except zs.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def _cover(found: Counter, telling: dict[bytes, float], size: int) -> bytes:
-    """Windows that cover the telling n-grams best for their bytes, the best last.
-
-    The trainer above picks what is frequent; here a stem that few texts hold counts too, once.
-    """
-    grams = {w: {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)} & telling.keys() for w in found}
-    gain = {w: sum(telling[g] for g in gs) / (len(w) + 4) for w, gs in grams.items()}
-    heap = [(-v, w) for w, v in gain.items()]
-    heapq.heapify(heap)
-    covered: set[bytes] = set()
-    out: list[bytes] = []
-    used = 0
-    while heap and used < size:
-        v, w = heapq.heappop(heap)
-        now = sum(telling[g] for g in grams[w] - covered) / (len(w) + 4)
-        if now <= 0:
-            continue
-        if heap and -now > heap[0][0]:  # worth less than it seemed: back in line
-            heapq.heappush(heap, (-now, w))
-            continue
-        covered |= grams[w]
-        out.append(w)
-        used += len(w)
-    return b"".join(reversed(out))[-size:]
-
-
 @dataclass
 class ToxicityModel:
     """Dictionaries and calibration; picklable, a few kilobytes."""
@@ -104,10 +110,10 @@ class ToxicityModel:
     toxic: bytes
     mean: np.ndarray
     scale: np.ndarray
-    weight: np.ndarray  # with the intercept first; alone where one label only was seen
+    weight: np.ndarray  # with the intercept first; none where one label only was seen
+    share: float  # of label 1 in training: the score where nothing else is known
 
     def __post_init__(self):
-        self._memo: dict[bytes, int] = {}
         self._compressors = None
 
     def __getstate__(self):
@@ -117,101 +123,105 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _lengths(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def savings(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each of the consecutive windows."""
         if self._compressors is None:
-            params = zs.ZstdCompressionParameters(format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=16, hash_log=13, chain_log=13, search_log=4, min_match=5, target_length=32, strategy=zs.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0)
-            base, toxic = _doubled(self.ordinary), _doubled(self.toxic)
+            params = zs.ZstdCompressionParameters(format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=16, hash_log=15, chain_log=13, search_log=4, min_match=6, target_length=0, strategy=zs.STRATEGY_FAST, write_checksum=0, write_content_size=0, write_dict_id=0)
             self._compressors = []
-            for raw in (base + bytes(len(toxic)) + _FRAME, base + toxic + _FRAME):
-                held = zs.ZstdCompressionDict(raw, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            for own in (bytes(len(self.toxic)), self.toxic):
+                held = zs.ZstdCompressionDict(self.ordinary + own + _FRAME.tobytes(), dict_type=zs.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=params)
                 self._compressors.append(zs.ZstdCompressor(dict_data=held, compression_params=params))
-        ready = [_doubled(p) + _FRAME for p in pieces]
-        size = np.array([len(p) for p in ready], dtype=np.uint64)
-        segments = np.stack([np.cumsum(size) - size, size], axis=1).astype(np.uint64).tobytes()
-        data = b"".join(ready)
-        one, two = ([len(x) for x in c.multi_compress_to_buffer(zs.BufferWithSegments(data, segments), threads=1)] for c in self._compressors)
-        return np.array(one), np.array(two)
-
-    def savings(self, pieces: set[bytes]) -> dict[bytes, int]:
-        """Bytes that the toxic dictionary saves on each window."""
-        lack = pieces.difference(self._memo)
-        if lack:
-            if len(self._memo) + len(lack) > MEMO_WINDOWS:
-                self._memo.clear()
-                lack = pieces
-            todo = sorted(lack)
-            for k in range(0, len(todo), 50_000):
-                part = todo[k : k + 50_000]
-                one, two = self._lengths(part)
-                self._memo.update(zip(part, (one - two).tolist(), strict=True))
-        return self._memo
-
-    def counts(self, cut: list[list[bytes]]) -> np.ndarray:
-        """For each text the log number of windows over each threshold: shares, then bytes."""
-        saved = self.savings(set().union(*cut)) if cut else {}
-        row = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        flat = [w for c in cut for w in c]
-        gain = np.fromiter(map(saved.__getitem__, flat), dtype=np.int64, count=len(flat))
-        size = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
-        out = np.zeros((len(cut), 2 * _STEPS))
-        share = np.clip(gain * 16 // np.maximum(2 * size, 1), 0, _STEPS - 1)
-        for half, level in ((0, share), (_STEPS, np.clip(gain, 0, _STEPS - 1))):
-            np.add.at(out, (row, half + level), 1)
-            out[:, half : half + _STEPS] = out[:, half : half + _STEPS][:, ::-1].cumsum(axis=1)[:, ::-1]
-        return np.log1p(np.delete(out, (0, _STEPS), axis=1))
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        if len(self.weight) == 1:
-            return np.full(len(texts), float(self.weight[0]))
-        z = (self.counts([windows(t) for t in texts]) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(z @ self.weight[1:] + self.weight[0], -30, 30)))
-
-
-def _grams(pieces: list[bytes]) -> set[bytes]:
-    return {p[i : i + n] for p in pieces for n in GRAMS for i in range(len(p) - n + 1)}
+        n = np.diff(starts)
+        if not len(n):
+            return np.zeros(0, dtype=np.int64)
+        size = n + len(_FRAME)
+        at = np.cumsum(size) - size
+        data = np.empty(int(size.sum()), dtype=np.uint8)
+        data[np.arange(starts[0], starts[-1]) + np.repeat(at - starts[:-1], n)] = text[starts[0] : starts[-1]]
+        data[(at + n)[:, None] + np.arange(len(_FRAME))] = _FRAME
+        ready = zs.BufferWithSegments(data.tobytes(), np.stack([at, size], axis=1).astype(np.uint64).tobytes())
+        one, two = (np.fromiter(map(len, c.multi_compress_to_buffer(ready, threads=1)), dtype=np.int64, count=len(n)) for c in self._compressors)
+        return one - two
+
+    def counts(self, col: pa.Array) -> np.ndarray:
+        """For each text the log numbers of its windows, of all and of those over each threshold."""
+        out = np.zeros((len(col), _STEPS))
+        for a, _, buf, off in _parts(col):
+            text, starts, row = windows(buf, off)
+            np.add.at(out, (a + row, np.clip(self.savings(text, starts), 0, _STEPS - 1)), 1)
+        return np.log1p(out[:, ::-1].cumsum(axis=1)[:, ::-1])
+
+    def score(self, texts: pa.Array | list[str]) -> np.ndarray:
+        col = texts if isinstance(texts, pa.Array) else pa.array([t.lower() for t in texts], pa.large_string())
+        if not len(self.weight):
+            return np.full(len(col), self.share)
+        x = self.counts(col)
+        z = (x - self.mean) / self.scale
+        return np.where(x[:, 0] > 0, 1 / (1 + np.exp(-np.clip(z @ self.weight[1:] + self.weight[0], -30, 30))), self.share)
+
+
+def _grams(word: bytes) -> set[bytes]:
+    return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
+
+
+def telling_words(cut: list[bytes], labels: list[int]) -> list[bytes]:
+    """The words of toxic texts that hold a telling n-gram, once for each text with the word.
+
+    ``cut`` holds of each text its words, led by spaces.
+    """
+    words = [{b" " + w for w in c.split()} for c in cut]
+    toxic = [w for w, label in zip(words, labels, strict=True) if label]
+    plain = [w for w, label in zip(words, labels, strict=True) if not label]
+    support = max(min(5, 1 + len(toxic) // 10), len(toxic) // 100)
+    known: dict[bytes, frozenset[bytes]] = {}
+
+    def count(texts: list[set[bytes]], among: set[bytes] | None) -> Counter:
+        """In how many of the texts each n-gram is."""
+        found: Counter = Counter()
+        for text in texts:
+            for w in text:
+                if w not in known:
+                    known[w] = frozenset(_grams(w) if among is None else _grams(w) & among)
+            found.update(set().union(*(known[w] for w in text)))
+        return found
+
+    in_toxic = {g: n for g, n in count(toxic, None).items() if n >= support}
+    known.clear()
+    in_plain = count(plain, set(in_toxic))
+    telling = {g for g, n in in_toxic.items() if n / len(toxic) > TELLING * (in_plain[g] + 1) / max(1, len(plain))}
+    # Tiny samples have no n-gram that far apart: then those that no ordinary text holds.
+    telling = telling or {g for g in in_toxic if not in_plain[g]}
+    return [w for text in toxic for w in sorted(text) if not telling.isdisjoint(_grams(w))]
 
 
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     """Train on labelled texts.  Without both labels the score is the share of label 1 (0 without rows)."""
+    if not len(set(labels)) == 2:
+        return ToxicityModel(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), float(any(labels)))
     y = np.array(labels, dtype=np.float64)
-    shared: dict[bytes, bytes] = {}  # a word is one object in all texts that hold it
-    cut = [[shared.setdefault(w, w) for w in windows(t)] for t in texts]
-    n_toxic, n_plain = int(y.sum()), int((1 - y).sum())
-    if not n_toxic or not n_plain:
-        return ToxicityModel(b"", b"", np.zeros(0), np.zeros(0), np.array([float(n_toxic > 0)]))
-    # Grams of toxic texts are counted first, and of the ordinary ones only those that are frequent there.
-    support = max(min(5, 1 + n_toxic // 10), n_toxic // 100)
-    in_toxic: Counter = Counter()
-    for c, label in zip(cut, labels, strict=True):
-        if label:
-            in_toxic.update(_grams(c))
-    in_toxic = Counter({g: n for g, n in in_toxic.items() if n >= support})
-    in_plain: Counter = Counter()
-    for c, label in zip(cut, labels, strict=True):
-        if not label:
-            in_plain.update(g for g in _grams(c) if g in in_toxic)
-    telling = {g: n * math.log((n / n_toxic) / ((in_plain[g] + 1) / n_plain)) for g, n in in_toxic.items() if (n / n_toxic) > 9 * (in_plain[g] + 1) / n_plain}
-    toxic: Counter = Counter()
-    plain: Counter = Counter()
-    for c, label in zip(cut, labels, strict=True):
-        if label:
-            toxic.update(w for w in c if any(w[i : i + n] in telling for n in GRAMS for i in range(len(w) - n + 1)))
-        else:
-            plain.update(c)
-    common = sorted(plain.items(), key=lambda x: (-x[1], x[0]))[:20_000]
-    model = ToxicityModel(
-        _train([w for w, n in common for _ in range(min(n, 50))], ORDINARY_BYTES),
-        _cover(toxic, telling, TOXIC_BYTES),
-        np.zeros(0), np.zeros(0), np.zeros(0),
-    )
-    x = np.concatenate([model.counts(cut[k : k + 500]) for k in range(0, len(cut), 500)])
-    model._memo = {}
-    del cut, shared, plain
+    col = pa.array([t.lower() for t in texts], pa.large_string())
+    cut: list[bytes] = []
+    ordinary: list[bytes] = []
+    n_plain, seen, rng = int((1 - y).sum()), 0, np.random.default_rng(0)
+    for a, b in tk.column_slices(col, SLICE_BYTES):
+        text, starts, row = windows(*tk.text_bytes(col.slice(a, b - a)))
+        raw, ends = text.tobytes(), np.searchsorted(row, np.arange(b - a + 1))
+        for k in range(b - a):
+            own = starts[ends[k] : ends[k + 1] + 1]
+            cut.append(raw[own[0] : own[-1]] if len(own) > 1 else b"")
+            if not labels[a + k]:
+                # Every ordinary text gives its share of windows.
+                some = rng.choice(max(0, len(own) - 1), min(max(0, len(own) - 1), -(-ORDINARY_WINDOWS // n_plain)), replace=False)
+                ordinary += [raw[own[i] : own[i + 1]] for i in some.tolist()]
+    model = ToxicityModel(_train(ordinary, ORDINARY_BYTES), _train(telling_words(cut, labels), TOXIC_BYTES), np.zeros(0), np.zeros(0), np.zeros(0), float(y.mean()))
+    del cut, ordinary
+    x = model.counts(col)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    model.scale[0] = max(model.scale[0], 0.5)  # texts of one length say nothing about other lengths
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     weight = np.zeros(z.shape[1])
-    weight[0] = math.log(n_toxic / n_plain)
+    weight[0] = math.log(y.sum() / n_plain)
     ridge = np.append(0.0, np.full(z.shape[1] - 1, 0.5))
     for _ in range(50):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(z @ weight, -30, 30)))
@@ -227,40 +237,67 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(tk.crc32_mod(doc_id, 5) == 0, F.lit(False))
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, label, text) with texts of more than ``TRAIN_WINDOWS`` windows cut to that many."""
+    for batch in batches:
+        kept = []
+        for text in batch.column("text"):
+            parts = []
+            for _, _, buf, off in _parts(pa.array([text.as_py()], pa.large_string())):
+                out, starts, _ = windows(buf, off)
+                if len(starts) > 1:
+                    parts.append((out, starts, tk.run_hashes(out, starts[:-1], starts[1:])))
+            every = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, dtype=tk.U64)
+            if len(every) <= TRAIN_WINDOWS:
+                kept.append(text.as_py())
+                continue
+            limit = np.partition(every, TRAIN_WINDOWS - 1)[TRAIN_WINDOWS - 1]
+            some = [out[s:e].tobytes() for out, starts, h in parts for s, e, ok in zip(starts[:-1].tolist(), starts[1:].tolist(), (h <= limit).tolist(), strict=True) if ok]
+            kept.append(b"".join(some[:TRAIN_WINDOWS]).decode(errors="replace"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(kept, pa.string())], ["id", "label", "text"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled rows outside the held-out part.
+    """Fit on at most ``rows`` labelled rows outside the held-out part, those with the least hash of their id.
 
-    The rows are those with the least hash of their id, of texts up to ``TRAIN_CHARS``
-    characters.  A document labelled twice counts as toxic if one label says so; null labels
-    and ids are not used.
+    A text of any length takes part: of more than ``TRAIN_WINDOWS`` windows those with the least
+    hash stand for it.  A document labelled twice counts as toxic if one label says so; of rows
+    with one id, the least text is taken; null labels, ids and texts are not used.
     """
     usable = labels.select(labels[f"`{id_col}`"].alias("id"), labels[f"`{label_col}`"].cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(~held_out(F.col("id")))
     one = usable.groupBy("id").agg(F.max("label").alias("label"))
     sample = one.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).filter(f"text is not null and length(text) <= {TRAIN_CHARS}")
-    got = texts.join(F.broadcast(sample), "id").select("id", "text", "label").toArrow().to_pandas()  # at most `rows` small rows are broadcast
-    got = got.sort_values(["id", "text"]).drop_duplicates("id")
-    texts, marks = got["text"].tolist(), got["label"].astype(int).tolist()
-    del got
-    return fit(texts, marks)
+    texts = docs.select(docs[f"`{id_col}`"].alias("id"), F.lower(docs[f"`{text_col}`"]).alias("text")).filter("text is not null")
+    found = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # at most `rows` small rows are broadcast
+    # Rows with one id are few; the least hash of each is taken before anything is gathered.
+    single = found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("id", "x.label", "x.text")
+    got = tk.map_arrow(single, _sampled, f"id {dict(single.dtypes)['id']}, label int, text string").toArrow().sort_by("id")
+    return fit(got.column("text").to_pylist(), got.column("label").to_pylist())
 
 
 def score_column(model: ToxicityModel, text: Column) -> Column:
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = [model.score(s.iloc[k : k + 500].tolist()) for k in range(0, len(s), 500)]
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            yield pa.array(model.score(col), pa.float64())
 
-    return score(F.coalesce(text, F.lit("")))
+    return score(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on); null texts are scored as empty."""
-    scored = docs.withColumn("__ll_score", score_column(model, docs[f"`{text_col}`"]))
-    return tk.with_outputs(scored, score=F.col("__ll_score"), predicted=(F.col("__ll_score") >= 0.5).cast("int")).drop("__ll_score")
+    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on).
+
+    Null texts are scored as empty; texts without words get the share of toxic training rows; equal texts have equal scores; columns of ``docs`` with the
+    names of the outputs are replaced, and no other is touched.
+    """
+    tk.bound_batches(docs.sparkSession)
+    p = tk.fresh(docs)
+    scored = docs.withColumn(f"{p}score", score_column(model, docs[f"`{text_col}`"]))
+    return tk.with_outputs(scored, score=F.col(f"{p}score"), predicted=(F.col(f"{p}score") >= 0.5).cast("int")).drop(f"{p}score")
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are predicted toxic."""
-    return docs.withColumn("__ll_score", score_column(model, docs[f"`{text_col}`"])).filter("__ll_score < 0.5").drop("__ll_score")
+    tk.bound_batches(docs.sparkSession)
+    p = tk.fresh(docs)
+    return docs.withColumn(f"{p}score", score_column(model, docs[f"`{text_col}`"])).filter(F.col(f"{p}score") < 0.5).drop(f"{p}score")

@@ -129,6 +129,49 @@ def test_toxicity_learns_marked_words(spark):
     assert len(got) == len(ODD) and got.predicted.sum() == 0 and got.score.dtype == float  # the column of the same name is replaced
     assert toxicity.reject_toxic(docs(spark, ODD), model).columns == docs(spark, ODD).columns
     assert toxicity.fit([], []).score(["x"]).tolist() == [0.0]
+    assert toxicity.fit(["a b"], [1]).score(["x", ""]).tolist() == [1.0, 1.0]
+    assert model.score(["", "!"]).tolist() == [model.share, model.share]
+
+
+def test_windows_cover_the_words_and_long_texts_come_in_parts(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [" ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 40))) for _ in range(rng.integers(0, 60))) for _ in range(50)] + ["", "x" * 100, "?"]
+    col = pa.array(texts, pa.large_string())
+    out, starts, row = toxicity.windows(*tk.text_bytes(col))
+    got = [b"" for _ in texts]
+    for s, e, r in zip(starts[:-1], starts[1:], row):
+        assert e - s <= 2 * toxicity.WINDOW + 1
+        got[r] += out[s:e].tobytes()
+    assert got == [b"".join(b" " + w for w in words(t)) for t in texts]
+    model = toxicity.fit(["good words of a kind " * 3] * 30 + ["bad gruntfask words " * 3] * 30, [0] * 30 + [1] * 30)
+    whole = model.counts(col)
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 1 << 9)
+    np.testing.assert_allclose(np.expm1(model.counts(col))[:, 0], np.expm1(whole)[:, 0], atol=6)
+
+
+def test_training_rows(spark, monkeypatch):
+    """Repeated labels and rows, nulls, an empty table, and a long text that a sample of its windows stands for."""
+    monkeypatch.setattr(toxicity, "TRAIN_WINDOWS", 50)
+    rows = [(k, f"plain words number {k} of an ordinary text") for k in range(60)] + [(k, f"gruntfask {k} words of a zaxhund text") for k in range(60, 120)]
+    rows += [(60, "gruntfask again"), (0, " ".join(f"word{j}" for j in range(3000))), (None, "gruntfask"), (119, None)]
+    marks = [(k, int(k >= 60)) for k in range(120)] + [(61, 0), (62, None), (None, 1), (500, 1)]
+    d, m = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(d, m)
+    got = {r.doc_id: r.predicted for r in toxicity.classify(d.filter("doc_id > 0 and text is not null"), model).collect()}
+    assert sum(got[k] == int(k >= 60) for k in got) >= 0.95 * len(got)
+    assert toxicity.train(d.limit(0), m).share == 0 and toxicity.train(d, m.limit(0)).share == 0
+    assert toxicity.classify(d.limit(0), model).count() == 0
+    clash = d.withColumn("__ll_score", F.lit(5))
+    assert {r["__ll_score"] for r in toxicity.classify(clash, model).collect()} == {5} and toxicity.reject_toxic(clash, model).columns == clash.columns
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """The query's contract and its held-out figures on the smallest tables with enough labels."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out").toPandas()
+    caught = got[got.toxic == 1].predicted.mean()
+    spared = 1 - got[got.toxic == 0].predicted.mean()
+    assert caught >= 0.9 and spared >= 0.99, (caught, spared)
 
 
 def test_pseudonyms_keep_format_and_link(spark):
