@@ -32,10 +32,15 @@ from loglattice.llm import textkit as tk
 #: Bounds of the training sample: labelled rows, windows of one text (those of least hash), and ordinary windows for their dictionary.
 TRAIN_ROWS, TRAIN_WINDOWS, ORDINARY_WINDOWS = 8_000, 2_048, 60_000
 WINDOW = 16
-TOXIC_BYTES, ORDINARY_BYTES = 1_024, 8_192
+TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 1_024, 8_192, 4_096
+#: From how many bytes saved on a window of an ordinary text it goes into the ordinary dictionary.
+MISLED = 2
 GRAMS = (4, 6, 8)
 #: How many times larger the share of toxic texts that hold a telling n-gram is.
 TELLING = 30
+MEMO_WORDS = 100_000
+#: The trainer's segments, and the runs of bytes whose frequency it counts.
+SEGMENT, RUN = 24, 8
 SLICE_BYTES = 1 << 19
 _FRAME = np.arange(128, 160, dtype=np.uint8)
 _STEPS = 14
@@ -97,7 +102,7 @@ def _train(samples: list[bytes], size: int) -> bytes:
     order = np.random.default_rng(0).permutation(len(samples))
     joined = [b"".join(samples[i] for i in order[k : k + 8]) for k in range(0, len(samples), 8)]
     try:
-        return zs.train_dictionary(size, joined, k=24, d=8, level=3).as_bytes()
+        return zs.train_dictionary(size, joined, k=SEGMENT, d=RUN, level=3).as_bytes()
     except zs.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -144,6 +149,19 @@ class ToxicityModel:
         one, two = (np.fromiter(map(len, c.multi_compress_to_buffer(ready, threads=1)), dtype=np.int64, count=len(n)) for c in self._compressors)
         return one - two
 
+    def misled(self, col: pa.Array, labels: list[int]) -> list[bytes]:
+        """Windows of ordinary texts on which the toxic dictionary saves bytes, a hash sample of ``ORDINARY_WINDOWS`` at most."""
+        found: list[tuple[int, bytes]] = []
+        plain = np.array(labels) == 0
+        for a, _, buf, off in _parts(col):
+            text, starts, row = windows(buf, off)
+            raw, order = text.tobytes(), tk.run_hashes(text, starts[:-1], starts[1:])
+            for k in np.flatnonzero((self.savings(text, starts) >= MISLED) & plain[a + row]).tolist():
+                found.append((int(order[k]), raw[starts[k] : starts[k + 1]]))
+            if len(found) > 2 * ORDINARY_WINDOWS:
+                found = sorted(found)[:ORDINARY_WINDOWS]
+        return [w for _, w in sorted(found)[:ORDINARY_WINDOWS]]
+
     def counts(self, col: pa.Array) -> np.ndarray:
         """For each text the log numbers of its windows, of all and of those over each threshold."""
         out = np.zeros((len(col), _STEPS))
@@ -170,40 +188,37 @@ def telling_words(cut: list[bytes], labels: list[int]) -> list[bytes]:
 
     ``cut`` holds of each text its words, led by spaces.
     """
-    words = [{b" " + w for w in c.split()} for c in cut]
-    toxic = [w for w, label in zip(words, labels, strict=True) if label]
-    plain = [w for w, label in zip(words, labels, strict=True) if not label]
-    support = max(min(5, 1 + len(toxic) // 10), len(toxic) // 100)
-    known: dict[bytes, frozenset[bytes]] = {}
-
-    def count(texts: list[set[bytes]], among: set[bytes] | None) -> Counter:
-        """In how many of the texts each n-gram is."""
-        found: Counter = Counter()
-        for text in texts:
-            for w in text:
-                if w not in known:
-                    known[w] = frozenset(_grams(w) if among is None else _grams(w) & among)
-            found.update(set().union(*(known[w] for w in text)))
-        return found
-
-    in_toxic = {g: n for g, n in count(toxic, None).items() if n >= support}
-    known.clear()
-    in_plain = count(plain, set(in_toxic))
-    telling = {g for g, n in in_toxic.items() if n / len(toxic) > TELLING * (in_plain[g] + 1) / max(1, len(plain))}
+    def words(text: bytes) -> set[bytes]:
+        return {b" " + w for w in text.split()}
+
+    n_toxic, n_plain = sum(labels), len(labels) - sum(labels)
+    support = max(min(5, 1 + n_toxic // 10), n_toxic // 100)
+    counted: Counter = Counter()
+    for text, label in zip(cut, labels, strict=True):
+        if label:
+            counted.update(set().union(*map(_grams, words(text))))
+    in_toxic = {g: n for g, n in counted.items() if n >= support}
+    del counted
+    in_plain: Counter = Counter()
+    known: dict[bytes, frozenset[bytes]] = {}  # a memo: most words come again
+    for text, label in zip(cut, labels, strict=True):
+        if not label:
+            if len(known) > MEMO_WORDS:
+                known.clear()
+            own = words(text)
+            known.update((w, frozenset(g for g in _grams(w) if g in in_toxic)) for w in own if w not in known)
+            in_plain.update(set().union(*(known[w] for w in own)))
+    telling = {g for g, n in in_toxic.items() if n / n_toxic > TELLING * (in_plain[g] + 1) / max(1, n_plain)}
     # Tiny samples have no n-gram that far apart: then those that no ordinary text holds.
     telling = telling or {g for g in in_toxic if not in_plain[g]}
-    return [w for text in toxic for w in sorted(text) if not telling.isdisjoint(_grams(w))]
+    return [w for text, label in zip(cut, labels, strict=True) if label for w in sorted(words(text)) if not telling.isdisjoint(_grams(w))]
 
 
-def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """Train on labelled texts.  Without both labels the score is the share of label 1 (0 without rows)."""
-    if not len(set(labels)) == 2:
-        return ToxicityModel(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), float(any(labels)))
-    y = np.array(labels, dtype=np.float64)
-    col = pa.array([t.lower() for t in texts], pa.large_string())
+def _dictionaries(col: pa.Array, labels: list[int]) -> ToxicityModel:
+    """A model with dictionaries of the texts of both labels, not calibrated yet."""
     cut: list[bytes] = []
     ordinary: list[bytes] = []
-    n_plain, seen, rng = int((1 - y).sum()), 0, np.random.default_rng(0)
+    n_plain, rng, none = len(labels) - sum(labels), np.random.default_rng(0), np.zeros(0)
     for a, b in tk.column_slices(col, SLICE_BYTES):
         text, starts, row = windows(*tk.text_bytes(col.slice(a, b - a)))
         raw, ends = text.tobytes(), np.searchsorted(row, np.arange(b - a + 1))
@@ -214,14 +229,30 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
                 # Every ordinary text gives its share of windows.
                 some = rng.choice(max(0, len(own) - 1), min(max(0, len(own) - 1), -(-ORDINARY_WINDOWS // n_plain)), replace=False)
                 ordinary += [raw[own[i] : own[i + 1]] for i in some.tolist()]
-    model = ToxicityModel(_train(ordinary, ORDINARY_BYTES), _train(telling_words(cut, labels), TOXIC_BYTES), np.zeros(0), np.zeros(0), np.zeros(0), float(y.mean()))
+    common, toxic = _train(ordinary, ORDINARY_BYTES), _train(telling_words(cut, labels), TOXIC_BYTES)
     del cut, ordinary
+    model = ToxicityModel(common, toxic, none, none, none, sum(labels) / len(labels))
+    hard = model.misled(col, labels)
+    return ToxicityModel(_train(hard, HARD_BYTES) + common, toxic, none, none, none, model.share) if hard else model
+
+
+def fit(texts: list[str] | pa.Array, labels: list[int]) -> ToxicityModel:
+    """Train on labelled texts (an Arrow array must hold lower-case ones).
+
+    Without both labels the score is the share of label 1 (0 without rows).
+    """
+    none = np.zeros(0)
+    if not len(set(labels)) == 2:
+        return ToxicityModel(b"", b"", none, none, none, float(any(labels)))
+    col = texts if isinstance(texts, pa.Array) else pa.array([t.lower() for t in texts], pa.large_string())
+    y = np.array(labels, dtype=np.float64)
+    model = _dictionaries(col, labels)
     x = model.counts(col)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     model.scale[0] = max(model.scale[0], 0.5)  # texts of one length say nothing about other lengths
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     weight = np.zeros(z.shape[1])
-    weight[0] = math.log(y.sum() / n_plain)
+    weight[0] = math.log(y.sum() / (len(y) - y.sum()))
     ridge = np.append(0.0, np.full(z.shape[1] - 1, 0.5))
     for _ in range(50):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(z @ weight, -30, 30)))
@@ -272,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     # Rows with one id are few; the least hash of each is taken before anything is gathered.
     single = found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("id", "x.label", "x.text")
     got = tk.map_arrow(single, _sampled, f"id {dict(single.dtypes)['id']}, label int, text string").toArrow().sort_by("id")
-    return fit(got.column("text").to_pylist(), got.column("label").to_pylist())
+    return fit(pa.concat_arrays(got.column("text").chunks or [pa.array([], pa.string())]).cast(pa.large_string()), got.column("label").to_pylist())
 
 
 def score_column(model: ToxicityModel, text: Column) -> Column:
