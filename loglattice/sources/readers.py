@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import normalize as n
 from loglattice.functions import vocab
-from loglattice.schema import column_of, conform
+from loglattice.schema import RAW, column_of, conform
 
 MAP = "map<string,string>"
 MESSAGE_CHARS = 2000
@@ -24,20 +24,30 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_name").alias("file"))
 
 
+def _objects(text: Column) -> Column:
+    """The objects of one JSON text: an array's, those under ``Data``, or the one there is."""
+    one = F.from_json(text, MAP)
+    data = F.coalesce(one["Data"], one["data"])
+    return F.when(text.startswith("["), F.from_json(text, f"array<{MAP}>")).when(data.startswith("["), F.from_json(data, f"array<{MAP}>")).otherwise(F.array(one))
+
+
 def json_objects(spark: SparkSession, path: str) -> DataFrame:
     """(m, file): every object as a map of its fields' JSON text.
 
-    One object a line, an array, ``{"Data": [...]}`` or one object over many lines.
+    One object a line, an array, ``{"Data": [...]}`` or one object over many lines.  Files of one
+    object a line are read in splits; only others are read whole, as they can't be cut.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("t"), F.col("_metadata.file_name").alias("file"))
-    trimmed = F.trim(F.regexp_replace("t", r"^\s+|\s+$", ""))
-    one = F.from_json(trimmed, MAP)
-    data = F.coalesce(one["Data"], one["data"])
-    items = F.when(trimmed.startswith("["), F.from_json(trimmed, f"array<{MAP}>")).when(data.startswith("["), F.from_json(data, f"array<{MAP}>"))
-    lines = F.transform(F.split(F.col("t"), r"\r?\n"), lambda x: F.from_json(x, MAP))
-    good = F.filter(lines, lambda m: m.isNotNull() & (F.size(m) > 0))
-    found = F.coalesce(items, F.when(F.size(good) > 0, good), F.array(one))
-    return whole.select(F.explode(found).alias("m"), "file").filter("m is not null and size(m) > 0")
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "^\ufeff|\\s+$", "")).alias("t"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
+    complete = F.col("t").startswith("{") & F.col("t").endswith("}")
+    others = [r.path for r in lines.filter((F.col("t") != "") & ~complete).select("path").distinct().collect()]  # a row a file
+    found = lines.filter(complete if not others else complete & ~F.col("path").isin(others)).select(F.explode(_objects(F.col("t"))).alias("m"), "file")
+    if others:
+        whole = spark.read.text(others, wholetext=True).select(F.regexp_replace("value", "^\ufeff|^\\s+|\\s+$", "").alias("t"), F.col("_metadata.file_name").alias("file"))
+        each = F.filter(F.transform(F.split("t", r"\r?\n"), lambda x: F.from_json(x, MAP)), lambda m: m.isNotNull() & (F.size(m) > 0))
+        good = F.filter(_objects(F.col("t")), lambda m: m.isNotNull() & (F.size(m) > 0))
+        # Neither an array nor one object: lines, of which some are damaged.
+        found = found.unionByName(whole.select(F.explode(F.when(F.size(good) > 0, good).otherwise(each)).alias("m"), "file"))
+    return found.filter("m is not null and size(m) > 0")
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +134,7 @@ def packets(spark: SparkSession, path: str, source: str = "pcap") -> DataFrame:
 
 def zeek_log(spark: SparkSession, path: str) -> DataFrame:
     """(m): rows of a Zeek TSV log by its header's field names; ``-`` and ``(empty)`` are null."""
-    rows = _lines(spark, path)
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
     head = rows.filter("line like '#fields%'").select("file", F.expr("slice(split(line, '\t'), 2, 10000)").alias("names")).dropDuplicates(["file"])
     body = rows.filter("line not like '#%' and line <> ''").withColumn("v", F.transform(F.split("line", "\t", -1), lambda x: F.when(~x.isin("-", "(empty)"), x)))
     return body.join(F.broadcast(head), "file").select(F.map_from_arrays("names", F.expr("slice(concat(v, array_repeat(cast(null as string), size(names))), 1, size(names))")).alias("m"))  # a header line a file
@@ -133,10 +143,23 @@ def zeek_log(spark: SparkSession, path: str) -> DataFrame:
 FAILED_STATES = ("REJ", "RSTO", "RSTR", "RSTOS0", "RSTRH", "SH", "SHR")
 
 
-def zeek(spark: SparkSession, folder: str, source: str = "zeek", logs: tuple[str, ...] = ("conn", "dns", "http", "ssl", "notice")) -> DataFrame:
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def zeek(spark: SparkSession, folder: str, source: str | None = None, logs: tuple[str, ...] = ("conn", "dns", "http", "ssl", "notice")) -> DataFrame:
     """Connections with a row per transaction, joined on uid; the first notice is on all of a
-    connection's rows, further ones are rows of their own."""
+    connection's rows, further ones are rows of their own.
+
+    Logs that are not there are left out; without connections there are no rows.  The source is
+    ``pcap:`` and the folder's name, so that Zeek's and other records of captures are one family.
+    """
     m = F.col("m")
+    source = source or f"pcap:{folder.rstrip('/').rpartition('/')[2]}"
+    logs = tuple(log for log in logs if _there(spark, f"{folder}/{log}.log"))
+    if "conn" not in logs:
+        return spark.createDataFrame([], RAW)
     out = zeek_log(spark, f"{folder}/conn.log")
     state = m["conn_state"]
     outcome = F.when((state == "S0") & (m["proto"] == "udp"), F.lit(None)).when(state.isin("S0", *FAILED_STATES), "failure").when(state.isNotNull(), "success")
@@ -266,7 +289,7 @@ def registry_export(spark: SparkSession, path: str, source: str = "registry") ->
     rows = rows.withColumn("kind", kind).withColumn("data", data).withColumn("cat", vocab.classify_key(F.col("key")))
     hit = vocab.registry_indicator(F.col("cat"), F.col("name"), F.col("data"), F.col("kind"))
     hive = F.regexp_extract("key", r"^([^\\]+)", 1)
-    program = F.when(F.col("cat").isNotNull() & F.col("kind").isin("REG_SZ", "REG_EXPAND_SZ"), vocab.program_from_value(F.col("data")))
+    program = F.when(F.col("kind").isin("REG_SZ", "REG_EXPAND_SZ"), vocab.program_of(F.col("cat"), F.col("name"), F.col("data")))
     return conform(rows.select("ts", F.lit(source).alias("source"), F.lit("registry").alias("category"), F.lit("registry-value").alias("action"), hive.alias("registry_hive"), F.col("key").alias("registry_key"), F.col("name").alias("registry_value"), F.col("data").alias("registry_data"), F.col("kind").alias("registry_type"), F.col("cat").alias("rule_description"), hit["description"].alias("ioc_description"), hit["severity"].alias("ioc_severity"), program.alias("file_name"), F.substring(F.concat_ws(" ", "key", "name", "data"), 1, MESSAGE_CHARS).alias("message")))
 
 
@@ -284,7 +307,11 @@ def registry_tree(spark: SparkSession, path: str, hive: str, source: str = "regi
             level = level.select(F.explode(F.from_json(F.col("m")["SubKeys"], f"array<{MAP}>")).alias("m"))
     rows = out.withColumn("cat", vocab.classify_key(F.col("key"))).filter("cat is not null and t is not null")
     rows = rows.withColumn("v", F.explode_outer(F.from_json("values", f"array<{MAP}>")))
-    return conform(rows.select(iso_time(F.col("t")).alias("ts"), F.lit(source).alias("source"), F.lit("registry").alias("category"), F.lit("registry-key").alias("action"), F.lit(hive).alias("registry_hive"), F.col("key").alias("registry_key"), F.col("v")["ValueName"].alias("registry_value"), F.col("v")["ValueData"].alias("registry_data"), F.col("cat").alias("rule_description"), vocab.program_from_value(F.col("v")["ValueData"]).alias("file_name")))
+    return conform(rows.select(iso_time(F.col("t")).alias("ts"), F.lit(source).alias("source"), F.lit("registry").alias("category"), F.lit("registry-key").alias("action"), F.lit(hive).alias("registry_hive"), F.col("key").alias("registry_key"), F.col("v")["ValueName"].alias("registry_value"), F.col("v")["ValueData"].alias("registry_data"), F.col("cat").alias("rule_description"), vocab.program_of(F.col("cat"), F.col("v")["ValueName"], F.col("v")["ValueData"]).alias("file_name")))
+
+
+#: The action of a folder's record.
+DIRECTORY = "directory-metadata"
 
 
 def mft(spark: SparkSession, path: str, source: str = "mft") -> DataFrame:
@@ -297,21 +324,27 @@ def mft(spark: SparkSession, path: str, source: str = "mft") -> DataFrame:
     name = F.when(dotted.isNotNull() & ~F.lower(base).endswith(F.lower(dotted)), F.concat(base, dotted)).otherwise(base)
     at = F.coalesce(time("Created"), time("LastModified"), time("LastRecordChange"), time("LastAccess"))
     folder = _get("ParentPath", "FullPath")
-    return conform(rows.select(iso_time(at).alias("ts"), F.lit(source).alias("source"), F.lit("file").alias("category"), F.lit("file-record").alias("action"), name.alias("file_name"), F.when(F.col("m")["ParentPath"].isNotNull(), F.concat(folder, F.lit("\\"), name)).otherwise(folder).alias("file_path"), F.col("m")["FileSize"].alias("bytes")))
+    return conform(rows.select(iso_time(at).alias("ts"), F.lit(source).alias("source"), F.lit("file").alias("category"), F.when(F.lower(_get("IsDirectory")) == "true", DIRECTORY).otherwise("file-metadata").alias("action"), name.alias("file_name"), F.when(F.col("m")["ParentPath"].isNotNull(), F.concat(folder, F.lit("\\"), name)).otherwise(folder).alias("file_path"), F.col("m")["FileSize"].alias("bytes")))
 
 
-SUSPICIOUS_PATHS = (r"\temp\\", r"\appdata\\", r"\programdata\\", r"\users\public\\", r"\$recycle.bin\\", r"\perflogs\\")
-EXECUTABLES = ("exe", "dll", "sys", "scr", "com", "pif", "bat", "cmd", "ps1", "vbs", "js", "wsf", "hta", "msi")
+# Parts of paths where attackers put files, and extensions of programs and scripts.
+SUSPICIOUS_PATHS = ("\\appdata\\local\\temp\\", "\\windows\\temp\\", "\\programdata\\", "\\windows\\tasks\\", "\\users\\public\\", "$recycle.bin")
+EXECUTABLES = ("exe", "dll", "ps1", "psm1", "bat", "cmd", "vbs", "vbe", "js", "jse", "hta", "scr", "msi", "com")
 
 
 def suspicious_files(events: DataFrame) -> DataFrame:
-    """Executable files in places where programs seldom are; extensions count with or without dot."""
+    """Files, not folders, under paths where attackers put them."""
     path = F.lower(F.coalesce("file_path", F.lit("")))
-    ext = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1))
     there = F.lit(False)
     for p in SUSPICIOUS_PATHS:
-        there |= path.contains(p.rstrip("\\") + "\\")
-    return events.filter(there & ext.isin(*EXECUTABLES))
+        there |= path.contains(p)
+    return events.filter(there & ~F.coalesce(F.col("action") == DIRECTORY, F.lit(False)))
+
+
+def executable_files(events: DataFrame) -> DataFrame:
+    """Files that are programs or scripts by their extension, with or without its dot."""
+    ext = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1))
+    return events.filter(ext.isin(*EXECUTABLES) & ~F.coalesce(F.col("action") == DIRECTORY, F.lit(False)))
 
 
 def thor(spark: SparkSession, path: str, year: int | None = None, source: str = "thor") -> DataFrame:
@@ -398,9 +431,16 @@ def crowdstrike(spark: SparkSession, path: str, source: str = "crowdstrike") ->
 
 
 def logon_summary(spark: SparkSession, path: str) -> DataFrame:
-    """(n, event, user, host, src_ip, logon_type) of a logon summary CSV; shorter rows are skipped."""
-    rows = _lines(spark, path).select(F.from_csv("line", ", ".join(f"c{k} string" for k in range(12))).alias("c")).filter("c.c9 is not null and try_cast(c.c0 as int) is not null")
-    return rows.select(F.col("c.c0").try_cast("int").alias("n"), F.col("c.c1").alias("event"), F.col("c.c2").alias("user"), F.col("c.c4").alias("host"), F.col("c.c9").alias("src_ip"), n.blank_to_null(F.regexp_extract("c.c6", "([0-9]+)", 1)).alias("logon_type"))
+    """(n, event, user, host, src_ip, logon_type) of a logon summary CSV.
+
+    Columns: count, event, target account, domain and computer, logon type ("3 - Network"), source
+    account, domain, computer and address.  A header and rows of fewer than ten columns are
+    skipped; a count that is no number is 0.
+    """
+    rows = _lines(spark, path).select(F.from_csv("line", ", ".join(f"c{k} string" for k in range(12))).alias("c")).filter("c.c9 is not null and not (c.c1 = 'Event' and c.c0 in ('Successful', 'Failed'))")
+    x = lambda k: F.trim(F.col(f"c.c{k}"))
+    kind = F.trim(F.substring_index(x(5), "-", 1))
+    return rows.select(F.coalesce(x(0).try_cast("int"), F.lit(0)).alias("n"), x(1).alias("event"), x(2).alias("user"), x(4).alias("host"), x(9).alias("src_ip"), F.when(kind.rlike("^[0-9]+$"), kind).alias("logon_type"))
 
 
 READERS = {"evtx": detections, "evtx_full": windows_events, "pcap": packets, "zeek": zeek, "log": log_file, "reg": registry_export, "registry_tree": registry_tree, "mft": mft, "thor": thor, "thor_csv": thor_csv, "osquery": osquery, "crowdstrike": crowdstrike}

@@ -46,6 +46,10 @@ def test_event_ids_and_registry_keys(spark):
     assert one(spark, vocab.classify_key, r"HKLM\SYSTEM\ControlSet001\Services\Evil") == "Services"
     assert one(spark, vocab.program_from_value, r"C:\Program Files\Vendor\agent.exe /silent x.exe") == r"C:\Program Files\Vendor\agent.exe"
     assert one(spark, vocab.program_from_value, "https://x.example/a.exe") is None
+    assert one(spark, vocab.program_from_value, '"C:\\a b\\x.exe" -q') == "C:\\a b\\x.exe" and one(spark, vocab.program_from_value, '"C:\\open.exe') is None
+    program = lambda category, name, data: one(spark, lambda c: vocab.program_of(F.lit(category), F.lit(name), c), data)
+    assert program("Winlogon", "Userinit", r"C:\Windows\system32\userinit.exe,C:\Temp\evil.exe,") == r"C:\Temp\evil.exe" and program("Winlogon", "Other", "a.exe") is None
+    assert program("Services", "ImagePath", r"\??\C:\s.exe -k") == r"C:\s.exe" and program("Services", "DisplayName", "s.exe") is None and program("LSA Packages", "x", "a.exe") is None
 
 
 def events(spark, rows):
@@ -104,7 +108,7 @@ def test_timeline_says_why(spark):
 def test_clusters_join_over_shared_entities(spark):
     ev = events(spark, [{"source": "evtx", "user_name": "alice", "host": "ws1", "techniques": "T1110"}, {"source": "log:a", "user_name": "alice", "src_ip": "10.0.0.9"}, {"source": "thor", "host": "ws1", "file_hash": "cd" * 16}, {"source": "evtx", "user_name": "bob"}])
     got = graph.incident_clusters(ev).collect()
-    assert len(got) == 1 and got[0]["sources"] == 3 and got[0]["hashes"] == "cd" * 16 and got[0]["depth"] == 4
+    assert len(got) == 1 and got[0]["sources"] == 3 and got[0]["hashes"] == 1 and got[0]["kc_depth"] == 4 and got[0]["deepest_phase"] == "Exploitation" and got[0]["tactics"] == "credential-access"
 
 
 def test_empty_events_do_not_fail(spark):

@@ -80,7 +80,30 @@ def test_registry_tree_and_mft(spark, tmp_path):
     assert [(x["registry_value"], x["file_name"], x["ts"]) for x in got] == [("a", "C:\\x.exe", "2026-01-01T00:00:00.123456Z")]
     got = r.mft(spark, write(tmp_path, "m.json", json.dumps({"FileName": "evil", "Extension": ".exe", "ParentPath": ".\\Users\\Public", "Created0x10": "", "Created0x30": "2026-01-01 00:00:00", "FileSize": 7})))
     assert rows(got)[0] | {"file_name": "evil.exe", "ts": "2026-01-01T00:00:00Z", "bytes": 7} == rows(got)[0]
-    assert r.suspicious_files(got).count() == 1
+    assert r.suspicious_files(got).count() == 1 and r.executable_files(got).count() == 1
+    many = [{"FileName": f"f{k}.jse", "FullPath": p} for k, p in enumerate(("C:\\Windows\\Tasks\\a.job", "C:\\PerfLogs\\b", "C:\\Temp\\c"))] + [{"FileName": "d", "FullPath": "C:\\Windows\\Temp\\d", "IsDirectory": True}]
+    for text in ("\n".join(map(json.dumps, many)), json.dumps(many), json.dumps(many, indent=1), json.dumps({"Data": many})):
+        got = r.mft(spark, write(tmp_path, "n.json", text))
+        assert got.count() == 4 and r.suspicious_files(got).count() == 1 and r.executable_files(got).count() == 3
+
+
+def test_logon_summary(spark, tmp_path):
+    text = """Successful,Event,Target Account,Target Domain,Target Computer,Logon Type,Source Account,Source Domain,Source Computer,Source IP
+12,4624,ann,CORP,ws1,3 - Network,svc10,CORP,ws2,10.0.0.9
+x,4624,bob,CORP,ws1,- ,7,CORP,ws2,10.0.0.8
+1,4624,short
+"""
+    got = r.logon_summary(spark, write(tmp_path, "l.csv", text)).collect()
+    assert [(x.n, x.user, x.host, x.src_ip, x.logon_type) for x in got] == [(12, "ann", "ws1", "10.0.0.9", "3"), (0, "bob", "ws1", "10.0.0.8", None)]
+
+
+def test_zeek_with_the_logs_that_are_there(spark, tmp_path):
+    folder = tmp_path / "capture.pcap"
+    folder.mkdir()
+    assert r.zeek(spark, str(folder)).count() == 0
+    (folder / "conn.log").write_text("#separator \\x09\n#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tconn_state\n1767225600.5\tC1\t10.0.0.1\t5\t10.0.0.2\t53\tudp\tSF\n")
+    got = rows(r.zeek(spark, str(folder)))
+    assert [(x["source"], x["src_ip"], x["outcome"]) for x in got] == [("pcap:capture.pcap", "10.0.0.1", "success")]
 
 
 def test_registry_tree_of_many_levels(spark, tmp_path):
