@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import attack
-from loglattice.operators.correlate import family_key
+from loglattice.operators.correlate import UNMAPPED_PHASE, family_key
 from loglattice.operators.recipes import _order, count_rows
 
 ROUNDS = 60
@@ -81,39 +81,74 @@ def entity_graph(events: DataFrame, infra_ips: tuple[str, ...] = (), limit_nodes
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) by least labels, with a label's own label followed each round."""
-    both = _stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
+    """(node, root) of the components of the links (a, b): root is the component's least node.
+
+    Names are numbered by a hash of 64 bits, so that rounds move numbers only.  Every round
+    points each node at its least neighbour, follows that pointer once and merges nodes into what
+    they point at.  Links inside a merged node vanish: the links shrink from round to round, and
+    so does a hub's number of them.
+    """
+    named = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.xxhash64("node").alias("k"))
+    links = _stored(edges.filter("a != b").select(*_pair(F.xxhash64("a"), F.xxhash64("b"))).distinct())
+    labels = None
     for _ in range(ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        better = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = _stored(better.join(up, "root").select("node", "old", F.least("root", "up").alias("root")))
-        if not jumped.filter("root != old").limit(1).count():
-            return jumped.select("node", "root")
-        labels = jumped.select("node", "root")
-    raise RuntimeError("components did not settle")
+        if links.isEmpty():
+            break
+        both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = _stored(both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("a"), F.min("b")).alias("up")))
+        grand = parent.select(F.col("k").alias("up"), F.col("up").alias("top"))
+        moved = _stored(parent.join(grand, "up").select("k", F.col("top").alias("to")))
+        if labels is None:
+            labels = moved.select("k", F.col("to").alias("root"))
+        else:
+            step = moved.select(F.col("k").alias("root"), "to")
+            labels = _stored(labels.join(step, "root", "left").select("k", F.coalesce("to", "root").alias("root")))
+        of = {c: moved.select(F.col("k").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")}
+        inner = links.join(of["a"], "a").join(of["b"], "b").filter("a_to != b_to").select(*_pair(F.col("a_to"), F.col("b_to")))
+        # What is pointed at may point on: that link stays.
+        onward = moved.join(moved.select(F.col("k").alias("to"), F.col("to").alias("next")), "to").filter("next != to").select(*_pair(F.col("to"), F.col("next")))
+        links = _stored(inner.unionAll(onward).distinct())
+    else:
+        raise RuntimeError("components did not settle")
+    if labels is None:
+        return named.select("node", F.col("node").alias("root"))
+    rooted = named.join(labels, "k", "left").select("node", F.coalesce("root", "k").alias("r"))
+    names = rooted.groupBy("r").agg(F.min("node").alias("root"))
+    return _stored(rooted.join(names, "r").select("node", "root"))
+
+
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
 def incident_clusters(events: DataFrame, infra_ips: tuple[str, ...] = (), min_families: int = 2, min_entities: int = 2, limit: int = 50) -> DataFrame:
-    """Events joined by shared entities, deepest in the kill chain first.
+    """Entities joined by the events that name them together, deepest in the kill chain first.
 
     Each event links its first entity to its others; distinct links are joined to components.
+    users, hosts and ips list the first few of them; hashes, files and domains are numbers.
     """
-    rows = _keyed(events, infra_ips).filter("size(keys) > 0").select("keys", family_key().alias("family"), "kc_order", "kc_phase", "attack_evidence", "tactic_list")
-    star = rows.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct()
-    roots = components(star)
-    member = rows.join(roots, rows["keys"][0] == roots["node"])
-    facts = member.groupBy("root").agg(count_rows().alias("events"), F.count_distinct("family").alias("sources"), F.array_join(F.array_sort(F.collect_set("family")), ", ").alias("source_list"), F.max("kc_order").alias("depth"), F.count_if("attack_evidence").alias("attack_events"), F.collect_set("kc_phase").alias("seen")).filter(F.col("sources") >= min_families)
-    kinds = roots.select("root", "node", F.substring_index("node", ":", 1).alias("kind"), F.expr("substr(node, instr(node, ':') + 1)").alias("value"))
+    used = ["family", "kc_order", "kc_phase", "attack_evidence", "tactic_list"]
+    # Derived once; of events alike in all that is used one row is kept.
+    rows = _stored(_keyed(events, infra_ips).filter("size(keys) > 0").select("keys", family_key().alias("family"), *used[1:]).distinct())
+    roots = components(rows.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct())
+    # Distinct by first entity before the join, so that a hub is a few rows.
+    member = rows.select(F.col("keys")[0].alias("node"), *used).distinct().join(roots, "node")
+    facts = member.groupBy("root").agg(
+        F.count_distinct("family").alias("sources"), F.array_join(F.array_sort(F.collect_set("family")), ", ").alias("source_list"), F.max("kc_order").alias("kc_depth"),
+        F.max(F.coalesce("attack_evidence", F.lit(False))).alias("evidence"), F.collect_set("kc_phase").alias("seen"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tactic_list")))), ", ").alias("tactics"),
+    ).filter(F.col("sources") >= min_families)
+    kinds = roots.select("root", F.substring_index("node", ":", 1).alias("kind"), F.expr("substr(node, instr(node, ':') + 1)").alias("value"))
     rank = F.row_number().over(Window.partitionBy("root", "kind").orderBy("value"))
     per_kind = kinds.groupBy("root", "kind").agg(count_rows().alias("n"))
     # The first few of each kind are listed; ranking has map-side limits, so a large cluster isn't gathered.
     first = kinds.withColumn("k", rank).filter(F.col("k") <= SHOWN).groupBy("root", "kind").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("list"))
+    of_kind = lambda k, c, default: F.coalesce(F.max(F.when(F.col("kind") == k, F.col(c))), F.lit(default))
     wide = per_kind.join(first, ["root", "kind"]).groupBy("root").agg(
-        F.sum("n").alias("entities"),
-        *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("list"))), F.lit("")).alias(name) for k, name in (("host", "hosts"), ("user", "users"), ("ip", "ips"), ("domain", "domains"), ("file_hash", "hashes"), ("file", "files"))],
-    )
-    phases = F.array_join(F.filter(F.array(*map(F.lit, attack.PHASES)), lambda p: F.array_contains("seen", p)), " → ")
-    out = facts.join(wide, "root").filter(F.col("entities") >= min_entities).withColumn("phases", phases).drop("seen", "root")
-    return out.orderBy(*_order("-depth", "-sources", "-entities", "hosts", "users", "ips")).limit(limit)
+        F.sum("n").alias("entities"), *[of_kind(k, "list", "").alias(name) for k, name in (("user", "users"), ("host", "hosts"), ("ip", "ips"))],
+        *[of_kind(k, "n", 0).alias(name) for k, name in (("file_hash", "hashes"), ("file", "files"), ("domain", "domains"))],
+    )
+    ordered = F.filter(F.array(*map(F.lit, attack.PHASES)), lambda p: F.array_contains("seen", p))
+    deepest = F.coalesce(F.try_element_at(ordered, F.lit(-1)), F.when(F.col("evidence"), UNMAPPED_PHASE).otherwise(""))
+    out = facts.join(wide, "root").filter(F.col("entities") >= min_entities).withColumns({"kc_phases": F.array_join(ordered, " → "), "deepest_phase": deepest})
+    return out.drop("seen", "evidence", "root").orderBy(*_order("-kc_depth", "-sources", "-entities", "hosts", "users", "ips")).limit(limit)

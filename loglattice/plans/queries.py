@@ -23,7 +23,8 @@ def register(name: str, sql: str | None = None, families: tuple[str, ...] | None
         text = sql
         if sql is not None and families is not None:
             ctes = duck_events(families)
-            text = f"WITH {ctes}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {ctes} {sql}"
+            head = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+            text = f"{head}{ctes}, {sql.removeprefix(head)}" if sql.startswith(head) else f"WITH {ctes} {sql}"
         _found[name] = (f, text)
         return f
 
@@ -154,7 +155,24 @@ _ENTS = """ents AS (SELECT id, family, kc_order, unnest(list_filter([CASE WHEN u
   CASE WHEN dst_ip IS NOT NULL THEN 'ip:' || dst_ip END, CASE WHEN dns_query IS NOT NULL THEN 'domain:' || dns_query END, CASE WHEN file_hash IS NOT NULL THEN 'file_hash:' || file_hash END, CASE WHEN file_canon IS NOT NULL THEN 'file:' || file_canon END], lambda x: x IS NOT NULL)) AS k FROM ev)"""
 _recipe("entity_nodes", ALL, f"WITH {_ENTS} SELECT split_part(k, ':', 1) AS kind, substr(k, instr(k, ':') + 1) AS value, count(*) AS events, count(DISTINCT family) AS families, max(kc_order) AS kc_order FROM ents GROUP BY 1, 2", graph.entity_nodes)
 _recipe("entity_edges", ALL, f"WITH {_ENTS} SELECT x.k AS a, y.k AS b, count(*) AS weight FROM ents x JOIN ents y ON x.id = y.id AND x.k < y.k GROUP BY 1, 2", graph.entity_edges)
-_recipe("incident_clusters", ALL, None, graph.incident_clusters)
+_CLUSTERS = """WITH RECURSIVE ent AS MATERIALIZED (SELECT family, kc_order, kc_phase, attack_evidence, tactics, list_filter(['user:' || user_canon, 'host:' || host_canon, 'ip:' || src_ip, 'ip:' || dst_ip, 'domain:' || dns_query, 'file_hash:' || file_hash, 'file:' || file_canon], lambda x: x IS NOT NULL) AS keys FROM ev),
+star AS MATERIALIZED (SELECT DISTINCT keys[1] AS a, unnest(keys) AS b FROM ent WHERE len(keys) > 0),
+near AS MATERIALIZED (SELECT a, b FROM star UNION SELECT b, a FROM star),
+cc(node, root) USING KEY (node) AS (
+  SELECT a, min(least(a, b)) FROM near GROUP BY a
+  UNION SELECT l.node, min(n.root) FROM recurring.cc l JOIN near ON near.a = l.node JOIN cc n ON n.node = near.b WHERE n.root < l.root GROUP BY l.node),
+m AS MATERIALIZED (SELECT cc.root, e.* FROM ent e JOIN cc ON cc.node = e.keys[1]),
+facts AS (SELECT root, count(DISTINCT family) AS sources, string_agg(DISTINCT family, ', ' ORDER BY family) AS source_list, max(kc_order) AS kc_depth, bool_or(attack_evidence) AS evidence FROM m GROUP BY root),
+phases AS (SELECT root, string_agg(kc_phase, ' → ' ORDER BY kc_order) AS kc_phases, max_by(kc_phase, kc_order) AS deepest FROM (SELECT DISTINCT root, kc_phase, kc_order FROM m WHERE kc_phase IS NOT NULL) GROUP BY root),
+tacs AS (SELECT root, string_agg(t, ', ' ORDER BY t) AS tactics FROM (SELECT DISTINCT root, unnest(string_split(tactics, ',')) AS t FROM (SELECT DISTINCT root, tactics FROM m)) WHERE t <> '' GROUP BY root),
+kinds AS (SELECT root, split_part(node, ':', 1) AS kind, substr(node, instr(node, ':') + 1) AS value FROM cc),
+lists AS (SELECT root, kind, count(*) AS n, array_to_string(list_slice(list_sort(list(value)), 1, 8), ', ') AS list FROM kinds GROUP BY root, kind),
+wide AS (SELECT root, sum(n)::BIGINT AS entities, coalesce(max(list) FILTER (kind = 'user'), '') AS users, coalesce(max(list) FILTER (kind = 'host'), '') AS hosts, coalesce(max(list) FILTER (kind = 'ip'), '') AS ips,
+  coalesce(max(n) FILTER (kind = 'file_hash'), 0) AS hashes, coalesce(max(n) FILTER (kind = 'file'), 0) AS files, coalesce(max(n) FILTER (kind = 'domain'), 0) AS domains FROM lists GROUP BY root)
+SELECT entities, sources, source_list, users, hosts, ips, hashes, files, domains, coalesce(kc_phases, '') AS kc_phases, kc_depth, coalesce(deepest, CASE WHEN evidence THEN '(technique not in ATT&CK map)' ELSE '' END) AS deepest_phase, coalesce(tactics, '') AS tactics
+FROM facts JOIN wide USING (root) LEFT JOIN phases USING (root) LEFT JOIN tacs USING (root) WHERE sources >= 2 AND entities >= 2
+ORDER BY kc_depth DESC, sources DESC, entities DESC, hosts, users, ips LIMIT 50"""
+_recipe("incident_clusters", ALL, _CLUSTERS, graph.incident_clusters)
 
 
 @register(
@@ -189,9 +207,9 @@ def delta_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.bridge_delta(before, correlate.shared_indicators(ev))
 
 
-@register("ioc_search", "SELECT b.ioc, count(*) AS hits FROM (SELECT DISTINCT trim(substr(text, 1, 40)) AS ioc FROM benchmark) b JOIN documents d ON contains(lower(d.text), lower(b.ioc)) GROUP BY 1")
+@register("ioc_search", "SELECT b.ioc, count(*) AS hits FROM (SELECT DISTINCT trim(text) AS ioc FROM benchmark) b JOIN documents d ON contains(lower(d.text), lower(b.ioc)) GROUP BY 1")
 def ioc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iocs = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 40).alias("ioc"))
+    iocs = table(spark, sf_dir, "benchmark").select(F.col("text").alias("ioc"))
     return extras.ioc_search(table(spark, sf_dir, "documents"), iocs, fields=["text"])
 
 
@@ -350,7 +368,24 @@ def decode_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.scan_fields(docs, ["text"]).select("doc_id", "encoder", "original", "decoded", "confidence", "notes")
 
 
-@register("mft_suspicious", "SELECT p_partkey AS id FROM part WHERE p_size % 4 = 0")
+# Part rows as file records: a folder by p_size, an extension by p_partkey, every eleventh a directory.
+_FOLDERS = ("Users/ann/AppData/Local/Temp", "Windows/Temp", "ProgramData/x", "Windows/Tasks", "Users/Public/y", "$Recycle.Bin/S-1", "Windows/System32", "Users/ann/AppData/Roaming", "PerfLogs", "Temp")
+_EXTENSIONS = ("exe", "PS1", "psm1", "jse", "com", "txt", "sys", "docx", "vbe")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (F.col(c) % len(values) + 1).cast("int"))
+    folder = F.translate(pick(_FOLDERS, "p_size"), "/", chr(92))
+    name = F.concat(F.lit("f."), pick(_EXTENSIONS, "p_partkey"))
+    action = F.when(F.col("p_partkey") % 11 == 0, readers.DIRECTORY).otherwise("file-metadata")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), action.alias("action"), F.concat(F.lit("C:" + chr(92)), folder, F.lit(chr(92)), name).alias("file_path"), name.alias("file_name"))
+
+
+@register("mft_suspicious", "SELECT p_partkey AS id FROM part WHERE p_size % 10 < 6 AND p_partkey % 11 <> 0")
 def mft_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("if(p_size % 4 = 0, 'C:\\\\Users\\\\Public\\\\x.exe', 'C:\\\\Windows\\\\x.exe')").alias("file_path"), F.lit("x.exe").alias("file_name"))
-    return readers.suspicious_files(rows).select("id")
+    return readers.suspicious_files(_files(spark, sf_dir)).select("id")
+
+
+@register("mft_executables", "SELECT p_partkey AS id FROM part WHERE p_partkey % 9 IN (0, 1, 2, 3, 4, 8) AND p_partkey % 11 <> 0")
+def mft_executables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.executable_files(_files(spark, sf_dir)).select("id")

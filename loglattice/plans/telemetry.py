@@ -20,6 +20,7 @@ SPARK = {
     "iso_s": "date_format(timestamp_seconds({}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
     "k": "cast(get_json_object(props, '$.k') as int)",
     "string": "string",
+    "hash": "cast(conv(substr(md5({}), 1, 13), 16, 10) as bigint)",
     "table": "parquet.`{dir}/{name}.parquet`",
 }
 DUCK = {
@@ -27,12 +28,14 @@ DUCK = {
     "iso_s": "strftime(make_timestamp(({}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')",
     "k": "cast(json_extract_string(props, '$.k') as int)",
     "string": "varchar",
+    "hash": "cast('0x' || substr(md5({}), 1, 13) as bigint)",
     "table": "{name}",
 }
 
 
 def _families(d: dict[str, str]) -> dict[str, tuple[str, dict[str, str], str]]:
     """Family: (table, columns, where)."""
+    line = d["hash"].format("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint))")
     flow = "l_orderkey * 1301 % 2500000 + l_linenumber * 60 + l_partkey % 30"
     return {
         "evtx": ("events", {
@@ -53,8 +56,8 @@ def _families(d: dict[str, str]) -> dict[str, tuple[str, dict[str, str], str]]:
             "src_ip": f"'10.20.0.' || cast(o_custkey % 50 as {d['string']})", "src_port": "cast(1024 + o_orderkey % 60000 as int)", "dst_ip": f"'203.0.113.' || cast(o_orderkey % 100 as {d['string']})", "dst_port": "443",
             "transport": "'tcp'", "bytes": "cast(floor(o_totalprice) as bigint)", "http_status": "case o_orderstatus when 'F' then 200 when 'O' then 302 else 404 end",
         }, "true"),
-        "zeek": (f"(select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as rn from {{lineitem}})", {
-            "id": "200000000 + rn", "ts": d["iso_s"].format(f"{EPOCH} + {flow}"), "source": "'zeek'", "category": "'network'",
+        "zeek": ("lineitem", {
+            "id": f"1000000000 + {line}", "ts": d["iso_s"].format(f"{EPOCH} + {flow}"), "source": "'zeek'", "category": "'network'",
             "src_ip": f"'10.' || cast(1 + l_orderkey // 62500 as {d['string']}) || '.' || cast(l_orderkey // 250 % 250 as {d['string']}) || '.' || cast(l_orderkey % 250 as {d['string']})",
             "src_port": "1024 + l_linenumber", "dst_ip": f"'203.0.113.' || cast(100 + l_orderkey % 50 as {d['string']})", "dst_port": "8443", "transport": "'tcp'", "bytes": "cast(floor(l_extendedprice) as bigint)",
         }, "true"),
@@ -77,10 +80,7 @@ def raw_sql(dialect: dict[str, str], families: tuple[str, ...] = ALL, sf_dir: st
     out = []
     for f in families:
         table, cols, where = _families(dialect)[f]
-        if table.startswith("("):
-            table = table.format(lineitem=dialect["table"].format(dir=sf_dir, name="lineitem")) + " as t"
-        else:
-            table = dialect["table"].format(dir=sf_dir, name=table)
+        table = dialect["table"].format(dir=sf_dir, name=table)
         if dialect is SPARK:
             cols = {c: x.replace("l_orderkey // 62500", "(l_orderkey div 62500)").replace("l_orderkey // 250 % 250", "(l_orderkey div 250) % 250") for c, x in cols.items()}
         kind = {"string": dialect["string"]}
