@@ -17,7 +17,6 @@ compressor finds no match in the last bytes of an input.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,6 @@ MISLED = 2
 GRAMS = (4, 6, 8)
 #: How many times larger the share of toxic texts that hold a telling n-gram is.
 TELLING = 30
-MEMO_WORDS = 100_000
 #: The trainer's segments, and the runs of bytes whose frequency it counts.
 SEGMENT, RUN = 24, 8
 SLICE_BYTES = 1 << 19
@@ -179,58 +177,74 @@ class ToxicityModel:
         return np.where(x[:, 0] > 0, 1 / (1 + np.exp(-np.clip(z @ self.weight[1:] + self.weight[0], -30, 30))), self.share)
 
 
-def _grams(word: bytes) -> set[bytes]:
-    return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
-
-
-def telling_words(cut: list[bytes], labels: list[int]) -> list[bytes]:
-    """The words of toxic texts that hold a telling n-gram, once for each text with the word.
-
-    ``cut`` holds of each text its words, led by spaces.
-    """
-    def words(text: bytes) -> set[bytes]:
-        return {b" " + w for w in text.split()}
-
-    n_toxic, n_plain = sum(labels), len(labels) - sum(labels)
-    support = max(min(5, 1 + n_toxic // 10), n_toxic // 100)
-    counted: Counter = Counter()
-    for text, label in zip(cut, labels, strict=True):
-        if label:
-            counted.update(set().union(*map(_grams, words(text))))
-    in_toxic = {g: n for g, n in counted.items() if n >= support}
-    del counted
-    in_plain: Counter = Counter()
-    known: dict[bytes, frozenset[bytes]] = {}  # a memo: most words come again
-    for text, label in zip(cut, labels, strict=True):
-        if not label:
-            if len(known) > MEMO_WORDS:
-                known.clear()
-            own = words(text)
-            known.update((w, frozenset(g for g in _grams(w) if g in in_toxic)) for w in own if w not in known)
-            in_plain.update(set().union(*(known[w] for w in own)))
-    telling = {g for g, n in in_toxic.items() if n / n_toxic > TELLING * (in_plain[g] + 1) / max(1, n_plain)}
+def _grams(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slice by slice the words of some texts, (bytes, starts, lengths, rows), and a hash and the word of every n-gram."""
+    for a, b in tk.column_slices(col, SLICE_BYTES):
+        out, to, n, row = words_of(*tk.text_bytes(col.slice(a, b - a)))
+        at, word = np.arange(len(out)), np.repeat(np.arange(len(n)), n)
+        end = to + n
+        found = []
+        for g in GRAMS:
+            ok = at + g <= end[word]
+            found.append((tk.run_hashes(out, at[ok], at[ok] + g), word[ok]))
+        yield out, to, n, a + row, *(np.concatenate([f[k] for f in found]) for k in range(2))
+
+
+def _once(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The hashes, each once a row."""
+    key = tk.mix(hashes ^ (row.astype(tk.U64) * tk.U64(0x9E3779B97F4A7C15)))
+    return hashes[np.unique(key, return_index=True)[1]]
+
+
+def _within(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the hashes are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
+
+
+def telling_words(toxic: pa.Array, plain: pa.Array) -> list[bytes]:
+    """The words of toxic texts that hold a telling n-gram, once for each text with the word."""
+    support = max(min(5, 1 + len(toxic) // 10), len(toxic) // 100)
+    # Counted roughly first, so that the rare ones need no place in the exact count.
+    rough = np.zeros(1 << 22, dtype=np.int32)
+    low = tk.U64(len(rough) - 1)
+    for *_, row, h, word in _grams(toxic):
+        np.add.at(rough, (_once(h, row[word]) & low).astype(np.int64), 1)
+    often = [_once(h[keep], row[word[keep]]) for *_, row, h, word in _grams(toxic) for keep in [rough[(h & low).astype(np.int64)] >= support]]
+    in_toxic, n = np.unique(np.concatenate(often) if often else np.zeros(0, dtype=tk.U64), return_counts=True)
+    in_toxic, n = in_toxic[n >= support], n[n >= support]
+    in_plain = np.zeros(len(in_toxic), dtype=np.int64)
+    gate = np.zeros(len(rough), dtype=bool)
+    gate[(in_toxic & low).astype(np.int64)] = True
+    for *_, row, h, word in _grams(plain):
+        keep = np.flatnonzero(gate[(h & low).astype(np.int64)])
+        keep = keep[_within(h[keep], in_toxic)]
+        np.add.at(in_plain, np.searchsorted(in_toxic, _once(h[keep], row[word[keep]])), 1)
+    telling = in_toxic[n / max(1, len(toxic)) > TELLING * (in_plain + 1) / max(1, len(plain))]
     # Tiny samples have no n-gram that far apart: then those that no ordinary text holds.
-    telling = telling or {g for g in in_toxic if not in_plain[g]}
-    return [w for text, label in zip(cut, labels, strict=True) if label for w in sorted(words(text)) if not telling.isdisjoint(_grams(w))]
+    telling = telling if len(telling) else in_toxic[in_plain == 0]
+    found: list[bytes] = []
+    for out, to, size, row, h, word in _grams(toxic):
+        raw = out.tobytes()
+        own = np.unique(word[_within(h, telling)]).tolist()
+        found += [w for _, w in sorted({(int(row[k]), raw[to[k] : to[k] + size[k]]) for k in own})]
+    return found
 
 
 def _dictionaries(col: pa.Array, labels: list[int]) -> ToxicityModel:
     """A model with dictionaries of the texts of both labels, not calibrated yet."""
-    cut: list[bytes] = []
     ordinary: list[bytes] = []
     n_plain, rng, none = len(labels) - sum(labels), np.random.default_rng(0), np.zeros(0)
-    for a, b in tk.column_slices(col, SLICE_BYTES):
-        text, starts, row = windows(*tk.text_bytes(col.slice(a, b - a)))
+    marks = np.array(labels, dtype=bool)
+    plain = col.filter(pa.array(~marks))
+    for a, b in tk.column_slices(plain, SLICE_BYTES):
+        text, starts, row = windows(*tk.text_bytes(plain.slice(a, b - a)))
         raw, ends = text.tobytes(), np.searchsorted(row, np.arange(b - a + 1))
-        for k in range(b - a):
-            own = starts[ends[k] : ends[k + 1] + 1]
-            cut.append(raw[own[0] : own[-1]] if len(own) > 1 else b"")
-            if not labels[a + k]:
-                # Every ordinary text gives its share of windows.
-                some = rng.choice(max(0, len(own) - 1), min(max(0, len(own) - 1), -(-ORDINARY_WINDOWS // n_plain)), replace=False)
-                ordinary += [raw[own[i] : own[i + 1]] for i in some.tolist()]
-    common, toxic = _train(ordinary, ORDINARY_BYTES), _train(telling_words(cut, labels), TOXIC_BYTES)
-    del cut, ordinary
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            # Every ordinary text gives its share of windows.
+            some = lo + rng.choice(hi - lo, min(hi - lo, -(-ORDINARY_WINDOWS // n_plain)), replace=False)
+            ordinary += [raw[starts[i] : starts[i + 1]] for i in some.tolist()]
+    common, toxic = _train(ordinary, ORDINARY_BYTES), _train(telling_words(col.filter(pa.array(marks)), plain), TOXIC_BYTES)
+    del ordinary, plain
     model = ToxicityModel(common, toxic, none, none, none, sum(labels) / len(labels))
     hard = model.misled(col, labels)
     return ToxicityModel(_train(hard, HARD_BYTES) + common, toxic, none, none, none, model.share) if hard else model
