@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from loglattice.operators import correlate, graph, recipes
 
 
-def analyze(events: DataFrame, infra_ips: tuple[str, ...] = (), gap_seconds: int = 120) -> dict[str, DataFrame]:
+def analyze(events: DataFrame, infra_ips: tuple[str, ...] = (), gap_seconds: int = 120, techniques: dict | None = None) -> dict[str, DataFrame]:
+    """``techniques`` is the ATT&CK table that the events were derived with."""
     out = {name: recipe(events) for name, recipe in recipes.RECIPES.items()}
     out |= {
         "summary": recipes.summary(events),
@@ -16,7 +17,7 @@ def analyze(events: DataFrame, infra_ips: tuple[str, ...] = (), gap_seconds: int
         "shared_indicators": correlate.shared_indicators(events, infra_ips),
         "episodes": correlate.episodes(events, gap_seconds),
         "killchain": correlate.killchain(events),
-        "technique_catalog": correlate.technique_catalog(events),
+        "technique_catalog": correlate.technique_catalog(events, techniques=techniques),
         "host_killchain": correlate.host_killchain(events),
         "incident_clusters": graph.incident_clusters(events, infra_ips),
     }

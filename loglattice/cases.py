@@ -92,9 +92,9 @@ class Case:
             return self.spark.createDataFrame([], RAW)
         return self.spark.read.schema(RAW).parquet(*[str(self.path / "events" / f"batch={k}") for k in range(len(self.meta["batches"]))])
 
-    def events(self) -> DataFrame:
+    def events(self, techniques: dict | None = None) -> DataFrame:
         """Derived events: they are recomputed from raw ones, so a new schema needs no rebuild."""
-        return derive(self.raw())
+        return derive(self.raw(), techniques)
 
     def rebuild(self) -> None:
         self._save(self.meta | {"schema": fingerprint()})
@@ -107,10 +107,10 @@ class Case:
         meta["notes"].append({"at": _now(), "text": text})
         self._save(meta)
 
-    def analyze(self) -> dict[str, DataFrame]:
+    def analyze(self, techniques: dict | None = None) -> dict[str, DataFrame]:
         from loglattice.analyze import analyze
 
-        return analyze(self.events(), tuple(self.meta["infra_ips"]))
+        return analyze(self.events(techniques), tuple(self.meta["infra_ips"]), techniques=techniques)
 
     def keep_digest(self, collected: dict[str, list[dict]]) -> None:
         self._save(self.meta | {"digest": {k: v[:DIGEST_ROWS] for k, v in collected.items()}})

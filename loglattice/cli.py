@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from loglattice import cases
 from loglattice.events import derive
-from loglattice.functions import decode
+from loglattice.functions import attack, decode
 from loglattice.sources.readers import READERS, build_events
 
 
@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--format", choices=("json", "markdown", "html"), default="json")
         x.add_argument("--level", choices=("full", "detailed", "summary"), default="full")
         x.add_argument("--out")
+        x.add_argument("--attack", metavar="FILE", help="STIX bundle with the full ATT&CK table")
     c.add_argument("action", choices=("new", "add", "list", "show", "analyze", "infra", "note", "rm"))
     c.add_argument("case", nargs="?")
     c.add_argument("text", nargs="?")
@@ -72,7 +73,8 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{path}: {why}", file=sys.stderr)
         if raw is None:
             return 1
-        text = _render(analyze(derive(raw), tuple(args.infra)), args.format, args.level)
+        table = attack.load_table(args.attack) if args.attack else None
+        text = _render(analyze(derive(raw, table), tuple(args.infra), techniques=table), args.format, args.level)
     elif args.action == "list":
         text = json.dumps(cases.list_cases(args.root), indent=1)
     else:
@@ -90,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
         elif args.action == "rm":
             case.delete()
         else:
-            text = _render(case.analyze(), args.format, args.level)
+            text = _render(case.analyze(attack.load_table(args.attack) if args.attack else None), args.format, args.level)
     if getattr(args, "out", None):
         with open(args.out, "w", encoding="utf-8") as f:
             f.write(text)

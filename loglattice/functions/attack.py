@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ def _map(items: dict[str, str | int | list[str]]) -> Column:
     return F.create_map(*flat)
 
 
+def load_table(path: str) -> dict[str, tuple[str, list[str]]]:
+    """The technique table of a STIX bundle in a JSON file."""
+    with open(path, encoding="utf-8") as f:
+        return read_bundle(json.load(f).get("objects", []))
+
+
 def read_bundle(objects: list[dict]) -> dict[str, tuple[str, list[str]]]:
     """A technique table from the objects of a STIX bundle; revoked and deprecated ones are left out."""
     out = {}
@@ -78,6 +86,7 @@ def tactics_of(ids: Column, table: dict | None = None) -> Column:
 
 
 def technique_name(tid: Column, table: dict | None = None) -> Column:
+    """The name of a technique; null where the table has none."""
     return F.try_element_at(_map({k: v[0] for k, v in (table or TECHNIQUES).items()}), tid)
 
 

@@ -199,7 +199,7 @@ def phase_corroboration(events: DataFrame, beacons: DataFrame | None = None, inf
     return top.select("phase", "rank", "family", "events", "failures", F.size(own).alias("n_dsts"), F.size("domains").alias("n_domains"), F.size("users").alias("n_users"), F.concat("family", F.lit(": "), note).alias("note"), (F.col("hi") - F.col("lo") + 2 * pad_seconds).alias("window_s")).orderBy("phase", "rank")
 
 
-def technique_catalog(events: DataFrame, limit: int = 100, exact: bool = False) -> DataFrame:
+def technique_catalog(events: DataFrame, limit: int = 100, exact: bool = False, techniques: dict | None = None) -> DataFrame:
     """Techniques with hits and where they were seen.
 
     Hosts and sources are the most over the technique lists an id occurs in, or with ``exact``
@@ -212,8 +212,8 @@ def technique_catalog(events: DataFrame, limit: int = 100, exact: bool = False)
     else:
         lists = rows.groupBy("techniques", "technique_ids").agg(count_rows().alias("n"), F.count_distinct("host_canon").alias("h"), F.count_distinct(family_key()).alias("s"), F.min("ts_parsed").alias("lo"), F.max("ts_parsed").alias("hi"))
         agg = lists.withColumn("technique", F.explode("technique_ids")).groupBy("technique").agg(F.sum("n").alias("hits"), F.max("h").alias("hosts"), F.max("s").alias("sources"), F.min("lo").alias("first"), F.max("hi").alias("last"))
-    tactics = attack.tactics_of(F.array("technique"))
-    name = F.coalesce(attack.technique_name(F.col("technique")), F.lit(UNMAPPED_NAME))
+    tactics = attack.tactics_of(F.array("technique"), techniques)
+    name = F.coalesce(attack.technique_name(F.col("technique"), techniques), F.lit(UNMAPPED_NAME))
     return agg.select("technique", name.alias("name"), F.array_join(tactics, ", ").alias("tactics"), F.coalesce(attack.phase_at(attack.deepest_order(tactics)), F.lit("")).alias("phase"), "hits", "hosts", "sources", n.iso(F.col("first")).alias("first_seen"), n.iso(F.col("last")).alias("last_seen")).orderBy(*_order("-hits", "technique")).limit(limit)
 
 

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.functions import decode, scoring
+from loglattice.events import derive
+from loglattice.functions import attack, decode, scoring
 from loglattice.operators import correlate, delta, extras, graph, recipes
-from loglattice.plans.telemetry import duck_events, telemetry
+from loglattice.plans.telemetry import duck_events, raw_events, telemetry
 from loglattice.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +140,29 @@ SELECT technique, CASE technique WHEN 'T1110' THEN 'Brute Force' WHEN 'T1078' TH
   sum(n)::BIGINT AS hits, max(h) AS hosts, max(s) AS sources, strftime(min(lo), {ISO}) AS first_seen, strftime(max(hi), {ISO}) AS last_seen FROM per GROUP BY 1""",
     correlate.technique_catalog,
 )
+# A table read from a STIX bundle, with techniques that the built-in one lacks.
+_BUNDLE = attack.read_bundle([
+    {"type": "attack-pattern", "name": "Adversary-in-the-Middle", "external_references": [{"source_name": "mitre-attack", "external_id": "T1557"}], "kill_chain_phases": [{"kill_chain_name": "mitre-attack", "phase_name": p} for p in ("credential-access", "collection")]},
+    {"type": "attack-pattern", "name": "Gone", "revoked": True, "external_references": [{"source_name": "mitre-attack", "external_id": "T1078"}], "kill_chain_phases": [{"kill_chain_name": "mitre-attack", "phase_name": "impact"}]},
+    {"type": "attack-pattern", "name": "Exfiltration Over C2 Channel", "external_references": [{"source_name": "mitre-attack", "external_id": "T1041"}], "kill_chain_phases": [{"kill_chain_name": "mitre-attack", "phase_name": "exfiltration"}]},
+])
+
+
+@register(
+    "technique_catalog_bundle",
+    f"""WITH lists AS (SELECT replace(techniques, 'T1110', 'T1557.002') AS techniques, count(*) AS n, count(DISTINCT host_canon) AS h, count(DISTINCT family) AS s, min(ts_parsed) AS lo, max(ts_parsed) AS hi FROM ev WHERE techniques IS NOT NULL GROUP BY 1),
+per AS (SELECT unnest(string_split(techniques, ',')) AS technique, * FROM lists)
+SELECT technique, CASE technique WHEN 'T1041' THEN 'Exfiltration Over C2 Channel' ELSE '(not in ATT&CK map)' END AS name,
+  CASE technique WHEN 'T1557.002' THEN 'credential-access, collection' WHEN 'T1041' THEN 'exfiltration' ELSE '' END AS tactics,
+  CASE technique WHEN 'T1557.002' THEN 'Actions on Objectives' WHEN 'T1041' THEN 'Actions on Objectives' ELSE '' END AS phase,
+  sum(n)::BIGINT AS hits, max(h) AS hosts, max(s) AS sources, strftime(min(lo), {ISO}) AS first_seen, strftime(max(hi), {ISO}) AS last_seen FROM per GROUP BY 1""",
+    ALL,
+)
+def technique_catalog_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_events(spark, sf_dir).withColumn("techniques", F.replace("techniques", F.lit("T1110"), F.lit("T1557.002")))
+    return correlate.technique_catalog(derive(raw, _BUNDLE), techniques=_BUNDLE)
+
+
 register(
     "phase_corroboration",
     """WITH span AS (SELECT kc_phase AS phase, min(epoch_us(ts_parsed)) // 1000000 AS lo, max(epoch_us(ts_parsed)) // 1000000 AS hi FROM ev WHERE kc_phase IS NOT NULL GROUP BY 1),

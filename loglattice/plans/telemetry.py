@@ -89,9 +89,13 @@ def raw_sql(dialect: dict[str, str], families: tuple[str, ...] = ALL, sf_dir: st
     return " union all ".join(out)
 
 
+def raw_events(spark: SparkSession, sf_dir: str, families: tuple[str, ...] = ALL) -> DataFrame:
+    return spark.sql(raw_sql(SPARK, families, sf_dir))
+
+
 def telemetry(spark: SparkSession, sf_dir: str, families: tuple[str, ...] = ALL) -> DataFrame:
     """Derived events of the chosen families."""
-    return derive(spark.sql(raw_sql(SPARK, families, sf_dir)))
+    return derive(raw_events(spark, sf_dir, families))
 
 
 def duck_events(families: tuple[str, ...] = ALL) -> str:
