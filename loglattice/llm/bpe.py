@@ -18,8 +18,8 @@ import numpy as np
 
 from loglattice.llm import textkit as tk
 
-MEMO_ENTRIES = 1_000_000
-SLICE_BYTES = 3 << 20
+MEMO_ENTRIES = 600_000
+SLICE_BYTES = 2 << 20
 JOINED_BYTES = 16_384
 
 _SPACE = np.zeros(256, dtype=bool)

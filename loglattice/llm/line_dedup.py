@@ -1,7 +1,7 @@
 """Line deduplication by overlapping three-line windows.
 
 Lines that hold more than white space are numbered within their text and compared without
-surrounding white space.  Every three consecutive ones are a window; a window that occurs more
+surrounding white space, tabs and the like counting as spaces.  Every three consecutive ones are a window; a window that occurs more
 than once anywhere is kept where it occurs first (least id, then text hash, then line) and all
 lines that a later occurrence covers are removed.  Overlapping windows merge, so a passage of
 any length from three lines on goes as one piece.  Blank lines are left where they are.
@@ -20,9 +20,9 @@ from loglattice.llm import textkit as tk
 WINDOW = 3
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, p: str) -> DataFrame:
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    return docs.withColumns({"__id": docs[f"`{id_col}`"], "__th": F.xxhash64(text), "__text": text})
+    return docs.withColumns({f"{p}id": docs[f"`{id_col}`"], f"{p}th": F.xxhash64(text), f"{p}text": text})
 
 
 def window_rows(keyed: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def covered_lines(keyed: DataFrame) -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("at").alias("at"))
     # Rows equal in id and text are one document: their windows are at one place.
     first = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h1", "h2", "first")
+    first = tk.stored(first, "first-windows")  # so that a window that many texts hold can be split in the join
     later = rows.join(first, ["h1", "h2"]).filter(place != F.col("first")).select("id", "th", F.explode(F.sequence("at", F.col("at") + WINDOW - 1)).alias("line"))
     return later.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))  # at most a text's own lines
 
@@ -51,17 +52,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty, with no lines; texts of fewer than three lines are left alone.  Rows equal in id and
     text are one document and keep the same lines; null ids come last in the order.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    gone = covered_lines(keyed.select("__id", "__th", "__text")).select(F.col("id").alias("__gid"), F.col("th").alias("__gth"), "removed")
-    joined = keyed.join(gone, keyed["__id"].eqNullSafe(F.col("__gid")) & (keyed["__th"] == F.col("__gth")), "left")
-    joined = joined.withColumn("__lines", F.split("__text", "\n", -1))
-    solid = F.expr(r"filter(sequence(1, size(__lines)), i -> element_at(__lines, i) rlike r'[^\x20\x09-\x0D]')")
-    joined = joined.withColumn("__solid", solid)  # where the numbered lines are
-    stay = F.expr("array_except(sequence(1, size(__lines)), transform(removed, n -> element_at(__solid, n)))")
-    cut = F.when(F.col("removed").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("__lines", i)), "\n"))
-    n_lines = F.size("__solid").cast("bigint")
-    out = tk.with_outputs(joined, **{text_col: cut, "n_lines": n_lines, "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("bigint")})
-    return out.drop("__id", "__th", "__text", "__gid", "__gth", "removed", "__lines", "__solid")
+    p = tk.fresh(docs)
+    keyed = _keyed(docs, id_col, text_col, p)
+    gone = covered_lines(keyed.select(*[F.col(f"{p}{c}").alias(f"__{c}") for c in ("id", "th", "text")]))
+    gone = gone.select(F.col("id").alias(f"{p}gid"), F.col("th").alias(f"{p}gth"), F.col("removed").alias(f"{p}removed"))
+    joined = keyed.join(gone, F.col(f"{p}id").eqNullSafe(F.col(f"{p}gid")) & (F.col(f"{p}th") == F.col(f"{p}gth")), "left")
+    joined = joined.withColumn(f"{p}lines", F.split(f"{p}text", "\n", -1))
+    solid = F.expr(rf"filter(sequence(1, size({p}lines)), i -> element_at({p}lines, i) rlike r'[^\x20\x09-\x0D]')")
+    joined = joined.withColumn(f"{p}solid", solid)  # where the numbered lines are
+    stay = F.expr(f"array_except(sequence(1, size({p}lines)), transform({p}removed, n -> element_at({p}solid, n)))")
+    cut = F.when(F.col(f"{p}removed").isNull(), F.col(f"{p}text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(f"{p}lines", i)), "\n"))
+    n_lines = F.size(f"{p}solid").cast("bigint")
+    out = tk.with_outputs(joined, **{text_col: cut, "n_lines": n_lines, "n_removed": F.coalesce(F.size(f"{p}removed"), F.lit(0)).cast("bigint")})
+    return out.drop(*[f"{p}{c}" for c in ("id", "th", "text", "gid", "gth", "removed", "lines", "solid")])
 
 
 #: DuckDB's version of the query; it compares the lines themselves.

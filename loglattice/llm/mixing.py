@@ -53,14 +53,15 @@ def _category(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NONE))
 
 
-def _keyed(docs: DataFrame, text_col: str, dims: dict[str, Column]) -> DataFrame:
-    return docs.withColumns({f"__ll_{d}": _category(c) for d, c in dims.items()} | {"__ll_tokens": token_estimate(docs[f"`{text_col}`"])})
+def _keyed(docs: DataFrame, text_col: str, dims: dict[str, Column], p: str) -> DataFrame:
+    return docs.withColumns({f"{p}{d}": _category(c) for d, c in dims.items()} | {f"{p}tokens": token_estimate(docs[f"`{text_col}`"])})
 
 
 def cells_of(docs: DataFrame, dims: dict[str, Column], text_col: str = "text") -> DataFrame:
     """(each dimension, tokens, n_docs) per cell; nulls are the category ``(none)``."""
-    keyed = _keyed(docs, text_col, dims)
-    return keyed.groupBy(*[F.col(f"__ll_{d}").alias(d) for d in dims]).agg(F.sum("__ll_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
+    p = tk.fresh(docs)
+    keyed = _keyed(docs, text_col, dims, p)
+    return keyed.groupBy(*[F.col(f"{p}{d}").alias(d) for d in dims]).agg(F.sum(f"{p}tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def rake(cells: DataFrame, dims: tuple[str, ...], keep: float = KEEP, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -143,21 +144,25 @@ def inclusion(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     ``dims`` defaults to the columns source and lang and the topic by surface form (a column
     topic is used where there is one).  Null and empty texts hold no tokens: they are sampled by
-    their cell's probability like all others.  Rows equal in id and text are decided alike.
+    their cell's probability like all others.  Rows equal in id and text, null ids included, are
+    decided alike.  Columns with the names of the outputs are replaced, and no other is touched.
     """
     text = docs[f"`{text_col}`"]
     topic = docs["topic"] if "topic" in docs.columns else topic_of(text)
     dims = dims or {"source": docs["source"], "lang": docs["lang"], "topic": topic}
     raked = rake(cells_of(docs, dims, text_col), tuple(dims), keep, temper, targets)
-    keyed = _keyed(docs, text_col, dims).withColumn("__ll_u", uniform(docs[f"`{id_col}`"], text, seed=seed))
-    cells = raked.select(*[F.col(d).alias(f"__r_{d}") for d in dims], F.col("probability").alias("__ll_p"))
-    joined = keyed.join(cells, [F.col(f"__ll_{d}") == F.col(f"__r_{d}") for d in dims])
-    out = tk.with_outputs(joined, topic=F.col("__ll_topic") if "topic" in dims else F.lit(None).cast("string"), probability=F.col("__ll_p"), kept=F.col("__ll_u") < F.col("__ll_p"))
-    return out.drop("__ll_tokens", "__ll_u", "__ll_p", *[f"__ll_{d}" for d in dims], *[f"__r_{d}" for d in dims])
+    p = tk.fresh(docs)
+    u, prob = f"{p}u", f"{p}p"
+    keyed = _keyed(docs, text_col, dims, p).withColumn(u, uniform(docs[f"`{id_col}`"], text, seed=seed))
+    cells = raked.select(*[F.col(d).alias(f"{p}r_{d}") for d in dims], F.col("probability").alias(prob))
+    joined = keyed.join(cells, [F.col(f"{p}{d}") == F.col(f"{p}r_{d}") for d in dims])
+    out = tk.with_outputs(joined, topic=F.col(f"{p}topic") if "topic" in dims else F.lit(None).cast("string"), probability=F.col(prob), kept=F.col(u) < F.col(prob))
+    return out.drop(f"{p}tokens", u, prob, *[f"{p}{d}" for d in dims], *[f"{p}r_{d}" for d in dims])
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of ``docs``, all columns as they were."""
-    marked = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ll_row"))
+    row = f"{tk.fresh(docs)}row"
+    marked = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
     kept = inclusion(marked, **options).filter("kept")
-    return kept.select([F.col(f"__ll_row.`{c}`").alias(c) for c in docs.columns])
+    return kept.select([F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])

@@ -105,7 +105,7 @@ def prob_minhash(elem: np.ndarray, weight: np.ndarray, bounds: np.ndarray, m: in
         time[active] = arrival[:, -1]
         drawn[active] += U64(size)
         active = active[arrival[:, -1] < latest[r]]
-        size = max(1, min(size * 2, 64, (1 << 19) // max(1, len(active))))
+        size = max(1, min(size * 2, 64, (1 << 18) // max(1, len(active))))
     return who.reshape(n, m)
 
 

@@ -1,15 +1,16 @@
 """Format-preserving pseudonyms for personal numbers and dates, by a keyed Feistel network.
 
 Found and validated: payment cards (13 to 19 digits, or four groups of four, with a right check
-digit), telephone numbers, US social security numbers (no impossible area, group or serial),
-IPv4 addresses (octets up to 255), calendar dates of 1800 to 2199 (ISO, or day/month/year with
+digit), telephone numbers (North American ones by area and exchange), US social security numbers (no impossible area, group or serial),
+IPv4 addresses (octets up to 255, without leading zeros), calendar dates of 1800 to 2199 (ISO, or day/month/year with
 slashes or points) and the local part of e-mail addresses.  What fails validation is left alone.
 
 Each value is split into a pair of numbers (l, r) below (A, B), and alternate rounds add a keyed
 hash of one to the other: a permutation of all A x B values, so different values stay different
 and equal values get equal pseudonyms in all documents.  The pair covers exactly the valid
 values of the kind: a card's check digit is computed anew, a date stays a date, an SSN stays
-possible; punctuation, lengths, a card's or telephone's grouping and an address's domain stay.
+possible; punctuation, a card's or telephone's grouping and an address's domain stay.  Letters and digits of
+an e-mail's local part are permuted as one alphabet of 36, in their places.
 
 Everything is SQL expressions over one row; nothing is shuffled.
 """
@@ -89,9 +90,15 @@ def _card(m: str, key: str) -> str:
 
 
 def _phone(m: str, key: str) -> str:
+    """North American numbers (no country code, or 1) stay possible: area and exchange begin with 2 to 9.
+    Ten digits after another country code are permuted among all."""
     d = f"regexp_replace({m}, '[^0-9]', '')"
-    new = f"concat(substr(d, 1, length(d) - 10), {_with('y', 'right(d, 10)', _permuted_digits('y', key, 'phone'))})"
-    return _with("d", d, _with("w", new, _refill(m, "w")))
+    area, office, line = (f"cast(substr(y, {i}, {n}) as bigint)" for i, n in ((1, 3), (4, 3), (7, 4)))
+    pair = feistel(f"{area} - 200", f"({office} - 200) * 10000 + {line}", "800L", "8000000L", key, "'phone'")
+    american = f"if(y rlike '^[2-9]..[2-9]', {_with('f', pair, f'concat({_digits(3, 'f.l + 200')}, {_digits(7, 'f.r + 2000000')})')}, cast(null as string))"
+    other = _with("z", "y", _permuted_digits("z", key, "phone"))
+    ten = _with("y", "right(d, 10)", f"if(length(d) = 10 or length(d) = 11 and d like '1%', {american}, {other})")
+    return _with("d", d, _with("w", f"concat(substr(d, 1, length(d) - 10), {ten})", f"if(w is null, cast(null as string), {_refill(m, 'w')})"))
 
 
 def _ssn(m: str, key: str) -> str:
@@ -104,7 +111,7 @@ def _ssn(m: str, key: str) -> str:
 
 def _ip(m: str, key: str) -> str:
     o = [f"cast(split_part({m}, '.', {k}) as bigint)" for k in (1, 2, 3, 4)]
-    valid = " and ".join(f"{x} <= 255" for x in o)
+    valid = " and ".join(f"{x} <= 255" for x in o) + f" and not {m} rlike '(^|[.])0[0-9]'"
     pair = feistel(f"{o[0]} * 256 + {o[1]}", f"{o[2]} * 256 + {o[3]}", "65536L", "65536L", key, "'ip'")
     new = _with("f", pair, "concat_ws('.', f.l div 256, f.l % 256, f.r div 256, f.r % 256)")
     return f"if({valid}, {new}, cast(null as string))"
@@ -148,13 +155,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     Null texts stay null and empty ones empty, with counts of 0.
     """
-    text = f"`{text_col}`"
+    text, p = f"`{text_col}`", tk.fresh(docs)
+    m, to, gap = f"{p}m", f"{p}to", f"{p}g"
     found = F.expr(f"case when {text} rlike '[0-9@]' then regexp_extract_all({text}, '{_sql(ANY)}', 0) else cast(array() as array<string>) end")
-    out = docs.withColumn("__m", F.coalesce(found, F.array().cast("array<string>")))
-    out = out.withColumn("__to", F.expr(f"transform(__m, m -> {_replacement('m', key)})"))
+    out = docs.withColumn(m, F.coalesce(found, F.array().cast("array<string>")))
+    out = out.withColumn(to, F.expr(f"transform({m}, m -> {_replacement('m', key)})"))
     gaps = F.expr(f"split({text}, '{_sql(ANY)}', -1)")
-    joined = F.expr("array_join(flatten(zip_with(__g, transform(__to, (x, i) -> coalesce(x.to, element_at(__m, i + 1))), (g, v) -> array(g, coalesce(v, '')))), '')")
-    out = out.withColumn("__g", F.when(F.size("__m") > 0, gaps))
-    counts = {f"n_{k}": F.expr(f"cast(size(filter(__to, x -> x.kind = '{k}' and x.to is not null)) as bigint)") for k in KINDS}
-    out = tk.with_outputs(out, **{text_col: F.when(F.size("__m") > 0, joined).otherwise(F.col(text)), **counts})
-    return out.drop("__m", "__to", "__g")
+    joined = F.expr(f"array_join(flatten(zip_with({gap}, transform({to}, (x, i) -> coalesce(x.to, element_at({m}, i + 1))), (g, v) -> array(g, coalesce(v, '')))), '')")
+    out = out.withColumn(gap, F.when(F.size(m) > 0, gaps))
+    counts = {f"n_{k}": F.expr(f"cast(size(filter({to}, x -> x.kind = '{k}' and x.to is not null)) as bigint)") for k in KINDS}
+    out = tk.with_outputs(out, **{text_col: F.when(F.size(m) > 0, joined).otherwise(F.col(text)), **counts})
+    return out.drop(m, to, gap)

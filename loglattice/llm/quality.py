@@ -22,8 +22,8 @@ from loglattice.llm import textkit as tk
 from loglattice.llm.textkit import U64
 from loglattice.llm.toxicity import held_out
 
-#: Bounds of the training sample: labelled rows, and characters of one text.
-TRAIN_ROWS, TRAIN_CHARS = 6_000, 100_000
+#: Bounds of the training sample: labelled rows, and characters of one text in so many pieces.
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_PIECES = 6_000, 40_000, 8
 BITS = 14
 STEPS, RATE, RIDGE = 300, 0.05, 1e-4
 SELECT_TAIL = 0.5
@@ -134,12 +134,16 @@ def fit(texts: list[str], grades: list[float], steps: int = STEPS) -> OrdinalMod
 
 def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> OrdinalModel:
     """Fit on at most ``rows`` rated rows outside the held-out part, those with the least hash of
-    their id, of texts up to ``TRAIN_CHARS`` characters.  Several ratings of a document are
+    their id.  A text of any length takes part: one of more than ``TRAIN_CHARS`` characters by pieces
+    from all over it.  Several ratings of a document are
     averaged to the nearest given grade's rank by their median; null ratings and ids are not used."""
     usable = labels.select(labels[f"`{id_col}`"].alias("id"), labels[f"`{grade_col}`"].cast("double").alias("grade")).filter("id is not null and grade is not null").filter(~held_out(F.col("id")))
     one = usable.groupBy("id").agg(F.expr("percentile_disc(0.5) within group (order by grade)").alias("grade"))
     sample = one.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).filter(f"text is not null and length(text) <= {TRAIN_CHARS}")
+    size, piece = F.length("text"), TRAIN_CHARS // TRAIN_PIECES
+    pieces = [F.col("text").substr((F.lit(1) + F.pmod(F.xxhash64("id", F.lit(k)), size - piece)).cast("int"), F.lit(piece)) for k in range(TRAIN_PIECES)]
+    texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).filter("text is not null")
+    texts = texts.withColumn("text", F.when(size <= TRAIN_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *pieces)))
     got = texts.join(F.broadcast(sample), "id").select("id", "text", "grade").toArrow().to_pandas()  # at most `rows` small rows are broadcast
     got = got.sort_values(["id", "text"]).drop_duplicates("id")
     return fit(got["text"].tolist(), got["grade"].tolist())
@@ -147,7 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", id_col
 
 def rate(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_least: float | None = None, tail: float = SELECT_TAIL) -> DataFrame:
     """``docs`` with expected_grade, tail_probability (of ``at_least``, by default the highest
-    grade) and selected (whether that is ``tail`` or more).  Null texts are rated as empty."""
+    grade) and selected (whether that is ``tail`` or more).
+
+    Null texts are rated as empty, equal texts alike; columns with the names of the outputs are
+    replaced, and no other is touched.
+    """
     want = model.grades[-1] if at_least is None else at_least
     k = int(np.searchsorted(model.grades, want)) - 1
 
@@ -158,6 +166,8 @@ def rate(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_least:
             high = model.tails(latent)[:, k] if 0 <= k < len(model.thresholds) else np.full(len(s), float(k < 0))
             yield pd.DataFrame({"expected": model.expected(latent), "tail": high})
 
-    scored = docs.withColumn("__ll_q", score(F.coalesce(docs[f"`{text_col}`"], F.lit(""))))
-    q: Column = F.col("__ll_q")
-    return tk.with_outputs(scored, expected_grade=q["expected"], tail_probability=q["tail"], selected=q["tail"] >= tail).drop("__ll_q")
+    tk.bound_batches(docs.sparkSession)
+    p = tk.fresh(docs)
+    scored = docs.withColumn(f"{p}q", score(F.coalesce(docs[f"`{text_col}`"], F.lit(""))))
+    q: Column = F.col(f"{p}q")
+    return tk.with_outputs(scored, expected_grade=q["expected"], tail_probability=q["tail"], selected=q["tail"] >= tail).drop(f"{p}q")

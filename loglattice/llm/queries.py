@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm import textkit as tk
-from loglattice.llm import decontam, line_dedup, mixing, neardup, pii, quality, rules, token_counts, token_records, toxicity
+from loglattice.llm import bpe, decontam, line_dedup, mixing, neardup, pii, quality, rules, token_counts, token_records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +30,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, tokenizer_path(), tk.work_dir(spark, "token-cache")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    path = tokenizer_path()
+    cache = f"{tk.shared_dir(spark)}/token-cache/{bpe.tokenizer_version(path)[:16]}"  # later calls find what earlier ones counted
+    return token_counts.count_tokens(docs, path, cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Base statistics of a text are exact and computed row by row.  Four ratios of them are judged
 against limits read off a sketch of the text's language and source:
 
-* ``word_length``: Tukey's outer fences, the quartiles minus and plus three times their distance;
+* ``word_length``: Tukey's outer fences, the quartiles minus and plus three times their distance
+  (or, where they are one value, the step of the grid);
 * ``symbols``, ``dup_lines`` and ``repeat_words``: the quantile at ``TAIL``, so that each of these
   takes at most that tail of a group.  What a text has once is never held against it
   (``ONCE``: a symbol, a repeated line, a phrase of up to twelve words that comes twice).
@@ -119,7 +120,8 @@ def limits(sketch: DataFrame) -> DataFrame:
         return F.min(F.when(den * F.col("upto") >= num * F.col("all"), F.col("value")))
 
     q = ranked.groupBy("lang", "source", "ratio").agg(quantile(1, 4).alias("q1"), quantile(3, 4).alias("q3"), quantile(*TAIL).alias("tail"))
-    reach = 3 * (F.col("q3") - F.col("q1"))
+    # Quartiles are known to a step of the grid only.
+    reach = 3 * F.greatest(F.col("q3") - F.col("q1"), F.expr("shiftleft(1L, greatest(length(bin(q3)) - 7, 0))"))
     two_sided = F.col("ratio") == "word_length"
     low, high = F.when(two_sided, F.col("q1") - reach), F.when(two_sided, F.col("q3") + reach).otherwise(F.col("tail"))
     entry = F.struct("ratio", F.struct(low.alias("low"), high.alias("high")))
@@ -142,7 +144,8 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     wanted = docs.columns if carry is None else carry
     rows = tk.stored(base_statistics(keyed, text_col, p).select(*[F.col(f"`{c}`") for c in wanted], lang, source, b), "statistics")
     good = rows.filter(~base_failed(b)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[c.alias(r) for r, c in ratios(b).items()])
-    found = limits(tk.stored(sketches(good), "sketches")).select(F.col("lang").alias(f"{p}l"), F.col("source").alias(f"{p}s"), F.col("limits").alias(f"{p}limits"))
+    # Written, so that the join is broadcast where its size allows, and else a hot group can be split.
+    found = tk.stored(limits(tk.stored(sketches(good), "sketches")), "limits").select(F.col("lang").alias(f"{p}l"), F.col("source").alias(f"{p}s"), F.col("limits").alias(f"{p}limits"))
     joined = rows.join(found, (F.col(lang) == F.col(f"{p}l")) & (F.col(source) == F.col(f"{p}s")), "left")
     verdict = ~base_failed(b)
     for r, c in ratios(b).items():
@@ -205,7 +208,8 @@ q AS (
   SELECT lang, source, ratio, min(v) FILTER (4 * upto >= total) AS q1, min(v) FILTER (4 * upto >= 3 * total) AS q3, min(v) FILTER (100 * upto >= 95 * total) AS tail
   FROM r GROUP BY lang, source, ratio),
 fence AS (
-  SELECT lang, source, ratio, q1 - 3 * (q3 - q1) AS low, CASE WHEN ratio = 'word_length' THEN q3 + 3 * (q3 - q1) ELSE tail END AS high FROM q)
+  SELECT lang, source, ratio, q1 - 3 * greatest(q3 - q1, 1 << greatest(length(bin(q3)) - 7, 0)::INT) AS low,
+         CASE WHEN ratio = 'word_length' THEN q3 + 3 * greatest(q3 - q1, 1 << greatest(length(bin(q3)) - 7, 0)::INT) ELSE tail END AS high FROM q)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(word_length BETWEEN wl.low AND wl.high, false) AND coalesce(symbols <= sy.high OR n_symbols <= 1, false)
        AND coalesce(dup_lines <= dl.high OR n_dup_lines <= 1, false) AND coalesce(repeat_words <= rw.high OR n_repeat_words <= 24, false) AS kept

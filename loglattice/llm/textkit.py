@@ -7,6 +7,7 @@ slice is a slice of its own).
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 U64 = np.uint64
@@ -33,8 +34,8 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
     _WORD[_lo:_hi] = True
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests) a folder
     of our own is configured.
@@ -44,7 +45,19 @@ def work_dir(spark: SparkSession, label: str) -> str:
         base = f"/tmp/checkpoints/loglattice-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark reads it by."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -87,10 +100,24 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: a worker process waits for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 def map_arrow(df: DataFrame, f, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
     bound_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)
 
 
 def with_outputs(df: DataFrame, **cols: Column) -> DataFrame:

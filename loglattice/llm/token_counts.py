@@ -68,8 +68,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text_col
     counted = tk.map_arrow(misses, _counter(tokenizer_path), "digest binary, n_tokens bigint")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 
-    known = read_cache(spark, cache_path, version).select(F.col("digest").alias("__ll_known"), F.col("n_tokens").alias("__ll_n"))
-    keyed = docs.withColumn("__ll_digest", content_digest(docs[f"`{text_col}`"])).withColumn("__ll_bytes", F.octet_length(F.coalesce(docs[f"`{text_col}`"], F.lit(""))).cast("bigint"))
-    joined = keyed.join(known, F.col("__ll_digest") == F.col("__ll_known"), "left")
-    out = tk.with_outputs(joined, n_bytes=F.col("__ll_bytes"), n_tokens=F.col("__ll_n"), over_limit=F.col("__ll_n") > limit)
-    return out.drop("__ll_digest", "__ll_bytes", "__ll_known", "__ll_n")
+    # Written, so that no aggregate stands on either side of the join and a text that many rows share can be split.
+    known = tk.stored(read_cache(spark, cache_path, version), "token-counts")
+    p = tk.fresh(docs)
+    digest, size, key, n = (f"{p}{x}" for x in ("digest", "bytes", "known", "n"))
+    known = known.select(F.col("digest").alias(key), F.col("n_tokens").alias(n))
+    text = docs[f"`{text_col}`"]
+    keyed = docs.withColumns({digest: content_digest(text), size: F.octet_length(F.coalesce(text, F.lit(""))).cast("bigint")})
+    joined = keyed.join(known, F.col(digest) == F.col(key), "left")
+    return tk.with_outputs(joined, n_bytes=F.col(size), n_tokens=F.col(n), over_limit=F.col(n) > limit).drop(digest, size, key, n)

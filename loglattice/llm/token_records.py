@@ -190,6 +190,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
     Null ids come first; rows of one id are ordered by their text, and equal rows are all
     written.  Null and empty texts are records of the end id alone.  Returns the manifest.
     """
+    folder = tk.qualified(docs.sparkSession, folder)  # tasks open it by themselves
     rows = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     keys = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc()]
     ordered = rows.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
@@ -257,5 +258,6 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     start is the number of ids of all records before it, ids_crc32 the CRC-32 of its ids as
     little-endian unsigned 32-bit numbers.
     """
+    folder = tk.qualified(spark, folder)
     files = read_manifest(spark, folder).select("file", "id_bytes", "first_id")
-    return files.repartition(max(1, min(files.count(), 10_000))).mapInArrow(_reader(folder), RECORD_SCHEMA)
+    return tk.map_arrow(files.repartition(max(1, min(files.count(), 10_000))), _reader(folder), RECORD_SCHEMA)

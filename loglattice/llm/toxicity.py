@@ -325,6 +325,7 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             yield pa.array(model.score(col), pa.float64())
+        tk.release()
 
     return score(F.lower(F.coalesce(text, F.lit(""))))
 

@@ -468,3 +468,40 @@ def test_a_large_group_about_the_threshold(spark):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert got == {i: find(i) for i in range(150)}
+
+
+def test_columns_with_the_operators_own_names_are_kept(spark, path, tmp_path):
+    names = ["__t", "__b", "__h", "__th", "__m", "__l", "__ll_t", "__ll_tokens", "__LL_row", "fences", "limits", "ratio", "node", "text2"]
+    clash = docs(spark, ODD).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    made = {
+        "rules": rules.apply_rules(clash), "pii": pii.pseudonymise(clash, "k"), "lines": line_dedup.remove_repeats(clash), "mix": mixing.inclusion(clash), "sample": mixing.sample(clash),
+        "tokens": token_counts.count_tokens(clash, path, str(tmp_path / "cache")), "dedup": neardup.deduplicate(clash), "quality": quality.rate(clash, quality.fit([], [])),
+    }
+    for op, df in made.items():
+        assert set(clash.columns) <= set(df.columns), op
+        assert all(tuple(r[c] for c in names) == tuple(range(len(names))) for r in df.collect()), op
+
+
+def test_telephone_numbers_and_addresses_stay_possible(spark):
+    rows = [(0, "call (212) 555-0123 or +1 212-555-0123"), (1, "call (112) 555-0123"), (2, "at 010.0.0.1 and 10.0.0.1"), (3, "+44 123-456-7890"), (4, "call 212-155-0123")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    first, second = re.findall(r"[0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}", got[0].text)
+    assert re.sub(r"\D", "", first) == re.sub(r"\D", "", second) != "2125550123" and re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", re.sub(r"\D", "", first)) and got[0].n_phone == 2
+    assert got[1].text == rows[1][1] and got[4].text == rows[4][1] and got[2].n_ip == 1 and "010.0.0.1" in got[2].text
+    assert got[3].text != rows[3][1] and got[3].text.startswith("+44 ")
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.format_string("(%d) 555-%04d", 200 + F.col("id") % 800, F.col("id")).alias("text"))
+    assert pii.pseudonymise(many, "k").select("text").distinct().count() == 2000
+
+
+def test_limits_of_groups_differ_and_decide(spark):
+    """Repeated lines: common in one source, rare in another; the same text is judged by its source."""
+    plain = lambda k: "\n".join(f"line {k:04} {j} of text" for j in range(6))
+    twice = lambda k: plain(k) + f"\nline {k:04} 0 of text\nline {k:04} 3 of text"
+    rows = [(k, twice(k) if k % 5 == 0 else plain(k), "en", "forum") for k in range(400)] + [(1000 + k, twice(k) if k % 400 == 0 else plain(k), "en", "news") for k in range(1600)]
+    got = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert got.kept[0] and not got.kept[1000] and got.kept.sum() == 1996
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    p = tk.fresh(d)
+    good = rules.base_statistics(d, "text", p).select("lang", "source", *[c.alias(r) for r, c in rules.ratios(f"{p}b").items()])
+    found = {r.source: r.limits["dup_lines"].high for r in rules.limits(rules.sketches(good)).collect()}
+    assert found["news"] == 0 < found["forum"]
