@@ -104,10 +104,12 @@ def bridge_confidence(kind: Column, families: Column, match_type: Column, infras
 
 def shared_indicators(events: DataFrame, infra_ips: tuple[str, ...] = ()) -> DataFrame:
     """Indicators that more than one tool family saw, most telling first."""
-    agg = indicators(events).groupBy("indicator", "kind").agg(
-        F.count_distinct("family").alias("families"), count_rows().alias("occurrences"), joined("family").alias("family_list"),
+    # Equal spellings are folded before anything is shuffled by indicator.
+    alike = indicators(events).groupBy("indicator", "kind", "family", "origin", "raw", "realm").agg(count_rows().alias("n"))
+    agg = alike.groupBy("indicator", "kind").agg(
+        F.collect_set("family").alias("seen"), F.sum("n").alias("occurrences"),
         joined("origin").alias("origins"), F.array_sort(F.collect_set("raw")).alias("raws"), F.array_sort(F.collect_set("realm")).alias("realms"),
-    ).filter("families > 1")
+    ).withColumns({"families": F.size("seen").cast("bigint"), "family_list": F.array_join(F.array_sort("seen"), ", ")}).filter("families > 1")
     infra = F.coalesce((F.col("kind") == "ip") & F.lower("indicator").isin(*[i.strip().lower() for i in infra_ips]), F.lit(False)) if infra_ips else F.lit(False)
     match = F.when(n.realms_conflict(F.col("realms")), "ambiguous").when(F.size("raws") > 1, "normalized").otherwise("exact")
     agg = agg.withColumn("match_type", match).withColumn("infrastructure", infra)
@@ -118,30 +120,34 @@ def shared_indicators(events: DataFrame, infra_ips: tuple[str, ...] = ()) -> Dat
     return out.orderBy(*_order("-confidence", "-families", "-occurrences", "kind", "indicator"))
 
 
-def episode_ids(events: DataFrame, gap_seconds: int = 120, bucket_seconds: int = 3600) -> DataFrame:
+def episode_ids(events: DataFrame, gap_seconds: int = 120, bucket_seconds: int = 600) -> DataFrame:
     """``events`` that have a time, with ``episode``: it rises by one after every gap of more than ``gap_seconds``.
 
-    There is no sort of everything in one task: rows are windowed within buckets of time, and
-    only a row per bucket (its end and number of gaps) is put in order over all.
+    There is no sort of everything in one task: distinct times are windowed within buckets of time,
+    and only a row per bucket (its end and number of gaps) is put in order over all.  However
+    many events fall into one time, it is one row of the windows.
     """
-    timed = events.filter("ts_parsed is not null").withColumn("us", F.unix_micros("ts_parsed")).withColumn("bucket", F.expr(f"us div {bucket_seconds * 1_000_000}"))
-    inside = Window.partitionBy("bucket").orderBy("us", "id")
-    jump = (F.col("us") - F.lag("us").over(inside)) > gap_seconds * 1_000_000
-    marked = timed.withColumn("jump", F.coalesce(jump, F.lit(False)).cast("int")).withColumn("local", F.sum("jump").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    buckets = timed.groupBy("bucket").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    jumps = marked.groupBy("bucket").agg(F.sum("jump").alias("jumps"))
+    timed = events.filter("ts_parsed is not null").withColumn("us", F.unix_micros("ts_parsed"))
+    times = timed.select("us").distinct().withColumn("bucket", F.expr(f"us div {bucket_seconds * 1_000_000}"))
+    inside = Window.partitionBy("bucket").orderBy("us")
+    jump = F.coalesce((F.col("us") - F.lag("us").over(inside)) > gap_seconds * 1_000_000, F.lit(False)).cast("int")
+    marked = times.withColumn("jump", jump).withColumn("local", F.sum("jump").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = marked.groupBy("bucket").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.sum("jump").alias("jumps"))
     over = Window.orderBy("bucket")  # a row per bucket
     lead_in = F.coalesce((F.col("first_us") - F.lag("last_us").over(over)) > gap_seconds * 1_000_000, F.lit(False)).cast("int")
-    placed = buckets.join(jumps, "bucket").withColumn("lead_in", lead_in)
+    placed = placed.withColumn("lead_in", lead_in)
     before = F.coalesce(F.sum("jumps").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("lead_in").over(over.rowsBetween(Window.unboundedPreceding, 0))
-    start = placed.select("bucket", before.alias("start"))
-    return marked.join(start, "bucket").withColumn("episode", (F.col("start") + F.col("local")).cast("bigint")).drop("us", "bucket", "jump", "local", "start")
+    at = marked.join(placed.select("bucket", before.alias("start")), "bucket").select("us", (F.col("start") + F.col("local")).cast("bigint").alias("episode"))
+    return timed.join(at, "us").drop("us")
 
 
 def episodes(events: DataFrame, gap_seconds: int = 120, min_sources: int = 2, limit: int = 100) -> DataFrame:
-    agg = episode_ids(events, gap_seconds).groupBy("episode").agg(
-        F.min("ts_parsed").alias("start"), F.max("ts_parsed").alias("end"), count_rows().alias("events"), F.count_distinct(family_key()).alias("families"), joined(family_key()).alias("family_list"),
-        F.count_distinct("host").alias("hosts"), F.count_distinct(F.coalesce("src_ip", "dst_ip")).alias("ips"), F.collect_set("kc_phase").alias("seen"),
+    # Events alike in all that is used are folded before times are joined, with their number.
+    used = {"ts_parsed": F.col("ts_parsed"), "family": family_key(), "host": F.col("host"), "ip": F.coalesce("src_ip", "dst_ip"), "kc_phase": F.col("kc_phase")}
+    alike = events.select(*[c.alias(k) for k, c in used.items()]).groupBy(*used).agg(count_rows().alias("n"))
+    agg = episode_ids(alike, gap_seconds).groupBy("episode").agg(
+        F.min("ts_parsed").alias("start"), F.max("ts_parsed").alias("end"), F.sum("n").alias("events"), F.count_distinct("family").alias("families"), joined("family").alias("family_list"),
+        F.count_distinct("host").alias("hosts"), F.count_distinct("ip").alias("ips"), F.collect_set("kc_phase").alias("seen"),
     ).filter(F.col("families") >= min_sources)
     phases = F.filter(F.array(*map(F.lit, attack.PHASES)), lambda p: F.array_contains("seen", p))
     out = agg.select(n.iso(F.col("start")).alias("start_ts"), n.iso(F.col("end")).alias("end_ts"), "events", "families", "family_list", "hosts", "ips", F.array_join(phases, " → ").alias("phases"), "start")

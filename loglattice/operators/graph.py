@@ -28,45 +28,71 @@ def _stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def entities(infra_ips: tuple[str, ...] = ()) -> Column:
-    """The entities of an event as an array of (kind, value), generic and infrastructure ones left out."""
-    known = [i.strip().lower() for i in infra_ips]
+# The entities of an event in order: kind, column, and the column that marks it as generic.
+ENTITIES = (
+    ("user", "user_canon", "user_generic"), ("host", "host_canon", "host_generic"), ("ip", "src_ip", "src_ip_generic"), ("ip", "dst_ip", "dst_ip_generic"),
+    ("domain", "dns_query", "dns_generic"), ("file_hash", "file_hash", None), ("file", "file_canon", "file_generic"),
+)
+
 
-    def one(kind: str, value: str, generic: str | None) -> Column:
+def _values(infra_ips: tuple[str, ...]) -> list[tuple[str, Column]]:
+    """(kind, value) per place; the value is null where it is generic, declared infrastructure, or not there."""
+    known = [i.strip().lower() for i in infra_ips]
+    out = []
+    for kind, value, generic in ENTITIES:
         use = F.col(value).isNotNull()
         if generic:
             use &= ~F.coalesce(F.col(generic), F.lit(False))
         if kind == "ip" and known:
             use &= ~F.lower(F.col(value)).isin(*known)
-        return F.when(use, F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value")))
+        out.append((kind, F.when(use, F.col(value))))
+    return out
 
-    found = F.array(
-        one("user", "user_canon", "user_generic"), one("host", "host_canon", "host_generic"), one("ip", "src_ip", "src_ip_generic"), one("ip", "dst_ip", "dst_ip_generic"),
-        one("domain", "dns_query", "dns_generic"), one("file_hash", "file_hash", None), one("file", "file_canon", "file_generic"),
-    )
-    return F.filter(found, lambda x: x.isNotNull())
+
+def entities(infra_ips: tuple[str, ...] = ()) -> Column:
+    """The entities of an event as an array of (kind, value), generic and infrastructure ones left out."""
+    listed = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, v in _values(infra_ips)])
+    return F.filter(listed, lambda x: x.isNotNull())
+
+
+def _placed(events: DataFrame, infra_ips: tuple[str, ...], *more: Column) -> tuple[DataFrame, list[str]]:
+    """``more`` columns and one of the entity's value per place: plain columns, computed once a row in compiled code."""
+    names = [f"e{i}" for i in range(len(ENTITIES))]
+    return events.select(*more, *[v.alias(c) for c, (_, v) in zip(names, _values(infra_ips), strict=True)]), names
+
+
+def _key(kind: str, c: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.col(c))
 
 
-def _keyed(events: DataFrame, infra_ips: tuple[str, ...]) -> DataFrame:
-    listed = events.withColumn("ents", entities(infra_ips))
-    return listed.withColumn("keys", F.array_distinct(F.transform("ents", lambda e: F.concat(e["kind"], F.lit(":"), e["value"]))))
+def _keyed(events: DataFrame, infra_ips: tuple[str, ...], *more: Column) -> DataFrame:
+    """``more`` columns and ``keys``, the distinct entities of the event in order."""
+    rows, names = _placed(events, infra_ips, *more)
+    listed = F.array(*[_key(k, c) for c, (k, _, _) in zip(names, ENTITIES, strict=True)])
+    return rows.withColumn("keys", F.array_except(listed, F.array(F.lit(None).cast("string")))).drop(*names)
 
 
 def entity_nodes(events: DataFrame, infra_ips: tuple[str, ...] = (), dedupe: bool = False) -> DataFrame:
     """(kind, value, events, families, kc_order): an address that is source and destination of an
     event counts twice unless ``dedupe``."""
-    ents = F.array_distinct("ents") if dedupe else F.col("ents")
-    rows = _keyed(events, infra_ips).select(F.inline(ents), family_key().alias("family"), "kc_order")
-    return rows.groupBy("kind", "value").agg(count_rows().alias("events"), F.count_distinct("family").alias("families"), F.max("kc_order").alias("kc_order")).orderBy(*_order("-events", "kind", "value"))
+    rows, names = _placed(events, infra_ips, family_key().alias("family"), F.col("kc_order"))
+    if dedupe:
+        rows = rows.withColumn("e3", F.when(~F.col("e2").eqNullSafe(F.col("e3")), F.col("e3")))
+    each = rows.select("family", "kc_order", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for c, (k, _, _) in zip(names, ENTITIES, strict=True)])))
+    # Summed by family first: the second sum is over a few rows per entity.
+    per = each.filter("value is not null").groupBy("kind", "value", "family").agg(count_rows().alias("n"), F.max("kc_order").alias("kc_order"))
+    return per.groupBy("kind", "value").agg(F.sum("n").alias("events"), F.count("family").alias("families"), F.max("kc_order").alias("kc_order")).orderBy(*_order("-events", "kind", "value"))
 
 
 def entity_edges(events: DataFrame, infra_ips: tuple[str, ...] = (), min_weight: int = 1) -> DataFrame:
     """(a, b, weight) of entities named by one event, a before b; pairs are made within the row, without a shuffle."""
-    ents = F.transform("ents", lambda e: F.concat(e["kind"], F.lit(":"), e["value"]))
-    one = _keyed(events, infra_ips).withColumn("e", ents).select("e", F.posexplode("e").alias("i", "x"))
-    two = one.select("i", "x", F.posexplode("e").alias("j", "y")).filter("i < j and x != y")
-    pairs = two.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(count_rows().alias("weight"))
-    return pairs.filter(F.col("weight") >= min_weight).orderBy(*_order("-weight", "a", "b"))
+    rows, names = _placed(events, infra_ips)
+    keys = [_key(k, c) for c, (k, _, _) in zip(names, ENTITIES, strict=True)]
+    # Events alike in all entities are one row with their number; pairs of kinds are fixed, so no array is walked.
+    alike = rows.groupBy(*names).agg(count_rows().alias("n")).select("n", *[k.alias(c) for k, c in zip(keys, names, strict=True)])
+    pairs = [F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) != F.col(y))).alias("both")) for i, x in enumerate(names) for y in names[i + 1 :]]
+    found = alike.select("n", F.inline(F.array(*pairs))).filter("both")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("weight")).filter(F.col("weight") >= min_weight).orderBy(*_order("-weight", "a", "b"))
 
 
 def entity_graph(events: DataFrame, infra_ips: tuple[str, ...] = (), limit_nodes: int = 40, min_weight: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +155,7 @@ def incident_clusters(events: DataFrame, infra_ips: tuple[str, ...] = (), min_fa
     """
     used = ["family", "kc_order", "kc_phase", "attack_evidence", "tactic_list"]
     # Derived once; of events alike in all that is used one row is kept.
-    rows = _stored(_keyed(events, infra_ips).filter("size(keys) > 0").select("keys", family_key().alias("family"), *used[1:]).distinct())
+    rows = _stored(_keyed(events, infra_ips, family_key().alias("family"), *map(F.col, used[1:])).filter("size(keys) > 0").distinct())
     roots = components(rows.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct())
     # Distinct by first entity before the join, so that a hub is a few rows.
     member = rows.select(F.col("keys")[0].alias("node"), *used).distinct().join(roots, "node")
