@@ -352,14 +352,16 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("th"), F.lower(text).alias("text"))
     id_type = dict(rows.dtypes)["id"]
     signed = run.put(tk.map_arrow(rows, _sign, f"id {id_type}, th bigint, node binary, bands array<bigint>"), "signatures")
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
+    # Rows of one node are folded before they are shuffled, and all joins by node but the last are between folded tables.
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    nodes = run.put(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min(order).alias("head"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
     buckets = run.put(banded.join(shared, "band"), "buckets")
 
     # Texts are read again, and only those of nodes in a shared bucket go on.
-    wanted = buckets.select("node").distinct()
-    ids = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+    wanted = run.put(buckets.select("node").distinct(), "shared-nodes")
+    ids = nodes.join(wanted, "node", "left_semi").select("id").distinct()
     some = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
     bags = tk.map_arrow(some, _sets, "node binary, bag binary, total bigint").join(wanted, "node", "left_semi")
     bags = run.put(bags.groupBy("node").agg(F.first("bag").alias("bag"), F.first("total").alias("total")), "shingles")
@@ -368,10 +370,7 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
     classes.against_hubs()
     classes.across()
 
-    # A row's node and class are found by node; rows of one node are folded first.
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    per_node = signed.groupBy("node").agg(F.min(order).alias("head"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    of_node = run.put(classes.of(per_node, "node", "class"), "node-class")
+    of_node = run.put(classes.of(nodes.select("node", "head", "id", "n"), "node", "class"), "node-class")
     named = of_node.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_members"), F.min("head").alias("head"))
     # Written, so that the join below has no aggregate on either side and a hot node can be split.
     of_node = run.put(of_node.select("node", "class").join(named, "class"), "class-of-node")

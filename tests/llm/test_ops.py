@@ -505,3 +505,79 @@ def test_limits_of_groups_differ_and_decide(spark):
     good = rules.base_statistics(d, "text", p).select("lang", "source", *[c.alias(r) for r, c in rules.ratios(f"{p}b").items()])
     found = {r.source: r.limits["dup_lines"].high for r in rules.limits(rules.sketches(good)).collect()}
     assert found["news"] == 0 < found["forum"]
+
+
+def feistel(l, r, a, b, key, *tweak):
+    """The permutation by its definition, in Python."""
+    import hashlib
+
+    def prf(i, v, n):
+        return int(hashlib.sha256("|".join(map(str, [key, *tweak, i, v, n])).encode()).hexdigest()[:15], 16) % n
+
+    for i in range(1, pii.ROUNDS // 2 + 1):
+        l = (l + prf(2 * i, r, a)) % a
+        r = (r + prf(2 * i + 1, l, b)) % b
+    return l, r
+
+
+def test_pseudonyms_equal_a_plain_feistel_network(spark):
+    import datetime
+
+    rng = np.random.default_rng(0)
+    ips = [tuple(map(int, rng.integers(0, 256, 4))) for _ in range(40)]
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(int(d)) for d in rng.integers(0, 146_097, 40)]
+    phones = [(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(200, 1000, 40), rng.integers(200, 1000, 40), rng.integers(0, 10_000, 40))]
+    rows = [(k, f"{'.'.join(map(str, ip))} on {d.isoformat()} by ({p[0]}) {p[1]}-{p[2]:04}") for k, (ip, d, p) in enumerate(zip(ips, days, phones))]
+    want = []
+    for ip, d, p in zip(ips, days, phones):
+        x, y = feistel(ip[0] * 256 + ip[1], ip[2] * 256 + ip[3], 65536, 65536, "k", "ip")
+        n = (d - datetime.date(1800, 1, 1)).days
+        u, v = feistel(n // 773, n % 773, 189, 773, "k", "date")
+        a, b = feistel(p[0] - 200, (p[1] - 200) * 10_000 + p[2], 800, 8_000_000, "k", "phone")
+        b = f"{b + 2_000_000:07}"
+        want.append(f"{x // 256}.{x % 256}.{y // 256}.{y % 256} on {(datetime.date(1800, 1, 1) + datetime.timedelta(u * 773 + v)).isoformat()} by ({a + 200}) {b[:3]}-{b[3:]}")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [got[k] for k in range(40)] == want
+
+
+def test_ordinal_fit_is_a_least_loss():
+    """The loss, written out text by text, is not lowered by moving a threshold or the weights."""
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 60)
+    texts = [" ".join(rng.choice(["bad", "fair", "good"], 12, p=[[0.6, 0.3, 0.1], [0.2, 0.6, 0.2], [0.1, 0.3, 0.6]][k])) for k in y]
+    model = quality.fit(texts, y.tolist(), steps=3000)
+
+    def loss(thresholds, weight):
+        total = 0.0
+        for t, k in zip(texts, y):
+            _, slot, value = quality.features(*tk.text_bytes(pa.array([t])))
+            cut = np.concatenate([[-np.inf], thresholds, [np.inf]]) - (value * weight[slot]).sum()
+            hi, lo = 1 / (1 + np.exp(-cut[k + 1])), 1 / (1 + np.exp(-cut[k]))
+            total -= np.log(hi - lo) / len(y)
+        return total + quality.RIDGE / 2 * (weight**2).sum()
+
+    best = loss(model.thresholds, model.weight)
+    used = np.unique(np.concatenate([quality.features(*tk.text_bytes(pa.array([t])))[1] for t in texts]))
+    for k in range(20):
+        step = np.zeros_like(model.weight)
+        step[used] = rng.normal(0, 0.1, len(used))
+        assert loss(model.thresholds, model.weight + step) > best - 1e-4
+    for move in ([0.1, 0], [-0.1, 0], [0, 0.1], [0, -0.1]):
+        assert loss(model.thresholds + np.array(move), model.weight) > best - 1e-4
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op6_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").filter("held_out").toPandas()
+    assert len(got) > 500 and ((got.tail_probability >= 0.5) == (got.quality == 1)).mean() >= 0.98
+
+
+def test_quality_training_rows(spark):
+    """Repeated ratings and rows, nulls, an empty table and a text longer than is used whole."""
+    rows = [(k, f"good fine nice text {k}") for k in range(40)] + [(k, f"bad worse awful text {k}") for k in range(40, 80)] + [(0, "good " * 30_000), (None, "bad"), (79, None)]
+    marks = [(k, int(k < 40)) for k in range(80)] + [(1, 1), (2, None), (None, 1)]
+    d, m = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = quality.rate(d.filter("doc_id > 0"), quality.train(d, m)).toPandas()
+    assert (got.selected == (got.doc_id < 40))[got.text.notna()].mean() > 0.95
+    assert quality.train(d.limit(0), m).grades.tolist() == [0] and quality.train(d, m.limit(0)).grades.tolist() == [0]
+    assert quality.rate(d.limit(0), quality.train(d, m)).count() == 0
