@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,19 +67,44 @@ def pivot_keywords(events: DataFrame) -> DataFrame:
     return rows.filter("value is not null").distinct()
 
 
-def ioc_search(records: DataFrame, iocs: DataFrame, ioc_col: str = "ioc", fields: list[str] | None = None, max_broadcast: int = 100_000) -> DataFrame:
+def _automaton(iocs: list[tuple[str, str]]):
+    """A scanner that finds all of some (indicator, lower-case form) in one pass over each text."""
+    import ahocorasick
+
+    by_form: dict[str, list[str]] = {}
+    for ioc, form in iocs:
+        by_form.setdefault(form, []).append(ioc)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for form, names in by_form.items():
+            found.add_word(form, names)
+        found.make_automaton()
+        for batch in batches:
+            hits: Counter = Counter()
+            for text in batch.column("text"):
+                held = {id(names): names for _, names in found.iter(text.as_py() or "")}
+                hits.update(name for names in held.values() for name in names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.string()), pa.array(list(hits.values()), pa.int64())], ["ioc", "n"])
+
+    return scan
+
+
+def ioc_search(records: DataFrame, iocs: DataFrame, ioc_col: str = "ioc", fields: list[str] | None = None, block_rows: int = 100_000, block_bytes: int = 16 << 20) -> DataFrame:
     """(ioc, hits): rows that hold each indicator anywhere, case-insensitive.
 
-    The indicators are the query set: they are deduplicated, cut into blocks of at most
-    ``max_broadcast`` and each block is held against all rows.
+    The indicators are the query set: they are deduplicated, cut into blocks of bounded size, and
+    each block is held against all rows by an automaton that reads a text once, however many
+    indicators there are.
     """
     text = F.lower(F.to_json(F.struct(*[F.col(f"`{c}`") for c in (fields or records.columns)])) if len(fields or records.columns) > 1 else F.col(f"`{(fields or records.columns)[0]}`").cast("string"))
-    wanted = iocs.select(F.trim(F.col(f"`{ioc_col}`")).alias("ioc")).filter("ioc <> ''").distinct()
-    blocks = max(1, -(-wanted.count() // max_broadcast))
+    wanted = iocs.select(F.trim(F.col(f"`{ioc_col}`")).alias("ioc")).filter("ioc <> ''").distinct().select("ioc", F.lower("ioc").alias("form"))
+    size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ioc")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // block_rows), -(-size[1] // block_bytes))
     out = None
     for k in range(blocks):
-        part = wanted.filter(F.pmod(F.xxhash64("ioc"), F.lit(blocks)) == k) if blocks > 1 else wanted
-        hits = records.select(text.alias("text")).join(F.broadcast(part), F.expr("contains(text, lower(ioc))")).groupBy("ioc").agg(count_rows().alias("hits"))
+        part = [(r.ioc, r.form) for r in wanted.filter(F.pmod(F.xxhash64("ioc"), F.lit(blocks)) == k).collect()]  # a block
+        hits = records.select(text.alias("text")).mapInArrow(_automaton(part), "ioc string, n bigint").groupBy("ioc").agg(F.sum("n").alias("hits"))
         out = hits if out is None else out.unionByName(hits)
     return out
 
