@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import attack
@@ -16,14 +16,19 @@ ROUNDS = 60
 SHOWN = 8
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Written to the cluster's checkpoint folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the cluster's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"/tmp/checkpoints/loglattice-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the cluster's checkpoint folder and read back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

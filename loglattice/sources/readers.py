@@ -245,10 +245,9 @@ def log_file(spark: SparkSession, path: str, fmt: str = "auto", pattern: str | N
     if fmt == "regex":
         if not pattern:
             raise ValueError("the regex format needs a pattern")
-        java = re.sub(r"\(\?P<", "(?<", pattern)
-        groups = re.findall(r"\(\?<([A-Za-z][A-Za-z0-9_]*)>", java)
-        number = {g: k for k, g in enumerate((x for x in re.findall(r"\((?!\?)|\(\?<([A-Za-z][A-Za-z0-9_]*)>", java)), 1) if g}
-        plain = re.sub(r"\(\?<[A-Za-z][A-Za-z0-9_]*>", "(", java)
+        named = re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
+        number, groups = named.groupindex, list(named.groupindex)
+        plain = re.sub(r"\(\?P?<[A-Za-z][A-Za-z0-9_]*>", "(", pattern)
         return conform(rows.filter(line.rlike(plain)).select(source, *[n.blank_to_null(F.regexp_extract(line, plain, number[g])).alias(to(g)) for g in groups]))
     if fmt == "jsonl":
         parsed = rows.select(source, F.from_json("line", MAP).alias("m")).filter("m is not null and size(m) > 0")

@@ -1,6 +1,7 @@
 import pytest
 from compare import assert_same
 
+from loglattice.plans import files as _files  # noqa: F401
 from loglattice.plans import queries as engine
 
 SF = "/root/testdata/sf0.001"
