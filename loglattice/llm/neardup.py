@@ -236,31 +236,32 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sim, pa.float64())], ["u", "v", "similarity"])
 
 
-def components(links: DataFrame, run: tk.Scratch) -> DataFrame:
+def components(links: DataFrame, run: tk.Scratch, rows: int | None = None) -> DataFrame:
     """(node, root) for all nodes of the links (u, v): root is one node of the component, the same for all.
 
     Every round points each node at its least neighbour, follows that pointer once, and merges
     nodes into what they point at; links within a merged node vanish, so the links shrink from
-    round to round.  Tables are written between rounds.
+    round to round, and the files with them.  Tables are written between rounds.  ``rows`` is a
+    bound of the number of links, where one is known.
     """
-    edges = run.put(links.filter("u != v").select(*_ordered("u", "v")).distinct(), "edges")
-    labels = None
+    edges, n = run.counted(links.filter("u != v").select(*_ordered("u", "v")).distinct(), "edges", rows)
+    labels, n_labels = None, 2 * n
     for _ in range(MAX_ROUNDS):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = run.put(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("up")), "parents")
+        parent = run.put(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("up")), "parents", 2 * n)
         over = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        moved = run.put(parent.join(over, "up").select("node", F.col("top").alias("to")), "moved")
+        moved = run.put(parent.join(over, "up").select("node", F.col("top").alias("to")), "moved", 2 * n)
         if labels is None:
             labels = moved.select("node", F.col("to").alias("root"))
         else:
             step = moved.select(F.col("node").alias("root"), "to")
-            labels = run.put(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            labels = run.put(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels", n_labels)
         at = {k: moved.select(F.col("node").alias(k), F.col("to").alias(f"{k}_to")) for k in ("u", "v")}
         merged = edges.join(at["u"], "u").join(at["v"], "v").filter("u_to != v_to").select(*_ordered("u_to", "v_to"))
         # A node pointed at may itself point on: that link stays.
         onward = moved.join(moved.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").filter("next != to").select(*_ordered("to", "next"))
-        edges = run.put(merged.unionByName(onward).distinct(), "edges")
-        if edges.isEmpty():
+        edges, n = run.counted(merged.unionByName(onward).distinct(), "edges", 3 * n)
+        if not n:
             return labels
     raise RuntimeError("components did not settle")
 
@@ -272,9 +273,10 @@ def _ordered(a: str, b: str) -> list[Column]:
 class _Classes:
     """Classes of nodes, joined pair by pair of buckets (band, node, n, hub)."""
 
-    def __init__(self, run: tk.Scratch, buckets: DataFrame, bags: DataFrame, threshold: float):
-        self.run, self.buckets, self.bags, self.threshold = run, buckets, bags, threshold
+    def __init__(self, run: tk.Scratch, buckets: DataFrame, n_buckets: int, bags: DataFrame, threshold: float):
+        self.run, self.buckets, self.n_buckets, self.bags, self.threshold = run, buckets, n_buckets, bags, threshold
         self.known: DataFrame | None = None  # similarities of all pairs so far
+        self.n_known = 0
         self.roots: DataFrame | None = None
 
     def of(self, table: DataFrame, node: str, name: str) -> DataFrame:
@@ -288,17 +290,18 @@ class _Classes:
         """Find the similarities of the pairs that are not known, and join classes by them; whether there were any."""
         if self.known is not None:
             pairs = pairs.join(self.known, ["u", "v"], "left_anti")
-        pairs = self.run.put(pairs, "pairs")
-        if pairs.isEmpty():
+        pairs, n = self.run.counted(pairs, "pairs", self.n_buckets)
+        if not n:
             return False
         u, v = (self.bags.select(F.col("node").alias(k), F.col("bag").alias(f"bag_{k}")) for k in ("u", "v"))
-        found = self.run.put(tk.map_arrow(pairs.join(u, "u").join(v, "v"), _similarities, "u binary, v binary, similarity double"), "similarities")
+        found = self.run.put(tk.map_arrow(pairs.join(u, "u").join(v, "v"), _similarities, "u binary, v binary, similarity double"), "similarities", n, 2_000)
         self.known = found if self.known is None else self.known.unionByName(found)
+        self.n_known += n
         links = found.filter(F.col("similarity") >= self.threshold).select("u", "v")
         if not links.isEmpty():
             if self.roots is not None:
                 links = links.unionByName(self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-            self.roots = components(links, self.run)
+            self.roots = components(links, self.run, 2 * self.n_known)
         return True
 
     def against_hubs(self) -> None:
@@ -310,29 +313,30 @@ class _Classes:
             if not self.verify(one.select(*_ordered("node", "hub")).distinct()):
                 return
 
-    def mixed(self) -> DataFrame:
-        """(band, node, class, main) of buckets of several classes, main being the largest one."""
+    def mixed(self) -> tuple[DataFrame, int]:
+        """(band, node, class, main) of buckets of several classes, main being the largest one; and the number of rows."""
         placed = self.of(self.buckets.select("band", "node"), "node", "class")
         per_class = placed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
         several = per_class.groupBy("band").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n")).filter("classes > 1 and n > 2")
-        return self.run.put(placed.join(several.select("band", F.col("top.class").alias("main")), "band"), "mixed")
+        return self.run.counted(placed.join(several.select("band", F.col("top.class").alias("main")), "band"), "mixed", self.n_buckets)
 
     def across(self) -> None:
         """Compare what is left: nodes of mixed buckets with the central node, then with one another."""
-        mixed = self.mixed()
-        if mixed.isEmpty():
+        mixed, n = self.mixed()
+        if not n:
             return
-        stats = self.run.put(node_statistics(self.bags.join(mixed.select("node").distinct(), "node", "left_semi")), "statistics")
+        some = self.run.put(mixed.select("node").distinct(), "mixed-nodes", n)
+        stats = self.run.put(node_statistics(self.bags.join(some, "node", "left_semi")), "statistics", n, 5_000)
         share = F.struct(F.col("own") / F.greatest("total", F.lit(1)), "node")
         pivots = mixed.join(stats, "node").groupBy("class").agg(F.min(share).alias("p")).select(F.col("class").alias("main"), F.col("p.node").alias("pivot"))
-        pivots = self.run.put(pivots, "pivots")
+        pivots = self.run.put(pivots, "pivots", n)
         minor = mixed.filter("class != main").join(pivots, "main").select("node", "pivot")
         self.verify(minor.select(*_ordered("node", "pivot")).distinct())
 
-        mixed = self.mixed()
-        if mixed.isEmpty():
+        mixed, n = self.mixed()
+        if not n:
             return
-        full = self.run.put(mixed.join(stats, "node"), "placed")
+        full = self.run.put(mixed.join(stats, "node"), "placed", n, 5_000)
         facts = lambda d, k: d.select(F.col("band").alias(f"{k}_band"), F.col("node").alias(k), F.col("class").alias(f"{k}_class"), *[F.col(c).alias(f"{k}_{c}") for c in ("total", "unit", "own", "bits")])
         a, b = facts(full.filter("class != main"), "a"), facts(full, "b")
         on = (F.col("a_band") == F.col("b_band")) & (F.col("a_class") != F.col("b_class")) & may_link("a", "b", self.threshold)
@@ -351,29 +355,29 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("th"), F.lower(text).alias("text"))
     id_type = dict(rows.dtypes)["id"]
-    signed = run.put(tk.map_arrow(rows, _sign, f"id {id_type}, th bigint, node binary, bands array<bigint>"), "signatures")
+    signed, n = run.counted(tk.map_arrow(rows, _sign, f"id {id_type}, th bigint, node binary, bands array<bigint>"), "signatures")
     # Rows of one node are folded before they are shuffled, and all joins by node but the last are between folded tables.
     order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    nodes = run.put(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min(order).alias("head"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = run.put(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min(order).alias("head"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes", n, 5_000)
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    buckets = run.put(banded.join(shared, "band"), "buckets")
+    buckets, n_buckets = run.counted(banded.join(shared, "band"), "buckets", n, 5_000)
 
     # Texts are read again, and only those of nodes in a shared bucket go on.
-    wanted = run.put(buckets.select("node").distinct(), "shared-nodes")
+    wanted = run.put(buckets.select("node").distinct(), "shared-nodes", n_buckets)
     ids = nodes.join(wanted, "node", "left_semi").select("id").distinct()
     some = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
     bags = tk.map_arrow(some, _sets, "node binary, bag binary, total bigint").join(wanted, "node", "left_semi")
-    bags = run.put(bags.groupBy("node").agg(F.first("bag").alias("bag"), F.first("total").alias("total")), "shingles")
+    bags = run.put(bags.groupBy("node").agg(F.first("bag").alias("bag"), F.first("total").alias("total")), "shingles", n_buckets, 5_000)
 
-    classes = _Classes(run, buckets, bags, threshold)
+    classes = _Classes(run, buckets, n_buckets, bags, threshold)
     classes.against_hubs()
     classes.across()
 
-    of_node = run.put(classes.of(nodes.select("node", "head", "id", "n"), "node", "class"), "node-class")
+    of_node = run.put(classes.of(nodes.select("node", "head", "id", "n"), "node", "class"), "node-class", n)
     named = of_node.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_members"), F.min("head").alias("head"))
     # Written, so that the join below has no aggregate on either side and a hot node can be split.
-    of_node = run.put(of_node.select("node", "class").join(named, "class"), "class-of-node")
+    of_node = run.put(of_node.select("node", "class").join(named, "class"), "class-of-node", n)
     is_first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.th"))
     out = run.keep(signed.select("id", "th", "node").join(of_node, "node").select("id", "th", "class", "class_id", "n_members", is_first.alias("is_first")), "classes")
     run.clear()
