@@ -5,12 +5,15 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
 from loglattice import cases
 from loglattice.events import derive
 from loglattice.functions import attack, decode
+from loglattice.operators.slices import slice_report
+from loglattice.sources.detect import detect, routed
 from loglattice.sources.readers import READERS, build_events
 
 
@@ -34,8 +37,14 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("analyze", help="run all recipes and correlations over some sources")
     c = sub.add_parser("case", help="persistent cases")
     d = sub.add_parser("decode", help="find encoded strings in a text")
+    w = sub.add_parser("detect", help="what kind of source each file of a folder is")
+    w.add_argument("path")
+    r = sub.add_parser("report", help="a report of some detections by level, tactic and time")
+    r.add_argument("path")
+    r.add_argument("--out")
     for x in (a, c):
         x.add_argument("--source", action="append", default=[], metavar="KIND=PATH")
+        x.add_argument("--folder", action="append", default=[], metavar="PATH", help="files whose kind is told by name and content")
         x.add_argument("--infra", action="append", default=[], metavar="IP")
         x.add_argument("--format", choices=("json", "markdown", "html"), default="json")
         x.add_argument("--level", choices=("full", "detailed", "summary"), default="full")
@@ -64,11 +73,21 @@ def main(argv: list[str] | None = None) -> int:
     text = ""
     if args.command == "decode":
         text = json.dumps(decode.scan(args.text), indent=1)
+    elif args.command == "detect":
+        text = json.dumps({r.path: r.kind for r in detect(session(), args.path).collect()}, indent=1)
+    elif args.command == "report":
+        found = derive(build_events(session(), [("evtx", args.path, {})]))
+        text = slice_report(found, args.path.rpartition("/")[2], datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M UTC"))
     elif args.command == "analyze":
         from loglattice.analyze import analyze
 
         errors: list[tuple[str, str]] = []
-        raw = build_events(session(), _sources(args.source), errors)
+        sources = _sources(args.source)
+        for path in args.folder:
+            taken, left = routed(session(), path)
+            sources += taken
+            errors += [(p, f"no reader for {kind or 'this content'}") for p, kind in left]
+        raw = build_events(session(), sources, errors)
         for path, why in errors:
             print(f"{path}: {why}", file=sys.stderr)
         if raw is None:
@@ -82,7 +101,8 @@ def main(argv: list[str] | None = None) -> int:
         if args.action == "new":
             case.create(args.text or "")
         elif args.action == "add":
-            text = str(case.append(build_events(case.spark, _sources(args.source)), args.force))
+            sources = _sources(args.source) + [s for path in args.folder for s in routed(case.spark, path)[0]]
+            text = str(case.append(build_events(case.spark, sources), args.force))
         elif args.action == "show":
             text = json.dumps(case.meta, indent=1)
         elif args.action == "infra":

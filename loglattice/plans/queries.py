@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loglattice.events import derive
 from loglattice.functions import attack, decode, scoring
-from loglattice.operators import correlate, delta, extras, graph, recipes
+from loglattice.operators import correlate, delta, extras, graph, recipes, slices
 from loglattice.plans.telemetry import duck_events, raw_events, telemetry
 from loglattice.sources import readers
 
@@ -392,6 +392,25 @@ def decode_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.scan_fields(docs, ["text"]).select("doc_id", "encoder", "original", "decoded", "confidence", "notes")
 
 
+@register(
+    "slice_levels",
+    "SELECT CASE p_size % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' WHEN 4 THEN 'low' ELSE 'informational' END AS level, count(*) AS detections FROM part GROUP BY 1",
+)
+def slice_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.element_at(F.array(*[F.lit(x) for x in ("crit", "CRITICAL", "High", "medium", "Low", "odd", None)]), (F.col("p_size") % 7 + 1).cast("int"))
+    return slices.by_level(table(spark, sf_dir, "part").select(level.alias("rule_level")))
+
+
+@register(
+    "slice_tactics",
+    "WITH t AS (SELECT trim(unnest(string_split(techniques, ','))) AS technique, CASE WHEN user_canon LIKE '%0' AND length(user_canon) % 2 = 0 THEN 'execution,impact' ELSE '(tactic not indicated)' END AS declared FROM ev WHERE techniques IS NOT NULL), p AS (SELECT DISTINCT unnest(string_split(declared, ',')) AS tactic, technique FROM t) SELECT tactic, string_agg(technique, ', ' ORDER BY technique) AS techniques FROM p GROUP BY 1",
+    EVTX,
+)
+def slice_tactics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = F.when(F.col("user_canon").like("%0") & (F.length("user_canon") % 2 == 0), "execution,impact")
+    return slices.by_tactic(telemetry(spark, sf_dir, EVTX).withColumn("tactics_declared", declared))
+
+
 # Part rows as file records: a folder by p_size, an extension by p_partkey, every eleventh a directory.
 _FOLDERS = ("Users/ann/AppData/Local/Temp", "Windows/Temp", "ProgramData/x", "Windows/Tasks", "Users/Public/y", "$Recycle.Bin/S-1", "Windows/System32", "Users/ann/AppData/Roaming", "PerfLogs", "Temp")
 _EXTENSIONS = ("exe", "PS1", "psm1", "jse", "com", "txt", "sys", "docx", "vbe")

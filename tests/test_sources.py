@@ -141,3 +141,28 @@ def test_literal_scan_and_errors(spark, tmp_path):
     assert [x["rule_name"] for x in rows(r.literal_scan(spark, p, {"m": ["MALWARE"], "n": ["none"]}))] == ["m"]
     errors = []
     assert r.build_events(spark, [("evtx", str(tmp_path / "missing"), {})], errors) is None and len(errors) == 1
+
+
+def test_kinds_are_told_by_name_and_content(spark, tmp_path):
+    from loglattice.sources.detect import detect, routed
+
+    files = {
+        "a.txt": "Jan  5 10:00:00 ws1 THOR: Alert: SCORE: 90\n", "b.csv": "a" * 32 + ",C:\\x,90\n", "c.json": '{"hostIdentifier":"h","unixTime":1}\n', "d.txt": "Host name: ws\nDescription: x\n", "e.jsonl": '{"RuleTitle":"r","Computer":"c"}\n',
+        "f.json": '{"EventId":1,"Payload":"{}"}\n', "g.json": '{"KeyPath":"k","LastWriteTimestamp":"2026-01-01 00:00:00"}', "h.json": '{"EntryNumber":1,"FileName":"f"}\n', "i.log": "any line\n", "j.reg": "x\n", "k.evtx": "x\n", "SYSTEM": "regf....\n", "m.xyz": "x\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got = {r.path.rpartition("/")[2]: r.kind for r in detect(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "thor", "b.csv": "thor_csv", "c.json": "osquery", "d.txt": "crowdstrike", "e.jsonl": "evtx", "f.json": "evtx_full", "g.json": "registry_tree", "h.json": "mft", "i.log": "log", "j.reg": "reg", "k.evtx": "evtx_binary", "SYSTEM": "hive_binary", "m.xyz": None}
+    taken, left = routed(spark, str(tmp_path))
+    assert {k for k, _, _ in taken} == {"thor", "osquery", "crowdstrike", "evtx", "evtx_full", "registry_tree", "mft", "log", "reg"} and {p.rpartition("/")[2] for p, _ in left} == {"k.evtx", "SYSTEM", "m.xyz"}
+
+
+def test_slice_report(spark, tmp_path):
+    from loglattice.events import derive
+    from loglattice.operators.slices import slice_report
+
+    lines = [{"Timestamp": f"2026-01-01T00:00:0{k}Z", "EventID": 1, "Channel": "Sysmon", "Computer": "ws1", "RuleTitle": f"r|{k}", "Level": level, "MitreTags": tags, "MitreTactics": tactics, "Details": {"Proc": "p" * 60}} for k, (level, tags, tactics) in enumerate([("crit", ["T1110"], ["CredAccess"]), ("med", ["T1059.001", "T1110"], []), ("info", [], [])])]
+    text = slice_report(derive(r.detections(spark, write(tmp_path, "d.jsonl", "\n".join(map(json.dumps, lines))))), "d.jsonl", "now", 2)
+    assert "Detections: 3 · critical: 1 · medium: 1 · informational: 1" in text and "- **credential-access**: T1110" in text and "- **(tactic not indicated)**: T1059.001, T1110" in text
+    assert "1 detections have no technique." in text and "| 2026-01-01T00:00:00Z | critical | r/0 | T1110 | 1 | " + "p" * 45 + "… |" in text and text.rstrip().endswith("1 more")
