@@ -146,7 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", id_col
     texts = texts.withColumn("text", F.when(size <= TRAIN_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *pieces)))
     got = texts.join(F.broadcast(sample), "id").select("id", "text", "grade").toArrow().to_pandas()  # at most `rows` small rows are broadcast
     got = got.sort_values(["id", "text"]).drop_duplicates("id")
-    return fit(got["text"].tolist(), got["grade"].tolist())
+    texts, grades = got["text"].tolist(), got["grade"].tolist()
+    del got
+    model = fit(texts, grades)
+    del texts
+    tk.release()  # the driver goes on with other work
+    return model
 
 
 def rate(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_least: float | None = None, tail: float = SELECT_TAIL) -> DataFrame:

@@ -317,7 +317,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     # Rows with one id are few; the least hash of each is taken before anything is gathered.
     single = found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("id", "x.label", "x.text")
     got = tk.map_arrow(single, _sampled, f"id {dict(single.dtypes)['id']}, label int, text string").toArrow().sort_by("id")
-    return fit(pa.concat_arrays(got.column("text").chunks or [pa.array([], pa.string())]).cast(pa.large_string()), got.column("label").to_pylist())
+    col, marks = pa.concat_arrays(got.column("text").chunks or [pa.array([], pa.string())]).cast(pa.large_string()), got.column("label").to_pylist()
+    del got
+    model = fit(col, marks)
+    del col
+    tk.release()  # the driver goes on with other work
+    return model
 
 
 def score_column(model: ToxicityModel, text: Column) -> Column:
