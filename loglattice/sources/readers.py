@@ -31,19 +31,21 @@ def _objects(text: Column) -> Column:
     return F.when(text.startswith("["), F.from_json(text, f"array<{MAP}>")).when(data.startswith("["), F.from_json(data, f"array<{MAP}>")).otherwise(F.array(one))
 
 
-def json_objects(spark: SparkSession, path: str) -> DataFrame:
+def json_objects(spark: SparkSession, path: str | list[str], mark: str = "") -> DataFrame:
     """(m, file): every object as a map of its fields' JSON text.
 
     One object a line, an array, ``{"Data": [...]}`` or one object over many lines.  Files of one
-    object a line are read in splits; only others are read whole, as they can't be cut.
+    object a line are read in splits; only others are read whole, as they can't be cut.  A
+    ``mark`` (pattern) that lines may begin with is taken off.
     """
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "^\ufeff|\\s+$", "")).alias("t"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
+    begin = f"^\ufeff|^\\s*(?:{mark})" if mark else "^\ufeff"
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", begin + "|\\s+$", "")).alias("t"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
     complete = F.col("t").startswith("{") & F.col("t").endswith("}")
     others = [r.path for r in lines.filter((F.col("t") != "") & ~complete).select("path").distinct().collect()]  # a row a file
     found = lines.filter(complete if not others else complete & ~F.col("path").isin(others)).select(F.explode(_objects(F.col("t"))).alias("m"), "file")
     if others:
         whole = spark.read.text(others, wholetext=True).select(F.regexp_replace("value", "^\ufeff|^\\s+|\\s+$", "").alias("t"), F.col("_metadata.file_name").alias("file"))
-        each = F.filter(F.transform(F.split("t", r"\r?\n"), lambda x: F.from_json(x, MAP)), lambda m: m.isNotNull() & (F.size(m) > 0))
+        each = F.filter(F.transform(F.split("t", r"\r?\n"), lambda x: F.from_json(F.regexp_replace(x, begin, ""), MAP)), lambda m: m.isNotNull() & (F.size(m) > 0))
         good = F.filter(_objects(F.col("t")), lambda m: m.isNotNull() & (F.size(m) > 0))
         # Neither an array nor one object: lines, of which some are damaged.
         found = found.unionByName(whole.select(F.explode(F.when(F.size(good) > 0, good).otherwise(each)).alias("m"), "file"))
@@ -411,16 +413,23 @@ FALCON_CARD = {"Host name": "host", "File name": "file_name", "File path": "file
 
 
 def crowdstrike(spark: SparkSession, path: str, source: str = "crowdstrike") -> DataFrame:
-    """Exports as JSON, ``@rawstring:`` lines or ``Key: Value`` blocks, by what each part looks like."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff|\r", "").alias("t"))
-    card = F.col("t").rlike(r"(?m)^(Host name|File name|Command line|SHA 256): ")
-    blocks = whole.filter(card).select(F.explode(F.split("t", r"\n\s*\n")).alias("b")).filter("trim(b) <> ''")
-    cards = blocks.select(F.map_from_entries(F.transform(F.regexp_extract_all("b", F.lit(r"(?m)^([^:\n]+): (.*)$"), F.lit(0)), lambda x: F.struct(F.substring_index(x, ": ", 1), F.regexp_extract(x, r"^[^:]+: (.*)$", 1)))).alias("m"))
-    raw = whole.filter(~card).select(F.explode(F.split("t", "\n")).alias("line"))
-    lines = raw.select(F.from_json(F.regexp_replace("line", r"^\s*@rawstring:\s*", ""), MAP).alias("m")).filter("m is not null and size(m) > 0")
-    arrays = whole.filter(~card & F.trim("t").startswith("[")).select(F.explode(F.from_json("t", f"array<{MAP}>")).alias("m"))
+    """Exports as JSON, ``@rawstring:`` lines or ``Key: Value`` blocks, by what each file looks like.
+
+    Only files of blocks, which people copy by hand, are read whole.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    looks = lines.groupBy("path").agg(F.max(F.col("value").rlike(r"^\x{FEFF}?(Host name|File name|Command line|SHA 256): ")).alias("card")).collect()  # a row a file
+    by_card = [r.path for r in looks if r.card]
+    by_line = [r.path for r in looks if not r.card]
+    none = spark.createDataFrame([], "m map<string,string>")
+    cards = falcon = none
+    if by_card:
+        whole = spark.read.text(by_card, wholetext=True).select(F.regexp_replace("value", "^\ufeff|\r", "").alias("t"))
+        blocks = whole.select(F.explode(F.split("t", r"\n\s*\n")).alias("b")).filter("trim(b) <> ''")
+        cards = blocks.select(F.map_from_entries(F.transform(F.regexp_extract_all("b", F.lit(r"(?m)^([^:\n]+): (.*)$"), F.lit(0)), lambda x: F.struct(F.substring_index(x, ": ", 1), F.regexp_extract(x, r"^[^:]+: (.*)$", 1)))).alias("m"))
+    if by_line:
+        falcon = json_objects(spark, by_line, r"@rawstring:\s*").select("m")
     m = F.col("m")
-    falcon = lines.unionByName(arrays)
     at = F.coalesce(m["timestamp"], m["@timestamp"], m["_time"])
     ts = F.when(at.rlike("^[0-9]{13}$"), n.iso(F.timestamp_millis(at.try_cast("bigint")))).otherwise(at)
     process = m["ImageFileName"].isNotNull() | m["CommandLine"].isNotNull()
