@@ -3,7 +3,8 @@
 A byte-level pre-tokenizer with the usual pattern always begins a new token at a space that is
 followed by a non-space, between an ASCII letter and a full stop or comma, and on either side
 of a lone line feed between non-spaces.  So a text cut there encodes to the concatenation of
-its pieces' ids, and a piece is encoded once per worker while the memo lasts.  Added special
+its pieces' ids, and a piece is encoded once per worker while the memo lasts; the memo keeps the
+bytes of each piece, and every hit is compared with them.  Added special
 tokens hold none of these characters, so they match inside a piece as the library does by
 default.  A file for which this can't be shown is encoded whole.
 """
@@ -18,6 +19,8 @@ import numpy as np
 
 from loglattice.llm import textkit as tk
 
+#: Raised with each change of this module that could change a count: counts of older encoders are not reused.
+ENCODER = 2
 MEMO_ENTRIES = 1_000_000
 SLICE_BYTES = 3 << 20
 JOINED_BYTES = 16_384
@@ -36,11 +39,11 @@ _SOLID[0x80:] = False
 
 
 def tokenizer_version(path: str) -> str:
-    """Digest of the tokenizer file and the library's version: counts are only reused within it."""
+    """Digest of the tokenizer file, the library's version and ``ENCODER``: counts are only reused within it."""
     import tokenizers
 
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + b"\0" + tokenizers.__version__.encode()).hexdigest()
+        return hashlib.sha256(f.read() + f"\0{tokenizers.__version__}\0{ENCODER}".encode()).hexdigest()
 
 
 def _cuts_hold(spec: dict) -> bool:
@@ -74,6 +77,15 @@ def piece_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """The array itself, or one of twice its length or more that holds ``n`` values."""
+    if len(x) >= n:
+        return x
+    out = np.zeros(max(n, 2 * len(x)), dtype=x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class PieceEncoder:
     """encode(buf, off) gives the ids of the texts and each text's offset into them."""
 
@@ -91,6 +103,8 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.slot: dict[int, int] = {}
+        self.text = np.zeros(1 << 16, dtype=np.uint8)
+        self.text_end = np.zeros(1 << 16, dtype=np.int64)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.end = np.zeros(1 << 16, dtype=np.int64)
 
@@ -119,14 +133,14 @@ class PieceEncoder:
                 out[k] = ids[a:b]
             at = to
         n = len(self.slot)
-        base = int(self.end[n - 1]) if n else 0
+        base, text_base = (int(x[n - 1]) if n else 0 for x in (self.end, self.text_end))
         ends = base + np.cumsum([len(x) for x in out])
-        while len(self.end) < n + len(out):
-            self.end = np.concatenate([self.end, np.zeros_like(self.end)])
-        while len(self.ids) < ends[-1]:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.end[n : n + len(out)] = ends
+        text_ends = text_base + np.cumsum([len(p) for p in pieces])
+        self.end, self.text_end = (_room(x, n + len(out)) for x in (self.end, self.text_end))
+        self.ids, self.text = _room(self.ids, int(ends[-1])), _room(self.text, int(text_ends[-1]))
+        self.end[n : n + len(out)], self.text_end[n : n + len(out)] = ends, text_ends
         self.ids[base : ends[-1]] = np.concatenate(out)
+        self.text[text_base : text_ends[-1]] = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self.slot.update(zip(keys, range(n, n + len(out)), strict=True))
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +164,21 @@ class PieceEncoder:
             b = (start[first[new]] + size[first[new]]).tolist()
             self._learn([keys[k] for k in new], [raw[i:j] for i, j in zip(a, b, strict=True)])
         slot = np.fromiter(map(self.slot.__getitem__, keys), dtype=np.int64, count=len(keys))
-        stop = self.end[slot]
-        begin = np.where(slot > 0, self.end[np.maximum(slot - 1, 0)], 0)
+        begin, stop, text_begin, text_stop = (np.where(slot + d >= 0, x[slot + d], 0) for x in (self.end, self.text_end) for d in (-1, 0))
         count = (stop - begin)[inverse]
+        ids, from_ = self.ids, begin[inverse]
+        # A hash only proposes: what the memo has under it must be the piece itself.
+        wrong = (text_stop - text_begin)[inverse] != size
+        wrong |= ~tk.same_runs(buf, start, self.text, text_begin[inverse], np.where(wrong, 0, size))
+        if wrong.any():
+            raw = buf.tobytes()
+            own = self.whole([raw[i : i + n].decode() for i, n in zip(start[wrong].tolist(), size[wrong].tolist(), strict=True)])
+            count[wrong] = [len(x) for x in own]
+            from_[wrong] = len(ids) + np.cumsum(count[wrong]) - count[wrong]
+            ids = np.concatenate([ids, *own])
         out_end = np.cumsum(count)
-        where = np.arange(int(out_end[-1])) + np.repeat(begin[inverse] - (out_end - count), count)
-        return self.ids[where], np.concatenate([[0], out_end])[np.searchsorted(start, off)]
+        where = np.arange(int(out_end[-1])) + np.repeat(from_ - (out_end - count), count)
+        return ids[where], np.concatenate([[0], out_end])[np.searchsorted(start, off)]
 
 
 _encoders: dict[str, PieceEncoder] = {}

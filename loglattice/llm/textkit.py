@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,23 +158,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix((np.arange(256, dtype=U64) + U64(1)) * _GAMMA)
-_BASE = 0xD1342543DE82EF95
-_up = _down = np.ones(1, dtype=U64)
+_LONG = 64
+_TAIL = (U64(1) << (U64(8) * np.arange(8, dtype=U64))) - U64(1)
+_PLACE = mix((np.arange(_LONG // 8, dtype=U64) + U64(1)) * _GAMMA)
+
+
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of the buffer on as one little-endian number; zeros follow its end."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(buf) + 1,), strides=(1,))
 
 
 def run_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte runs, from one running sum over the buffer."""
-    global _up, _down
-    n = len(buf)
-    if len(_up) < n + 1:
-        _up, _down = np.full(n + 1, _BASE, dtype=U64), np.full(n + 1, pow(_BASE, -1, 1 << 64), dtype=U64)
-        _up[0] = _down[0] = 1
-        np.multiply.accumulate(_up, out=_up)
-        np.multiply.accumulate(_down, out=_down)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum(_BYTE[buf] * _up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * _down[start] ^ ((end - start).astype(U64) << U64(40)))
+    """64-bit hashes of byte runs: a bijective mix after every eight bytes, XXH3 for runs of more than 64.
+
+    Nothing is summed over places, so texts with an inner structure (a word and its complement,
+    two parts exchanged) are told apart like any others.
+    """
+    start, end = np.asarray(start, dtype=np.int64), np.asarray(end, dtype=np.int64)
+    size = end - start
+    out = mix(size.astype(U64) * _GAMMA + U64(0x2545F4914F6CDD1D))
+    at = words_at(buf)
+    todo = np.flatnonzero((size > 0) & (size <= _LONG))
+    for k in range(_LONG // 8):
+        if not len(todo):
+            break
+        left = size[todo] - 8 * k
+        block = at[start[todo] + 8 * k]
+        block = np.where(left < 8, block & _TAIL[np.minimum(left, 7)], block)
+        out[todo] = mix((out[todo] ^ (block * _M2)) + _PLACE[k])
+        todo = todo[left > 8]
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
+def same_runs(a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether runs of ``size`` bytes from ``start_a`` in one buffer equal those from ``start_b`` in another, byte by byte."""
+    same = np.ones(len(size), dtype=bool)
+    at_a, at_b = words_at(a), words_at(b)
+    todo = np.flatnonzero((size > 0) & (size <= _LONG))
+    for k in range(_LONG // 8):
+        if not len(todo):
+            break
+        left = size[todo] - 8 * k
+        differ = at_a[start_a[todo] + 8 * k] ^ at_b[start_b[todo] + 8 * k]
+        differ = np.where(left < 8, differ & _TAIL[np.minimum(left, 7)], differ)
+        same[todo] &= differ == 0
+        todo = todo[(left > 8) & (differ == 0)]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        n = int(size[k])
+        same[k] = np.array_equal(a[start_a[k] : start_a[k] + n], b[start_b[k] : start_b[k] + n])
+    return same
 
 
 def column_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -238,7 +277,7 @@ def shingle_hashes(words: np.ndarray, off: np.ndarray, k: int = SHINGLE_WORDS) -
     acc = np.zeros(total, dtype=U64)
     last = len(words) - 1
     for j in range(k):
-        term = words[np.minimum(at + j, last)] * _STEP[j]
+        term = mix(words[np.minimum(at + j, last)] ^ _STEP[j])
         if j:
             term[left <= j] = 0
         acc += term

@@ -71,6 +71,53 @@ def test_counts_use_and_fill_the_cache(spark, path, tmp_path):
     assert {r.n_tokens for r in token_counts.count_tokens(docs(spark, ODD), path, str(tmp_path / "other")).collect()} == {7}
 
 
+def thue_morse(levels):
+    """A word over a and b and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    t = "a"
+    for _ in range(levels):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_structured_runs_apart():
+    rng = np.random.default_rng(3)
+    buf = rng.integers(0, 3, 60_000, dtype=np.uint8)
+    start = rng.integers(0, 59_000, 8000)
+    end = start + rng.integers(0, 400, 8000) ** 2 // 400
+    found = {bytes(buf[a:b]): h for a, b, h in zip(start, end, tk.run_hashes(buf, start, end))}
+    assert len(set(found.values())) == len(found)
+    assert all(found[bytes(buf[a:b])] == h for a, b, h in zip(start, end, tk.run_hashes(buf, start, end)))
+    for levels in range(1, 13):
+        for times in (1, 2, 3):
+            pair = [t * times for t in thue_morse(levels)]
+            b, off = tk.text_bytes(pa.array(pair))
+            assert len(set(tk.run_hashes(b, off[:-1], off[1:]).tolist())) == 2
+
+
+def test_equal_hashes_do_not_share_ids(path, monkeypatch):
+    texts = [f"w{k} and {k * k}, {'x' * (k % 90)}." for k in range(400)]
+    monkeypatch.setattr(tk, "run_hashes", lambda buf, a, b: ((b - a) % 3).astype(np.uint64))
+    e = bpe.PieceEncoder(path)
+    ids, off = e.encode(*tk.text_bytes(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [x.tolist() for x in e.whole(texts)]
+
+
+def test_structured_texts_in_the_operators(spark, path, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    rows = [(n, x, "en", "a", "s") for n, x in enumerate([x * times for times in (1, 2) for x in thue_morse(10)])]
+    want = {n: t.encode(x, add_special_tokens=False).ids for n, x, *_ in rows}
+    counts = token_counts.count_tokens(docs(spark, rows), path, str(tmp_path / "cache")).collect()
+    assert {r.doc_id: r.n_tokens for r in counts} == {n: len(x) for n, x in want.items()}
+    token_records.write_records(docs(spark, rows), str(tmp_path / "records"), path)
+    records = token_records.read_records(spark, str(tmp_path / "records")).collect()
+    assert {r.doc_id: r.ids_crc32 for r in records} == {n: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for n, x in want.items()}
+    leaks = decontam.leaks(docs(spark, rows), spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")).collect()
+    assert {r.doc_id for r in leaks} == {0}
+    assert {r.class_id for r in neardup.near_duplicates(docs(spark, rows)).collect()} == {0, 1, 2, 3}
+
+
 def crc32c(b):
     c = 0xFFFFFFFF
     for x in b:
