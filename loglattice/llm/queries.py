@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loglattice.llm import textkit as tk
-from loglattice.llm import bpe, decontam, line_dedup, mixing, neardup, pii, quality, rules, token_counts, token_records, toxicity
+from loglattice.llm import bpe, decontam, fill_middle, fingerprints, line_dedup, mixing, neardup, phrases, pii, quality, rules, token_counts, token_records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,9 +78,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("output"), F.col("form")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(output).alias("output_sha256"), sha(fill_middle.restored(output, form)).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op4_pseudonyms, op5_line_dedup, op6_quality, op7_quality_rules, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_token_records, op4_pseudonyms, op5_line_dedup, op6_quality, op7_quality_rules, op8_source_mix, op9_benchmark_leaks, op10_near_duplicates, op11_fingerprints, op12_phrases, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL, "op7_quality_rules": rules.SQL}
+    return {"op5_line_dedup": line_dedup.SQL, "op7_quality_rules": rules.SQL, "op12_phrases": phrases.SQL, "op13_fill_middle": fill_middle.SQL}

@@ -83,10 +83,14 @@ class Scratch:
 
     def put(self, df: DataFrame, label: str, rows: int | None = None, per: int = 50_000) -> DataFrame:
         """Write a table that has about ``rows`` rows at most, in no more files than ``per`` rows each call for."""
-        self.n += 1
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // per)))
-        return self._write(df, f"{self.base}/scratch/{self.n:03d}-{label}")
+        return self._write(df, self.path(label))
+
+    def path(self, label: str) -> str:
+        """A new folder name among those that ``clear`` deletes."""
+        self.n += 1
+        return f"{self.base}/scratch/{self.n:03d}-{label}"
 
     def counted(self, df: DataFrame, label: str, rows: int | None = None, per: int = 50_000) -> tuple[DataFrame, int]:
         """The same, with the number of rows that were written, which the files' footers tell."""
@@ -119,14 +123,18 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, f, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` over batches of bounded size."""
+    """``mapInArrow`` over batches of bounded size; columns may have any names."""
+    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = df.columns
+    plain = [f"c{k}" for k in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(batches)
+        for batch in f(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns([f"c{k}" for k in range(batch.num_columns)])
         release()
 
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*plain).mapInArrow(run, T.StructType([T.StructField(f"c{k}", x.dataType, x.nullable) for k, x in enumerate(out)])).toDF(*out.names)
 
 
 def with_outputs(df: DataFrame, **cols: Column) -> DataFrame:
