@@ -1,7 +1,10 @@
 """Persistent cases, bundles and reports.
 
-A case is a folder of ``case.json``, ``raw/`` (records as JSON text, by batch) and ``events/``
-(raw events, by batch).  The folder is local or mounted; tables in it are read and written by Spark.
+A case is a folder on any file system that Spark reads: ``log/`` of commits (creation, batches,
+notes, infrastructure, rebuilds) and ``data/`` with a folder per batch.  A batch holds, beside the
+flat event columns, each original record as a VARIANT, so columns can be made anew when the schema
+changes, and fields that it lacks can be asked for.  A batch counts from its commit on: one that was
+killed leaves files that nothing names, and ``vacuum`` deletes them.
 """
 
 from __future__ import annotations
@@ -12,100 +15,218 @@ import html
 import ipaddress
 import json
 import re
-import shutil
-from pathlib import Path
+import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loglattice.caselog import CommitLog, Folder
 from loglattice.events import derive
-from loglattice.schema import RAW, conform, fingerprint
+from loglattice.schema import RAW, conform, fingerprint, flat
+from loglattice.sources import readers
 
 CASE_ID = re.compile(r"^[a-z0-9][a-z0-9._-]{0,63}$")
 BUNDLE_VERSION = 1
 DIGEST_ROWS = 500
+#: Hours after which files without a commit are taken for those of a writer that was killed.
+ORPHAN_HOURS = 24
 
 
 def _now() -> str:
     return datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def _stored_schema() -> T.StructType:
+    return T.StructType([T.StructField("pos", T.LongType()), T.StructField("record", T.VariantType()), *[f for f in RAW.fields if f.name != "id"]])
+
+
+def record_of(df: DataFrame, kind: str) -> Column:
+    """The original of each row: its text as it was read, if that is a record of ``kind``, else all of its columns.
+
+    Texts that are no JSON become an object with the text as ``line``.
+    """
+    text = F.col("original") if "original" in df.columns else F.lit(None).cast("string")
+    if kind in readers.RECORD_EVENTS:
+        return F.coalesce(F.try_parse_json(text), F.parse_json(F.to_json(F.struct(text.alias("line")))))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("id", "pos")]
+    return F.parse_json(F.to_json(F.struct(*rest)))
+
+
+def events_of(records: DataFrame, kind: str) -> DataFrame:
+    """(pos, flat columns) made from (pos, record): by the reader of ``kind``, or by the common schema's keys."""
+    if kind in readers.RECORD_EVENTS:
+        return readers.RECORD_EVENTS[kind](records.select("pos", F.from_json(F.to_json("record"), readers.MAP).alias("m")))
+    return flat(records.select("pos", "record"))
+
+
 class Case:
     def __init__(self, spark: SparkSession, root: str, case_id: str):
         if not CASE_ID.match(case_id):
             raise ValueError(f"not a case id: {case_id!r}")
         self.spark, self.id = spark, case_id
-        self.path = Path(root) / case_id
+        self.folder = Folder(spark, f"{root.rstrip('/')}/{case_id}")
+        self.log = CommitLog(self.folder)
 
     @property
     def meta(self) -> dict:
-        return json.loads((self.path / "case.json").read_text())
-
-    def _save(self, meta: dict) -> None:
-        part = self.path / "case.json.part"
-        part.write_text(json.dumps(meta, indent=1))
-        part.replace(self.path / "case.json")
+        """The state that the commits add up to."""
+        entries = self.log.entries()
+        if not entries:
+            raise FileNotFoundError(self.id)
+        out = {"id": self.id, "events": 0, "batches": [], "notes": [], "infra_ips": [], "digest": None}
+        for e in entries:
+            if e["do"] == "create":
+                out |= {"title": e["title"], "created": e["at"]}
+            elif e["do"] == "append":
+                out["batches"].append({k: e[k] for k in ("data", "n", "first", "signature", "key", "kind", "label", "schema")} | {"added": e["at"]})
+                out["events"] += e["n"]
+            elif e["do"] == "rebuild":
+                for b in out["batches"]:
+                    if b["data"] in e["moved"]:
+                        b |= {"data": e["moved"][b["data"]], "schema": e["schema"]}
+            elif e["do"] == "note":
+                out["notes"].append({"at": e["at"], "text": e["text"]})
+            elif e["do"] == "infrastructure":
+                out["infra_ips"] = e["ips"]
+            else:
+                out["digest"] = e["digest"]
+        schemas = {b["schema"] for b in out["batches"]}
+        return out | {"schema": fingerprint() if schemas <= {fingerprint()} else min(schemas - {fingerprint()})}
+
+    def _add(self, do: str, **what) -> None:
+        self.meta  # of a case that there is
+        self.log.commit(lambda _: {"do": do, "at": _now(), **what})
 
     def create(self, title: str = "") -> "Case":
-        if (self.path / "case.json").exists():
-            raise FileExistsError(self.id)
-        self.path.mkdir(parents=True, exist_ok=True)
-        self._save({"id": self.id, "title": title, "created": _now(), "events": 0, "batches": [], "notes": [], "infra_ips": [], "schema": fingerprint(), "digest": None})
+        def first(entries: list[dict]) -> dict:
+            if entries:
+                raise FileExistsError(self.id)
+            return {"do": "create", "at": _now(), "title": title}
+
+        self.log.commit(first)
         return self
 
-    def append(self, raw: DataFrame, force: bool = False) -> int:
-        """Add a batch with continuing ids; the same batch again is refused unless ``force``.
+    def _write(self, rows: DataFrame) -> tuple[str, int, str]:
+        """Write a batch in two passes, the second with places that go on from part to part; its folder, size and signature.
 
-        The batch's signature is a hash over the sums of its rows' hashes and their count, each
-        row hashed with its place, so the order matters.
+        The signature is a hash over the sums of the rows' hashes and their count, each row hashed
+        with its place, so the order matters.
         """
-        meta = self.meta
-        rows = conform(raw)
-        placed = rows.withColumn("__k", F.monotonically_increasing_id())
-        sizes = placed.groupBy(F.shiftright("__k", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-        # Ids are a part's offset and the place in it: a row per part is put in order, not every row.
+        name = uuid.uuid4().hex
+        draft, final = self.folder.at(f"data/{name}-draft"), self.folder.at(f"data/{name}")
+        schema = _stored_schema()
+        rows.withColumn("pos", F.monotonically_increasing_id()).select(*schema.names).write.parquet(draft)
+        back = self.spark.read.schema(schema).parquet(draft).withColumn("part", F.shiftright("pos", 33))
+        sizes = back.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        # A row per part is put in order, not every row.
         start = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")
-        first = meta["events"]
-        numbered = placed.withColumn("part", F.shiftright("__k", 33)).join(F.broadcast(start), "part").withColumn("id", (F.lit(first) + F.col("start") + F.col("__k").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("__k", "part", "start")
-        batch = len(meta["batches"])
-        staged = self.path / f"staged-{batch}"
-        shutil.rmtree(staged, ignore_errors=True)
-        numbered.select(RAW.names).write.parquet(str(staged))
-        kept = self.spark.read.schema(RAW).parquet(str(staged))
-        body = F.to_json(F.struct(*[c for c in RAW.names if c != "id"]))
-        got = kept.select(F.xxhash64(F.col("id") - first, body).alias("a"), F.xxhash64(body, F.col("id") - first).alias("b")).agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        signature = hashlib.sha256("|".join(map(str, got)).encode()).hexdigest()
-        if not force and signature in [b["signature"] for b in meta["batches"]]:
-            shutil.rmtree(staged)
-            raise ValueError("this batch is in the case already")
-        target = self.path / "events" / f"batch={batch}"
-        target.parent.mkdir(exist_ok=True)
-        shutil.rmtree(target, ignore_errors=True)
-        staged.rename(target)
-        meta["batches"].append({"n": got[0], "signature": signature, "added": _now()})
-        meta["events"] += got[0]
-        self._save(meta)
-        return got[0]
+        placed = back.join(start, "part").withColumn("pos", F.col("start") + F.col("pos").bitwiseAND((1 << 33) - 1))
+        placed.select(*schema.names).write.parquet(final)
+        self.folder.delete(f"data/{name}-draft")
+        kept = self.spark.read.schema(schema).parquet(final)
+        body = F.to_json("record")
+        got = kept.select(F.xxhash64("pos", body).alias("a"), F.xxhash64(body, "pos").alias("b")).agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        return name, got[0], hashlib.sha256("|".join(map(str, got)).encode()).hexdigest()
+
+    def append(self, raw: DataFrame, force: bool = False, kind: str = "flat", label: str = "", key: str | None = None) -> int:
+        """Add a batch with continuing ids; the number of events that came in.
+
+        The same batch again is refused unless ``force``; one with the ``key`` of an earlier batch
+        is not added and no error, so a caller that can't know whether its last try came through may
+        try again.  Of a ``kind`` in ``readers.RECORD_EVENTS`` the events' own texts (``original``)
+        are the records; otherwise the records are all columns of ``raw``, those that the schema
+        lacks included.
+        """
+        if key is not None and any(b["key"] == key for b in self.meta["batches"]):
+            return 0
+        self.meta
+        name, n, signature = self._write(conform(raw.withColumn("record", record_of(raw, kind)), keep=("record",)))
+        if not n:
+            self.folder.delete(f"data/{name}")
+            return 0
+
+        def entry(entries: list[dict]) -> dict | None:
+            batches = [e for e in entries if e["do"] == "append"]
+            if key is not None and any(e["key"] == key for e in batches):
+                return None
+            if not force and any(e["signature"] == signature for e in batches):
+                raise ValueError("this batch is in the case already")
+            return {"do": "append", "at": _now(), "data": name, "n": n, "first": sum(e["n"] for e in batches), "signature": signature, "key": key, "kind": kind, "label": label, "schema": fingerprint()}
+
+        try:
+            done = self.log.commit(entry)
+        except ValueError:
+            self.folder.delete(f"data/{name}")
+            raise
+        if done is None:
+            self.folder.delete(f"data/{name}")
+            return 0
+        return n
+
+    def append_source(self, kind: str, path: str, force: bool = False, label: str = "", **options) -> int:
+        """Read a source and add what it holds."""
+        return self.append(readers.READERS[kind](self.spark, path, **options), force, kind if kind in readers.RECORD_EVENTS else "flat", label or path.rstrip("/").rpartition("/")[2])
+
+    def sink(self, name: str, kind: str = "flat"):
+        """For ``foreachBatch``: every micro-batch of the stream ``name`` is added once, however often it is replayed."""
+        return lambda batch, epoch: self.append(batch, force=True, kind=kind, label=name, key=f"{name}/{epoch}") and None
+
+    def _stored(self) -> DataFrame:
+        """(id, record, flat columns): ids go on from batch to batch."""
+        batches = self.meta["batches"]
+        schema = _stored_schema()
+        if not batches:
+            return self.spark.createDataFrame([], T.StructType([T.StructField("id", T.LongType()), *schema.fields]))
+        rows = self.spark.read.schema(schema).parquet(*[self.folder.at(f"data/{b['data']}") for b in batches])
+        first = F.create_map(*[F.lit(x) for b in batches for x in (b["data"], b["first"])])
+        of = F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]{32})/", 1)
+        return rows.withColumn("id", (F.element_at(first, of) + F.col("pos")).cast("bigint"))
 
     def raw(self) -> DataFrame:
-        if not self.meta["batches"]:
-            return self.spark.createDataFrame([], RAW)
-        return self.spark.read.schema(RAW).parquet(*[str(self.path / "events" / f"batch={k}") for k in range(len(self.meta["batches"]))])
+        return self._stored().select(*RAW.names)
+
+    def records(self) -> DataFrame:
+        """(id, record): the originals, for fields that the schema lacks (``try_variant_get``)."""
+        return self._stored().select("id", "record")
 
     def events(self, techniques: dict | None = None) -> DataFrame:
-        """Derived events: they are recomputed from raw ones, so a new schema needs no rebuild."""
+        """Derived events; what is derived is never stored."""
         return derive(self.raw(), techniques)
 
-    def rebuild(self) -> None:
-        self._save(self.meta | {"schema": fingerprint()})
+    def rebuild(self, every: bool = False) -> int:
+        """Make all columns anew from the originals, of batches that another schema wrote (or of ``every`` one); their number.
+
+        Each batch is written beside the old one, and one commit moves them all.
+        """
+        moved = {}
+        for b in self.meta["batches"]:
+            if not every and b["schema"] == fingerprint():
+                continue
+            records = self.spark.read.schema(_stored_schema()).parquet(self.folder.at(f"data/{b['data']}")).select("pos", "record")
+            made = events_of(records, b["kind"]).drop("id")
+            name = uuid.uuid4().hex
+            # A record that its reader passes over keeps its place, with empty columns.
+            records.join(made, "pos", "left").select(*_stored_schema().names).write.parquet(self.folder.at(f"data/{name}"))
+            moved[b["data"]] = name
+        if moved:
+            self._add("rebuild", moved=moved, schema=fingerprint())
+        return len(moved)
+
+    def vacuum(self, hours: float = ORPHAN_HOURS) -> list[str]:
+        """Delete batches that no commit names and that are older than ``hours``; their names."""
+        named = {b["data"] for b in self.meta["batches"]}
+        old = [name for name, at in self.folder.names("data") if name not in named and at <= (time.time() - hours * 3600) * 1000]
+        for name in old:
+            self.folder.delete(f"data/{name}")
+        return old
 
     def set_infrastructure(self, ips: list[str]) -> None:
-        self._save(self.meta | {"infra_ips": sorted({str(ipaddress.ip_address(i.strip())) for i in ips})})
+        self._add("infrastructure", ips=sorted({str(ipaddress.ip_address(i.strip())) for i in ips}))
 
     def note(self, text: str) -> None:
-        meta = self.meta
-        meta["notes"].append({"at": _now(), "text": text})
-        self._save(meta)
+        self._add("note", text=text)
 
     def analyze(self, techniques: dict | None = None) -> dict[str, DataFrame]:
         from loglattice.analyze import analyze
@@ -113,17 +234,16 @@ class Case:
         return analyze(self.events(techniques), tuple(self.meta["infra_ips"]), techniques=techniques)
 
     def keep_digest(self, collected: dict[str, list[dict]]) -> None:
-        self._save(self.meta | {"digest": {k: v[:DIGEST_ROWS] for k, v in collected.items()}})
+        self._add("digest", digest={k: v[:DIGEST_ROWS] for k, v in collected.items()})
 
     def delete(self) -> None:
-        if (self.path / "case.json").exists():
-            shutil.rmtree(self.path)
+        self.folder.delete()
 
 
-def list_cases(root: str) -> list[dict]:
+def list_cases(spark: SparkSession, root: str) -> list[dict]:
     """Metadata of all cases, the newest first."""
-    found = [json.loads(p.read_text()) for p in Path(root).glob("*/case.json")]
-    return sorted(found, key=lambda m: (m["created"], m["id"]), reverse=True)
+    found = [Case(spark, root, name) for name, _ in Folder(spark, root).names() if CASE_ID.match(name)]
+    return sorted((c.meta for c in found if c.log.entries()), key=lambda m: (m["created"], m["id"]), reverse=True)
 
 
 def collect(tables: dict[str, DataFrame], limit: int = 5_000) -> dict[str, list[dict]]:

@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
         table = attack.load_table(args.attack) if args.attack else None
         text = _render(analyze(derive(raw, table), tuple(args.infra), techniques=table), args.format, args.level)
     elif args.action == "list":
-        text = json.dumps(cases.list_cases(args.root), indent=1)
+        text = json.dumps(cases.list_cases(session(), args.root), indent=1)
     else:
         case = cases.Case(session(), args.root, args.case or "")
         if args.action == "new":

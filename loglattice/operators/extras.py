@@ -139,6 +139,8 @@ def enrich_connections(conns: DataFrame, transactions: DataFrame, notices: DataF
     return out
 
 
-def thor_findings(events: DataFrame, score: Column | str = "score", limit: int = 1000) -> DataFrame:
+def thor_findings(events: DataFrame, score: Column | str | None = None, limit: int = 1000) -> DataFrame:
+    """The scanner's findings by score, the highest first; by default the score that the readers put into ``ioc_severity``."""
     rows = events.filter("source like 'thor%' and coalesce(action, '') <> 'thor-linked'")
-    return rows.orderBy(F.col(score).desc_nulls_last() if isinstance(score, str) else score.desc_nulls_last(), *_order("ts", "message")).limit(limit)
+    by = F.expr("try_cast(ioc_severity as double)") if score is None else F.col(score) if isinstance(score, str) else score
+    return rows.orderBy(by.desc_nulls_last(), *_order("ts", "message")).limit(limit)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice import cases
+from loglattice.operators import extras
 from loglattice.operators.graph import scratch_path
 from loglattice.plans.queries import ISO, register, table
 from loglattice.plans.telemetry import EPOCH
-from loglattice.sources import readers
+from loglattice.sources import checked, readers, splits
 
 BACK = chr(92)
 
@@ -24,6 +26,9 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+#: Every event id that is a success or a failure by itself, and two that are neither.
+_WINDOWS_IDS = (4624, 4634, 4647, 4672, 4768, 4769, 4625, 4771, 4648, 4688)
+_WINDOWS_ID = f"element_at(array{_WINDOWS_IDS}, cast(user_id % {len(_WINDOWS_IDS)} + 1 as int))"
 _EVENT_ID = "CASE event_type WHEN 'signup' THEN 4624 WHEN 'error' THEN 4625 WHEN 'click' THEN 4688 WHEN 'view' THEN 4663 ELSE 99999 END"
 
 
@@ -51,7 +56,7 @@ def read_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "read_windows_events",
-    f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.123456Z' AS ts, {_EVENT_ID} AS event_code, CASE WHEN event_type = 'error' OR user_id % 3 = 0 THEN 'failure' WHEN event_type = 'signup' OR user_id % 3 = 1 THEN 'success' END AS outcome, 'ws' || user_id % 50 AS host,
+    f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.123456Z' AS ts, ([{", ".join(map(str, _WINDOWS_IDS))}])[user_id % {len(_WINDOWS_IDS)} + 1]::INT AS event_code, CASE WHEN user_id % 3 = 0 THEN 'failure' WHEN user_id % 3 = 1 THEN 'success' WHEN user_id % 10 <= 5 THEN 'success' WHEN user_id % 10 <= 7 THEN 'failure' END AS outcome, 'ws' || user_id % 50 AS host,
   CASE WHEN user_id % 4 = 0 THEN 'u' || user_id || '@corp.example' ELSE 'CORP' || chr(92) || 'u' || user_id END AS user_name, CASE WHEN user_id % 2 = 0 THEN '10.0.0.' || user_id % 250 END AS src_ip, (user_id % 12)::VARCHAR AS logon_type, CASE WHEN user_id % 5 = 0 THEN md5('x' || user_id) END AS file_hash_md5 FROM events""",
 )
 def read_windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def read_windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         pair("LogonType", (u % 12).cast("string")), pair("Hashes", F.when(u % 5 == 0, F.concat(F.lit("MD5="), F.md5(text("x", u).cast("binary")))).otherwise("")),
     )
     payload = F.to_json(F.struct(F.struct(data.alias("Data")).alias("EventData")))
-    line = _json(EventId=F.expr(_EVENT_ID), Channel=F.lit("Security"), Computer=text("ws", u % 50), TimeCreated=F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit(".1234567")), Keywords=F.when(u % 3 == 0, "Audit failure").when(u % 3 == 1, "Audit success"), Payload=payload)
+    line = _json(EventId=F.expr(_WINDOWS_ID), Channel=F.lit("Security"), Computer=text("ws", u % 50), TimeCreated=F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit(".1234567")), Keywords=F.when(u % 3 == 0, "Audit failure").when(u % 3 == 1, "Audit success"), Payload=payload)
     got = readers.windows_events(spark, _written(spark, table(spark, sf_dir, "events").select(line.alias("value")), "windows"))
     return got.select("ts", "event_code", "outcome", "host", "user_name", "src_ip", "logon_type", "file_hash_md5")
 
@@ -190,3 +195,100 @@ def read_registry_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(key, F.lit('\n"v'), k.cast("string"), F.lit('"="'), value, F.lit('"'))
     got = readers.registry_export(spark, _written(spark, table(spark, sf_dir, "supplier").select(text.alias("value")), "reg"))
     return got.select("registry_value", "rule_description", "ioc_description", "file_name")
+
+
+_TIMES = f"strftime(make_timestamp(({EPOCH} + o_orderkey) * 1000000), {ISO})"
+
+
+def _detection(**more: Column) -> Column:
+    k = F.col("o_orderkey")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    at = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + k), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.struct(at.alias("Timestamp"), F.lit(4625).alias("EventID"), F.lit("Security").alias("Channel"), text("ws", F.col("o_custkey")).alias("Computer"), F.lit("r").alias("RuleTitle"), F.struct(text("u", k).alias("User"), *[v.alias(c) for c, v in more.items()]).alias("Details"))
+
+
+def _case_of_orders(spark: SparkSession, sf_dir: str) -> cases.Case:
+    """A case with two batches: detections with a field of their own, and flat events with another."""
+    case = cases.Case(spark, scratch_path(spark, "cases"), "orders").create()
+    orders = table(spark, sf_dir, "orders")
+    found = orders.filter("o_orderkey % 2 = 0").select(F.to_json(_detection(Price=F.struct(F.col("o_totalprice").cast("bigint").alias("total"), F.col("o_orderpriority").alias("kind")))).alias("value"))
+    case.append_source("evtx", _written(spark, found, "case-detections"))
+    k = F.col("o_orderkey")
+    flat = orders.filter(k % 2 == 1).select(F.date_format(F.timestamp_seconds(F.lit(EPOCH) + k), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit("scan").alias("source"), F.concat(F.lit("ws"), F.col("o_custkey").cast("string")).alias("host"), (k % 65536).cast("int").alias("dst_port"), F.struct(F.col("o_totalprice").cast("bigint").alias("total"), F.col("o_orderpriority").alias("kind")).alias("Price"))
+    case.append(flat)
+    return case
+
+
+@register("case_originals", "SELECT 'ws' || o_custkey AS host, o_orderpriority AS kind, count(*) AS n, sum(o_totalprice::BIGINT)::BIGINT AS total FROM (SELECT o_custkey, o_orderpriority, trunc(o_totalprice) AS o_totalprice FROM orders) GROUP BY ALL")
+def case_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that the flat schema lacks, asked of the stored originals of both batches."""
+    records = _case_of_orders(spark, sf_dir).records()
+    price = lambda field, kind: F.coalesce(*[F.try_variant_get("record", f"$.{p}Price.{field}", kind) for p in ("Details.", "")])
+    host = F.coalesce(F.try_variant_get("record", "$.Computer", "string"), F.try_variant_get("record", "$.host", "string"))
+    return records.groupBy(host.alias("host"), price("kind", "string").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(price("total", "bigint")).alias("total"))
+
+
+@register("case_rebuild", f"SELECT {_TIMES} AS ts, 'ws' || o_custkey AS host, CASE WHEN o_orderkey % 2 = 0 THEN 'u' || o_orderkey END AS user_name, CASE WHEN o_orderkey % 2 = 0 THEN 'logon-failed' END AS action, CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey % 65536)::INT END AS dst_port FROM orders")
+def case_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns made anew from the stored originals."""
+    case = _case_of_orders(spark, sf_dir)
+    case.rebuild(every=True)
+    return case.raw().select("ts", "host", "user_name", "action", "dst_port")
+
+
+@register("read_errors", f"SELECT CASE WHEN o_orderkey % 7 <> 0 THEN {_TIMES} END AS ts, CASE WHEN o_orderkey % 7 <> 0 THEN 'u' || o_orderkey END AS user_name, CASE WHEN o_orderkey % 7 = 0 THEN 'cut ' || o_orderkey END AS lost, CASE WHEN o_orderkey % 7 = 0 THEN 'not a JSON object' END AS reason FROM orders")
+def read_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good events and the lines that are none, from one reading in small ranges."""
+    k = F.col("o_orderkey")
+    value = F.when(k % 7 == 0, F.concat(F.lit("cut "), k.cast("string"))).otherwise(F.to_json(_detection()))
+    path = _written(spark, table(spark, sf_dir, "orders").select(value.alias("value")), "damaged")
+    events, dead, _ = checked.settle(checked.checked(spark, [("evtx", path, {})], split_bytes=1 << 20), scratch_path(spark, "checked"))
+    return events.select("ts", "user_name").unionByName(dead.select(F.col("original").alias("lost"), "reason"), allowMissingColumns=True)
+
+
+@register("read_json_splits", '''SELECT o_orderkey AS k, o_orderpriority || ' "]}{[' AS text, o_custkey AS nested FROM orders''')
+def read_json_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects over many lines, cut out of files that are read in ranges of 64 KiB."""
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.concat(F.col("o_orderpriority"), F.lit(' "]}{[')).alias("text"), F.array(F.struct(F.col("o_custkey").alias("deep"))).alias("list")), {"pretty": "true"})
+    path = _written(spark, table(spark, sf_dir, "orders").select(body.alias("value")), "pretty")
+    rows = splits.json_elements(spark, path, 1 << 16).filter("reason is null")
+    return rows.select(F.from_json("text", "k bigint, text string, list array<struct<deep: bigint>>").alias("o")).select("o.k", "o.text", F.col("o.list")[0]["deep"].alias("nested"))
+
+
+@register("read_registry_splits", "SELECT 'HKEY_LOCAL_MACHINE' || chr(92) || 'k' || o_orderkey AS registry_key, v AS registry_value, CASE v WHEN 'a' THEN o_orderpriority WHEN 'm' THEN 'x' || chr(10) || 'y' ELSE '0000' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') END AS registry_data, CASE v WHEN 'a' THEN 'REG_SZ' WHEN 'm' THEN 'REG_MULTI_SZ' ELSE 'REG_DWORD' END AS registry_type FROM orders, (SELECT unnest(['a', 'm', 'd']) AS v)")
+def read_registry_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with several values, one of them continued, from exports that are read in ranges of 64 KiB."""
+    k = F.col("o_orderkey").cast("string")
+    lines = [F.concat(F.lit(f"[HKEY_LOCAL_MACHINE{BACK}k"), k, F.lit("]")), F.concat(F.lit('"a"="'), F.col("o_orderpriority"), F.lit('"')), F.lit(f'"m"=hex(7):78,00,00,00,{BACK}'), F.lit("  79,00,00,00,00,00"), F.concat(F.lit('"d"=dword:0000'), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")), F.lit("")]
+    path = _written(spark, table(spark, sf_dir, "orders").select(F.concat_ws("\n", *lines).alias("value")), "reg-splits")
+    rows = splits.split_rows(spark, path, "registry", 1 << 16).filter("reason is null")
+    return readers.registry_rows(rows).select("registry_key", "registry_value", "registry_data", "registry_type")
+
+
+@register("read_crowdstrike_cards", "SELECT 'ws' || c_custkey AS host, 'Windows' AS host_os, 'a' || c_custkey AS agent_id, 'process' AS category, c_name || ' -x' AS cmdline, md5('x' || c_custkey) AS file_hash_md5 FROM customer")
+def read_crowdstrike_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    fields = {"Host name": F.concat(F.lit("ws"), k), "Platform": F.lit("Windows"), "Agent ID": F.concat(F.lit("a"), k), "Command line": F.concat(F.col("c_name"), F.lit(" -x")), "MD5 Hash": F.md5(F.concat(F.lit("x"), k).cast("binary"))}
+    card = F.concat(*[x for label, v in fields.items() for x in (F.lit(f"{label}: "), v, F.lit("\n"))])
+    return readers.crowdstrike(spark, _written(spark, table(spark, sf_dir, "customer").select(card.alias("value")), "cards")).select("host", "host_os", "agent_id", "category", "cmdline", "file_hash_md5")
+
+
+@register("read_osquery_tables", "SELECT 'h' || c_custkey % 20 AS host, 'process' AS category, (c_custkey % 30000)::VARCHAR AS pid, (c_custkey % 100)::VARCHAR AS parent_pid, (c_custkey % 7)::VARCHAR AS user_id, sha1('f' || c_custkey) AS file_hash_sha1 FROM customer")
+def read_osquery_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    columns = F.struct((k % 30000).cast("string").alias("pid"), (k % 100).cast("string").alias("parent"), (k % 7).cast("string").alias("uid"), F.sha1(F.concat(F.lit("f"), k.cast("string")).cast("binary")).alias("sha1"))
+    line = _json(name=F.lit("processes"), unixTime=F.lit(EPOCH) + k, hostIdentifier=F.concat(F.lit("h"), (k % 20).cast("string")), columns=columns)
+    got = readers.osquery(spark, _written(spark, table(spark, sf_dir, "customer").select(line.alias("value")), "osquery-tables"))
+    return got.select("host", "category", "pid", "parent_pid", "user_id", "file_hash_sha1")
+
+
+@register(
+    "thor_findings",
+    f"""SELECT 'host' || o_custkey % 50 AS host, (o_orderkey % 997)::VARCHAR AS ioc_severity, md5(o_orderkey::VARCHAR) AS file_hash FROM orders WHERE o_orderkey % 5 <> 0 ORDER BY o_orderkey % 997 DESC, 'Jan 01 00:00:00 host' || o_custkey % 50 || '/10.0.0.1 THOR: Alert: MODULE: Filescan MESSAGE: m FILE: C:' || chr(92) || 'f' || o_orderkey || '.exe SCORE: ' || o_orderkey % 997 || ' MD5: ' || md5(o_orderkey::VARCHAR) LIMIT 1000""",
+)
+def thor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanner's findings with the highest scores, over what the reader makes of its report."""
+    k = F.col("o_orderkey")
+    line = F.concat(F.lit("Jan 01 00:00:00 host"), (F.col("o_custkey") % 50).cast("string"), F.lit(f"/10.0.0.1 THOR: Alert: MODULE: Filescan MESSAGE: m FILE: C:{BACK}f"), k.cast("string"), F.lit(".exe"), F.when(k % 5 != 0, F.concat(F.lit(" SCORE: "), (k % 997).cast("string"))).otherwise(""), F.lit(" MD5: "), F.md5(k.cast("string").cast("binary")))
+    got = readers.thor(spark, _written(spark, table(spark, sf_dir, "orders").select(line.alias("value")), "thor-findings"), 2026)
+    return extras.thor_findings(got).select("host", "ioc_severity", "file_hash")

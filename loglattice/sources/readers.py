@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import normalize as n
 from loglattice.functions import vocab
-from loglattice.schema import RAW, column_of, conform
+from loglattice.schema import CARRIED, RAW, column_of, conform
+from loglattice.sources import splits
 
 MAP = "map<string,string>"
 MESSAGE_CHARS = 2000
@@ -32,29 +33,38 @@ def _objects(text: Column) -> Column:
 
 
 def json_objects(spark: SparkSession, path: str | list[str], mark: str = "") -> DataFrame:
-    """(m, file): every object as a map of its fields' JSON text.
+    """(m, file, original): every object as a map of its fields' JSON text, and as its own text.
 
-    One object a line, an array, ``{"Data": [...]}`` or one object over many lines.  Files of one
-    object a line are read in splits; only others are read whole, as they can't be cut.  A
-    ``mark`` (pattern) that lines may begin with is taken off.
+    One object a line, an array, ``{"Data": [...]}`` or one object over many lines; all are read
+    in splits.  A ``mark`` (pattern) that lines may begin with is taken off.
     """
     begin = f"^\ufeff|^\\s*(?:{mark})" if mark else "^\ufeff"
     lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", begin + "|\\s+$", "")).alias("t"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
     complete = F.col("t").startswith("{") & F.col("t").endswith("}")
     others = [r.path for r in lines.filter((F.col("t") != "") & ~complete).select("path").distinct().collect()]  # a row a file
+    there = others and all(map(splits.reachable, others))
+    others = splits.documents(spark, others) if there else others
     found = lines.filter(complete if not others else complete & ~F.col("path").isin(others)).select(F.explode(_objects(F.col("t"))).alias("m"), "file")
-    if others:
+    if there and others:
+        each = splits.json_elements(spark, others).filter("reason is null").select(F.from_json("text", MAP).alias("m"), F.substring_index("file", "/", -1).alias("file"))
+        found = found.unionByName(each)
+    elif others:  # a store that tasks can't open by themselves: these files are read whole
         whole = spark.read.text(others, wholetext=True).select(F.regexp_replace("value", "^\ufeff|^\\s+|\\s+$", "").alias("t"), F.col("_metadata.file_name").alias("file"))
         each = F.filter(F.transform(F.split("t", r"\r?\n"), lambda x: F.from_json(F.regexp_replace(x, begin, ""), MAP)), lambda m: m.isNotNull() & (F.size(m) > 0))
         good = F.filter(_objects(F.col("t")), lambda m: m.isNotNull() & (F.size(m) > 0))
         # Neither an array nor one object: lines, of which some are damaged.
         found = found.unionByName(whole.select(F.explode(F.when(F.size(good) > 0, good).otherwise(each)).alias("m"), "file"))
-    return found.filter("m is not null and size(m) > 0")
+    return found.filter("m is not null and size(m) > 0").withColumn("original", F.to_json("m"))
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(m, file) of a file with one object a line; splittable, for large streams."""
-    return _lines(spark, path).select(F.from_json("line", MAP).alias("m"), "file").filter("m is not null and size(m) > 0")
+    """(m, file, original) of a file with one object a line; splittable, for large streams."""
+    return _lines(spark, path).select(F.from_json("line", MAP).alias("m"), "file", F.col("line").alias("original")).filter("m is not null and size(m) > 0")
+
+
+def _carried(rows: DataFrame) -> list[Column]:
+    """Columns that go along with a record."""
+    return [F.col(c) for c in CARRIED if c in rows.columns]
 
 
 def _get(*keys: str, of: str = "m") -> Column:
@@ -73,7 +83,12 @@ TACTICS = {"Recon": "reconnaissance", "ResDev": "resource-development", "InitAcc
 
 def detections(spark: SparkSession, path: str, source: str = "evtx") -> DataFrame:
     """Sigma detections over Windows logs, JSON lines."""
-    rows = json_lines(spark, path).withColumn("d", F.from_json(F.col("m")["Details"], MAP))
+    return detection_events(json_lines(spark, path), source)
+
+
+def detection_events(rows: DataFrame, source: str = "evtx") -> DataFrame:
+    """Events of detections given as maps (m)."""
+    rows = rows.withColumn("d", F.from_json(F.col("m")["Details"], MAP))
     d = lambda *k: _get(*k, of="d")
     tags = F.filter(F.coalesce(F.from_json(F.col("m")["MitreTags"], "array<string>"), F.array().cast("array<string>")), lambda t: t.rlike("^[Tt][0-9]"))
     names = F.create_map(*[F.lit(x) for kv in TACTICS.items() for x in kv])
@@ -86,13 +101,21 @@ def detections(spark: SparkSession, path: str, source: str = "evtx") -> DataFram
         F.array_join(tags, ",").alias("techniques"), F.array_join(tactics, ",").alias("tactics_declared"), F.col("m")["Computer"].alias("host"), d("User", "TgtUser", "SrcUser", "Target User").alias("user_name"),
         d("Proc", "Image", "Process").alias("process_name"), d("Cmdline", "CommandLine").alias("cmdline"), d("ParentProc", "ParentImage", "PProc").alias("parent_name"), d("SrcIP", "SourceIp").alias("src_ip"),
         d("TgtIP", "DstIP", "DestinationIp").alias("dst_ip"), d("TgtPort", "DstPort", "DestinationPort").alias("dst_port"), d("Query", "QueryName").alias("dns_query"), F.col("m")["RuleTitle"].alias("rule_title"),
-        F.col("m")["Level"].alias("rule_level"), n.blank_to_null(rule_file).alias("rule_file"), rule_file.rlike("sigma-(community|custom)").alias("sigma_community"),
+        F.col("m")["Level"].alias("rule_level"), n.blank_to_null(rule_file).alias("rule_file"), rule_file.rlike("sigma-(community|custom)").alias("sigma_community"), *_carried(rows),
     ))
 
 
 def windows_events(spark: SparkSession, path: str, source: str = "evtx_full") -> DataFrame:
     """The full Windows event stream, JSON lines with the payload as JSON in a string."""
-    rows = json_lines(spark, path)
+    return windows_event_rows(json_lines(spark, path), source)
+
+
+#: Event ids that are a success or a failure by themselves.
+SUCCEEDED, FAILED = (4624, 4634, 4647, 4672, 4768, 4769), (4625, 4771)
+
+
+def windows_event_rows(rows: DataFrame, source: str = "evtx_full") -> DataFrame:
+    """Events of Windows events given as maps (m)."""
     data = F.from_json(F.col("m")["Payload"], "struct<EventData:struct<Data:array<map<string,string>>>>")["EventData"]["Data"]
     pairs = F.filter(F.coalesce(data, F.array().cast("array<map<string,string>>")), lambda x: x["@Name"].isNotNull())
     rows = rows.withColumn("d", F.map_from_entries(F.filter(F.transform(pairs, lambda x: F.struct(x["@Name"].alias("key"), x["#text"].alias("value"))), lambda x: x["key"].isNotNull())))
@@ -103,13 +126,13 @@ def windows_events(spark: SparkSession, path: str, source: str = "evtx_full") ->
     user = d("TargetUserName", "SubjectUserName", "User")
     realm = d("TargetDomainName", "SubjectDomainName")
     keywords = F.lower(F.coalesce(F.col("m")["Keywords"], F.lit("")))
-    outcome = F.when(keywords.contains("failure") | eid.isin(4625, 4771), "failure").when(keywords.contains("success") | eid.isin(4624, 4648), "success")
+    outcome = F.when(keywords.contains("failure"), "failure").when(keywords.contains("success"), "success").when(eid.isin(*FAILED), "failure").when(eid.isin(*SUCCEEDED), "success")
     return conform(rows.select(
         iso_time(F.col("m")["TimeCreated"]).alias("ts"), F.lit(source).alias("source"), kind["category"].alias("category"), kind["action"].alias("action"), eid.alias("event_code"), outcome.alias("outcome"),
         F.col("m")["Computer"].alias("host"), F.when(~user.rlike(r"[\\@/]") & realm.isNotNull(), F.concat(realm, F.lit("\\"), user)).otherwise(user).alias("user_name"), d("NewProcessName", "Image", "ProcessName").alias("process_name"),
         d("CommandLine").alias("cmdline"), d("ParentProcessName", "ParentImage").alias("parent_name"), d("NewProcessId", "ProcessId").alias("pid"), d("IpAddress", "SourceIp").alias("src_ip"), d("IpPort", "SourcePort").alias("src_port"),
         d("DestinationIp", "DestAddress").alias("dst_ip"), d("DestinationPort", "DestPort").alias("dst_port"), d("QueryName").alias("dns_query"), F.regexp_extract(F.coalesce(d("LogonType"), F.lit("")), "([0-9]+)", 1).alias("logon_type"),
-        F.coalesce(hashes["SHA256"], hashes["SHA1"], hashes["MD5"]).alias("file_hash"), hashes["MD5"].alias("file_hash_md5"), d("TargetFilename", "TargetFileName").alias("file_path"),
+        F.coalesce(hashes["SHA256"], hashes["SHA1"], hashes["MD5"]).alias("file_hash"), hashes["MD5"].alias("file_hash_md5"), d("TargetFilename", "TargetFileName").alias("file_path"), *_carried(rows),
     ))
 
 
@@ -240,8 +263,18 @@ def log_file(spark: SparkSession, path: str, fmt: str = "auto", pattern: str | N
     Lines that don't fit access or syslog are read as plain lines; those that don't fit a given
     pattern are dropped.
     """
-    rows = _lines(spark, path).filter("trim(line) <> ''")
+    return log_rows(_lines(spark, path), fmt, pattern, mapping)
+
+
+def plain_pattern(pattern: str) -> str:
+    """A pattern with its named groups as plain ones."""
+    return re.sub(r"\(\?P?<[A-Za-z][A-Za-z0-9_]*>", "(", pattern)
+
+
+def log_rows(rows: DataFrame, fmt: str = "auto", pattern: str | None = None, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Events of log lines (line) of files (file); rows that carry a reason have no line and stay."""
     line = F.col("line")
+    rows = rows.filter("trim(line) <> '' or line is null")
     source = F.concat(F.lit("log:"), F.col("file")).alias("source")
     to = lambda k: column_of((mapping or {}).get(k, k))
     if fmt == "regex":
@@ -249,49 +282,47 @@ def log_file(spark: SparkSession, path: str, fmt: str = "auto", pattern: str | N
             raise ValueError("the regex format needs a pattern")
         named = re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
         number, groups = named.groupindex, list(named.groupindex)
-        plain = re.sub(r"\(\?P?<[A-Za-z][A-Za-z0-9_]*>", "(", pattern)
-        return conform(rows.filter(line.rlike(plain)).select(source, *[n.blank_to_null(F.regexp_extract(line, plain, number[g])).alias(to(g)) for g in groups]))
+        plain = plain_pattern(pattern)
+        return conform(rows.filter(line.rlike(plain) | line.isNull()).select(source, *_carried(rows), *[n.blank_to_null(F.regexp_extract(line, plain, number[g])).alias(to(g)) for g in groups]))
     if fmt == "jsonl":
-        parsed = rows.select(source, F.from_json("line", MAP).alias("m")).filter("m is not null and size(m) > 0")
+        parsed = rows.select(source, *_carried(rows), F.from_json("line", MAP).alias("m"), "line").filter("(m is not null and size(m) > 0) or line is null")
         known = {**{c: c for c in ("ts", "host", "message")}, "timestamp": "ts", "time": "ts", "@timestamp": "ts", "src_ip": "src_ip", "source.ip": "src_ip", "dst_ip": "dst_ip", "destination.ip": "dst_ip", "user": "user_name", "user.name": "user_name", "username": "user_name", "hostname": "host", "host.name": "host", "status": "http_status", "method": "http_method", "url": "url", "msg": "message", "event.action": "action", "action": "action"}
         known |= {k: column_of(v) for k, v in (mapping or {}).items()}
         by: dict[str, list[str]] = {}
         for k, c in known.items():
             by.setdefault(c, []).append(k)
         lower = F.transform_keys("m", lambda k, _: F.lower(k)) if not mapping else F.col("m")
-        return conform(parsed.withColumn("l", lower).select("source", *[F.coalesce(*[F.col("l")[k] for k in ks]).alias(c) for c, ks in by.items()]))
+        return conform(parsed.withColumn("l", lower).select("source", *_carried(parsed), *[F.coalesce(*[F.col("l")[k] for k in ks]).alias(c) for c, ks in by.items()]))
     access, syslog, plain = parse_access(line), parse_syslog(line), parse_line(line)
     fields = {"access": _or(access, line.rlike(ACCESS), plain), "syslog": _or(syslog, line.rlike(SYSLOG), plain), "line": plain, "auto": _or(access, line.rlike(ACCESS), _or(syslog, line.rlike(SYSLOG), plain))}[fmt]
-    return conform(rows.select(source, *[c.alias(k) for k, c in fields.items()]))
+    return conform(rows.select(source, *_carried(rows), *[c.alias(k) for k, c in fields.items()]))
 
 
 # -- registry, file system, scanners -----------------------------------------------------------
 
 
 def registry_export(spark: SparkSession, path: str, source: str = "registry") -> DataFrame:
-    """``.reg`` exports: each value with its key, which is carried down the file's lines.
+    """``.reg`` exports: each value with the key above it; a file may be read by many tasks.
 
-    Files are decoded in the JVM (UTF-16 with a byte order mark, else UTF-8); continued hex lines
-    are joined before the lines are taken apart.
+    UTF-16 with a byte order mark, else UTF-8, else Latin-1; continued hex lines are joined.
     """
-    raw = spark.read.format("binaryFile").load(path)
-    utf16 = F.expr("hex(substring(content, 1, 2)) = 'FFFE'")
-    text = F.when(utf16, F.expr("decode(substring(content, 3), 'UTF-16LE')")).otherwise(F.expr("decode(content, 'UTF-8')"))
-    joined = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r",\\\n\s*", ",")
-    lines = raw.select(F.col("path").alias("file"), n.iso(F.col("modificationTime")).alias("ts"), F.posexplode(F.split(joined, "\n")).alias("no", "line"))
-    key = F.nullif(F.regexp_extract("line", r"^\[-?(.+)\]\s*$", 1), F.lit(""))
-    keyed = lines.withColumn("key", F.last(key, ignorenulls=True).over(Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)))
+    return registry_rows(splits.split_rows(spark, path, "registry").filter("reason is null"), source)
+
+
+def registry_rows(keyed: DataFrame, source: str = "registry") -> DataFrame:
+    """Events of values given as lines (text), their keys (context) and the file's time (modified)."""
+    keyed = keyed.withColumnsRenamed({"text": "line", "context": "key"}).withColumn("ts", n.iso(F.timestamp_millis("modified")))
     value = r'^(?:"((?:[^"\\]|\\.)*)"|(@))=(.*)$'
-    rows = keyed.filter(F.col("line").rlike(value)).withColumn("name", F.coalesce(n.blank_to_null(F.regexp_extract("line", value, 1)), F.lit("(Default)"))).withColumn("raw", F.trim(F.regexp_extract("line", value, 3)))
+    rows = keyed.filter(F.col("line").rlike(value) | F.col("line").isNull()).withColumn("name", F.coalesce(n.blank_to_null(F.regexp_extract("line", value, 1)), F.lit("(Default)"))).withColumn("raw", F.trim(F.regexp_extract("line", value, 3)))
     code = F.regexp_extract("raw", r"^hex(?:\(([0-9a-fA-F]+)\))?:", 1)
     kind = F.when(F.col("raw").startswith('"'), "REG_SZ").when(F.col("raw").startswith("dword:"), "REG_DWORD").when(F.col("raw").rlike("^hex:"), "REG_BINARY").when(code == "1", "REG_SZ").when(code == "2", "REG_EXPAND_SZ").when(code == "7", "REG_MULTI_SZ").when(code == "b", "REG_QWORD").when(F.col("raw") == "-", "DELETED")
     wide = F.regexp_replace(F.expr(r"decode(try_to_binary(replace(regexp_extract(raw, '^hex[^:]*:(.*)$', 1), ',', ''), 'hex'), 'UTF-16LE')"), "\u0000+$", "")
-    data = F.when(F.col("raw").startswith('"'), F.regexp_replace(F.regexp_extract("raw", r'^"(.*)"\s*$', 1), r"\\(.)", "$1")).when(code.isin("1", "2"), wide).otherwise(F.regexp_replace("raw", r"^(dword|hex[^:]*):", ""))
+    data = F.when(F.col("raw").startswith('"'), F.regexp_replace(F.regexp_extract("raw", r'^"(.*)"\s*$', 1), r"\\(.)", "$1")).when(code.isin("1", "2"), wide).when(code == "7", F.replace(wide, F.lit("\u0000"), F.lit("\n"))).otherwise(F.regexp_replace("raw", r"^(dword|hex[^:]*):", ""))
     rows = rows.withColumn("kind", kind).withColumn("data", data).withColumn("cat", vocab.classify_key(F.col("key")))
     hit = vocab.registry_indicator(F.col("cat"), F.col("name"), F.col("data"), F.col("kind"))
     hive = F.regexp_extract("key", r"^([^\\]+)", 1)
     program = F.when(F.col("kind").isin("REG_SZ", "REG_EXPAND_SZ"), vocab.program_of(F.col("cat"), F.col("name"), F.col("data")))
-    return conform(rows.select("ts", F.lit(source).alias("source"), F.lit("registry").alias("category"), F.lit("registry-value").alias("action"), hive.alias("registry_hive"), F.col("key").alias("registry_key"), F.col("name").alias("registry_value"), F.col("data").alias("registry_data"), F.col("kind").alias("registry_type"), F.col("cat").alias("rule_description"), hit["description"].alias("ioc_description"), hit["severity"].alias("ioc_severity"), program.alias("file_name"), F.substring(F.concat_ws(" ", "key", "name", "data"), 1, MESSAGE_CHARS).alias("message")))
+    return conform(rows.select("ts", F.lit(source).alias("source"), F.lit("registry").alias("category"), F.lit("registry-value").alias("action"), hive.alias("registry_hive"), F.col("key").alias("registry_key"), F.col("name").alias("registry_value"), F.col("data").alias("registry_data"), F.col("kind").alias("registry_type"), F.col("cat").alias("rule_description"), hit["description"].alias("ioc_description"), hit["severity"].alias("ioc_severity"), program.alias("file_name"), F.substring(F.concat_ws(" ", "key", "name", "data"), 1, MESSAGE_CHARS).alias("message"), *_carried(rows)))
 
 
 def registry_tree(spark: SparkSession, path: str, hive: str, source: str = "registry", depth: int = 12) -> DataFrame:
@@ -317,7 +348,11 @@ DIRECTORY = "directory-metadata"
 
 def mft(spark: SparkSession, path: str, source: str = "mft") -> DataFrame:
     """File records; the time is the first of created, modified, changed and accessed."""
-    rows = json_objects(spark, path)
+    return mft_rows(json_objects(spark, path), source)
+
+
+def mft_rows(rows: DataFrame, source: str = "mft") -> DataFrame:
+    """Events of file records given as maps (m)."""
     time = lambda k: _get(f"{k}0x10", f"{k}0x30", k)
     ext = n.blank_to_null(F.col("m")["Extension"])
     dotted = F.when(ext.startswith("."), ext).otherwise(F.concat(F.lit("."), ext))
@@ -325,7 +360,7 @@ def mft(spark: SparkSession, path: str, source: str = "mft") -> DataFrame:
     name = F.when(dotted.isNotNull() & ~F.lower(base).endswith(F.lower(dotted)), F.concat(base, dotted)).otherwise(base)
     at = F.coalesce(time("Created"), time("LastModified"), time("LastRecordChange"), time("LastAccess"))
     folder = _get("ParentPath", "FullPath")
-    return conform(rows.select(iso_time(at).alias("ts"), F.lit(source).alias("source"), F.lit("file").alias("category"), F.when(F.lower(_get("IsDirectory")) == "true", DIRECTORY).otherwise("file-metadata").alias("action"), name.alias("file_name"), F.when(F.col("m")["ParentPath"].isNotNull(), F.concat(folder, F.lit("\\"), name)).otherwise(folder).alias("file_path"), F.col("m")["FileSize"].alias("bytes")))
+    return conform(rows.select(iso_time(at).alias("ts"), F.lit(source).alias("source"), F.lit("file").alias("category"), F.when(F.lower(_get("IsDirectory")) == "true", DIRECTORY).otherwise("file-metadata").alias("action"), name.alias("file_name"), F.when(F.col("m")["ParentPath"].isNotNull(), F.concat(folder, F.lit("\\"), name)).otherwise(folder).alias("file_path"), F.col("m")["FileSize"].alias("bytes"), *_carried(rows)))
 
 
 # Parts of paths where attackers put files, and extensions of programs and scripts.
@@ -383,14 +418,19 @@ def literal_scan(spark: SparkSession, path: str, rules: dict[str, list[str]], so
     return conform(found.withColumn("source", F.lit(source)).withColumn("category", F.lit("file")).withColumn("action", F.lit("yara-match")).withColumn("file_name", n.canon_file(F.col("file_path"))))
 
 
-OSQUERY = {"pid": "pid", "cmdline": "cmdline", "parent_path": "parent_name", "username": "user_name", "user": "user_name", "address": "src_ip", "local_address": "src_ip", "remote_address": "dst_ip", "local_port": "src_port", "port": "dst_port", "remote_port": "dst_port", "md5": "file_hash_md5", "sha256": "file_hash", "target_path": "file_path"}  # fixed values
+OSQUERY = {"pid": "pid", "cmdline": "cmdline", "parent_path": "parent_name", "username": "user_name", "user": "user_name", "address": "src_ip", "local_address": "src_ip", "remote_address": "dst_ip", "local_port": "src_port", "port": "dst_port", "remote_port": "dst_port", "md5": "file_hash_md5", "sha1": "file_hash_sha1", "sha256": "file_hash", "target_path": "file_path", "parent": "parent_pid", "uid": "user_id"}  # fixed values
 OSQUERY_TABLES = {"processes": "process", "process_open_sockets": "network", "listening_ports": "network", "arp_cache": "network", "users": "iam", "logged_in_users": "authentication", "file_events": "file", "hash": "file", "crashes": "process", "launch_daemons": "configuration", "kernel_extensions": "driver", "authorized_keys": "iam", "shadow_hash": "iam"}
 OSQUERY_SIGNS = (("network", ("remote_address", "local_address", "socket", "address")), ("file", ("md5", "sha1", "sha256", "target_path")), ("authentication", ("tty",)), ("process", ("cmdline", "parent")), ("iam", ("directory", "shell", "gid")), ("process", ("pid",)))
 
 
 def osquery(spark: SparkSession, path: str, source: str = "osquery") -> DataFrame:
     """osquery results with a unixTime; the category by query name, else by the columns there are."""
-    rows = json_objects(spark, path).filter("try_cast(m['unixTime'] as double) > 0").withColumn("c", F.coalesce(F.from_json(F.col("m")["columns"], MAP), F.create_map().cast(MAP))).withColumn("deco", F.from_json(F.col("m")["decorations"], MAP))
+    return osquery_rows(json_objects(spark, path), source)
+
+
+def osquery_rows(rows: DataFrame, source: str = "osquery") -> DataFrame:
+    """Events of query results given as maps (m)."""
+    rows = rows.filter("try_cast(m['unixTime'] as double) > 0" + (" or reason is not null" if "reason" in rows.columns else "")).withColumn("c", F.coalesce(F.from_json(F.col("m")["columns"], MAP), F.create_map().cast(MAP))).withColumn("deco", F.from_json(F.col("m")["decorations"], MAP))
     c = F.col("c")
     category = F.try_element_at(F.create_map(*[F.lit(x) for kv in OSQUERY_TABLES.items() for x in kv]), F.col("m")["name"])
     signs = F.lit(None).cast("string")
@@ -405,17 +445,18 @@ def osquery(spark: SparkSession, path: str, source: str = "osquery") -> DataFram
     fields["user_name"] = F.coalesce(fields["user_name"], F.col("deco")["username"])
     process = (category == "process") | F.map_contains_key("c", "cmdline") | F.map_contains_key("c", "pid")
     fields["process_name"] = F.when(process, n.blank_to_null(c["name"]))
-    return conform(rows.select(n.iso(F.timestamp_seconds(F.col("m")["unixTime"].try_cast("double").try_cast("bigint"))).alias("ts"), F.lit(source).alias("source"), F.col("m")["action"].alias("action"), category.alias("category"), F.col("m")["hostIdentifier"].alias("host"), *[v.alias(k) for k, v in fields.items()]))
+    return conform(rows.select(n.iso(F.timestamp_seconds(F.col("m")["unixTime"].try_cast("double").try_cast("bigint"))).alias("ts"), F.lit(source).alias("source"), F.col("m")["action"].alias("action"), category.alias("category"), F.col("m")["hostIdentifier"].alias("host"), *[v.alias(k) for k, v in fields.items()], *_carried(rows)))
 
 
-FALCON = {"ComputerName": "host", "SHA256HashData": "file_hash", "UserName": "user_name", "LocalAddressIP4": "src_ip", "event_simpleName": "action", "RawProcessId": "pid", "ImageFileName": "process_name", "CommandLine": "cmdline", "DomainName": "dns_query", "RemoteAddressIP4": "dst_ip"}  # fixed values
-FALCON_CARD = {"Host name": "host", "File name": "file_name", "File path": "file_path", "Command line": "cmdline", "SHA 256": "file_hash", "MD5 Hash": "file_hash_md5", "IP address": "src_ip", "User name": "user_name", "Description": "message"}
+FALCON = {"ComputerName": "host", "SHA256HashData": "file_hash", "UserName": "user_name", "LocalAddressIP4": "src_ip", "event_simpleName": "action", "RawProcessId": "pid", "ImageFileName": "process_name", "CommandLine": "cmdline", "DomainName": "dns_query", "RemoteAddressIP4": "dst_ip", "event_platform": "host_os", "ParentProcessId": "parent_pid", "aid": "agent_id"}  # fixed values
+#: Labels of a detection's card.
+FALCON_CARD = {"Platform": "host_os", "Agent ID": "agent_id", "Host name": "host", "File name": "file_name", "File path": "file_path", "Command line": "cmdline", "SHA 256": "file_hash", "MD5 Hash": "file_hash_md5", "IP address": "src_ip", "User name": "user_name", "Description": "message"}
 
 
 def crowdstrike(spark: SparkSession, path: str, source: str = "crowdstrike") -> DataFrame:
     """Exports as JSON, ``@rawstring:`` lines or ``Key: Value`` blocks, by what each file looks like.
 
-    Only files of blocks, which people copy by hand, are read whole.
+    A card is a block of lines; every kind of file is read in splits.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
     looks = lines.groupBy("path").agg(F.max(F.col("value").rlike(r"^\x{FEFF}?(Host name|File name|Command line|SHA 256): ")).alias("card")).collect()  # a row a file
@@ -424,18 +465,30 @@ def crowdstrike(spark: SparkSession, path: str, source: str = "crowdstrike") ->
     none = spark.createDataFrame([], "m map<string,string>")
     cards = falcon = none
     if by_card:
-        whole = spark.read.text(by_card, wholetext=True).select(F.regexp_replace("value", "^\ufeff|\r", "").alias("t"))
-        blocks = whole.select(F.explode(F.split("t", r"\n\s*\n")).alias("b")).filter("trim(b) <> ''")
+        if all(map(splits.reachable, by_card)):
+            blocks = splits.split_rows(spark, by_card, "blocks").filter("reason is null").select(F.col("text").alias("b"))
+        else:
+            whole = spark.read.text(by_card, wholetext=True).select(F.regexp_replace("value", "^\ufeff|\r", "").alias("t"))
+            blocks = whole.select(F.explode(F.split("t", r"\n\s*\n")).alias("b")).filter("trim(b) <> ''")
         cards = blocks.select(F.map_from_entries(F.transform(F.regexp_extract_all("b", F.lit(r"(?m)^([^:\n]+): (.*)$"), F.lit(0)), lambda x: F.struct(F.substring_index(x, ": ", 1), F.regexp_extract(x, r"^[^:]+: (.*)$", 1)))).alias("m"))
     if by_line:
-        falcon = json_objects(spark, by_line, r"@rawstring:\s*").select("m")
+        falcon = json_objects(spark, by_line, r"@rawstring:\s*").select("m", "original")
+    return falcon_rows(falcon, source).unionByName(card_rows(cards, source), allowMissingColumns=True)
+
+
+def falcon_rows(rows: DataFrame, source: str = "crowdstrike") -> DataFrame:
+    """Events of exported records given as maps (m)."""
     m = F.col("m")
     at = F.coalesce(m["timestamp"], m["@timestamp"], m["_time"])
     ts = F.when(at.rlike("^[0-9]{13}$"), n.iso(F.timestamp_millis(at.try_cast("bigint")))).otherwise(at)
     process = m["ImageFileName"].isNotNull() | m["CommandLine"].isNotNull()
-    a = falcon.select(ts.alias("ts"), F.lit(source).alias("source"), F.when(process, "process").alias("category"), *[m[k].alias(v) for k, v in FALCON.items()])
-    b = cards.select(F.lit(source).alias("source"), F.when(m["Command line"].isNotNull(), "process").alias("category"), F.lit("detection").alias("action"), *[m[k].alias(v) for k, v in FALCON_CARD.items()])
-    return conform(a.unionByName(b, allowMissingColumns=True))
+    return conform(rows.select(ts.alias("ts"), F.lit(source).alias("source"), F.when(process, "process").alias("category"), *[m[k].alias(v) for k, v in FALCON.items()], *_carried(rows)))
+
+
+def card_rows(rows: DataFrame, source: str = "crowdstrike") -> DataFrame:
+    """Events of detections' cards given as maps (m) of label to value."""
+    m = F.col("m")
+    return conform(rows.select(F.lit(source).alias("source"), F.when(m["Command line"].isNotNull(), "process").alias("category"), F.lit("detection").alias("action"), *[m[k].alias(v) for k, v in FALCON_CARD.items()], *_carried(rows)))
 
 
 def logon_summary(spark: SparkSession, path: str) -> DataFrame:
@@ -451,6 +504,8 @@ def logon_summary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce(x(0).try_cast("int"), F.lit(0)).alias("n"), x(1).alias("event"), x(2).alias("user"), x(4).alias("host"), x(9).alias("src_ip"), F.when(kind.rlike("^[0-9]+$"), kind).alias("logon_type"))
 
 
+#: What makes events of stored records of a kind: maps of their fields' text, in a column m.
+RECORD_EVENTS = {"evtx": detection_events, "evtx_full": windows_event_rows, "osquery": osquery_rows, "mft": mft_rows, "crowdstrike": falcon_rows}
 READERS = {"evtx": detections, "evtx_full": windows_events, "pcap": packets, "zeek": zeek, "log": log_file, "reg": registry_export, "registry_tree": registry_tree, "mft": mft, "thor": thor, "thor_csv": thor_csv, "osquery": osquery, "crowdstrike": crowdstrike}
 
 
@@ -466,5 +521,5 @@ def build_events(spark: SparkSession, sources: list[tuple[str, str, dict]], erro
                 raise
             errors.append((path, str(e)[:200]))
             continue
-        out = part if out is None else out.unionByName(part)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out.withColumn("id", F.monotonically_increasing_id()) if out is not None else None

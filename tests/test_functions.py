@@ -89,7 +89,7 @@ def test_a_case_is_what_was_added(spark, tmp_path):
     with pytest.raises(ValueError):
         case.set_infrastructure(["x"])
     case.note("seen")
-    assert [m["id"] for m in cases.list_cases(str(tmp_path))] == ["c1"] and case.meta["notes"][0]["text"] == "seen"
+    assert [m["id"] for m in cases.list_cases(spark, str(tmp_path))] == ["c1"] and case.meta["notes"][0]["text"] == "seen"
     with pytest.raises(ValueError):
         cases.Case(spark, str(tmp_path), "../x")
     tables = {k: v for k, v in case.analyze().items() if k in ("shared_indicators", "killchain", "technique_catalog", "timeline", "episodes", "incident_clusters")}
@@ -100,7 +100,7 @@ def test_a_case_is_what_was_added(spark, tmp_path):
     new = delta.delta({k: v.limit(0) for k, v in tables.items()}, tables)
     assert "new bridge" in delta.headline({k: [r.asDict() for r in v.collect()] for k, v in new.items() if k != "clusters"})
     case.delete()
-    assert cases.list_cases(str(tmp_path)) == []
+    assert cases.list_cases(spark, str(tmp_path)) == []
 
 
 def test_text_helpers():
