@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.operators.graph import stored
 from loglattice.operators.recipes import COMMON_PORTS, _order, count_rows
 
 # Logon types that come over the network.
@@ -67,46 +69,93 @@ def pivot_keywords(events: DataFrame) -> DataFrame:
     return rows.filter("value is not null").distinct()
 
 
-def _automaton(iocs: list[tuple[str, str]]):
-    """A scanner that finds all of some (indicator, lower-case form) in one pass over each text."""
-    import ahocorasick
+#: Bytes of a gram; shorter indicators are keyed by all of their bytes.
+GRAM = 8
+#: Places of the map of grams that may matter: half a megabyte, whatever the number of indicators.
+MAP_BITS = 22
+#: One text in so many is looked at to tell which grams are rare; that only decides how fast a search is.
+RARE_SAMPLE = 64
 
-    by_form: dict[str, list[str]] = {}
-    for ioc, form in iocs:
-        by_form.setdefault(form, []).append(ioc)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ahocorasick.Automaton()
-        for form, names in by_form.items():
-            found.add_word(form, names)
-        found.make_automaton()
+def _grams(buf: np.ndarray, n: int) -> np.ndarray:
+    """All runs of ``n`` bytes (8 at most) as numbers, with their length in the place of missing bytes."""
+    if len(buf) < n:
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    runs = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(buf) - n + 1,), strides=(1,)).copy()
+    return runs if n == 8 else runs & np.uint64((1 << 8 * n) - 1) | np.uint64(n << 56)
+
+
+def _place(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each gram in a map of ``2**bits``."""
+    x = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _text_grams(there: np.ndarray | None, lengths: list[int]):
+    """(digest, gram) of the grams of each text, of those only that the map has if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits: Counter = Counter()
-            for text in batch.column("text"):
-                held = {id(names): names for _, names in found.iter(text.as_py() or "")}
-                hits.update(name for names in held.values() for name in names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.string()), pa.array(list(hits.values()), pa.int64())], ["ioc", "n"])
+            digests, found = [], []
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text"), strict=True):
+                raw = text.as_buffer()
+                buf = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
+                for n in lengths:
+                    g = _grams(buf, n)
+                    g = np.unique(g if there is None else g[there[_place(g, len(there).bit_length() - 1)]])
+                    digests += [digest] * len(g)
+                    found.append(g.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(np.concatenate(found) if found else [], pa.int64())], ["digest", "gram"])
 
-    return scan
+    return run
 
 
-def ioc_search(records: DataFrame, iocs: DataFrame, ioc_col: str = "ioc", fields: list[str] | None = None, block_rows: int = 100_000, block_bytes: int = 16 << 20) -> DataFrame:
-    """(ioc, hits): rows that hold each indicator anywhere, case-insensitive.
+def _mapped(grams: DataFrame) -> np.ndarray:
+    """The map: which places the grams have; at most ``2**MAP_BITS`` numbers come to the driver."""
+    bits = MAP_BITS
 
-    The indicators are the query set: they are deduplicated, cut into blocks of bounded size, and
-    each block is held against all rows by an automaton that reads a text once, however many
-    indicators there are.
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place(batch.column("gram").to_numpy().view(np.uint64), bits)))], ["place"])
+
+    there = np.zeros(1 << bits, dtype=bool)
+    there[grams.mapInArrow(places, "place bigint").distinct().toArrow().column("place").to_numpy()] = True
+    return there
+
+
+def ioc_search(records: DataFrame, iocs: DataFrame, ioc_col: str = "ioc", fields: list[str] | None = None) -> DataFrame:
+    """(ioc, hits): rows that hold each indicator anywhere, case-insensitive; indicators without a hit have no row.
+
+    Any number of indicators is searched in one pass over the texts.  Each is keyed by its rarest
+    run of eight bytes; the texts' grams that may be among the keys (a bit map of fixed size tells)
+    are joined with the keys, and what meets is compared as a whole.  Equal texts are looked at
+    once and counted as often as they come.  Blank and null indicators are left out, and an
+    indicator in several spellings has a row for each.
     """
-    text = F.lower(F.to_json(F.struct(*[F.col(f"`{c}`") for c in (fields or records.columns)])) if len(fields or records.columns) > 1 else F.col(f"`{(fields or records.columns)[0]}`").cast("string"))
+    one = (fields or records.columns)[0]
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in (fields or records.columns)])) if len(fields or records.columns) > 1 else F.col(f"`{one}`").cast("string")
+    text = F.lower(whole)
+    texts = records.select(text.alias("text")).filter("text <> ''").select("text", F.sha2("text", 256).alias("digest"))
     wanted = iocs.select(F.trim(F.col(f"`{ioc_col}`")).alias("ioc")).filter("ioc <> ''").distinct().select("ioc", F.lower("ioc").alias("form"))
-    size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ioc")), F.lit(0))).first()
-    blocks = max(1, -(-size[0] // block_rows), -(-size[1] // block_bytes))
-    out = None
-    for k in range(blocks):
-        part = [(r.ioc, r.form) for r in wanted.filter(F.pmod(F.xxhash64("ioc"), F.lit(blocks)) == k).collect()]  # a block
-        hits = records.select(text.alias("text")).mapInArrow(_automaton(part), "ioc string, n bigint").groupBy("ioc").agg(F.sum("n").alias("hits"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    forms = wanted.select("form").distinct().withColumn("size", F.least(F.octet_length("form"), F.lit(GRAM)))
+    lengths = [r["size"] for r in forms.select("size").distinct().collect()]  # eight at most
+    if not lengths:
+        return wanted.select("ioc", F.lit(0).cast("bigint").alias("hits")).limit(0)
+    held = [forms.filter(F.col("size") == n).select(F.col("form").alias("digest"), F.col("form").alias("text")).mapInArrow(_text_grams(None, [n]), "digest string, gram bigint") for n in lengths]
+    of_forms = reduce(DataFrame.unionByName, held).select(F.col("digest").alias("form"), "gram")
+    some = texts.filter(F.pmod(F.xxhash64("digest"), F.lit(RARE_SAMPLE)) == 0).dropDuplicates(["digest"])
+    often = some.mapInArrow(_text_grams(_mapped(of_forms.select("gram")), lengths), "digest string, gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    order = F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.xxhash64("gram").alias("tie"), "gram")
+    keys = stored(of_forms.join(often, "gram", "left").groupBy("form").agg(F.min(order)["gram"].alias("gram")), "ioc-keys")
+
+    counts = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    counts = stored(counts, "ioc-texts")
+    grams = counts.select("digest", "text").mapInArrow(_text_grams(_mapped(keys.select("gram")), lengths), "digest string, gram bigint")
+    near = grams.join(keys, "gram").select("digest", "form")
+    hits = near.join(counts, "digest").filter(F.contains("text", "form")).groupBy("form").agg(F.sum("n").alias("hits"))
+    return wanted.join(hits, "form").select("ioc", "hits")
 
 
 def timeline_filter(rows: DataFrame, source: str | None = None, why: str | None = None, q: str | None = None) -> DataFrame:

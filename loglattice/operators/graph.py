@@ -25,10 +25,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, label: str = "graph") -> DataFrame:
     """Written to the cluster's checkpoint folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = scratch_path(spark, "graph")
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -120,32 +120,32 @@ def components(edges: DataFrame) -> DataFrame:
     so does a hub's number of them.
     """
     named = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.xxhash64("node").alias("k"))
-    links = _stored(edges.filter("a != b").select(*_pair(F.xxhash64("a"), F.xxhash64("b"))).distinct())
+    links = stored(edges.filter("a != b").select(*_pair(F.xxhash64("a"), F.xxhash64("b"))).distinct())
     labels = None
     for _ in range(ROUNDS):
         if links.isEmpty():
             break
         both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = _stored(both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("a"), F.min("b")).alias("up")))
+        parent = stored(both.groupBy(F.col("a").alias("k")).agg(F.least(F.col("a"), F.min("b")).alias("up")))
         grand = parent.select(F.col("k").alias("up"), F.col("up").alias("top"))
-        moved = _stored(parent.join(grand, "up").select("k", F.col("top").alias("to")))
+        moved = stored(parent.join(grand, "up").select("k", F.col("top").alias("to")))
         if labels is None:
             labels = moved.select("k", F.col("to").alias("root"))
         else:
             step = moved.select(F.col("k").alias("root"), "to")
-            labels = _stored(labels.join(step, "root", "left").select("k", F.coalesce("to", "root").alias("root")))
+            labels = stored(labels.join(step, "root", "left").select("k", F.coalesce("to", "root").alias("root")))
         of = {c: moved.select(F.col("k").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")}
         inner = links.join(of["a"], "a").join(of["b"], "b").filter("a_to != b_to").select(*_pair(F.col("a_to"), F.col("b_to")))
         # What is pointed at may point on: that link stays.
         onward = moved.join(moved.select(F.col("k").alias("to"), F.col("to").alias("next")), "to").filter("next != to").select(*_pair(F.col("to"), F.col("next")))
-        links = _stored(inner.unionAll(onward).distinct())
+        links = stored(inner.unionAll(onward).distinct())
     else:
         raise RuntimeError("components did not settle")
     if labels is None:
         return named.select("node", F.col("node").alias("root"))
     rooted = named.join(labels, "k", "left").select("node", F.coalesce("root", "k").alias("r"))
     names = rooted.groupBy("r").agg(F.min("node").alias("root"))
-    return _stored(rooted.join(names, "r").select("node", "root"))
+    return stored(rooted.join(names, "r").select("node", "root"))
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -160,7 +160,7 @@ def incident_clusters(events: DataFrame, infra_ips: tuple[str, ...] = (), min_fa
     """
     used = ["family", "kc_order", "kc_phase", "attack_evidence", "tactic_list"]
     # Derived once; of events alike in all that is used one row is kept.
-    rows = _stored(_keyed(events, infra_ips, family_key().alias("family"), *map(F.col, used[1:])).filter("size(keys) > 0").distinct())
+    rows = stored(_keyed(events, infra_ips, family_key().alias("family"), *map(F.col, used[1:])).filter("size(keys) > 0").distinct())
     roots = components(rows.select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct())
     # Distinct by first entity before the join, so that a hub is a few rows.
     member = rows.select(F.col("keys")[0].alias("node"), *used).distinct().join(roots, "node")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.events import derive
-from loglattice.functions import attack, decode, scoring
+from loglattice.functions import attack, decode, scoring, sigma
 from loglattice.operators import correlate, delta, extras, graph, recipes, slices
 from loglattice.plans.telemetry import duck_events, raw_events, telemetry
 from loglattice.sources import readers
@@ -386,6 +386,26 @@ def detection_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(spark, sf_dir, EVTX).filter(rule).select("id")
 
 
+#: Rules of the shapes that are shipped with the detections, and nested ones.
+_SIGMA = [
+    {"title": "one selection", "level": "medium", "tags": ["attack.t1059.001"], "detection": {"selection": {"ParentImage|endswith": ["up.exe", "ick.exe"], "Image|contains": ["1", "7"]}, "condition": "selection"}},
+    {"title": "two selections", "level": "low", "detection": {"selection": {"EventID": [4624, 4720]}, "users": {"user_canon|contains": ["r1", "r22"]}, "condition": "selection and users"}},
+    {"title": "nested", "level": "high", "tags": ["attack.t1110", "attack.t1078"], "detection": {"sel_a": {"user_canon|endswith": "7"}, "sel_b": {"Image|re": "[13]"}, "filter_x": {"ParentImage|startswith": "err"}, "filter_y": [{"EventID": 4625}, {"EventID": 1102}], "condition": "all of sel_* and not (filter_x or 1 of filter_y) or (filter_x and not sel_b)"}},
+]
+
+
+@register(
+    "sigma_rules",
+    """SELECT id, 'one selection' AS rule_title, 'medium' AS rule_level, 'T1059.001' AS techniques FROM ev WHERE (lower(parent_name) LIKE '%up.exe' OR lower(parent_name) LIKE '%ick.exe') AND (process_name LIKE '%1%' OR process_name LIKE '%7%')
+  UNION ALL SELECT id, 'two selections', 'low', '' FROM ev WHERE event_code IN (4624, 4720) AND (user_canon LIKE '%r1%' OR user_canon LIKE '%r22%')
+  UNION ALL SELECT id, 'nested', 'high', 'T1110,T1078' FROM (SELECT id, coalesce(user_canon LIKE '%7', false) AS a, coalesce(regexp_matches(process_name, '[13]'), false) AS b, coalesce(lower(parent_name) LIKE 'err%', false) AS x, coalesce(event_code IN (4625, 1102), false) AS y FROM ev) WHERE ((a AND b) AND NOT (x OR y)) OR (x AND NOT b)""",
+    EVTX,
+)
+def sigma_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with conditions, all in one pass."""
+    return sigma.matches(telemetry(spark, sf_dir, EVTX), _SIGMA, keep=["id"])
+
+
 @register("decode_scan")
 def decode_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,22 @@ def test_search_and_iocs(spark):
     hits = extras.ioc_search(d, spark.createDataFrame([("evil.EXAMPLE",), (" ",), ("none",)], "ioc string"))
     assert [(r.ioc, r.hits) for r in hits.collect()] == [("evil.EXAMPLE", 1)]
     assert extras.search(d, regex="^.*not.ing.*$").count() == 1
+    assert extras.ioc_search(d, spark.createDataFrame([], "ioc string")).count() == 0
+    assert extras.ioc_search(d, spark.createDataFrame([(None,), (" ",)], "ioc string")).count() == 0
+    assert extras.ioc_search(d.limit(0), spark.createDataFrame([("evil",)], "ioc string")).count() == 0
+
+
+def test_indicators_equal_a_plain_search(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(extras, "MAP_BITS", 6)  # a map that says yes to nearly all
+    parts = ["a", "É", "evil", ".com", " ", "日本", "10.0.0.", "7", "x" * 20]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(150))] * 2
+    iocs = [None, "", "a", "É", "é", "EVIL.com", "10.0.0.7", "evil.com ", "nowhere at all", *("".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(60))]
+    got = extras.ioc_search(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(i,) for i in iocs], "ioc string")).collect()
+    want = {i.strip(" "): sum((i.strip(" ").lower() in (t or "").lower()) for t in texts) for i in iocs if (i or "").strip(" ")}
+    assert {r.ioc: r.hits for r in got} == {i: n for i, n in want.items() if n} and len(got) == len({r.ioc for r in got})
+    both = spark.createDataFrame([("evil", "q"), ("q", "x EVIL y")], "a string, b string")
+    assert [(r.ioc, r.hits) for r in extras.ioc_search(both, spark.createDataFrame([("Evil",)], "ioc string")).collect()] == [("Evil", 2)]
 
 
 def test_streaming_sessions(spark, tmp_path):
