@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loglattice.functions import addresses
+
 # Names that are on every system and so identify nothing.
 GENERIC_USERS = ("system", "local service", "network service", "local system", "anonymous logon", "iusr", "-", "n/a", "na", "unknown", "null", "dwm", "umfd", "font driver host", "window manager")
 GENERIC_USER_PREFIXES = ("dwm-", "umfd-")
@@ -15,8 +17,6 @@ GENERIC_DOMAIN_SUFFIX = ".arpa"
 HASH_LENGTHS = (32, 40, 64, 128)
 
 IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
-OCTETS = r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$"
-_IPV6 = r"^(?=[0-9a-f:.]*:[0-9a-f:.]*:)(?!.*::.*::)(?!.*:::)([0-9a-f]{0,4}:){2,7}([0-9a-f]{0,4}|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -113,18 +113,12 @@ def source_family(c: Column) -> Column:
 
 
 def is_generic_ip(c: Column) -> Column:
-    """Addresses that point to no one machine: invalid, loopback, link-local, multicast, reserved."""
-    ip = F.lower(F.trim(c))
-    octet = F.when(ip.rlike(OCTETS), F.substring_index(ip, ".", 1).try_cast("int"))
-    v4 = octet.isin(0, 127) | (octet >= 224) | ip.startswith("169.254.")
-    v6 = ip.rlike(r"^(0*:)*:?0*1?$") | ip.rlike(r"^fe[89a-f]") | ip.startswith("ff") | ~ip.rlike(r"^[23]|^f[cd]|^64:ff9b:")
-    return F.coalesce(F.when(ip.rlike(OCTETS), v4).when(ip.rlike(_IPV6), v6).otherwise(F.lit(True)), F.lit(True))
+    """Addresses that point to no one machine: invalid, loopback, unspecified, link-local, multicast, reserved."""
+    return addresses.generic(c)
 
 
 def is_public_ip(c: Column) -> Column:
-    ip = F.trim(c)
-    private = ip.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|192\.0\.(0|2)\.|198\.(1[89]|51\.100)\.|203\.0\.113\.)")
-    return F.coalesce(ip.rlike(OCTETS) & ~is_generic_ip(ip) & ~private, F.lit(False))
+    return addresses.public(c)
 
 
 def parse_ts(c: Column) -> Column:

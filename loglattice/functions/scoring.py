@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.functions import addresses
 from loglattice.functions import normalize as n
 
 # Fixed values of the CVSS v3.1 specification.
@@ -68,7 +69,7 @@ _DOMAIN = r"(?i)^(?=.{1,253}$)([a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?\.)+[a-z]([a
 def indicator_kind(c: Column) -> Column:
     """ip, hash, domain or unknown."""
     s = F.trim(c)
-    return F.when(s.rlike(n.OCTETS) | s.rlike("^(?=.*:.*:)[0-9A-Fa-f:.]+$"), "ip").when(n.canon_hash(s).isNotNull(), "hash").when(s.rlike(_DOMAIN), "domain").otherwise("unknown")
+    return F.when(s.rlike(addresses.IPV4) | addresses.digits_v6(s).isNotNull(), "ip").when(n.canon_hash(s).isNotNull(), "hash").when(s.rlike(_DOMAIN), "domain").otherwise("unknown")
 
 
 def is_public(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.events import derive
-from loglattice.functions import attack, decode, scoring, sigma
+from loglattice.functions import addresses, attack, decode, scoring, sigma
 from loglattice.operators import correlate, delta, extras, graph, recipes, slices
 from loglattice.plans.telemetry import duck_events, raw_events, telemetry
 from loglattice.sources import readers
@@ -175,7 +175,7 @@ SELECT phase, rank, family, events, failures, n_dsts, n_domains, n_users, family
   CASE WHEN len(q) > 0 THEN 'resolving ' || array_to_string(q, ', ') END, CASE WHEN len(u) > 0 THEN 'as ' || array_to_string(u, ', ') END) AS note, window_s FROM ranked WHERE rank <= 4""",
     ALL,
 )(lambda spark, sf_dir: correlate.phase_corroboration(telemetry(spark, sf_dir)))
-_ENTS = """ents AS (SELECT id, family, kc_order, unnest(list_filter([CASE WHEN user_canon IS NOT NULL THEN 'user:' || user_canon END, CASE WHEN host_canon IS NOT NULL THEN 'host:' || host_canon END, CASE WHEN src_ip IS NOT NULL THEN 'ip:' || src_ip END,
+_ENTS = """ents AS (SELECT id, family, kc_order, kc_phase, unnest(list_filter([CASE WHEN user_canon IS NOT NULL THEN 'user:' || user_canon END, CASE WHEN host_canon IS NOT NULL THEN 'host:' || host_canon END, CASE WHEN src_ip IS NOT NULL THEN 'ip:' || src_ip END,
   CASE WHEN dst_ip IS NOT NULL THEN 'ip:' || dst_ip END, CASE WHEN dns_query IS NOT NULL THEN 'domain:' || dns_query END, CASE WHEN file_hash IS NOT NULL THEN 'file_hash:' || file_hash END, CASE WHEN file_canon IS NOT NULL THEN 'file:' || file_canon END], lambda x: x IS NOT NULL)) AS k FROM ev)"""
 _recipe("entity_nodes", ALL, f"WITH {_ENTS} SELECT split_part(k, ':', 1) AS kind, substr(k, instr(k, ':') + 1) AS value, count(*) AS events, count(DISTINCT family) AS families, max(kc_order) AS kc_order FROM ents GROUP BY 1, 2", graph.entity_nodes)
 _recipe("entity_edges", ALL, f"WITH {_ENTS} SELECT x.k AS a, y.k AS b, count(*) AS weight FROM ents x JOIN ents y ON x.id = y.id AND x.k < y.k GROUP BY 1, 2", graph.entity_edges)
@@ -199,6 +199,25 @@ ORDER BY kc_depth DESC, sources DESC, entities DESC, hosts, users, ips LIMIT 50"
 _recipe("incident_clusters", ALL, _CLUSTERS, graph.incident_clusters)
 
 
+_GRAPH = f"""WITH {_ENTS}, pairs AS (SELECT x.k AS a, y.k AS b, count(*) AS weight FROM ents x JOIN ents y ON x.id = y.id AND x.k < y.k GROUP BY 1, 2),
+deg AS (SELECT id, sum(weight)::BIGINT AS degree FROM (SELECT a AS id, weight FROM pairs UNION ALL SELECT b, weight FROM pairs) GROUP BY 1),
+nodes AS (SELECT k AS id, count(*) AS events, count(DISTINCT family)::INT AS families, string_agg(DISTINCT family, ', ' ORDER BY family) AS family_list, coalesce(max(CASE WHEN kc_phase IS NOT NULL THEN kc_order END), 0)::INT AS kc_order, coalesce(arg_max(kc_phase, kc_order) FILTER (kc_phase IS NOT NULL), '') AS phase FROM ents GROUP BY 1),
+shown AS (SELECT nodes.*, coalesce(degree, 0)::BIGINT AS degree, (SELECT count(*) FROM nodes) AS total_nodes FROM nodes LEFT JOIN deg USING (id) ORDER BY coalesce(degree, 0) DESC, families DESC, events DESC, id LIMIT 40)"""
+_recipe("entity_graph_nodes", ALL, f"{_GRAPH} SELECT id, split_part(id, ':', 1) AS kind, substr(id, instr(id, ':') + 1) AS value, events, families, family_list, kc_order, phase, degree, total_nodes, total_nodes > 40 AS truncated, CASE phase WHEN '' THEN '{graph.NO_LANE}' ELSE phase END AS lane, row_number() OVER (PARTITION BY phase ORDER BY degree DESC, substr(id, instr(id, ':') + 1), id)::INT AS lane_rank FROM shown", lambda ev: graph.entity_graph(ev)[0].drop("phases", "lane_order"))
+_recipe("entity_graph_edges", ALL, f"{_GRAPH} SELECT a, b, weight FROM pairs WHERE weight >= 2 AND a IN (SELECT id FROM shown) AND b IN (SELECT id FROM shown)", lambda ev: graph.entity_graph(ev, min_weight=2)[1])
+
+
+def _clusters_kept(ev: DataFrame) -> DataFrame:
+    """Clusters from components that took in three batches of events, one after the other."""
+    kept = graph.Components(ev.sparkSession, graph.scratch_path(ev.sparkSession, "kept-components"))
+    for k in range(3):
+        kept.add(graph.event_links(ev.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == k)))
+    return graph.incident_clusters(ev, roots=kept.current())
+
+
+_recipe("incident_clusters_kept", ALL, _CLUSTERS, _clusters_kept)
+
+
 @register(
     "baseline_diff",
     """WITH old AS (SELECT * FROM ev WHERE ts_parsed < TIMESTAMP '2024-01-08'), new AS (SELECT * FROM ev WHERE ts_parsed >= TIMESTAMP '2024-01-08')
@@ -386,6 +405,41 @@ def detection_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(spark, sf_dir, EVTX).filter(rule).select("id")
 
 
+_FIRST = (0x2001, 0xFE80, 0xFF02, 0xFC00, 0xFEC0, 0x2A00, 0x64, 0, 0x2002, 0x3FFF, 0x4000)
+
+
+def _address_sql(which: str) -> str:
+    """A test of (hi, lo) over all ranges, written from numbers and not from text."""
+    test = {"generic": addresses.is_generic, "public": addresses.is_public}[which]
+    six = " OR ".join(f"(hi, lo) >= ({int(a[:16], 16)}, {int(a[16:], 16)}) AND (hi, lo) <= ({int(b[:16], 16)}, {int(b[16:], 16)})" for a, b in addresses.ranges(test, 6))
+    four = " OR ".join(f"lo & 4294967295 BETWEEN {int(a, 16)} AND {int(b, 16)}" for a, b in addresses.ranges(test, 4))
+    return f"CASE WHEN hi = 0 AND lo >> 32 = 65535 THEN {four} ELSE {six} END"
+
+
+@register(
+    "address_ranges",
+    f"""WITH g AS (SELECT o_orderkey AS k, ([{", ".join(map(str, _FIRST))}])[o_orderkey % {len(_FIRST)} + 1]::UBIGINT AS a, (CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 5 = 0 THEN 3512 ELSE o_custkey % 65536 END)::UBIGINT AS b, (CASE WHEN o_orderkey % 2 = 0 THEN 65535 ELSE 0 END)::UBIGINT AS f, (o_custkey * 7 % 65536)::UBIGINT AS c, (o_orderkey % 65536)::UBIGINT AS d FROM orders),
+n AS (SELECT k, (a << 48) | (b << 32) AS hi, (f << 32) | (c << 16) | d AS lo FROM g)
+SELECT k, hi::DECIMAL(20,0) AS hi, lo::DECIMAL(20,0) AS lo, {_address_sql("generic")} AS generic, {_address_sql("public")} AS public FROM n""",
+)
+def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 addresses in three spellings: numbers, and whether they are generic and public."""
+    k, m = F.col("o_orderkey"), F.col("o_custkey")
+    group = lambda c: F.lower(F.hex(c))
+    first = F.element_at(F.array(*map(F.lit, _FIRST)), (k % len(_FIRST) + 1).cast("int"))
+    b = F.when(k % 3 == 0, 0).when(k % 5 == 0, 3512).otherwise(m % 65536)
+    f, c, d = F.when(k % 2 == 0, 65535).otherwise(0), m * 7 % 65536, k % 65536
+    byte = lambda x, n: (F.floor(x / n) % 256).cast("string")
+    quad = F.concat_ws(".", byte(c, 256), byte(c, 1), byte(d, 256), byte(d, 1))
+    full = F.concat_ws(":", group(first), group(b), F.lit("0"), F.lit("0000"), F.lit("0"), group(f), group(c), group(d))
+    short = F.concat(group(first), F.lit(":"), group(b), F.lit("::"), group(f), F.lit(":"), group(c), F.lit(":"), group(d))
+    mixed = F.concat(F.upper(group(first)), F.lit(":"), group(b), F.lit("::"), F.upper(group(f)), F.lit(":"), quad)
+    text = F.when(k % 4 == 0, full).when(k % 4 == 1, mixed).otherwise(short)
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), text.alias("t"))
+    n = addresses.number(F.col("t"))
+    return rows.select("k", n["hi"].alias("hi"), n["lo"].alias("lo"), addresses.generic(F.col("t")).alias("generic"), addresses.public(F.col("t")).alias("public"))
+
+
 #: Rules of the shapes that are shipped with the detections, and nested ones.
 _SIGMA = [
     {"title": "one selection", "level": "medium", "tags": ["attack.t1059.001"], "detection": {"selection": {"ParentImage|endswith": ["up.exe", "ick.exe"], "Image|contains": ["1", "7"]}, "condition": "selection"}},

@@ -1,6 +1,7 @@
 """Decoding, scoring, compliance, rules, cases and streams."""
 
 import base64
+import ipaddress
 import json
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice import cases, cli
-from loglattice.functions import decode, scoring
+from loglattice.functions import addresses, decode, scoring
 from loglattice.operators import delta, extras
 from loglattice.schema import RAW
 from loglattice.streaming import live
@@ -142,3 +143,23 @@ def test_streaming_sessions(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(out)).collect()
     assert [(r.events, r.families) for r in got] == [(2, 2)]
+
+
+def test_addresses_equal_the_standard_library(spark):
+    rng = random.Random(2)
+    borders = [int(x) for v in (addresses.SPECIAL_4, addresses.SPECIAL_6) for t in v for x in (ipaddress.ip_network(t).network_address, ipaddress.ip_network(t).broadcast_address)]
+    six = [ipaddress.IPv6Address(min(max(b + d, 0), 2**128 - 1)) for b in borders if b >= 2**32 for d in (-1, 0, 1)] + [ipaddress.IPv6Address(rng.getrandbits(128)) for _ in range(100)]
+    four = [ipaddress.IPv4Address(min(max(b + d, 0), 2**32 - 1)) for b in borders if b < 2**32 for d in (-1, 0, 1)]
+    six += [ipaddress.IPv6Address(f"::ffff:{a}") for a in four[:60]]
+    good = {str(a): a for a in [*six, *four]} | {a.exploded.upper(): a for a in six}
+    junk = ["", "1.2.3", "1.2.3.256", "01.2.3.4", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::", "::1.2.3", "x", "1:2:3:4:5:6:7:8::", ":", "::ffff:1.2.3.999", None]
+    table = spark.createDataFrame([(t,) for t in [*good, *junk, " fe80::1%eth0 "]], "t string")
+    t = F.col("t")
+    rows = {r.t: r for r in table.select("t", addresses.number(t).alias("n"), addresses.generic(t).alias("g"), addresses.public(t).alias("p"), scoring.indicator_kind(t).alias("kind")).collect()}
+    for text, a in good.items():
+        whole = int(a) if a.version == 6 else int(a) + (0xFFFF << 32)
+        assert (int(rows[text].n.hi) << 64) + int(rows[text].n.lo) == whole and rows[text].kind == "ip"
+        assert (rows[text].g, rows[text].p) == (addresses.is_generic(a), addresses.is_public(a)), text
+    for text in junk:
+        assert rows[text].n is None and rows[text].g and not rows[text].p
+    assert rows[" fe80::1%eth0 "].g
