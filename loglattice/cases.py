@@ -312,6 +312,20 @@ def narrative(collected: dict[str, list[dict]]) -> list[str]:
     return out
 
 
+def document(meta: dict, collected: dict[str, list[dict]], rows: int = 20) -> str:
+    """The case as a Markdown document: its sources, how far it reached, what was seen, notes, and what to keep in mind."""
+    sources = [{"batch": b["label"] or b["kind"], "events": b["n"], "added": b["added"]} for b in meta["batches"]]
+    told = narrative(collected)
+    out = [f"# {meta['title'] or meta['id']}", "", f"Case {meta['id']}, created {meta['created']}, {meta['events']} event(s).", "", "## What happened", "", *([f"- {t}" for t in told] or ["No activity could be placed on the kill chain."]), ""]
+    if meta["infra_ips"]:
+        out += ["## Declared infrastructure", "", *[f"- {ip}" for ip in meta["infra_ips"]], ""]
+    out += [markdown({"sources": sources}, "").split("\n", 2)[2]]
+    shown = {k: collected[k] for k in ("shared_indicators", "incident_clusters", "episodes", "host_killchain", "technique_catalog", "timeline") if k in collected}
+    out += [markdown(shown, "", rows).split("\n", 2)[2]]
+    out += ["## Notes", "", *([f"- {x['at']}: {x['text']}" for x in meta["notes"]] or ["none"]), "", "## To keep in mind", "", "Links between entities are co-occurrence, not causation; every lead is to be validated against its source.", ""]
+    return "\n".join(out)
+
+
 def redact(value, mapping: dict[str, str]):
     """Replace real values by pseudonyms in any JSON value: longest first, ignoring case."""
     if not mapping:

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from loglattice import cases
 from loglattice.events import derive
 from loglattice.functions import attack, decode
+from loglattice.operators import delta
 from loglattice.operators.slices import slice_report
 from loglattice.sources.detect import detect, routed
 from loglattice.sources.readers import READERS, build_events
@@ -50,9 +51,9 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--level", choices=("full", "detailed", "summary"), default="full")
         x.add_argument("--out")
         x.add_argument("--attack", metavar="FILE", help="STIX bundle with the full ATT&CK table")
-    c.add_argument("action", choices=("new", "add", "list", "show", "analyze", "infra", "note", "rm"))
+    c.add_argument("action", choices=("new", "add", "list", "show", "analyze", "diff", "document", "infra", "note", "rebuild", "vacuum", "rm"))
     c.add_argument("case", nargs="?")
-    c.add_argument("text", nargs="?")
+    c.add_argument("text", nargs="?", help="a title, a note, or the case to compare with")
     c.add_argument("--root", default="cases")
     c.add_argument("--force", action="store_true")
     d.add_argument("text")
@@ -102,9 +103,19 @@ def main(argv: list[str] | None = None) -> int:
             case.create(args.text or "")
         elif args.action == "add":
             sources = _sources(args.source) + [s for path in args.folder for s in routed(case.spark, path)[0]]
-            text = str(case.append(build_events(case.spark, sources), args.force))
+            text = str(sum(case.append_source(kind, path, args.force, **options) for kind, path, options in sources))
         elif args.action == "show":
             text = json.dumps(case.meta, indent=1)
+        elif args.action == "diff":
+            other = cases.Case(case.spark, args.root, args.text or "")
+            found = {k: [r.asDict(True) for r in v.collect()] for k, v in delta.delta(other.analyze(), case.analyze()).items()}
+            text = json.dumps({"headline": delta.headline(found), **found}, indent=1, default=str)
+        elif args.action == "document":
+            text = cases.document(case.meta, cases.collect(case.analyze()))
+        elif args.action == "rebuild":
+            text = f"{case.rebuild()} batch(es) rebuilt"
+        elif args.action == "vacuum":
+            text = f"{len(case.vacuum())} batch(es) deleted"
         elif args.action == "infra":
             case.set_infrastructure(args.infra)
         elif args.action == "note":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loglattice.functions import attack
 from loglattice.functions import normalize as n
 from loglattice.operators.recipes import _order, count_rows
+from loglattice.storage import stored
 
 # Event types that matter without a rule.
 NOTABLE_ACTIONS = ("audit-log-cleared", "event-log-cleared", "audit-policy-changed", "event-log-service-stopped", "sysmon-config-changed", "process-tampering", "raw-access-read", "service-installed", "scheduled-task-created", "scheduled-task-registered", "wmi-event-consumer", "wmi-event-filter", "wmi-consumer-filter-binding", "wmi-permanent-consumer-registered", "wmi-permanent-consumer-binding", "user-account-created", "member-added-to-local-group", "member-added-to-global-group", "member-added-to-universal-group", "password-reset", "create-remote-thread", "logon-failed", "kerberos-preauth-failed")
@@ -144,7 +145,8 @@ def episode_ids(events: DataFrame, gap_seconds: int = 120, bucket_seconds: int =
 def episodes(events: DataFrame, gap_seconds: int = 120, min_sources: int = 2, limit: int = 100) -> DataFrame:
     # Events alike in all that is used are folded before times are joined, with their number.
     used = {"ts_parsed": F.col("ts_parsed"), "family": family_key(), "host": F.col("host"), "ip": F.coalesce("src_ip", "dst_ip"), "kc_phase": F.col("kc_phase")}
-    alike = events.select(*[c.alias(k) for k, c in used.items()]).groupBy(*used).agg(count_rows().alias("n"))
+    # Stored, as it is used for the times and for what happened at them.
+    alike = stored(events.select(*[c.alias(k) for k, c in used.items()]).groupBy(*used).agg(count_rows().alias("n")), "episodes")
     agg = episode_ids(alike, gap_seconds).groupBy("episode").agg(
         F.min("ts_parsed").alias("start"), F.max("ts_parsed").alias("end"), F.sum("n").alias("events"), F.count_distinct("family").alias("families"), joined("family").alias("family_list"),
         F.count_distinct("host").alias("hosts"), F.count_distinct("ip").alias("ips"), F.collect_set("kc_phase").alias("seen"),
@@ -180,29 +182,37 @@ def phase_corroboration(events: DataFrame, beacons: DataFrame | None = None, inf
     silent = events.filter("ts_parsed is not null and not coalesce(attack_evidence, false)").withColumn("family", key)
     near = silent.join(F.broadcast(span), (at >= (F.col("lo") - pad_seconds) * 1_000_000) & (at <= (F.col("hi") + pad_seconds) * 1_000_000))
     near = near.join(speaking, ["phase", "family"], "left_anti")
-    seen = lambda c, generic: F.array_sort(F.collect_set(F.when(~F.coalesce(F.col(generic), F.lit(False)), F.col(c))))
-    agg = near.groupBy("phase", "family").agg(count_rows().alias("events"), F.count_if(F.lower("outcome") == "failure").alias("failures"), seen("dst_ip", "dst_ip_generic").alias("dsts"), seen("dns_query", "dns_generic").alias("domains"), seen("user_canon", "user_generic").alias("users"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    told = lambda c, generic: F.when(~F.coalesce(F.col(generic), F.lit(False)), F.col(c))
+    known = [i.strip().lower() for i in infra_ips]
+    dst = told("dst_ip", "dst_ip_generic")
+    dst = F.when(~F.lower(dst).isin(*known), dst) if known else dst
+    # Events alike in all that is reported are one stored row with their number.
+    used = {"phase": F.col("phase"), "family": F.col("family"), "lo": F.col("lo"), "hi": F.col("hi"), "failed": F.coalesce(F.lower("outcome") == "failure", F.lit(False)), "dst": dst, "domain": told("dns_query", "dns_generic"), "user": told("user_canon", "user_generic")}
+    alike = stored(near.select(*[c.alias(k) for k, c in used.items()]).groupBy(*used).agg(count_rows().alias("n")), "corroboration")
+    agg = alike.groupBy("phase", "family").agg(F.sum("n").alias("events"), F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("failures"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     rank = F.row_number().over(Window.partitionBy("phase").orderBy(F.col("events").desc(), "family"))
     top = agg.withColumn("rank", rank).filter(F.col("rank") <= limit_families)
-    known = [i.strip().lower() for i in infra_ips]
-    own = F.filter("dsts", lambda d: ~F.lower(d).isin(*known)) if known else F.col("dsts")
+    # Distinct values are counted and two of each kind are kept: none of them is gathered in a set.
+    values = alike.select("phase", "family", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("dst", "domain", "user")]))).filter("value is not null").distinct()
+    flag = F.lit(False)
     if beacons is not None:
-        # The destinations shown are few: flagged ones first, then in order.
-        each = top.select("phase", "family", F.explode(own).alias("dst_ip")).join(beacons.select("dst_ip").distinct().withColumn("flag", F.lit(True)), "dst_ip", "left")
-        shown = each.groupBy("phase", "family").agg(F.slice(F.array_sort(F.collect_list(F.struct((~F.coalesce("flag", F.lit(False))).alias("plain"), "dst_ip"))), 1, 2).alias("top"))
-        top = top.join(shown, ["phase", "family"], "left")
-        dst_text = F.array_join(F.transform("top", lambda x: F.concat(x["dst_ip"], F.when(x["plain"], "").otherwise(" (flagged as periodic call-backs — to validate)"))), ", ")
-    else:
-        dst_text = F.array_join(F.slice(own, 1, 2), ", ")
+        values = values.join(beacons.select(F.lit("dst").alias("kind"), F.col("dst_ip").alias("value"), F.lit(True).alias("beacon")).distinct(), ["kind", "value"], "left")
+        flag = F.coalesce("beacon", F.lit(False))
+    values = values.withColumn("flag", flag)
+    place = F.row_number().over(Window.partitionBy("phase", "family", "kind").orderBy(F.desc("flag"), "value"))
+    first = values.withColumn("place", place).filter("place <= 2").groupBy("phase", "family", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "value", "flag"))).alias("two"))
+    number = values.groupBy("phase", "family", "kind").agg(count_rows().alias("number"))
+    of = lambda k, c: F.first(F.when(F.col("kind") == k, F.col(c)), ignorenulls=True)
+    wide = number.join(first, ["phase", "family", "kind"]).groupBy("phase", "family").agg(*[F.coalesce(of(k, "number"), F.lit(0)).cast("int").alias(f"n_{k}s") for k in ("dst", "domain", "user")], *[of(k, "two").alias(k) for k in ("dst", "domain", "user")])
+    top = top.join(wide, ["phase", "family"], "left").fillna(0, ["n_dsts", "n_domains", "n_users"])
+    words = lambda k: F.array_join(F.transform(k, lambda x: F.concat(x["value"], F.when(x["flag"], " (flagged as periodic call-backs — to validate)").otherwise(""))), ", ")
     note = F.concat_ws(
         ", ",
         F.format_string("%s event(s)", F.col("events").cast("string")),
         F.when(F.col("failures") > 0, F.format_string("%s failed", F.col("failures").cast("string"))),
-        F.when(dst_text != "", F.concat(F.lit("to "), dst_text)),
-        F.when(F.size("domains") > 0, F.concat(F.lit("resolving "), F.array_join(F.slice("domains", 1, 2), ", "))),
-        F.when(F.size("users") > 0, F.concat(F.lit("as "), F.array_join(F.slice("users", 1, 2), ", "))),
+        *[F.when(F.col(f"n_{k}s") > 0, F.concat(F.lit(word), words(k))) for k, word in (("dst", "to "), ("domain", "resolving "), ("user", "as "))],
     )
-    return top.select("phase", "rank", "family", "events", "failures", F.size(own).alias("n_dsts"), F.size("domains").alias("n_domains"), F.size("users").alias("n_users"), F.concat("family", F.lit(": "), note).alias("note"), (F.col("hi") - F.col("lo") + 2 * pad_seconds).alias("window_s")).orderBy("phase", "rank")
+    return top.select("phase", "rank", "family", "events", "failures", "n_dsts", "n_domains", "n_users", F.concat("family", F.lit(": "), note).alias("note"), (F.col("hi") - F.col("lo") + 2 * pad_seconds).alias("window_s")).orderBy("phase", "rank")
 
 
 def technique_catalog(events: DataFrame, limit: int = 100, exact: bool = False, techniques: dict | None = None) -> DataFrame:

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.operators.graph import stored
 from loglattice.operators.recipes import COMMON_PORTS, _order, count_rows
+from loglattice.storage import stored
 
 # Logon types that come over the network.
 REMOTE_LOGONS = ("3", "8", "9", "10")
@@ -69,6 +69,22 @@ def pivot_keywords(events: DataFrame) -> DataFrame:
     return rows.filter("value is not null").distinct()
 
 
+def extract_base64(events: DataFrame, fields: tuple[str, ...] = ("cmdline", "message"), least: int = 16) -> DataFrame:
+    """(id, field, token, encoding, decoded): Base64 texts in some fields, told by built-in functions alone.
+
+    A token has ``least`` characters or more and whole groups of four; it is one if it decodes to
+    text, UTF-16 (every second byte of its first four is zero) or UTF-8, without control characters.
+    """
+    token = rf"(?<![A-Za-z0-9+/=])((?:[A-Za-z0-9+/]{{4}}){{{max(1, least // 4 - 1)},}}(?:[A-Za-z0-9+/]{{4}}|[A-Za-z0-9+/]{{3}}=|[A-Za-z0-9+/]{{2}}==))(?![A-Za-z0-9+/=])"
+    held = [F.struct(F.lit(f).alias("field"), F.regexp_extract_all(F.col(f), F.lit(token), F.lit(1)).alias("tokens")) for f in fields if f in events.columns]
+    likely = reduce(lambda a, b: a | b, [F.col(f).rlike(token) for f in fields if f in events.columns])
+    each = events.filter(likely).select("id", F.inline(F.array(*held))).select("id", "field", F.explode("tokens").alias("token")).withColumn("raw", F.try_to_binary("token", F.lit("base64")))
+    wide = F.expr("hex(substring(raw, 2, 1)) = '00' and hex(substring(raw, 4, 1)) = '00' and octet_length(raw) % 2 = 0")
+    text = F.when(wide, F.expr("decode(raw, 'UTF-16LE')")).when(F.is_valid_utf8(F.expr("cast(raw as string)")), F.expr("cast(raw as string)"))
+    out = each.withColumn("decoded", text).withColumn("encoding", F.when(wide, "utf-16").otherwise("utf-8"))
+    return out.filter(F.col("decoded").isNotNull() & ~F.col("decoded").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]")).select("id", "field", "token", "encoding", "decoded")
+
+
 #: Bytes of a gram; shorter indicators are keyed by all of their bytes.
 GRAM = 8
 #: Places of the map of grams that may matter: half a megabyte, whatever the number of indicators.

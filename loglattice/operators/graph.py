@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import attack
 from loglattice.operators.correlate import UNMAPPED_PHASE, family_key
 from loglattice.operators.recipes import _order, count_rows
+from loglattice.storage import stored
 
 ROUNDS = 60
 SHOWN = 8
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"/tmp/checkpoints/loglattice-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, label: str = "graph") -> DataFrame:
-    """Written to the cluster's checkpoint folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # The entities of an event in order: kind, column, and the column that marks it as generic.
 ENTITIES = (
     ("user", "user_canon", "user_generic"), ("host", "host_canon", "host_generic"), ("ip", "src_ip", "src_ip_generic"), ("ip", "dst_ip", "dst_ip_generic"),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from loglattice import cases
 from loglattice.operators import extras
-from loglattice.operators.graph import scratch_path
 from loglattice.plans.queries import ISO, register, table
 from loglattice.plans.telemetry import EPOCH
 from loglattice.sources import checked, readers, splits
+from loglattice.storage import scratch_path
 
 BACK = chr(92)
 

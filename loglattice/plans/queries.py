@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.events import derive
-from loglattice.functions import addresses, attack, decode, scoring, sigma
+from loglattice.functions import addresses, attack, decode, redaction, scoring, sigma
 from loglattice.operators import correlate, delta, extras, graph, recipes, slices
 from loglattice.plans.telemetry import duck_events, raw_events, telemetry
 from loglattice.sources import readers
+from loglattice.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
@@ -163,6 +164,25 @@ def technique_catalog_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.technique_catalog(derive(raw, _BUNDLE), techniques=_BUNDLE)
 
 
+@register(
+    "phase_corroboration_flagged",
+    """WITH span AS (SELECT kc_phase AS phase, min(epoch_us(ts_parsed)) // 1000000 AS lo, max(epoch_us(ts_parsed)) // 1000000 AS hi FROM ev WHERE kc_phase IS NOT NULL GROUP BY 1),
+near AS (SELECT s.phase, s.lo, s.hi, e.* FROM ev e JOIN span s ON epoch_us(e.ts_parsed) BETWEEN (s.lo - 120) * 1000000 AND (s.hi + 120) * 1000000
+  WHERE NOT e.attack_evidence AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.kc_phase = s.phase AND x.family = e.family)),
+agg AS (SELECT phase, family, count(*) AS events, count(*) FILTER (WHERE lower(outcome) = 'failure') AS failures, count(DISTINCT CASE WHEN dst_ip NOT LIKE '%5' THEN dst_ip END)::INT AS n_dsts, count(DISTINCT dns_query)::INT AS n_domains, count(DISTINCT user_canon)::INT AS n_users,
+  any_value(hi - lo + 240) AS window_s, list_transform(list_sort(list(DISTINCT (CASE WHEN dst_ip LIKE '%1' THEN '0' ELSE '1' END) || dst_ip) FILTER (WHERE dst_ip IS NOT NULL AND dst_ip NOT LIKE '%5'))[1:2], lambda x: x[2:] || CASE WHEN x[1] = '0' THEN ' (flagged as periodic call-backs — to validate)' ELSE '' END) AS d, list_sort(list(DISTINCT dns_query) FILTER (WHERE dns_query IS NOT NULL))[1:2] AS q, list_sort(list(DISTINCT user_canon) FILTER (WHERE user_canon IS NOT NULL))[1:2] AS u FROM near GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY events DESC, family)::INT AS rank FROM agg)
+SELECT phase, rank, family, events, failures, n_dsts, n_domains, n_users, family || ': ' || concat_ws(', ', events || ' event(s)', CASE WHEN failures > 0 THEN failures || ' failed' END, CASE WHEN len(d) > 0 THEN 'to ' || array_to_string(d, ', ') END,
+  CASE WHEN len(q) > 0 THEN 'resolving ' || array_to_string(q, ', ') END, CASE WHEN len(u) > 0 THEN 'as ' || array_to_string(u, ', ') END) AS note, window_s FROM ranked WHERE rank <= 4""",
+    ALL,
+)
+def phase_corroboration_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With destinations that are flagged as call-backs, and others that are declared infrastructure."""
+    ev = telemetry(spark, sf_dir, ALL)
+    infra = [f"203.0.113.{k}" for k in range(256) if k % 10 == 5]
+    return correlate.phase_corroboration(ev, ev.filter("dst_ip like '%1'").select("dst_ip"), tuple(infra))
+
+
 register(
     "phase_corroboration",
     """WITH span AS (SELECT kc_phase AS phase, min(epoch_us(ts_parsed)) // 1000000 AS lo, max(epoch_us(ts_parsed)) // 1000000 AS hi FROM ev WHERE kc_phase IS NOT NULL GROUP BY 1),
@@ -209,7 +229,7 @@ _recipe("entity_graph_edges", ALL, f"{_GRAPH} SELECT a, b, weight FROM pairs WHE
 
 def _clusters_kept(ev: DataFrame) -> DataFrame:
     """Clusters from components that took in three batches of events, one after the other."""
-    kept = graph.Components(ev.sparkSession, graph.scratch_path(ev.sparkSession, "kept-components"))
+    kept = graph.Components(ev.sparkSession, scratch_path(ev.sparkSession, "kept-components"))
     for k in range(3):
         kept.add(graph.event_links(ev.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == k)))
     return graph.incident_clusters(ev, roots=kept.current())
@@ -440,6 +460,28 @@ def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", n["hi"].alias("hi"), n["lo"].alias("lo"), addresses.generic(F.col("t")).alias("generic"), addresses.public(F.col("t")).alias("public"))
 
 
+@register("extract_base64", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'utf-16' ELSE 'utf-8' END AS encoding, CASE WHEN o_orderkey % 3 = 0 THEN 'message' ELSE 'cmdline' END AS field, 'run ' || o_orderpriority || ' no ' || o_custkey AS decoded FROM orders WHERE o_orderkey % 5 <> 0")
+def extract_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded commands in two fields; a fifth of them are bytes that are no text."""
+    k = F.col("o_orderkey")
+    plain = F.concat(F.lit("run "), F.col("o_orderpriority"), F.lit(" no "), F.col("o_custkey").cast("string"))
+    raw = F.when(k % 5 == 0, F.unhex(F.lit("00FF01FE02FD03FC04FB05FA"))).when(k % 2 == 0, F.encode(plain, "UTF-16LE")).otherwise(plain.cast("binary"))
+    text = F.concat(F.lit("powershell -enc "), F.base64(raw), F.lit(" shortAA== plainword"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 != 0, text).alias("cmdline"), F.when(k % 3 == 0, text).otherwise("nothing").alias("message"))
+    return extras.extract_base64(rows).select("id", "encoding", "field", "decoded")
+
+
+@register("redact_table", "SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN 'by U' || o_custkey || ' at H1' WHEN o_custkey % 3 = 1 THEN 'by P' || o_custkey || ' at H1' ELSE 'by q' || o_custkey || ' at H1' END AS note, ['H1', 'x'] AS tags FROM orders")
+def redact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers, some of them parts of others, replaced in texts and lists."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.when(c % 3 == 0, F.concat(F.lit("user-"), c.cast("string"))).when(c % 3 == 1, F.concat(F.lit("User-"), c.cast("string"), F.lit(".ADM"))).otherwise(F.concat(F.lit("q"), c.cast("string")))
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("by "), name, F.lit(" at WS.1")).alias("note"), F.array(F.lit("ws.1"), F.lit("x")).alias("tags"))
+    own = table(spark, sf_dir, "orders").select(c.alias("c")).distinct()
+    names = own.select(F.inline(F.array(F.struct(F.concat(F.lit("USER-"), F.col("c").cast("string")).alias("real"), F.concat(F.lit("U"), F.col("c").cast("string")).alias("pseudonym")), F.struct(F.concat(F.lit("user-"), F.col("c").cast("string"), F.lit(".adm")).alias("real"), F.concat(F.lit("P"), F.col("c").cast("string")).alias("pseudonym")))))
+    return redaction.redact_table(rows, names.unionByName(spark.createDataFrame([("ws.1", "H1"), (" ", "z")], "real string, pseudonym string")))
+
+
 #: Rules of the shapes that are shipped with the detections, and nested ones.
 _SIGMA = [
     {"title": "one selection", "level": "medium", "tags": ["attack.t1059.001"], "detection": {"selection": {"ParentImage|endswith": ["up.exe", "ick.exe"], "Image|contains": ["1", "7"]}, "condition": "selection"}},

@@ -109,3 +109,25 @@ def test_empty_and_odd_batches(spark, case):
     assert case.append(odd) == 2 and case.raw().filter("host = 'h'").count() == 2
     with pytest.raises(FileNotFoundError):
         cases.Case(spark, str(case.folder.path) + "-no", "c2").append(odd)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loglattice import cli
+
+    root = ["--root", str(tmp_path / "cli")]
+    run = lambda *a: (cli.main(["case", *a, *root]), capsys.readouterr().out)[1]
+    run("new", "a", "First")
+    run("new", "b", "Second")
+    assert run("add", "a", "--source", f"evtx={lines(tmp_path, 'x.jsonl', 3)}").strip() == "3"
+    run("add", "b", "--source", f"evtx={tmp_path / 'x.jsonl'}")
+    run("add", "b", "--source", f"evtx={lines(tmp_path, 'y.jsonl', 4, 60)}")
+    run("note", "b", "seen")
+    run("infra", "b", "--infra", "10.0.0.1")
+    assert json.loads(run("show", "b"))["events"] == 7
+    told = json.loads(run("diff", "b", "a"))
+    assert set(told) == {"headline", "bridges", "techniques", "episodes", "depth", "clusters"}
+    text = run("document", "b")
+    assert text.startswith("# Second") and "y.jsonl" in text and "seen" in text and "10.0.0.1" in text
+    assert run("rebuild", "b").startswith("0") and run("vacuum", "b").startswith("0")
+    run("rm", "a")
+    assert [m["id"] for m in json.loads(run("list"))] == ["b"]

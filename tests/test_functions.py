@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice import cases, cli
-from loglattice.functions import addresses, decode, scoring
+from loglattice.functions import addresses, decode, redaction, scoring
 from loglattice.operators import delta, extras
 from loglattice.schema import RAW
 from loglattice.streaming import live
@@ -163,3 +163,21 @@ def test_addresses_equal_the_standard_library(spark):
     for text in junk:
         assert rows[text].n is None and rows[text].g and not rows[text].p
     assert rows[" fe80::1%eth0 "].g
+
+
+def test_redacted_tables_equal_the_plain_version(spark):
+    rng = random.Random(9)
+    parts = ["al", "ice", "WS", "-1", ".", "é", "(x)", " ", "bob", "日本", "\\", "|"]
+    mapping = {"".join(rng.choices(parts, k=rng.randrange(1, 4))).strip(): f"<{k}>" for k in range(25)}
+    mapping = {k: v for k, v in {k.lower(): v for k, v in mapping.items()}.items() if k}
+    texts = [None, "", *("".join(rng.choice([p, p.upper()]) for p in rng.choices(parts, k=rng.randrange(12))) for _ in range(200))]
+    table = spark.createDataFrame([(t, [t, "bob"], {"k": t}, (t, 1), 7) for t in texts], "t string, l array<string>, m map<string,string>, s struct<a string, n int>, n int")
+    names = spark.createDataFrame(list(mapping.items()), "real string, pseudonym string")
+    got = redaction.redact_table(table, names).collect()
+    want = lambda t: cases.redact(t, mapping)
+    assert [r.t for r in got] == [want(t) for t in texts] and [r.l[0] for r in got] == [want(t) for t in texts]
+    assert [(r.m["k"], r.s.a, r.s.n, r.n) for r in got] == [(want(t), want(t), 1, 7) for t in texts]
+    assert [r.t for r in redaction.redact_table(table, names.limit(0)).collect()] == texts
+    big = spark.range(redaction.MAX_VALUES + 1).selectExpr("cast(id as string) as real", "'x' as pseudonym")
+    with pytest.raises(ValueError):
+        redaction.redact_table(table, big)
