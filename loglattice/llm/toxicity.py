@@ -95,14 +95,24 @@ def _parts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield a, b, buf[at:], off - at if at == 0 else np.array([0, len(buf) - at])
 
 
+#: How often the trainer is shown the same samples, until it has enough of them.
+REPEATS = (1, 2, 4, 8, 16, 32, 64, 128)
+
+
 def _train(samples: list[bytes], size: int) -> bytes:
-    """Content of a trained dictionary; too few samples for the trainer are used as they are."""
+    """Content of a trained dictionary.
+
+    The trainer asks for more samples and bytes than small tables have; it then sees the same
+    samples several times.  Of next to nothing (a few words) no dictionary can be trained: it is empty.
+    """
     order = np.random.default_rng(0).permutation(len(samples))
     joined = [b"".join(samples[i] for i in order[k : k + 8]) for k in range(0, len(samples), 8)]
-    try:
-        return zs.train_dictionary(size, joined, k=SEGMENT, d=RUN, level=3).as_bytes()
-    except zs.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+    for times in REPEATS:
+        try:
+            return zs.train_dictionary(size, joined * times, k=SEGMENT, d=RUN, level=3).as_bytes()
+        except zs.ZstdError:
+            continue
+    return b""
 
 
 @dataclass
