@@ -251,8 +251,15 @@ def collect(tables: dict[str, DataFrame], limit: int = 5_000) -> dict[str, list[
     return {k: [json.loads(x) for x in df.limit(limit).toJSON().collect()] for k, df in tables.items()}
 
 
-def bundle(collected: dict[str, list[dict]], level: str = "full") -> dict:
-    """A versioned envelope: full, detailed (without timeline rows, with their number) or summary."""
+def collect_counted(tables: dict[str, DataFrame], limit: int = 5_000) -> tuple[dict[str, list[dict]], dict[str, dict]]:
+    """``collect``, and for each table how many rows it has and whether ``limit`` cut it: a cut that nobody sees misleads."""
+    found = collect({k: df for k, df in tables.items()}, limit + 1)
+    total = {k: (len(rows) if len(rows) <= limit else tables[k].count()) for k, rows in found.items()}
+    return {k: rows[:limit] for k, rows in found.items()}, {k: {"records_total": n, "records_capped": n > limit} for k, n in total.items()}
+
+
+def bundle(collected: dict[str, list[dict]], level: str = "full", counts: dict[str, dict] | None = None) -> dict:
+    """A versioned envelope: full, detailed (without timeline rows, with their number) or summary; with ``counts`` of ``collect_counted``."""
     if level not in ("full", "detailed", "summary"):
         raise ValueError(level)
     body = dict(collected)
@@ -260,7 +267,7 @@ def bundle(collected: dict[str, list[dict]], level: str = "full") -> dict:
         body["timeline_rows"] = len(body.pop("timeline", []))
     if level == "summary":
         body = {k: v for k, v in body.items() if k in ("summary", "killchain", "host_killchain", "timeline_rows")}
-    return {"version": BUNDLE_VERSION, "created": _now(), "level": level, "analysis": body}
+    return {"version": BUNDLE_VERSION, "created": _now(), "level": level, "analysis": body} | ({"counts": counts} if counts is not None else {})
 
 
 def load_bundle(text: str) -> dict:

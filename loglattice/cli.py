@@ -61,9 +61,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _render(tables: dict, fmt: str, level: str) -> str:
-    rows = cases.collect(tables)
+    rows, counts = cases.collect_counted(tables)
     if fmt == "json":
-        return json.dumps(cases.bundle(rows, level), indent=1, default=str)
+        return json.dumps(cases.bundle(rows, level, counts), indent=1, default=str)
     body = cases.bundle(rows, level)["analysis"]
     body = {k: v for k, v in body.items() if isinstance(v, list)}
     return cases.markdown(body) if fmt == "markdown" else cases.html_report(body)

@@ -38,6 +38,13 @@ def logons(events: DataFrame) -> DataFrame:
     return both.orderBy("kind", rank, *_order("user", "host", "src_ip", "logon_type"))
 
 
+def logon_totals(events: DataFrame) -> DataFrame:
+    """(kind, n, users, hosts, sources): the sums of remote and of failed logons, and how many users, hosts and addresses they have."""
+    kind = F.when((F.col("event_code") == 4624) & F.col("logon_type").isin(*REMOTE_LOGONS), "remote").when(F.col("event_code") == 4625, "failed")
+    rows = events.select(kind.alias("kind"), "user_name", "host", "src_ip").filter("kind is not null")
+    return rows.groupBy("kind").agg(count_rows().alias("n"), F.count_distinct("user_name").alias("users"), F.count_distinct("host").alias("hosts"), F.count_distinct("src_ip").alias("sources")).orderBy("kind")
+
+
 def event_id_metrics(events: DataFrame) -> DataFrame:
     return events.filter("event_code is not null").groupBy("event_code").agg(count_rows().alias("n")).orderBy(*_order("-n", "event_code"))
 

@@ -282,6 +282,13 @@ def read_osquery_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("host", "category", "pid", "parent_pid", "user_id", "file_hash_sha1")
 
 
+@register("read_thor_csv", "SELECT md5(o_orderkey::VARCHAR) AS file_hash, 'f' || o_orderkey || '.exe' AS file_name, (o_orderkey % 997)::VARCHAR AS ioc_severity, 'thor-finding' AS action FROM orders WHERE o_orderkey % 9 <> 0")
+def read_thor_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    line = F.concat(F.md5(k.cast("string").cast("binary")), F.lit(f',"C:{BACK}a b{BACK}f'), k.cast("string"), F.lit('.EXE",'), F.when(k % 9 == 0, "Score").otherwise((k % 997).cast("string")))
+    return readers.thor_csv(spark, _written(spark, table(spark, sf_dir, "orders").select(line.alias("value")), "thor-csv")).select("file_hash", "file_name", "ioc_severity", "action")
+
+
 @register(
     "thor_findings",
     f"""SELECT 'host' || o_custkey % 50 AS host, (o_orderkey % 997)::VARCHAR AS ioc_severity, md5(o_orderkey::VARCHAR) AS file_hash FROM orders WHERE o_orderkey % 5 <> 0 ORDER BY o_orderkey % 997 DESC, 'Jan 01 00:00:00 host' || o_custkey % 50 || '/10.0.0.1 THOR: Alert: MODULE: Filescan MESSAGE: m FILE: C:' || chr(92) || 'f' || o_orderkey || '.exe SCORE: ' || o_orderkey % 997 || ' MD5: ' || md5(o_orderkey::VARCHAR) LIMIT 1000""",

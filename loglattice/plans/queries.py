@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.events import derive
-from loglattice.functions import addresses, attack, decode, redaction, scoring, sigma
+from loglattice.functions import addresses, attack, decode, normalize, redaction, scoring, sigma
 from loglattice.operators import correlate, delta, extras, graph, recipes, slices
 from loglattice.plans.telemetry import duck_events, raw_events, telemetry
 from loglattice.sources import readers
@@ -279,6 +279,9 @@ def ioc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _recipe("pcap_conversations", ("pcap", "zeek"), f"SELECT src_ip, dst_ip, dst_port, transport, count(*) AS packets, coalesce(sum(bytes), 0)::BIGINT AS total_bytes, dst_port NOT IN {recipes.COMMON_PORTS} AS nonstandard, coalesce(sum(bytes), 0) > 1000000 AS exfil_hint FROM ev WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL GROUP BY 1, 2, 3, 4", extras.conversations)
 _recipe("dns_counts", ("web",), "SELECT dns_query, count(*) AS lookups FROM ev WHERE dns_query IS NOT NULL GROUP BY 1", extras.dns_counts)
 _recipe("remote_logons", EVTX, "SELECT CASE event_code WHEN 4624 THEN 'remote' ELSE 'failed' END AS kind, user_name AS user, host, src_ip, logon_type, count(*) AS n FROM ev WHERE (event_code = 4624 AND logon_type IN ('3', '8', '9', '10')) OR event_code = 4625 GROUP BY ALL", extras.logons)
+_recipe("logon_totals", EVTX, "SELECT CASE event_code WHEN 4624 THEN 'remote' ELSE 'failed' END AS kind, count(*) AS n, count(DISTINCT user_name) AS users, count(DISTINCT host) AS hosts, count(DISTINCT src_ip) AS sources FROM ev WHERE (event_code = 4624 AND logon_type IN ('3', '8', '9', '10')) OR event_code = 4625 GROUP BY 1", extras.logon_totals)
+_recipe("log_metrics", ALL, f"SELECT source, count(*) AS n, strftime(min(ts_parsed), {ISO}) AS first, strftime(max(ts_parsed), {ISO}) AS last FROM ev GROUP BY 1", lambda ev: extras.log_metrics(ev).withColumns({c: normalize.iso(F.col(c)) for c in ("first", "last")}))
+_recipe("timeline_search", EVTX, f"SELECT {_TL} FROM (SELECT {_TL}, ts_parsed FROM (SELECT *, {_WHY} AS why FROM ev) WHERE why IS NOT NULL ORDER BY ts_parsed, id LIMIT 200) WHERE why = 'ATT&CK technique' AND lower(concat_ws(' ', ts, source, action, host, user_name, process_name, src_ip, dst_ip, dns_query, rule_title, why)) LIKE '%user1%'", lambda ev: extras.timeline_filter(correlate.timeline(ev), why="ATT&CK technique", q="USER1"))
 _recipe("event_id_metrics", EVTX, "SELECT event_code, count(*) AS n FROM ev WHERE event_code IS NOT NULL GROUP BY 1", extras.event_id_metrics)
 _recipe("computer_metrics", ALL, "SELECT host, count(*) AS n FROM ev WHERE host IS NOT NULL GROUP BY 1", extras.computer_metrics)
 _recipe("pivot_keywords", ALL, "SELECT DISTINCT kind, value FROM (SELECT 'user' AS kind, user_name AS value FROM ev UNION ALL SELECT 'host', host FROM ev UNION ALL SELECT 'src_ip', src_ip FROM ev UNION ALL SELECT 'dst_ip', dst_ip FROM ev UNION ALL SELECT 'process', process_name FROM ev UNION ALL SELECT 'domain', dns_query FROM ev UNION ALL SELECT 'hash', file_hash FROM ev) WHERE value IS NOT NULL", extras.pivot_keywords)

@@ -384,11 +384,14 @@ def executable_files(events: DataFrame) -> DataFrame:
 
 
 def thor(spark: SparkSession, path: str, year: int | None = None, source: str = "thor") -> DataFrame:
-    """Scanner report lines with a score; one that names a second file gives a linked row too."""
-    rows = _lines(spark, path).filter(F.col("line").rlike(r"\bSCORE: [0-9]+"))
+    """Scanner report lines with a score; one that names a second file gives a linked row too.
+
+    Lines have no year: it is the one in the file's name, else ``year``, else that of the file's last change.
+    """
+    rows = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("changed")).filter(F.col("line").rlike(r"\bSCORE: [0-9]+"))
     x = lambda k: n.blank_to_null(F.trim(F.regexp_extract("line", rf"(?:^| ){k}: (.*?)(?= [A-Z][A-Z0-9_]*: |$)", 1)))
     head = r"^([A-Z][a-z]{2}) +([0-9]{1,2}) ([0-9:]{8}) (\S+?)(?:/(\S+))? THOR: (\w+)"
-    y = F.coalesce(n.blank_to_null(F.regexp_extract("file", r"(20[0-9]{2})", 1)), F.lit(str(year)) if year else F.lit(None).cast("string"))
+    y = F.coalesce(n.blank_to_null(F.regexp_extract("file", r"(20[0-9]{2})", 1)), F.lit(str(year)) if year else F.year("changed").cast("string"))
     at = n.iso(F.try_to_timestamp(F.concat_ws(" ", y, F.regexp_extract("line", head, 1), F.lpad(F.regexp_extract("line", head, 2), 2, "0"), F.regexp_extract("line", head, 3)), F.lit("yyyy MMM dd HH:mm:ss")))
     level = F.lower(F.regexp_extract("line", head, 6))
     severity = F.when(level == "alert", "critical").when(level == "warning", "high").when(level == "notice", "medium").otherwise("low")

@@ -97,6 +97,9 @@ def test_a_case_is_what_was_added(spark, tmp_path):
     tables = {k: v for k, v in case.analyze().items() if k in ("shared_indicators", "killchain", "technique_catalog", "timeline", "episodes", "incident_clusters")}
     got = cases.collect(tables)
     assert got["shared_indicators"][0]["indicator"] == "a" and cases.narrative(got)[-1] == "Reach: Exploitation."
+    cut, counts = cases.collect_counted({"timeline": tables["timeline"], "killchain": tables["killchain"]}, limit=1)
+    assert len(cut["timeline"]) == 1 and counts == {"timeline": {"records_total": 4, "records_capped": True}, "killchain": {"records_total": 1, "records_capped": False}}
+    assert cases.bundle(cut, "full", counts)["counts"] == counts and "counts" not in cases.bundle(cut)
     text = json.dumps(cases.bundle(got, "detailed"))
     assert "timeline" not in cases.load_bundle(text)["analysis"] and "| indicator |" in cases.markdown(got) and "<table>" in cases.html_report(got)
     new = delta.delta({k: v.limit(0) for k, v in tables.items()}, tables)
