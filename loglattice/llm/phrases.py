@@ -170,9 +170,8 @@ def _namer(last: bool):
     return run
 
 
-def _kinds(scratch: tk.Scratch, df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+def _kinds(scratch: tk.Scratch, df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """The sequences and the names of the blocks, from one pass over ``df``."""
-    path = scratch.path(label)
     df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     back = scratch.spark.read.schema(df.schema).parquet(path)
     return back.filter(F.col("kind") == SEQUENCE).select("block", "seq"), back.filter(F.col("kind") == NAMES).drop("kind", "seq")
@@ -209,14 +208,19 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_co
     spark = docs.sparkSession
     scratch = tk.Scratch(spark, "phrases")
     rows = docs.select(F.coalesce(docs[f"`{lang_col}`"].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
-    seq, names = _kinds(scratch, tk.map_arrow(rows, _reader(), BLOCKS), "words")
+    path = scratch.path("words")
+    seq, names = _kinds(scratch, tk.map_arrow(rows, _reader(), BLOCKS), path)
     total = scratch.put(names.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
     found = scratch.put(_frequent(names, ["lang", "word"], min_count), "level-1")
+    scratch.drop(f"{path}/kind={NAMES}")
     levels = [_dictionary(found).select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))]
     for k in range(2, max_words + 1):
         held = found.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("names"))  # a block's own names
-        seq, names = _kinds(scratch, tk.map_arrow(seq.join(held, "block"), _namer(k == max_words), PAIRS), f"pairs-{k}")
+        done, path = path, scratch.path(f"pairs-{k}")
+        seq, names = _kinds(scratch, tk.map_arrow(seq.join(held, "block"), _namer(k == max_words), PAIRS), path)
+        scratch.drop(done)
         found = scratch.put(_frequent(names, ["left", "right"], min_count), f"level-{k}")
+        scratch.drop(f"{path}/kind={NAMES}")
         # heads and tails: counts of the first and of the last 1, 2, ... words, up to the whole.
         part = levels[-1]
         left = part.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), "heads")

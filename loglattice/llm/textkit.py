@@ -100,10 +100,14 @@ class Scratch:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         return self._write(df, f"{self.base}/{label}")
 
-    def clear(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/scratch")
+    def drop(self, name: str) -> None:
+        """Delete a folder that no table still to be read needs."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        self.drop(f"{self.base}/scratch")
+
 
 BATCH_BYTES = 4 << 20
 
