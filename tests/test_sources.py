@@ -148,7 +148,7 @@ def test_kinds_are_told_by_name_and_content(spark, tmp_path):
 
     files = {
         "a.txt": "Jan  5 10:00:00 ws1 THOR: Alert: SCORE: 90\n", "b.csv": "a" * 32 + ",C:\\x,90\n", "c.json": '{"hostIdentifier":"h","unixTime":1}\n', "d.txt": "Host name: ws\nDescription: x\n", "e.jsonl": '{"RuleTitle":"r","Computer":"c"}\n',
-        "f.json": '{"EventId":1,"Payload":"{}"}\n', "g.json": '{"KeyPath":"k","LastWriteTimestamp":"2026-01-01 00:00:00"}', "h.json": '{"EntryNumber":1,"FileName":"f"}\n', "i.log": "any line\n", "j.reg": "x\n", "k.evtx": "x\n", "SYSTEM": "regf....\n", "m.xyz": "x\n",
+        "f.json": '{"EventId":1,"Payload":"{}"}\n', "g.json": '{"KeyPath":"k","LastWriteTimestamp":"2026-01-01 00:00:00"}', "h.json": '{"EntryNumber":1,"FileName":"f"}\n', "i.log": "any line\n", "j.reg": "x\n", "k.evtx": "x\n", "SYSTEM": "regf....\n", "m.xyz": "x\n", "n.log": "", "NOTE": "",
     }
     for name, text in files.items():
         (tmp_path / name).write_text(text)
