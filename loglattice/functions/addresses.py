@@ -112,15 +112,19 @@ def _six(s: Column, test: Callable) -> Column:
     return _bound(digits_v6(s), pick)
 
 
+#: Digits of IPv6 addresses that are generic: mapped ones that are so as IPv4, and all but global unicast, unique local and site-local ones.
+_GENERIC_6 = f"^(?:{MAPPED}(?:00000000|7F|A9FE|[EF])|(?!{MAPPED})(?![23]|F[CD]|FE[C-F]))"
+
+
 def generic(c: Column) -> Column:
     """Whether text is no address or one that points to no one machine.
 
-    For IPv4, which nearly all events have, the ranges are told by the first octets.
+    Every event asks this, so the ranges are told by the first octets or digits and not looked up.
     """
     s = F.trim(c)
     first = F.substring_index(s, ".", 1).try_cast("int")
     four = (s == "0.0.0.0") | (first == 127) | (first >= 224) | s.startswith("169.254.")
-    return F.coalesce(F.when(s.rlike(IPV4), four).when(s.contains(":"), _six(s, is_generic)), F.lit(True))
+    return F.coalesce(F.when(s.rlike(IPV4), four).when(s.contains(":"), digits_v6(s).rlike(_GENERIC_6)), F.lit(True))
 
 
 def public(c: Column) -> Column:

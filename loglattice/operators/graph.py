@@ -170,11 +170,12 @@ def extend_components(nodes: DataFrame, moved: DataFrame, edges: DataFrame) -> t
     is joined to components is their roots, not their members.  ``current`` gives node and root,
     the same as ``components`` over all links so far.
     """
+    edges = stored(edges.select("a", "b").distinct(), "components-batch")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     found = ends.join(nodes, "node", "left").join(moved, "grp", "left")
     found = stored(found.select("node", F.col("grp").isNull().alias("new"), F.coalesce("root", "grp", "node").alias("root")), "components-ends")
     of = {c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")}
-    links = edges.join(of["a"], "a").join(of["b"], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    links = stored(edges.join(of["a"], "a").join(of["b"], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "components-links")
     joined = stored(components(links).select(F.col("node").alias("old"), F.col("root").alias("to")), "components-roots")
     added = found.filter("new").join(joined, F.col("root") == F.col("old")).select("node", F.col("to").alias("grp"))
     again = moved.join(joined, F.col("root") == F.col("old"), "left").select("grp", F.coalesce("to", "root").alias("root"))

@@ -228,10 +228,10 @@ _recipe("entity_graph_edges", ALL, f"{_GRAPH} SELECT a, b, weight FROM pairs WHE
 
 
 def _clusters_kept(ev: DataFrame) -> DataFrame:
-    """Clusters from components that took in three batches of events, one after the other."""
+    """Clusters from components that took in two batches of events, one after the other."""
     kept = graph.Components(ev.sparkSession, scratch_path(ev.sparkSession, "kept-components"))
-    for k in range(3):
-        kept.add(graph.event_links(ev.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == k)))
+    for k in range(2):
+        kept.add(graph.event_links(ev.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k)))
     return graph.incident_clusters(ev, roots=kept.current())
 
 
