@@ -227,17 +227,6 @@ _recipe("entity_graph_nodes", ALL, f"{_GRAPH} SELECT id, split_part(id, ':', 1)
 _recipe("entity_graph_edges", ALL, f"{_GRAPH} SELECT a, b, weight FROM pairs WHERE weight >= 2 AND a IN (SELECT id FROM shown) AND b IN (SELECT id FROM shown)", lambda ev: graph.entity_graph(ev, min_weight=2)[1])
 
 
-def _clusters_kept(ev: DataFrame) -> DataFrame:
-    """Clusters from components that took in two batches of events, one after the other."""
-    kept = graph.Components(ev.sparkSession, scratch_path(ev.sparkSession, "kept-components"))
-    for k in range(2):
-        kept.add(graph.event_links(ev.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k)))
-    return graph.incident_clusters(ev, roots=kept.current())
-
-
-_recipe("incident_clusters_kept", ALL, _CLUSTERS, _clusters_kept)
-
-
 @register(
     "baseline_diff",
     """WITH old AS (SELECT * FROM ev WHERE ts_parsed < TIMESTAMP '2024-01-08'), new AS (SELECT * FROM ev WHERE ts_parsed >= TIMESTAMP '2024-01-08')
