@@ -33,24 +33,46 @@ def _groups(part: Column) -> Column:
     return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def digits_v4(c: Column) -> Column:
     """An IPv4 address as 8 hexadecimal digits; null for anything else."""
-    octets = F.split(c, r"\.")
-    return F.when(c.rlike(IPV4), F.concat(*[F.lpad(F.hex(octets[k].try_cast("int")), 2, "0") for k in range(4)]))
+    pair = lambda octets, k: F.lpad(F.hex(octets[k].try_cast("int")), 2, "0")
+    return F.when(c.rlike(IPV4), _bound(F.split(c, r"\."), lambda octets: F.concat(*[pair(octets, k) for k in range(4)])))
 
 
-def digits_v6(c: Column) -> Column:
-    """An IPv6 address as 32 hexadecimal digits in upper case; null for anything else.  A zone is taken off."""
-    s = F.regexp_replace(F.lower(F.trim(c)), "%[^%/]+$", "")
-    tail = digits_v4(F.nullif(F.regexp_extract(s, _TAIL, 2), F.lit("")))
-    s = F.when(tail.isNotNull(), F.concat(F.regexp_extract(s, _TAIL, 1), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(s)
-    half = F.split(s, "::", -1)
-    short = F.size(half) == 2
-    left, right = _groups(half[0]), F.when(short, _groups(F.try_element_at(half, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+def _tail_as_groups(s: Column) -> Column:
+    """IPv6 text with an IPv4 address at its end as two groups."""
+    groups = lambda d: F.concat(F.regexp_extract(s, _TAIL, 1), F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4))
+    return F.when(s.contains("."), F.coalesce(_bound(digits_v4(F.regexp_extract(s, _TAIL, 2)), groups), s)).otherwise(s)
+
+
+def _eight_groups(left: Column, right: Column, short: Column) -> Column:
+    """The digits of the groups before and after ``::``; all groups are before it if there is none."""
     n = F.size(left) + F.size(right)
-    good = (F.size(half) <= 2) & F.when(short, n <= 7).otherwise(n == 8) & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+    good = F.when(short, n <= 7).otherwise(n == 8) & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
     whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - n, F.lit(0))), right)
-    return F.when(s.contains(":") & good, F.upper(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+    return F.when(good, F.upper(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+
+
+def _halves(half: Column) -> Column:
+    """The digits of what ``::`` splits, which it may do once."""
+    short = F.size(half) == 2
+    right = F.when(short, _groups(F.try_element_at(half, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    sides = F.struct(_groups(half[0]).alias("left"), right.alias("right"), short.alias("short"))
+    return F.when(F.size(half) <= 2, _bound(sides, lambda x: _eight_groups(x["left"], x["right"], x["short"])))
+
+
+def digits_v6(c: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits in upper case; null for anything else.  A zone is taken off.
+
+    Each step is bound, as the next one uses it more than once and whatever is not bound is computed anew at every use.
+    """
+    s = F.regexp_replace(F.lower(F.trim(c)), "%[^%/]+$", "")
+    return F.when(c.contains(":"), _bound(_bound(_bound(s, _tail_as_groups), lambda x: F.when(x.contains(":"), F.split(x, "::", -1))), _halves))
 
 
 MAPPED = "00000000000000000000FFFF"
@@ -64,9 +86,8 @@ def digits(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """(hi, lo): the halves of an address as unsigned numbers, in structs that order like addresses."""
-    d = digits(c)
-    half = lambda at: F.conv(F.substring(d, at, 16), 16, 10).cast("decimal(20,0)")
-    return F.when(d.isNotNull(), F.struct(half(1).alias("hi"), half(17).alias("lo")))
+    half = lambda d, at: F.conv(F.substring(d, at, 16), 16, 10).cast("decimal(20,0)")
+    return _bound(digits(c), lambda d: F.when(d.isNotNull(), F.struct(half(d, 1).alias("hi"), half(d, 17).alias("lo"))))
 
 
 def is_generic(ip: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
@@ -102,11 +123,6 @@ def _inside(c: Column, found: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda x, y: x | y, [c.between(a, b) for a, b in found])
 
 
-def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def _six(s: Column, test: Callable) -> Column:
     pick = lambda d: F.when(d.startswith(MAPPED), _inside(F.substring(d, 25, 8), ranges(test, 4))).otherwise(_inside(d, ranges(test, 6)))
     return _bound(digits_v6(s), pick)

@@ -168,6 +168,12 @@ def test_addresses_equal_the_standard_library(spark):
     assert rows[" fe80::1%eth0 "].g
 
 
+def test_an_address_is_parsed_once(spark):
+    t = F.col("t")
+    plan = spark.createDataFrame([("::1",)], "t string").select(addresses.number(t), addresses.generic(t), addresses.public(t))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(lower(trim(") == 3
+
+
 def test_redacted_tables_equal_the_plain_version(spark):
     rng = random.Random(9)
     parts = ["al", "ice", "WS", "-1", ".", "é", "(x)", " ", "bob", "日本", "\\", "|"]
