@@ -471,7 +471,7 @@ def redact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("by "), name, F.lit(" at WS.1")).alias("note"), F.array(F.lit("ws.1"), F.lit("x")).alias("tags"))
     own = table(spark, sf_dir, "orders").select(c.alias("c")).distinct()
     names = own.select(F.inline(F.array(F.struct(F.concat(F.lit("USER-"), F.col("c").cast("string")).alias("real"), F.concat(F.lit("U"), F.col("c").cast("string")).alias("pseudonym")), F.struct(F.concat(F.lit("user-"), F.col("c").cast("string"), F.lit(".adm")).alias("real"), F.concat(F.lit("P"), F.col("c").cast("string")).alias("pseudonym")))))
-    return redaction.redact_table(rows, names.unionByName(spark.createDataFrame([("ws.1", "H1"), (" ", "z")], "real string, pseudonym string")))
+    return redaction.redact(rows, names.unionByName(spark.createDataFrame([("ws.1", "H1"), (" ", "z")], "real string, pseudonym string")))
 
 
 #: Rules of the shapes that are shipped with the detections, and nested ones.

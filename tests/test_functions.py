@@ -170,7 +170,7 @@ def test_addresses_equal_the_standard_library(spark):
 
 def test_an_address_is_parsed_once(spark):
     t = F.col("t")
-    plan = spark.createDataFrame([("::1",)], "t string").select(addresses.number(t), addresses.generic(t), addresses.public(t))._jdf.queryExecution().analyzed().toString()
+    plan = spark.createDataFrame([("::1",)], "t string").select(addresses.number(t).alias("n"), addresses.generic(t).alias("g"), addresses.public(t).alias("p"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(lower(trim(") == 3
 
 
@@ -190,3 +190,19 @@ def test_redacted_tables_equal_the_plain_version(spark):
     big = spark.range(redaction.MAX_VALUES + 1).selectExpr("cast(id as string) as real", "'x' as pseudonym")
     with pytest.raises(ValueError):
         redaction.redact_table(table, big)
+
+
+def test_a_mapping_of_any_size_is_joined(spark):
+    rng = random.Random(10)
+    parts = ["al", "ice", "WS", "-1", ".", "é", "(x)", " ", "bob", "日本", "\\", "|", "İ"]
+    mapping = {k: f"<{k}>" for k in {"".join(rng.choices(parts, k=rng.randrange(1, 4))).strip().lower() for _ in range(25)} if k}
+    texts = [None, "", *("".join(rng.choice([p, p.upper()]) for p in rng.choices(parts, k=rng.randrange(12))) for _ in range(200))]
+    table = spark.createDataFrame([(t, [t, "bob", None], {"k": t}, (t, 1), 7) for t in texts] + [(None, None, None, None, None)], "t string, l array<string>, m map<string,string>, s struct<a string, n int>, n int")
+    names = spark.createDataFrame(list(mapping.items()), "real string, pseudonym string")
+    rows = lambda d: sorted(map(repr, d.collect()))
+    want = rows(redaction.redact_table(table, names))
+    assert rows(redaction.redact_joined(table, names)) == want
+    many = spark.range(redaction.MAX_VALUES + 1).selectExpr("concat('no such name ', id) as real", "'x' as pseudonym")
+    assert rows(redaction.redact(table, names.unionByName(many))) == want
+    assert rows(redaction.redact_joined(table, names, ["l"])) == rows(redaction.redact_table(table, names, ["l"]))
+    assert rows(redaction.redact_joined(table, names.limit(0))) == rows(table)
