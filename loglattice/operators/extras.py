@@ -81,15 +81,38 @@ def extract_base64(events: DataFrame, fields: tuple[str, ...] = ("cmdline", "mes
 
     A token has ``least`` characters or more and whole groups of four; it is one if it decodes to
     text, UTF-16 (every second byte of its first four is zero) or UTF-8, without control characters.
+    Lines of 64 or 76 characters, as encoders wrap them, are one token with the line after them if
+    they decode as one, or do so without the last line; else each line stands for itself.
     """
-    token = rf"(?<![A-Za-z0-9+/=])((?:[A-Za-z0-9+/]{{4}}){{{max(1, least // 4 - 1)},}}(?:[A-Za-z0-9+/]{{4}}|[A-Za-z0-9+/]{{3}}=|[A-Za-z0-9+/]{{2}}==))(?![A-Za-z0-9+/=])"
-    held = [F.struct(F.lit(f).alias("field"), F.regexp_extract_all(F.col(f), F.lit(token), F.lit(1)).alias("tokens")) for f in fields if f in events.columns]
-    likely = reduce(lambda a, b: a | b, [F.col(f).rlike(token) for f in fields if f in events.columns])
-    each = events.filter(likely).select("id", F.inline(F.array(*held))).select("id", "field", F.explode("tokens").alias("token")).withColumn("raw", F.try_to_binary("token", F.lit("base64")))
-    wide = F.expr("hex(substring(raw, 2, 1)) = '00' and hex(substring(raw, 4, 1)) = '00' and octet_length(raw) % 2 = 0")
-    text = F.when(wide, F.expr("decode(raw, 'UTF-16LE')")).when(F.is_valid_utf8(F.expr("cast(raw as string)")), F.expr("cast(raw as string)"))
-    out = each.withColumn("decoded", text).withColumn("encoding", F.when(wide, "utf-16").otherwise("utf-8"))
-    return out.filter(F.col("decoded").isNotNull() & ~F.col("decoded").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]")).select("id", "field", "token", "encoding", "decoded")
+    letter = "[A-Za-z0-9+/]"
+    last = f"(?:{letter}{{4}}|{letter}{{3}}=|{letter}{{2}}==)"
+    token = rf"(?<![A-Za-z0-9+/=])((?:{letter}{{4}}){{{max(1, least // 4 - 1)},}}{last})(?![A-Za-z0-9+/=])"
+    follows = [rf"(?:{letter}{{4}}){{0,{width // 4 - 1}}}{last}(?![A-Za-z0-9+/=])" for width in (64, 76)]
+    lines = [rf"(?:{letter}{{{width}}}\r?\n(?={after}))++{after}" for width, after in zip((64, 76), follows, strict=True)]
+    wrapped = rf"(?<![A-Za-z0-9+/=])({lines[0]}|{lines[1]})"
+
+    byte = lambda raw, k: F.hex(F.substring(raw, k, 1)) == "00"
+    wide = lambda raw: byte(raw, 2) & byte(raw, 4) & (F.octet_length(raw) % 2 == 0)
+    decoded = lambda raw: F.when(wide(raw), F.decode(raw, "UTF-16LE")).when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+    good = lambda text: text.isNotNull() & ~text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]")
+    binary = lambda t: F.try_to_binary(t, F.lit("base64"))
+
+    def tokens(c: Column) -> Column:
+        single = lambda text: F.regexp_extract_all(text, F.lit(token), F.lit(1))
+        glued = lambda w: F.regexp_replace(w, r"\r?\n", "")
+        fits = lambda t: good(decoded(binary(t))) & (F.length(t) >= least)
+        shorter = lambda w: F.regexp_replace(w, r"\r?\n[^\n]*$", "")
+        rest = lambda w: single(F.regexp_extract(w, r"[^\n]*$", 0))
+        of_span = lambda w: F.when(fits(glued(w)), F.array(glued(w))).when(fits(glued(shorter(w))), F.concat(F.array(glued(shorter(w))), rest(w))).otherwise(single(w))
+        spans = F.transform(F.regexp_extract_all(c, F.lit(wrapped), F.lit(1)), of_span)
+        return F.when(c.contains("\n") & c.rlike(wrapped), F.concat(F.flatten(spans), single(F.regexp_replace(c, wrapped, " ")))).otherwise(single(c))
+
+    there = [f for f in fields if f in events.columns]
+    likely = reduce(lambda a, b: a | b, [F.col(f).rlike(token) | (F.col(f).contains("\n") & F.col(f).rlike(wrapped)) for f in there])
+    held = [F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in there]
+    each = events.filter(likely).select("id", F.inline(F.array(*held))).select("id", "field", F.explode("tokens").alias("token")).withColumn("raw", binary(F.col("token")))
+    out = each.withColumn("decoded", decoded(F.col("raw"))).withColumn("encoding", F.when(wide(F.col("raw")), "utf-16").otherwise("utf-8"))
+    return out.filter(good(F.col("decoded"))).select("id", "field", "token", "encoding", "decoded")
 
 
 #: Bytes of a gram; shorter indicators are keyed by all of their bytes.

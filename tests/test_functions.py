@@ -206,3 +206,27 @@ def test_a_mapping_of_any_size_is_joined(spark):
     assert rows(redaction.redact(table, names.unionByName(many))) == want
     assert rows(redaction.redact_joined(table, names, ["l"])) == rows(redaction.redact_table(table, names, ["l"]))
     assert rows(redaction.redact_joined(table, names.limit(0))) == rows(table)
+
+
+def test_wrapped_base64_is_one_token(spark):
+    long, short = "every line of what an encoder wraps " * 4, "a command in one line"
+    b64 = lambda t, how="utf-8": base64.b64encode(t.encode(how)).decode()
+    wrap = lambda t, n, end: end.join(t[k : k + n] for k in range(0, len(t), n))
+    one = b64("x" * 57)  # 76 characters
+    cases = {
+        1: ("-enc " + wrap(b64(long, "utf-16-le"), 76, "\r\n") + " more", [("utf-16", long)]),
+        2: (wrap(b64(long), 64, "\n"), [("utf-8", long)]),
+        3: (one + "\nHello world", [("utf-8", "x" * 57)]),
+        4: (one + "\nNext word", [("utf-8", "x" * 57)]),
+        5: (b64(short) + "\n" + b64(short), [("utf-8", short)] * 2),
+        6: (wrap(b64(long * 300), 76, "\n"), [("utf-8", long * 300)]),
+        7: (one + "\n" + wrap(b64("\0\1"), 76, "\n"), [("utf-8", "x" * 57)]),
+        8: (wrap(b64("y" * 114), 76, "\n") + "\nNext", [("utf-8", "y" * 114)]),
+        9: (None, []),
+        10: (" and ".join([wrap(b64(long), 76, "\n"), b64(short), wrap(b64(long), 76, "\n")]), [("utf-8", short), ("utf-8", long), ("utf-8", long)]),
+    }
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "id long, cmdline string")
+    got = extras.extract_base64(rows).collect()
+    for k, (_, want) in cases.items():
+        assert sorted((r.encoding, r.decoded) for r in got if r.id == k) == sorted(want), k
+    assert not any("\n" in r.token for r in got)
