@@ -15,6 +15,7 @@ never hashes.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,10 @@ _GAP[[9, 32]] = True
 
 _BLOCKS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("seq", pa.binary()), ("code", pa.int32()), ("word", pa.string()), ("count", pa.int64())])
 BLOCKS = "kind int, block bigint, lang string, seq binary, code int, word string, count bigint"
-_PAIRS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("seq", pa.binary()), ("code", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("count", pa.int64())])
-PAIRS = "kind int, block bigint, seq binary, code int, left bigint, right bigint, count bigint"
+_PAIRS = pa.schema([("own", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("count", pa.int64())])
+PAIRS = "own bigint, left bigint, right bigint, count bigint"
+_SEQUENCES = pa.schema([("block", pa.int64()), ("seq", pa.binary())])
+SEQUENCES = "block bigint, seq binary"
 SEQUENCE, NAMES = 0, 1
 
 
@@ -148,26 +151,29 @@ def pairs_of(seq: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return squeezed(following), names[key // wide], names[key % wide], count
 
 
-def _namer(last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                number = batch.column("block")[row].as_py()
-                seq = np.frombuffer(batch.column("seq")[row].as_buffer(), dtype="<i4").astype(np.int64)
-                known = batch.column("names")[row].values
-                code, name = (known.field(k).to_numpy() for k in range(2))
-                names = np.full(max(int(seq.max()), int(code.max())) + 2, -1, dtype=np.int64)
-                names[code] = name
-                following, left, right, count = pairs_of(seq, names)
-                n = len(count)
-                if not n:
-                    continue
-                if not last:
-                    yield pa.RecordBatch.from_arrays([pa.array([SEQUENCE], pa.int32()), pa.array([number]), pa.array([following.tobytes()]), *(pa.nulls(1, f.type) for f in list(_PAIRS)[3:])], schema=_PAIRS)
-                columns = [np.full(n, NAMES, np.int32), np.full(n, number), pa.nulls(n, pa.binary()), np.arange(n, dtype=np.int32), left, right, count]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
+def _leveled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each block's number with what ``pairs_of`` makes of it."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            seq = np.frombuffer(batch.column("seq")[row].as_buffer(), dtype="<i4").astype(np.int64)
+            known = batch.column("names")[row].values
+            code, name = (known.field(k).to_numpy() for k in range(2))
+            names = np.full(max(int(seq.max()), int(code.max())) + 2, -1, dtype=np.int64)
+            names[code] = name
+            following, left, right, count = pairs_of(seq, names)
+            if len(count):
+                yield batch.column("block")[row].as_py(), following, left, right, count
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, _, left, right, count in _leveled(batches):
+        own = np.arange(len(count), dtype=np.int64) + (number << CODE_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((own, left, right, count), _PAIRS, strict=True)], schema=_PAIRS)
 
-    return run
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, following, *_ in _leveled(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([following.tobytes()])], schema=_SEQUENCES)
 
 
 def _kinds(scratch: tk.Scratch, df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -177,20 +183,33 @@ def _kinds(scratch: tk.Scratch, df: DataFrame, path: str) -> tuple[DataFrame, Da
     return back.filter(F.col("kind") == SEQUENCE).select("block", "seq"), back.filter(F.col("kind") == NAMES).drop("kind", "seq")
 
 
+def _with_names(scratch: tk.Scratch, seq: DataFrame, found: DataFrame, path: str) -> DataFrame:
+    """The sequences of the blocks, each with the names of its own codes that are frequent."""
+    held = found.groupBy(F.shiftright("own", CODE_BITS).alias("block")).agg(F.collect_list(F.struct(F.col("own").bitwiseAND((1 << CODE_BITS) - 1).alias("code"), "id")).alias("names"))
+    df = seq.join(held, "block")
+    df.write.option("compression", "zstd").parquet(path)
+    return scratch.spark.read.schema(df.schema).parquet(path)
+
+
 def _frequent(names: DataFrame, key: list[str], min_count: int) -> DataFrame:
-    """(block, code, key, id, f) of the names that come ``min_count`` times in all blocks.
+    """(own, key, id, f) of the names that come ``min_count`` times in all blocks.
 
     A name has one row a block, so what meets of it is a row for each of some megabytes of text.
     """
     meet = Window.partitionBy(*key)
-    own = F.col("block") * (1 << CODE_BITS) + F.col("code")
-    found = names.withColumns({"id": F.min(own).over(meet), "f": F.sum("count").over(meet)})
-    return found.filter(F.col("f") >= min_count).select("block", "code", *key, "id", "f")
+    found = names.withColumns({"id": F.min("own").over(meet), "f": F.sum("count").over(meet)})
+    return found.filter(F.col("f") >= min_count).select("own", *key, "id", "f")
 
 
 def _dictionary(found: DataFrame) -> DataFrame:
     """A row per name: its first one."""
-    return found.filter(F.col("id") == F.col("block") * (1 << CODE_BITS) + F.col("code")).drop("block", "code")
+    return found.filter("id = own").drop("own")
+
+
+def _forget(scratch: tk.Scratch) -> None:
+    """Let Spark delete the shuffled files of jobs that are over: it does so when the driver collects its garbage."""
+    gc.collect()
+    scratch.spark._jvm.System.gc()
 
 
 def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, cover: int = COVER) -> DataFrame:
@@ -211,16 +230,19 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_co
     path = scratch.path("words")
     seq, names = _kinds(scratch, tk.map_arrow(rows, _reader(), BLOCKS), path)
     total = scratch.put(names.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-    found = scratch.put(_frequent(names, ["lang", "word"], min_count), "level-1")
+    words = names.select((F.col("block") * (1 << CODE_BITS) + F.col("code")).alias("own"), "lang", "word", "count")
+    found = scratch.put(_frequent(words, ["lang", "word"], min_count), "level-1")
     scratch.drop(f"{path}/kind={NAMES}")
     levels = [_dictionary(found).select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))]
     for k in range(2, max_words + 1):
-        held = found.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("names"))  # a block's own names
-        done, path = path, scratch.path(f"pairs-{k}")
-        seq, names = _kinds(scratch, tk.map_arrow(seq.join(held, "block"), _namer(k == max_words), PAIRS), path)
+        _forget(scratch)
+        done, path = path, scratch.path(f"blocks-{k - 1}")
+        blocks = _with_names(scratch, seq, found, path)
         scratch.drop(done)
-        found = scratch.put(_frequent(names, ["left", "right"], min_count), f"level-{k}")
-        scratch.drop(f"{path}/kind={NAMES}")
+        _forget(scratch)
+        # Pairs go straight to where they meet; the sequence of the next level is made by a second, cheap pass.
+        found = scratch.put(_frequent(tk.map_arrow(blocks, _pairs, PAIRS), ["left", "right"], min_count), f"level-{k}")
+        seq = tk.map_arrow(blocks, _sequences, SEQUENCES)
         # heads and tails: counts of the first and of the last 1, 2, ... words, up to the whole.
         part = levels[-1]
         left = part.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), "heads")

@@ -92,3 +92,11 @@ def test_products_beyond_64_bits(spark):
     a, l = 3 * 10**14, 9 * 10**17
     score = spark.sql(f"select cast({ph.SCALE} as decimal(7,0)) * cast({a}L as decimal(20,0)) div (cast({l}L as decimal(20,0)) + cast({l}L as decimal(20,0))) as s").first().s
     assert score == ph.SCALE * a // (2 * l)
+
+
+def test_pairs_are_not_stored_before_they_meet(spark, monkeypatch):
+    stored, kinds = [], ph._kinds
+    monkeypatch.setattr(ph, "_kinds", lambda scratch, df, path: stored.append(path) or kinds(scratch, df, path))
+    rows = [("p q r s", "en")] * 4 + [("p q", "de")] * 3
+    assert mined(spark, rows, min_count=3) == brute(rows, 3)
+    assert len(stored) == 1
