@@ -9,8 +9,9 @@ the same tables answer which counts a cut needs and which phrases lie inside ano
 Work is done in blocks, some megabytes of texts of one language.  A block's distinct pairs with
 their counts are what is shuffled; all blocks' rows of a pair meet, are summed, and the least
 (block, code) among them becomes the pair's id, unique without any numbering step.  Frequent
-names then go back to the blocks that hold them.  All counts are exact, and ids are compared,
-never hashes.
+names then go back to the blocks that hold them, packed.  Sequences and names are bucketed by
+block, so they are joined where they lie and a sequence is never shuffled.  All counts are exact,
+and ids are compared, never hashes.
 
 Before that, the blocks' pairs are counted by bucket of a hash, packed.  A pair comes no more often
 than its bucket, so pairs of buckets that do not come often enough are left out of the shuffle and of
@@ -20,7 +21,7 @@ the next sequence; whatever else shares a bucket with others only is told apart
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BUCKET_BITS, RANGE_BITS = 28, 20
 #: Buckets of min_count // SLACK and more are let through.  Any floor up to min_count is exact; at min_count itself
 #: the rows that pass grow 14-fold for five times the text (few pairs reach it in little text), at a fifth 10-fold.
 SLACK = 5
+#: Rows of names that a task packs at a time.
+NAME_ROWS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -61,6 +64,8 @@ _TALLIES = pa.schema([("part", pa.int32()), ("places", pa.binary()), ("counts",
 TALLIES = "part int, places binary, counts binary"
 _OFTEN = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
 OFTEN = "part int, bits binary"
+_HELD = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary())])
+HELD = "block bigint, codes binary, ids binary"
 SEQUENCE, NAMES = 0, 1
 
 
@@ -101,13 +106,14 @@ def squeezed(seq: np.ndarray) -> np.ndarray:
     return out[:-1] if len(out) and out[-1] < 0 else out
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers of 32 bits, compressed: the lowest bytes of all, then the next ones, as the high bytes are much alike."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def packed(numbers: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers of 32 bits, or of another kind, compressed: the lowest bytes of all, then the next ones, as the high bytes are much alike."""
+    numbers = numbers.astype(kind)
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes())
 
 
-def unpacked(data: bytes | memoryview) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def unpacked(data: bytes | memoryview, kind: str = "<i4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _reader():
@@ -203,6 +209,45 @@ def _leveled(batches: Iterator[pa.RecordBatch], often: np.ndarray | None = None)
                 yield batch.column("block")[row].as_py(), following, left, right, count
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of each block's codes, packed: gaps between the codes, and ids."""
+
+    def flush() -> pa.RecordBatch:
+        own, name = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        order = np.argsort(own)
+        own, name = own[order], name[order]
+        block, code = own >> CODE_BITS, own & ((1 << CODE_BITS) - 1)
+        start = np.flatnonzero(np.diff(block, prepend=-1))
+        spans = list(zip(start.tolist(), [*start[1:].tolist(), len(block)], strict=True))
+        columns = block[start], [packed(np.diff(code[a:b], prepend=0)) for a, b in spans], [packed(name[a:b], "<i8") for a, b in spans]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HELD, strict=True)], schema=_HELD)
+
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append((batch.column("own").to_numpy(), batch.column("id").to_numpy()))
+        n += batch.num_rows
+        if n >= NAME_ROWS:
+            yield flush()
+            waiting, n = [], 0
+    if n:
+        yield flush()
+
+
+def _opened(f: Callable) -> Callable:
+    """``f`` over blocks whose names are packed."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held = batch.column("names")[row].values
+                codes, ids = ([unpacked(x.as_buffer(), kind) for x in held.field(k)] for k, kind in enumerate(("<i4", "<i8")))
+                names = pa.StructArray.from_arrays([pa.array(np.concatenate([np.cumsum(c, dtype=np.int64) for c in codes])), pa.array(np.concatenate(ids))], ["code", "id"])
+                names = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(row, 1), batch.column("seq").slice(row, 1), names], ["block", "seq", "names"])
+
+    return lambda batches: f(rows(batches))
+
+
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each block has each bucket, by range of buckets: gaps between the buckets, and counts."""
     for _, _, left, right, count in _leveled(batches):
@@ -242,7 +287,7 @@ def _summed(floor: int):
 
 def _often(blocks: DataFrame, floor: int) -> Broadcast:
     """The compressed bits of each range's buckets that come ``floor`` times in all blocks; 32 MB of bits at most, whatever the input."""
-    tallies = tk.map_arrow(blocks, _tallies, TALLIES).repartition("part").sortWithinPartitions("part")
+    tallies = tk.map_arrow(blocks, _opened(_tallies), TALLIES).repartition("part").sortWithinPartitions("part")
     return blocks.sparkSession.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in tk.map_arrow(tallies, _summed(floor), OFTEN).collect()})
 
 
@@ -271,19 +316,34 @@ def _sequences(often: Broadcast):
     return run
 
 
+def _table(path: str) -> str:
+    return "_".join(path.split("/")[-3:]).replace("-", "_")
+
+
+def _drop(scratch: tk.Scratch, path: str) -> None:
+    """Delete a table of ``_bucketed``."""
+    scratch.spark.sql(f"drop table if exists {_table(path)}")
+    scratch.drop(path)
+
+
+def _bucketed(scratch: tk.Scratch, df: DataFrame, path: str, *parts: str) -> DataFrame:
+    """``df`` stored by bucket of its block: tables of as many buckets are joined without a shuffle."""
+    table, n = _table(path), int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "block")
+    (out.partitionBy(*parts) if parts else out).saveAsTable(table)
+    return scratch.spark.table(table)
+
+
 def _kinds(scratch: tk.Scratch, df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """The sequences and the names of the blocks, from one pass over ``df``."""
-    df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    back = scratch.spark.read.schema(df.schema).parquet(path)
+    back = _bucketed(scratch, df, path, "kind")
     return back.filter(F.col("kind") == SEQUENCE).select("block", "seq"), back.filter(F.col("kind") == NAMES).drop("kind", "seq")
 
 
 def _with_names(scratch: tk.Scratch, seq: DataFrame, found: DataFrame, path: str) -> DataFrame:
-    """The sequences of the blocks, each with the names of its own codes that are frequent."""
-    held = found.groupBy(F.shiftright("own", CODE_BITS).alias("block")).agg(F.collect_list(F.struct(F.col("own").bitwiseAND((1 << CODE_BITS) - 1).alias("code"), "id")).alias("names"))
-    df = seq.join(held, "block")
-    df.write.option("compression", "zstd").parquet(path)
-    return scratch.spark.read.schema(df.schema).parquet(path)
+    """The sequences of the blocks, each with the names of its own codes that are frequent, packed."""
+    held = tk.map_arrow(found.select("own", "id"), _held, HELD).groupBy("block").agg(F.collect_list(F.struct("codes", "ids")).alias("names"))
+    return seq.join(_bucketed(scratch, held, path), "block")
 
 
 def _frequent(names: DataFrame, key: list[str], min_count: int) -> DataFrame:
@@ -329,20 +389,22 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_co
     found = scratch.put(_frequent(words, ["lang", "word"], min_count), "level-1")
     scratch.drop(f"{path}/kind={NAMES}")
     levels = [_dictionary(found).select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))]
-    often = None
     for k in range(2, max_words + 1):
         _forget(scratch)
-        done, path = path, scratch.path(f"blocks-{k - 1}")
-        blocks = _with_names(scratch, seq, found, path)
-        scratch.drop(done)
-        if often:
-            often.destroy()
+        done = path, scratch.path(f"names-{k - 1}")
+        blocks = _with_names(scratch, seq, found, done[1])
         _forget(scratch)
         # Pairs go straight to where they meet; the sequence of the next level is made by another, cheap pass.
         often = _often(blocks, min_count // SLACK)
         _forget(scratch)
-        found = scratch.put(_frequent(tk.map_arrow(blocks, _pairs(often), PAIRS), ["left", "right"], min_count), f"level-{k}")
-        seq = tk.map_arrow(blocks, _sequences(often), SEQUENCES)
+        found = scratch.put(_frequent(tk.map_arrow(blocks, _opened(_pairs(often)), PAIRS), ["left", "right"], min_count), f"level-{k}")
+        if k < max_words:
+            _forget(scratch)
+            path = scratch.path(f"sequences-{k}")
+            seq = _bucketed(scratch, tk.map_arrow(blocks, _opened(_sequences(often)), SEQUENCES), path)
+        for old in done:
+            _drop(scratch, old)
+        often.destroy()
         # heads and tails: counts of the first and of the last 1, 2, ... words, up to the whole.
         part = levels[-1]
         left = part.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), "heads")
@@ -351,8 +413,6 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_co
         grown = {x: F.concat(x, F.array("f")) for x in ("heads", "tails")}
         level = level.withColumns({"phrase": F.concat_ws(" ", "head", "last"), **grown}).drop("head")
         levels.append(scratch.put(level, f"phrases-{k}"))
-    if often:
-        often.destroy()
 
     ranked = []
     for k, level in enumerate(levels[1:], 2):

@@ -135,3 +135,33 @@ def test_pairs_that_share_buckets_are_told_apart(monkeypatch):
 @pytest.mark.parametrize("numbers", [[], [-1, 0, 1, 255, 256, 1 << 30, -1], [7] * 1000])
 def test_packed_numbers_come_back(numbers):
     assert ph.unpacked(ph.packed(np.array(numbers, dtype=np.int64))).tolist() == numbers
+
+
+def test_sequences_are_stored_once_and_not_shuffled(spark, monkeypatch):
+    labels, plans, path, often = [], [], ph.tk.Scratch.path, ph._often
+    monkeypatch.setattr(ph.tk.Scratch, "path", lambda self, label: labels.append(label) or path(self, label))
+    monkeypatch.setattr(ph, "_often", lambda blocks, floor: plans.append(blocks._jdf.queryExecution().executedPlan().toString()) or often(blocks, floor))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("p q r s", "en")] * 4 + [("p q", "de")] * 3
+        assert mined(spark, rows, min_count=3) == brute(rows, 3)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(plans) == 3 and all("SortMergeJoin" in p and "Exchange" not in p for p in plans)
+    assert not [x for x in labels if x.startswith("blocks")]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("phrases_")]
+
+
+def test_names_come_back_packed_by_block(monkeypatch):
+    monkeypatch.setattr(ph, "NAME_ROWS", 5)
+    own = [(b << ph.CODE_BITS) + c for b in (3, 1 << 20) for c in (7, 0, (1 << 30) - 1, 2)]
+    found = pa.table({"own": own, "id": [x >> 1 for x in own]}).to_batches(3)
+    held = [r for b in ph._held(iter(found)) for r in b.to_pylist()]
+    assert len(held) > 2
+    packed = pa.array([[{k: r[k] for k in ("codes", "ids")} for r in held if r["block"] == b] for b in (3, 1 << 20)])
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 1 << 20]), pa.array([b"s", b"t"]), packed], ["block", "seq", "names"])
+    back = [r for b in ph._opened(lambda batches: batches)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["block"], r["seq"]) for r in back] == [(3, b"s"), (1 << 20, b"t")]
+    assert sorted((r["block"] << ph.CODE_BITS) + n["code"] for r in back for n in r["names"]) == sorted(own)
+    assert all(n["id"] == ((r["block"] << ph.CODE_BITS) + n["code"]) >> 1 for r in back for n in r["names"])
