@@ -43,6 +43,8 @@ from loglattice.llm.textkit import U64
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 8
 MAX_ROUNDS = 60
+#: After how many rounds the joins that lead to a node's root are written.
+ROUNDS_A_TABLE = 4
 #: Bits of a node's bitmap of shingles.
 BITS = 2048
 _A = tk.mix((np.arange(64, dtype=U64) + U64(7001)) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -241,26 +243,29 @@ def components(links: DataFrame, run: tk.Scratch, rows: int | None = None) -> Da
 
     Every round points each node at its least neighbour, follows that pointer once, and merges
     nodes into what they point at; links within a merged node vanish, so the links shrink from
-    round to round, and the files with them.  Tables are written between rounds.  ``rows`` is a
-    bound of the number of links, where one is known.
+    round to round, and the files with them.  Pointers and links are written every round, roots
+    every ``ROUNDS_A_TABLE``: each table is a query more that the driver plans and remembers.
+    ``rows`` is a bound of the number of links, where one is known.
     """
     edges, n = run.counted(links.filter("u != v").select(*_ordered("u", "v")).distinct(), "edges", rows)
     labels, n_labels = None, 2 * n
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = run.put(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("up")), "parents", 2 * n)
+        parent = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("up"))
         over = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
         moved = run.put(parent.join(over, "up").select("node", F.col("top").alias("to")), "moved", 2 * n)
         if labels is None:
             labels = moved.select("node", F.col("to").alias("root"))
         else:
             step = moved.select(F.col("node").alias("root"), "to")
-            labels = run.put(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels", n_labels)
+            labels = labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         at = {k: moved.select(F.col("node").alias(k), F.col("to").alias(f"{k}_to")) for k in ("u", "v")}
         merged = edges.join(at["u"], "u").join(at["v"], "v").filter("u_to != v_to").select(*_ordered("u_to", "v_to"))
         # A node pointed at may itself point on: that link stays.
         onward = moved.join(moved.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").filter("next != to").select(*_ordered("to", "next"))
         edges, n = run.counted(merged.unionByName(onward).distinct(), "edges", 3 * n)
+        if turn and (not n or turn % ROUNDS_A_TABLE == 0):
+            labels = run.put(labels, "labels", n_labels)
         if not n:
             return labels
     raise RuntimeError("components did not settle")
@@ -325,10 +330,10 @@ class _Classes:
         mixed, n = self.mixed()
         if not n:
             return
-        some = self.run.put(mixed.select("node").distinct(), "mixed-nodes", n)
-        stats = self.run.put(node_statistics(self.bags.join(some, "node", "left_semi")), "statistics", n, 5_000)
+        stats = self.run.put(node_statistics(self.bags.join(mixed.select("node").distinct(), "node", "left_semi")), "statistics", n, 5_000)
         share = F.struct(F.col("own") / F.greatest("total", F.lit(1)), "node")
         pivots = mixed.join(stats, "node").groupBy("class").agg(F.min(share).alias("p")).select(F.col("class").alias("main"), F.col("p.node").alias("pivot"))
+        # Written, so that the join with a large class has no aggregate beside it and can be split.
         pivots = self.run.put(pivots, "pivots", n)
         minor = mixed.filter("class != main").join(pivots, "main").select("node", "pivot")
         self.verify(minor.select(*_ordered("node", "pivot")).distinct())

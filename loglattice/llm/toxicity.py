@@ -17,6 +17,7 @@ compressor finds no match in the last bytes of an input.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -312,6 +313,17 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(kept, pa.string())], ["id", "label", "text"])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of all rows of (id, label, text), or no row where there are none."""
+    held = list(batches)
+    if held:
+        got = pa.Table.from_batches(held).sort_by("id")
+        held.clear()
+        col, marks = pa.concat_arrays(got.column("text").chunks).cast(pa.large_string()), got.column("label").to_pylist()
+        del got
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(col, marks))], pa.binary())], ["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Fit on at most ``rows`` labelled rows outside the held-out part, those with the least hash of their id.
 
@@ -326,13 +338,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     found = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # at most `rows` small rows are broadcast
     # Rows with one id are few; the least hash of each is taken before anything is gathered.
     single = found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("id", "x.label", "x.text")
-    got = tk.map_arrow(single, _sampled, f"id {dict(single.dtypes)['id']}, label int, text string").toArrow().sort_by("id")
-    col, marks = pa.concat_arrays(got.column("text").chunks or [pa.array([], pa.string())]).cast(pa.large_string()), got.column("label").to_pylist()
-    del got
-    model = fit(col, marks)
-    del col
-    tk.release()  # the driver goes on with other work
-    return model
+    sampled = tk.map_arrow(single, _sampled, f"id {dict(single.dtypes)['id']}, label int, text string")
+    # The bounded sample meets in one task; the driver gets the model, a few kilobytes.
+    row = tk.map_arrow(sampled.repartition(1), _fitted, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([], [])
 
 
 def score_column(model: ToxicityModel, text: Column) -> Column:

@@ -10,7 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loglattice.llm import mixing, queries, toxicity
+from loglattice.llm import mixing, neardup, queries, toxicity
+from loglattice.llm import textkit as tk
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,6 +52,49 @@ def test_toxicity_stage(spark, docs, rows):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
 
 
+def test_training_rows_stay_off_the_driver(spark, docs, rows, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    marks = labels.toPandas()
+    marks = marks[[zlib.crc32(str(i).encode()) % 5 != 0 for i in marks.doc_id]]
+    used = rows.merge(marks[["doc_id", "toxic"]], on="doc_id")
+    want = toxicity.fit(used.text.tolist(), used.toxic.tolist())
+    nothing = toxicity.fit([], [])
+
+    def refuse(*_):
+        raise AssertionError("the driver trains, or gets the rows")
+
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks: refuse() if len(marks) else nothing)
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    got = toxicity.train(docs, labels)
+    assert (got.ordinary, got.toxic, got.share) == (want.ordinary, want.toxic, want.share) and np.allclose(got.weight, want.weight)
+    assert toxicity.train(docs.limit(0), labels).share == toxicity.train(docs, labels.limit(0)).share == 0
+
+
+def test_components_of_many_rounds_write_two_tables_a_round(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = rng.permutation(600)
+    # Chains of 300, 100 and 2 nodes in any order of their names, and a star.
+    links = [(int(names[k]), int(names[k + 1])) for k in range(402) if k not in (299, 399, 401)] + [(int(names[450]), int(names[k])) for k in range(451, 500)]
+    labels, write = [], tk.Scratch._write
+    monkeypatch.setattr(tk.Scratch, "_write", lambda self, df, path: labels.append(path.rsplit("-", 1)[-1]) or write(self, df, path))
+    run = tk.Scratch(spark, "components-test")
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(links, "u int, v int"), run).collect()}
+    run.clear()
+    up = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for u, v in links:
+        up[find(u)] = find(v)
+    assert got.keys() == up.keys()
+    assert {(find(x), r) for x, r in got.items()} == {(find(r), r) for r in got.values()} and len(set(got.values())) == len({find(x) for x in up})
+    rounds = labels.count("moved")
+    assert rounds >= 4 and len(labels) <= 2 * rounds + rounds // 4 + 3
+
+
 def test_near_duplicate_stage(spark, docs, rows):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert kept.columns == COLUMNS
